@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif, secrets
+from . import gif, mixing, secrets
 from .common import table
 
 
@@ -14,12 +14,17 @@ def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.describe_media(gif.encode_payloads(table(spark, sf_dir, "documents")))
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("layers", "oversize")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gif_media": op1_gif_media,
+    "op4_source_mix": op4_source_mix,
     "op6_secret_scan": op6_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
