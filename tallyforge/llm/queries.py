@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif, mixing, secrets
+from . import gif, langid, mixing, quality, secrets
 from .common import table
 
 
@@ -14,17 +14,29 @@ def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.describe_media(gif.encode_payloads(table(spark, sf_dir, "documents")))
 
 
+def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.learn(docs))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("layers", "oversize")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gif_media": op1_gif_media,
+    "op3_quality_ranking": op3_quality_ranking,
     "op4_source_mix": op4_source_mix,
+    "op5_language_id": op5_language_id,
     "op6_secret_scan": op6_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
