@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif, langid, mixing, quality, secrets
-from .common import table
+from . import gif, langid, mixing, quality, records, secrets
+from .common import shared_dir, table
 
 
 def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,11 +32,17 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("layers", "oversize")
 
 
+def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = shared_dir(spark)
+    return records.read_records(spark, where, records.write_records(table(spark, sf_dir, "documents"), where))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gif_media": op1_gif_media,
     "op3_quality_ranking": op3_quality_ranking,
     "op4_source_mix": op4_source_mix,
     "op5_language_id": op5_language_id,
     "op6_secret_scan": op6_secret_scan,
+    "op7_token_records": op7_token_records,
 }
 ORACLE_SQL: dict[str, str] = {}
