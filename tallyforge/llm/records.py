@@ -17,6 +17,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -107,33 +108,30 @@ class Encoder:
         return out
 
 
-def _writer(where: str, path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(path), array("I", [END_ID]).tobytes()
-        task = TaskContext.get()
-        fs, base = common.filesystem(where)
-        name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
-        at = count = ids_total = 0
-        out = index = None
-        for batch in batches:
-            for part in common.chunks(batch):
-                if out is None:
-                    out = fs.open_output_stream(f"{base}/{name}.rec", buffer_size=1 << 20)
-                    index = fs.open_output_stream(f"{base}/{name}.idx", buffer_size=1 << 16)
-                docs = part.column(0).to_pylist()
-                for doc, ids in zip(docs, encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    record = frame(struct.pack("<q", _NO_ID if doc is None else doc) + ids + end)
-                    out.write(record)
-                    index.write(_INDEX.pack(at, len(record)))
-                    at += len(record)
-                    count += 1
-                    ids_total += len(ids) // 4 + 1
-        if out is not None:
-            out.close()
-            index.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "file": [name], "records": pa.array([count], pa.int64()), "ids": pa.array([ids_total], pa.int64()), "bytes": pa.array([at], pa.int64())})
-
-    return run
+def _write(batches: Iterator[pa.RecordBatch], where: str, path: str) -> Iterator[pa.RecordBatch]:
+    encode, end = Encoder(path), array("I", [END_ID]).tobytes()
+    task = TaskContext.get()
+    fs, base = common.filesystem(where)
+    name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
+    at = count = ids_total = 0
+    out = index = None
+    for batch in batches:
+        for part in common.chunks(batch):
+            if out is None:
+                out = fs.open_output_stream(f"{base}/{name}.rec", buffer_size=1 << 20)
+                index = fs.open_output_stream(f"{base}/{name}.idx", buffer_size=1 << 16)
+            docs = part.column(0).to_pylist()
+            for doc, ids in zip(docs, encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                record = frame(struct.pack("<q", _NO_ID if doc is None else doc) + ids + end)
+                out.write(record)
+                index.write(_INDEX.pack(at, len(record)))
+                at += len(record)
+                count += 1
+                ids_total += len(ids) // 4 + 1
+    if out is not None:
+        out.close()
+        index.close()
+        yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "file": [name], "records": pa.array([count], pa.int64()), "ids": pa.array([ids_total], pa.int64()), "bytes": pa.array([at], pa.int64())})
 
 
 def write_records(df: DataFrame, where: str, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> list[tuple[str, int, int, int, int]]:
@@ -144,7 +142,7 @@ def write_records(df: DataFrame, where: str, *, id_col: str = "doc_id", text_col
     fs.create_dir(base, recursive=True)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     ordered = docs.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    rows = ordered.mapInArrow(_writer(where, path or tokenizer_path()), "part int, file string, records long, ids long, bytes long").collect()
+    rows = ordered.mapInArrow(partial(_write, where=where, path=path or tokenizer_path()), "part int, file string, records long, ids long, bytes long").collect()
     files, before = [], 0
     for r in sorted(rows, key=lambda r: r.part):
         files.append((r.file, r.records, r.ids, r.bytes, before))
@@ -177,34 +175,31 @@ def read_one(where: str, name: str, k: int) -> tuple[int | None, list[int]]:
     return doc, array("I", ids).tolist()
 
 
-def _reader(where: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = common.filesystem(where)
-        for batch in batches:
-            for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                cols: tuple[list, ...] = ([], [], [], [])
-
-                def made(cols=cols):
-                    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64())
-                    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-                with fs.open_input_stream(f"{base}/{name}.rec", buffer_size=1 << 20) as source:
-                    for doc, ids in read_stream(source):
-                        n = len(ids) // 4
-                        for c, v in zip(cols, (doc, start, n, zlib.crc32(ids)), strict=True):
-                            c.append(v)
-                        start += n
-                        if len(cols[0]) == 4096:
-                            yield made()
-                            for c in cols:
-                                c.clear()
-                if cols[0]:
-                    yield made()
-
-    return run
+def _read(batches: Iterator[pa.RecordBatch], where: str) -> Iterator[pa.RecordBatch]:
+    fs, base = common.filesystem(where)
+    for batch in batches:
+        for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            cols: tuple[list, ...] = ([], [], [], [])
+
+            def made(cols=cols):
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+            with fs.open_input_stream(f"{base}/{name}.rec", buffer_size=1 << 20) as source:
+                for doc, ids in read_stream(source):
+                    n = len(ids) // 4
+                    for c, v in zip(cols, (doc, start, n, zlib.crc32(ids)), strict=True):
+                        c.append(v)
+                    start += n
+                    if len(cols[0]) == 4096:
+                        yield made()
+                        for c in cols:
+                            c.clear()
+            if cols[0]:
+                yield made()
 
 
 def read_records(spark, where: str, files: list[tuple[str, int, int, int, int]]) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each record, read from the files in parallel."""
     listed = spark.createDataFrame([(f[0], f[4]) for f in files], "file string, start long").repartition(max(1, len(files)))
-    return listed.mapInArrow(_reader(where), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.mapInArrow(partial(_read, where=where), "doc_id long, start long, n_tokens long, ids_crc32 long")
