@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import gif, langid, mixing, quality, records, secrets
+from . import gif, langid, mixing, pieces, quality, records, secrets
 from .common import shared_dir, table
 
 
@@ -37,6 +38,15 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, where, records.write_records(table(spark, sf_dir, "documents"), where))
 
 
+def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_pieces, ids_crc32, the decoded text's SHA-256, and whether it is the text's own."""
+    docs = table(spark, sf_dir, "documents")
+    both = pieces.encode(docs, keep_digest=True)
+    back = pieces.decode_rows(both)
+    same = F.col("text_sha256").eqNullSafe(F.col("source_sha256"))
+    return back.select("doc_id", "ids", "n_pieces", "ids_crc32", "text_sha256", same.alias("lossless"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gif_media": op1_gif_media,
     "op3_quality_ranking": op3_quality_ranking,
@@ -44,5 +54,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_secret_scan": op6_secret_scan,
     "op7_token_records": op7_token_records,
+    "op10_piece_sampling": op10_piece_sampling,
 }
 ORACLE_SQL: dict[str, str] = {}
