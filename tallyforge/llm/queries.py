@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, langid, mixing, pieces, quality, records, secrets
+from . import gif, langid, mixing, neardup, pieces, quality, records, secrets
 from .common import shared_dir, table
 
 
@@ -15,6 +15,10 @@ def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.describe_media(gif.encode_payloads(table(spark, sf_dir, "documents")))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
@@ -49,6 +53,7 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gif_media": op1_gif_media,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_quality_ranking": op3_quality_ranking,
     "op4_source_mix": op4_source_mix,
     "op5_language_id": op5_language_id,
