@@ -1,8 +1,8 @@
 """Token ids in length-delimited binary files.
 
 A file is a run of records: length (unsigned 64 bits), masked checksum of those 8 bytes, data, masked checksum of the
-data; all little-endian. Data are the document's id (signed 64 bits) and its token ids (unsigned 32 bits each, the end
-id last). Beside each file stands an index of (offset, bytes) pairs, unsigned 64 bits each, for reads in any order.
+data; all little-endian. Data are the document's id (signed 64 bits), the bytes of an id (2 or 4, in one byte) and its
+token ids (unsigned, the end id last); two bytes do where no id of the record is over 65535. Beside each file stands an index of (offset, bytes) pairs, unsigned 64 bits each, for reads in any order.
 A masked checksum is crc32 turned right by 15 bits plus ``MASK``.
 
 Documents are in ascending order of doc_id over all files; rows with equal ids follow by a hash of their text. Null and empty texts
@@ -33,6 +33,7 @@ MASK = 0xA282EAD8
 CACHED = 1_000_000
 _LENGTH = struct.Struct("<Q")
 _SUM = struct.Struct("<I")
+_HEAD = struct.Struct("<qB")
 _INDEX = struct.Struct("<QQ")
 _NO_ID = -(1 << 63)
 #: A space with white space on both sides, or at the end: pieces can't be cut there.
@@ -49,6 +50,19 @@ def frame(data: bytes) -> bytes:
     return b"".join((head, _SUM.pack(masked(head)), data, _SUM.pack(masked(data))))
 
 
+def packed(doc: int | None, ids: bytes) -> bytes:
+    """A record's data of ids given as unsigned 32 bits each."""
+    wide = np.frombuffer(ids, "<u4")
+    narrow = not len(wide) or int(wide.max()) < 1 << 16
+    return _HEAD.pack(_NO_ID if doc is None else doc, 2 if narrow else 4) + (wide.astype("<u2").tobytes() if narrow else ids)
+
+
+def unpacked(data: bytes) -> tuple[int | None, bytes]:
+    doc, width = _HEAD.unpack(data[: _HEAD.size])
+    ids = data[_HEAD.size :]
+    return None if doc == _NO_ID else doc, ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -122,7 +136,7 @@ def _write(batches: Iterator[pa.RecordBatch], where: str, path: str) -> Iterator
                 index = fs.open_output_stream(f"{base}/{name}.idx", buffer_size=1 << 16)
             docs = part.column(0).to_pylist()
             for doc, ids in zip(docs, encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                record = frame(struct.pack("<q", _NO_ID if doc is None else doc) + ids + end)
+                record = frame(packed(doc, ids + end))
                 out.write(record)
                 index.write(_INDEX.pack(at, len(record)))
                 at += len(record)
@@ -159,8 +173,7 @@ def read_stream(source) -> Iterator[tuple[int | None, bytes]]:
         body = source.read(n + 4)
         if len(body) < n + 4 or _SUM.unpack(body[n:])[0] != masked(body[:n]):
             raise ValueError("damaged data")
-        (doc,) = struct.unpack("<q", body[:8])
-        yield None if doc == _NO_ID else doc, body[8:n]
+        yield unpacked(body[:n])
 
 
 def read_one(where: str, name: str, k: int) -> tuple[int | None, list[int]]:

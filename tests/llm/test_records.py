@@ -22,8 +22,10 @@ def test_words_are_the_whole_text(encoder, texts):
 
 
 def test_damage_is_found():
-    good = records.frame(b"12345678abcd")
-    assert list(records.read_stream(io.BytesIO(good))) == [(int.from_bytes(b"12345678", "little"), b"abcd")]
+    for ids in ([], [1, 2], [1, 70_000]):
+        raw = array("I", ids).tobytes()
+        assert list(records.read_stream(io.BytesIO(records.frame(records.packed(-5, raw))))) == [(-5, raw)]
+    good = records.frame(records.packed(7, array("I", [3, 4]).tobytes()))
     for k in range(len(good)):
         bad = bytearray(good)
         bad[k] ^= 1
