@@ -17,7 +17,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,8 @@ from . import common
 
 END_ID = 2
 MASK = 0xA282EAD8
-#: Words kept by an encoder, about 200 bytes each.
-CACHED = 1_000_000
+#: Words of one generation of an encoder's cache, about 200 bytes each; the last two generations are kept.
+CACHED = 700_000
 _LENGTH = struct.Struct("<Q")
 _SUM = struct.Struct("<I")
 _HEAD = struct.Struct("<qB")
@@ -79,6 +79,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # a space, as byte-level tokens spell it
@@ -104,14 +105,16 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > CACHED:
-            self.words = {}
-        words = self.words
+            self.words, self.older = {}, self.words
+        words, older = self.words, self.older
         split = [None if _RUN.search(t) else t.split(" ") for t in texts]
         flat = [w for p in split if p for w in p[1:]]
         found = list(map(words.get, flat))
         lacking = [k for k, v in enumerate(found) if v is None]
         if lacking:
-            self.learn(list({flat[k] for k in lacking}))
+            new = {flat[k] for k in lacking}
+            words.update({w: older[w] for w in new if w in older})
+            self.learn([w for w in new if w not in words])
             for k in lacking:
                 found[k] = words[flat[k]]
         heads, at, out = iter(self.plain([t if p is None else p[0] for t, p in zip(texts, split, strict=True)])), 0, []
@@ -122,8 +125,14 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker process."""
+    return Encoder(path)
+
+
 def _write(batches: Iterator[pa.RecordBatch], where: str, path: str) -> Iterator[pa.RecordBatch]:
-    encode, end = Encoder(path), array("I", [END_ID]).tobytes()
+    encode, end = encoder(path), array("I", [END_ID]).tobytes()
     task = TaskContext.get()
     fs, base = common.filesystem(where)
     name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
