@@ -14,10 +14,12 @@ An empty table gives no rows. Sources are collected to the driver, a row each: a
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,13 +124,18 @@ def shard_counts(slots: list[int], shards: int, seed: int) -> np.ndarray:
     return np.array(out, np.int64).reshape(shards, len(slots))
 
 
-def _sized(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def _facts(id_col: str, text_col: str, source_col: str) -> dict:
     source = F.col(source_col).cast("string")
-    return df.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source)).alias("src"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"),
-    )
+    return {
+        "doc_id": F.col(id_col).cast("long"),
+        "src": F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source)),
+        "size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(common.WORD)), F.lit(0)).cast("long"),
+        "h": F.xxhash64(text_col),
+    }
+
+
+def _sized(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return df.select(*(c.alias(n) for n, c in _facts(id_col, text_col, source_col).items() if n != "h"))
 
 
 def plan_sources(sized: DataFrame, block: int, seed: int, max_sources: int = MAX_SOURCES) -> list[Source]:
@@ -171,16 +178,19 @@ def slot_blocks(spark, sources: list[Source], block: int, shards: int, seed: int
 
 
 def placed(sized: DataFrame) -> DataFrame:
-    """Adds start: the words of the source before the document. Two levels, so that no task holds a whole source."""
+    """Adds bucket, row (place in the bucket) and start, the words of the source before the document.
+
+    Two levels, so that no task holds a whole source. Equal rows may change places."""
     bucketed = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int"))
     sums = bucketed.groupBy("src", "bucket").agg(F.sum("size").alias("bucket_words"))
     ahead = sums.select("src", "bucket", (F.sum("bucket_words").over(Window.partitionBy("src").orderBy("bucket")) - F.col("bucket_words")).alias("ahead"))
-    inside = Window.partitionBy("src", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("src", "bucket").orderBy("doc_id", "size", *(["h"] if "h" in sized.columns else []))
+    inside = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
     return (
-        bucketed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .withColumn("row", F.row_number().over(Window.partitionBy("src", "bucket").orderBy("doc_id", "size")))
+        bucketed.withColumns({"start": F.coalesce(inside, F.lit(0)), "row": F.row_number().over(order)})
         .join(ahead, ["src", "bucket"])
-        .select("doc_id", "row", "src", "bucket", "size", (F.col("ahead") + F.col("inside")).alias("start"))
+        .withColumn("start", F.col("ahead") + F.col("start"))
+        .drop("ahead")
     )
 
 
@@ -189,22 +199,106 @@ def overlaps(docs: DataFrame, block: int) -> DataFrame:
     start, end = F.col("start"), F.col("start") + F.col("size")
     spread = docs.where("size > 0").withColumn("block", F.explode(F.sequence((start / block).cast("long"), ((end - 1) / block).cast("long"))))
     return spread.select(
-        "doc_id", "row", "src", "bucket", "size", "block", "start",
+        *docs.columns, "block",
         F.greatest(start - F.col("block") * block, F.lit(0)).alias("a"), F.least(end - F.col("block") * block, F.lit(block)).alias("b"),
     )
 
 
+def block_use(spark, sources: list[Source], block: int, shards: int, seed: int) -> DataFrame:
+    """Of each block how many slots take it whole, and the words of the one that is cut short."""
+    return slot_blocks(spark, sources, block, shards, seed).groupBy("src", "block").agg(
+        F.sum((F.col("words") == block).cast("long")).alias("times"), F.sum(F.when(F.col("words") < block, F.col("words")).otherwise(0)).alias("cut"),
+    )
+
+
 def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = 17) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row. The sizes are written once to the shared folder."""
     spark = df.sparkSession
     sized = common.written(_sized(df, id_col, text_col, source_col), common.shared_dir(spark))
     sources = plan_sources(sized, block, seed)
     facts = spark.createDataFrame([(s.key, s.size, float(s.target)) for s in sources], "src string, source_size long, target double")
-    use = slot_blocks(spark, sources, block, shards, seed).groupBy("src", "block").agg(
-        F.sum((F.col("words") == block).cast("long")).alias("times"), F.sum(F.when(F.col("words") < block, F.col("words")).otherwise(0)).alias("cut"),
-    )
     docs = placed(sized)
+    use = block_use(spark, sources, block, shards, seed)
     took = overlaps(docs, block).join(use, ["src", "block"]).groupBy("src", "bucket", "doc_id", "row").agg(
         F.sum(F.col("times") * (F.col("b") - F.col("a")) + F.greatest(F.lit(0), F.least(F.col("cut"), F.col("b")) - F.col("a"))).alias("taken")
     )
     return docs.join(took, ["src", "bucket", "doc_id", "row"], "left").join(F.broadcast(facts), "src").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def copies(text: str, uses: list[tuple[int, int, int]]) -> list[str]:
+    """The texts that a mix makes of a document: text k has the words in ranges (first, end, times) of times k or more.
+
+    A document that is taken whole keeps its text as it is."""
+    out = []
+    spans = None
+    for k in range(1, max((t for *_, t in uses), default=0) + 1):
+        runs: list[list[int]] = []
+        for a, b, times in sorted(uses):
+            if times < k or a == b:
+                continue
+            if runs and runs[-1][1] == a:
+                runs[-1][1] = b
+            else:
+                runs.append([a, b])
+        if spans is None:
+            spans = [m.span() for m in _WORD.finditer(text)]
+        if runs == [[0, len(spans)]]:
+            out.append(text)
+        elif runs:
+            out.append(" ".join(text[spans[a][0] : spans[b - 1][1]] for a, b in runs))
+    return out
+
+
+class _Copying:
+    """Rows of documents beside their uses become the rows of the mix."""
+
+    def __init__(self, names: list[str], text_col: str):
+        self.names, self.text_col = names, text_col
+
+    def __call__(self, batches):
+        for batch in batches:
+            for part in common.chunks(batch):
+                texts, uses = (part.column(part.schema.names.index(c)).to_pylist() for c in (self.text_col, "__uses"))
+                rows, made = [], []
+                for k, (t, u) in enumerate(zip(texts, uses, strict=True)):
+                    for text in copies(t or "", [(x["a"], x["b"], x["times"]) for x in u or []]):
+                        rows.append(k)
+                        made.append(text)
+                taken = part.select(self.names).take(pa.array(rows, pa.int64()))
+                for name, values in ((self.text_col, made), ("n_chars", list(map(len, made)))):
+                    if name in self.names:
+                        k = self.names.index(name)
+                        taken = taken.set_column(k, taken.schema.field(k), pa.array(values, taken.schema.field(k).type))
+                yield taken
+
+
+def mixed_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = 17) -> DataFrame:
+    """The mix as documents, with all columns of ``df``: a row for each time that a document, or a part of it, is taken.
+
+    ``n_chars``, where there is one, follows the text. Documents that the mix doesn't take are left out."""
+    spark = df.sparkSession
+    sized = df.select("*", *(c.alias(f"__{n}") for n, c in _facts(id_col, text_col, source_col).items()))
+    slim = sized.select(*(F.col(f"__{n}").alias(n) for n in ("doc_id", "src", "size", "h")))
+    slim = common.written(slim, common.shared_dir(spark))
+    sources = plan_sources(slim, block, seed)
+    use = block_use(spark, sources, block, shards, seed)
+    docs = placed(slim)
+    parts = overlaps(docs, block).join(use, ["src", "block"])
+    first, a, b = F.col("block") * block - F.col("start"), F.col("a"), F.col("b")
+    c = F.least(F.greatest(F.col("cut"), a), b)  # the words before c are taken once more
+    ranges = F.array(
+        F.struct((first + a).alias("a"), (first + c).alias("b"), (F.col("times") + 1).alias("times")),
+        F.struct((first + c).alias("a"), (first + b).alias("b"), F.col("times").alias("times")),
+    )
+    uses = parts.groupBy("src", "bucket", "row", "doc_id", "h").agg(F.flatten(F.collect_list(ranges)).alias("__uses"))
+    # rows of one id, source and text are alike: the n-th of them gets the n-th uses
+    alike = Window.partitionBy("doc_id", "h", "src").orderBy("row")
+    uses = uses.withColumn("nth", F.row_number().over(alike)).select(F.col("doc_id").alias("__doc_id"), F.col("h").alias("__h"), F.col("src").alias("__src"), F.col("nth").alias("__nth"), "__uses")
+    numbered = sized.withColumn("__nth", F.row_number().over(Window.partitionBy("__doc_id", "__h", "__src").orderBy(F.lit(0))))
+    keys = [F.col(f"l.__{k}").eqNullSafe(F.col(f"r.__{k}")) for k in ("doc_id", "h", "src", "nth")]
+    joined = numbered.alias("l").join(uses.alias("r"), keys)
+    rows = joined.select(*(F.col(f"l.`{n}`") for n in df.columns), "__uses")
+    return rows.mapInArrow(_Copying(df.columns, text_col), df.schema)

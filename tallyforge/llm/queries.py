@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import gif, langid, mixing, neardup, pieces, quality, records, secrets
 from .common import shared_dir, table
 
@@ -52,6 +54,7 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": corpus_pipeline.run,
     "op1_gif_media": op1_gif_media,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_quality_ranking": op3_quality_ranking,

@@ -72,3 +72,30 @@ def test_slots_are_blocks(spark):
     sources = [mixing._plan("sa", 0, 1000, 1300, 64, 1), mixing._plan("sb", 1, 10, 20, 64, 1)]
     rows = mixing.slot_blocks(spark, sources, 64, 4, 1).collect()
     assert len(rows) == sum(s.slots for s in sources) and len({(r.shard, r.slot) for r in rows}) == len(rows)
+
+
+def test_copies():
+    text = " a  b c\nd e "
+    assert mixing.copies(text, [(0, 5, 1)]) == [text]
+    assert mixing.copies(text, [(0, 3, 2), (3, 5, 2)]) == [text, text]
+    assert mixing.copies(text, [(0, 2, 2), (2, 2, 9), (2, 4, 1), (4, 5, 0)]) == ["a  b c\nd", "a  b"]
+    assert mixing.copies(text, [(0, 1, 1), (1, 4, 0), (4, 5, 1)]) == ["a e"]
+    assert mixing.copies("", []) == []
+
+
+def test_mixed_documents_hold_what_is_taken(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "1 AS size", "2 AS h")
+    extra = spark.createDataFrame([(10**6, None, "en", "src1", 0, 1, 2), (10**6 + 1, "", "en", None, 0, 1, 2)] + [(10**6 + 2, "same words " * 200, "en", "src2", 1, 1, 2)] * 3, df.schema)
+    df = df.union(extra)
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    for block in (16, 256):
+        rows = mixing.mixed_documents(df, block=block).collect()
+        assert mixing.mixed_documents(df, block=block).schema == df.schema
+        words, want = {}, {}
+        for r in rows:
+            words[r.doc_id] = words.get(r.doc_id, 0) + count(r.text)
+            assert r.n_chars == len(r.text)
+        for r in mixing.mix(df, block=block).collect():
+            want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
+        assert words == {i: n for i, n in want.items() if n}
+    assert mixing.mixed_documents(df.limit(0)).count() == 0
