@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import gif, langid, mixing, neardup, pieces, quality, records, secrets
+from . import gif, langid, mixing, neardup, pieces, quality, records, secrets, warc
 from .common import shared_dir, table
 
 
@@ -44,6 +44,13 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, where, records.write_records(table(spark, sf_dir, "documents"), where))
 
 
+def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = shared_dir(spark)
+    runs = warc.write_archives(table(spark, sf_dir, "pages"), where)
+    captures = warc.read_captures(spark, where, warc.merge_runs(spark, where, runs))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_pieces, ids_crc32, the decoded text's SHA-256, and whether it is the text's own."""
     docs = table(spark, sf_dir, "documents")
@@ -62,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_secret_scan": op6_secret_scan,
     "op7_token_records": op7_token_records,
+    "op9_warc_index": op9_warc_index,
     "op10_piece_sampling": op10_piece_sampling,
 }
 ORACLE_SQL: dict[str, str] = {}
