@@ -134,7 +134,7 @@ def _write(batches: Iterator[pa.RecordBatch], where: str, level: int) -> Iterato
         for part in common.chunks(batch):
             for page, url, html, keeper in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if out is None:
-                    out = fs.open_output_stream(f"{base}/{name}.warc.gz", buffer_size=1 << 20)
+                    out = fs.open_output_stream(f"{base}/{name}.warc.gz", compression=None, buffer_size=1 << 20)
                     info = _member(b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 0\r\n\r\n\r\n\r\n", level)
                     out.write(info)
                     at = len(info)

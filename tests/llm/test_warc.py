@@ -58,7 +58,7 @@ def test_rows(spark):
         entries = [warc._entry(line) for r in index for line in fs.open_input_stream(f"{base}/{r['run']}").read().splitlines()]
         assert entries == sorted(entries) and len(entries) == len(rows)
         name = entries[0][3]
-        assert gzip.decompress(fs.open_input_stream(f"{base}/{name}.warc.gz").read()).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+        assert gzip.decompress(fs.open_input_file(f"{base}/{name}.warc.gz").read()).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
     where = common.shared_dir(spark)
     assert warc.read_captures(spark, where, warc.merge_runs(spark, where, warc.write_archives(df.limit(0), where))).count() == 0
 
