@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import gif, langid, mixing, neardup, pieces, quality, records, secrets, warc
+from . import gif, langid, mixing, neardup, nearest, pieces, quality, records, secrets, warc
 from .common import shared_dir, table
 
 
@@ -44,6 +44,10 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, where, records.write_records(table(spark, sf_dir, "documents"), where))
 
 
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = shared_dir(spark)
     runs = warc.write_archives(table(spark, sf_dir, "pages"), where)
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_secret_scan": op6_secret_scan,
     "op7_token_records": op7_token_records,
+    "op8_nearest_vectors": op8_nearest_vectors,
     "op9_warc_index": op9_warc_index,
     "op10_piece_sampling": op10_piece_sampling,
 }
