@@ -127,7 +127,7 @@ def exact(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scan(key, queries: pd.DataFrame, rows: pd.DataFrame, model: Model) -> pd.DataFrame:
+def _scan(queries: pd.DataFrame, rows: pd.DataFrame, model: Model) -> pd.DataFrame:
     """The best rows of a block for each query of a block: ids and exact scores."""
     out: list[tuple[int, int, float]] = []
     if len(queries) and len(rows):
@@ -200,7 +200,11 @@ def search(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embeddin
     left = wanted.withColumn("qb", F.pmod(F.hash("h"), F.lit(query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("qid", "vec", "qb", "block")
     right = indexed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     pairs = left.groupBy("qb", "block").cogroup(right.groupBy("qb", "block"))
-    found = pairs.applyInPandas(lambda key, q, x, model=model: _scan(key, q, x, model), "qid long, vec_id long, score double")
+
+    def scan(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        return _scan(queries, block, model)
+
+    found = pairs.applyInPandas(scan, "qid long, vec_id long, score double")
     nearest = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= TOP + 1).drop("n")
     answers = wanted.join(found, "qid").drop("qid")

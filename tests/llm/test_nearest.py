@@ -56,7 +56,7 @@ def test_codes_shrink_parallel_error():
 def test_rows(spark):
     rng = np.random.default_rng(7)
     rows = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(300)]
-    rows += [(i, [1.0, 2, 3, 4, 5, 6]) for i in range(400, 500)]  # ties
+    rows += [(i, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) for i in range(400, 500)]  # ties
     bad = [(1000, None), (1020, []), (1040, [0.0] * 6), (1060, [None] + [1.0] * 5), (1080, [float("nan")] * 6), (1100, [float("inf")] + [0.0] * 5), (None, [1.0] * 6)]
     df = spark.createDataFrame(rows + bad + rows[:3], "vec_id long, embedding array<float>").selectExpr("*", "1 AS rank", "'x' AS score")
     assert compared(nearest.search(df).collect(), brute(rows)) == 1.0
