@@ -1,10 +1,8 @@
-"""All registered queries of the core engine."""
+"""All registered queries of the core engine, area by area."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import q_analytics, q_entities, q_models, q_review, q_rules, q_sources  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
