@@ -1 +1,58 @@
-"""To come."""
+"""Features, forest and evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import r4 as cut
+from ..operators import anomaly, evaluate, features, forest
+from .q_rules import LADDER, OUTLIERS, r4
+from .registry import query
+from .views import records
+
+_LN = "ln(greatest({0}, 1e-6::DOUBLE))"
+
+
+def _own(c: str) -> str:
+    return f"CASE WHEN channel = '{c}' THEN price ELSE {c} END"
+
+
+_FEATURES = f"""{LADDER},
+  q3 AS (SELECT commodity, channel, count(*) AS peers, quantile_cont(price, 0.5) AS median, quantile_cont(price, 0.75) - quantile_cont(price, 0.25) AS iqr FROM rec WHERE price > 0 GROUP BY ALL HAVING count(*) >= 3),
+  ps AS (SELECT q3.*, mad FROM q3 JOIN (SELECT commodity, channel, quantile_cont(abs(price - median), 0.5) AS mad FROM rec JOIN q3 USING (commodity, channel) WHERE price > 0 GROUP BY ALL) USING (commodity, channel)),
+  b0 AS (SELECT rec.*, peers, median, iqr, mad, coalesce(price / median, 1.0) AS r FROM rec LEFT JOIN ps USING (commodity, channel) WHERE price > 0),
+  typ AS (SELECT coalesce(quantile_cont({_LN.format('retail / farmgate')}, 0.5), ln(1.3::DOUBLE)) AS trf, coalesce(quantile_cont({_LN.format('wholesale / farmgate')}, 0.5), ln(1.1::DOUBLE)) AS twf, coalesce(quantile_cont({_LN.format('retail / wholesale')}, 0.5), ln(1.1::DOUBLE)) AS trw FROM lad),
+  b1 AS (SELECT b0.*, mr, pr, farmgate, wholesale, retail, trf, twf, trw FROM b0 LEFT JOIN (SELECT market, quantile_cont(r, 0.5) AS mr FROM b0 GROUP BY market) USING (market) LEFT JOIN (SELECT province, quantile_cont(r, 0.5) AS pr FROM b0 GROUP BY province) USING (province) LEFT JOIN lad USING (date, market, commodity), typ),
+  ft AS (SELECT id, {_LN.format('r')} AS ratio, coalesce(greatest(-8.0, least(8.0, 0.6745 * (price - median) / (CASE WHEN mad > 0 THEN mad WHEN iqr > 0 THEN 0.6745 * iqr / 1.349 ELSE 0.6745 * greatest(0.05 * median, 1.0) END))), 0.0) AS z,
+    {_LN.format('r / mr')} AS market_residual, {_LN.format('r / pr')} AS province_residual, CASE channel WHEN 'farmgate' THEN 0.0 WHEN 'wholesale' THEN 1.0 ELSE 2.0 END::DOUBLE AS channel_code,
+    coalesce(CASE WHEN channel IN ('retail', 'farmgate') THEN ln(greatest(({_own('retail')}) / ({_own('farmgate')}), CASE WHEN ({_own('retail')}) / ({_own('farmgate')}) IS NOT NULL THEN 1e-6::DOUBLE END)) END, trf) AS retail_farm,
+    coalesce(CASE WHEN channel IN ('wholesale', 'farmgate') THEN ln(({_own('wholesale')}) / ({_own('farmgate')})) END, twf) AS wholesale_farm, coalesce(CASE WHEN channel IN ('retail', 'wholesale') THEN ln(({_own('retail')}) / ({_own('wholesale')})) END, trw) AS retail_wholesale FROM b1)"""
+
+
+@query("m04_price_features", f"{{rec}}, {_FEATURES} SELECT id, " + ", ".join(f"{r4(c)} AS {c}" for c in features.NAMES) + " FROM ft")
+def m04(spark, sf):
+    return features.price_features(records(spark, sf)).select("id", *(cut(F.col(c)).alias(c) for c in features.NAMES))
+
+
+@query("m06_forest_scores")
+def m06(spark, sf):
+    f = features.price_features(records(spark, sf))
+    return forest.score(f, forest.train(f)).select("id", cut(F.col("score")).alias("score"))
+
+
+@query("m08_forest_issues")
+def m08(spark, sf):
+    rec = records(spark, sf)
+    f = features.price_features(rec)
+    model = forest.train(f)
+    return forest.findings(forest.score(f, model), model, anomaly.price_outliers(rec))
+
+
+_INJECTED = """inj0 AS (SELECT rec.*, f.farmgate, CASE WHEN k % 97 = 0 THEN (k // 97) % 4 END AS turn FROM rec LEFT JOIN (SELECT date, market, commodity, max_by(price, row(seq, id)) FILTER (WHERE channel = 'farmgate') AS farmgate FROM rec WHERE price > 0 GROUP BY ALL) f USING (date, market, commodity)),
+  inj AS (SELECT * EXCLUDE (price, turn, farmgate), CASE WHEN turn = 0 THEN 'times_ten' WHEN turn = 1 THEN 'tenth' WHEN turn = 2 THEN 'plus_60' WHEN turn = 3 AND channel = 'retail' AND farmgate IS NOT NULL THEN 'inverted' END AS kind,
+    CASE WHEN turn = 0 THEN price * 10 WHEN turn = 1 THEN price / 10 WHEN turn = 2 THEN price * 1.6::DOUBLE WHEN turn = 3 AND channel = 'retail' AND farmgate IS NOT NULL THEN farmgate * 0.7::DOUBLE ELSE price END AS price FROM inj0)"""
+
+
+@query("m10_injection_recall", f"{{rec}}, {_INJECTED}, {OUTLIERS.replace('FROM rec', 'FROM inj')}, {LADDER.replace('FROM rec', 'FROM inj')}, sc AS (SELECT kind, CASE WHEN id IN (SELECT id FROM outliers) THEN 1.0 ELSE 0.0 END::DOUBLE AS s, CASE WHEN id IN (SELECT record_id FROM viol) THEN 1.0 ELSE 0.0 END::DOUBLE AS l FROM inj) SELECT kind, count(*) AS n, {r4('avg(s)')} AS statistics, {r4('avg(l)')} AS ladder, {r4('avg(greatest(s, l))')} AS either FROM sc GROUP BY kind")
+def m10(spark, sf):
+    return evaluate.recall(records(spark, sf))

@@ -1 +1,92 @@
-"""To come."""
+"""Sources, sinks, column mapping and the streaming extension."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import anomaly
+from ..sources import mapping, readers
+from ..sources.files import scratch
+from ..streaming import dedup
+from .q_rules import LADDER, r4
+from .registry import query
+from .views import raw_records, records, table
+
+_CENTS = "CAST(floor(s_acctbal * 100 + 0.5) AS BIGINT)"
+
+
+@query("s02_csv_roundtrip", f"SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, concat(s_name, ', \"', n_name, '\"') AS label, CAST({_CENTS} AS VARCHAR) AS cents FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def s02(spark, sf):
+    s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
+    rows = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).select("s_suppkey", F.concat("s_name", F.lit(', "'), "n_name", F.lit('"')).alias("label"), F.floor(F.col("s_acctbal") * 100 + 0.5).cast("long").alias("cents"))
+    where = scratch(spark)
+    rows.write.csv(where, header=True, escape='"')
+    return readers.read_delimited(spark, where)
+
+
+@query("s05_json_roundtrip", "SELECT CAST(event_id AS VARCHAR) AS event_id, event_type AS \"user.type\", CAST(user_id AS VARCHAR) AS \"user.id\" FROM events")
+def s05(spark, sf):
+    where = scratch(spark)
+    table(spark, sf, "events").select("event_id", F.struct(F.col("event_type").alias("type"), F.col("user_id").alias("id")).alias("user")).write.json(where)
+    return readers.read_json(spark, where)
+
+
+@query("s06_json_explode", "SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL")
+def s06(spark, sf):
+    e = table(spark, sf, "events").withColumn("props", F.from_json("props", "k long"))
+    return readers.flattened(e.select("event_type", "props")).groupBy("event_type", F.col("`props.k`").cast("long").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("s09_xml_rows", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
+def s09(spark, sf):
+    where = scratch(spark)
+    table(spark, sf, "nation").write.format("xml").option("rootTag", "nations").option("rowTag", "nation").save(where)
+    return readers.read_xml(spark, where, "nation")
+
+
+@query("s03_sniff_delimiter")
+def s03(spark, sf):
+    cases = [("comma", ["a,b,c", "1,2,3"]), ("semicolon", ["a;b", "1,5;2"]), ("tab", ["a\tb", "1\t2"]), ("pipe", ["a|b|c", "1|2|3"]), ("none", ["abc"])]
+    return spark.createDataFrame([(n, readers.sniff_delimiter(lines)) for n, lines in cases], "name string, delimiter string")
+
+
+@query("p01_detect_columns")
+def p01(spark, sf):
+    found = mapping.detect_columns(["Itariki", "Province", "District", "Market_Name", "Product", "Price_Type", "Unit", "Price_RWF"])
+    return spark.createDataFrame(list(found.items()), "field string, header string")
+
+
+@query("p02_suggest_mapping")
+def p02(spark, sf):
+    raw = raw_records(spark, sf)
+    upload = raw.select(*(F.col(c).alias(n) for c, n in (("raw_date", "Day"), ("raw_market", "Market name"), ("raw_commodity", "Products"), ("raw_channel", "Price type"), ("raw_unit", "Unit"), ("raw_price", "Price"))))
+    return spark.createDataFrame(list(mapping.suggest_mapping(upload).items()), "field string, header string")
+
+
+@query("p04_apply_mapping", "{raw} SELECT raw_market AS market, raw_commodity AS commodity, raw_price AS price, 'retail' AS price_type FROM raw")
+def p04(spark, sf):
+    return mapping.apply_mapping(raw_records(spark, sf), {"market": "raw_market", "commodity": "raw_commodity", "price": "raw_price"}, mapping.channel_from_name("prices_Retail_2026.csv"))
+
+
+@query("p06_unpivot_channels", f"{{rec}}, {LADDER} SELECT date, market, commodity, price_type, {r4('price')} AS price FROM (SELECT date, market, commodity, 'farmgate' AS price_type, farmgate AS price FROM lad UNION ALL SELECT date, market, commodity, 'wholesale', wholesale FROM lad UNION ALL SELECT date, market, commodity, 'retail', retail FROM lad) WHERE price IS NOT NULL")
+def p06(spark, sf):
+    wide = anomaly.ladder(records(spark, sf)).select("date", "market", "commodity", F.col("farmgate").alias("Farm gate"), F.col("wholesale").alias("Wholesale"), F.col("retail").alias("Retail"))
+    long = mapping.unpivot_channels(wide, {"farmgate": "Farm gate", "wholesale": "Wholesale", "retail": "Retail"})
+    return long.withColumn("price", F.floor(F.col("price") * 1e4 + 0.5) / 1e4)
+
+
+@query("u01_merge_tables", "SELECT n_name AS name, '' AS extra, 'nation' AS source_file FROM nation UNION ALL SELECT r_name, r_name, 'region' FROM region")
+def u01(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_name").alias("name"))
+    r = table(spark, sf, "region").select(F.col("r_name").alias("name"), F.col("r_name").alias("extra"))
+    return readers.merged({"nation": n, "region": r})
+
+
+@query("e01_stream_exact_dedup", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def e01(spark, sf):
+    """Events sent twice, through a stream that lets each id through once."""
+    e = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    where = scratch(spark)
+    e.union(e).write.parquet(where)
+    stream = spark.readStream.schema(e.schema).parquet(where)
+    return dedup.run_available(dedup.deduplicated(stream, "3650 days"), spark).groupBy("event_type").agg(F.count("*").alias("n"))
