@@ -77,4 +77,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc_index": op9_warc_index,
     "op10_piece_sampling": op10_piece_sampling,
 }
-ORACLE_SQL: dict[str, str] = {}
+_B32 = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, {at}, 5) AS BIGINT) >> {shift}) & 31 AS INTEGER) + 1, 1)"
+_BASE32 = " || ".join(_B32.format(at=5 * j + 1, shift=s) for j in range(8) for s in (15, 10, 5, 0))
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_near_duplicates": """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS l FROM documents),
+  s AS (SELECT DISTINCT doc_id, CASE WHEN len(l) < 2 THEN l ELSE list_slice(l, CAST(i AS BIGINT), CAST(i AS BIGINT) + 1) END AS g FROM w, range(1, (SELECT max(len(l)) + 1 FROM w)) t(i) WHERE i <= greatest(len(l) - 1, least(len(l), 1))),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+  e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 80 * (a.n + b.n - shared)),
+  r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+  c AS (SELECT x AS doc_id, min(y) AS least FROM r GROUP BY x)
+  SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) AS component_id, d.doc_id <= coalesce(c.least, d.doc_id) AS kept FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op9_warc_index": f"""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, upper(sha1(coalesce(html, ''))) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keep FROM pages)
+  SELECT page_id, n AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to FROM p""",
+}
