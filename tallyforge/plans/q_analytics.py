@@ -52,7 +52,7 @@ def a05(spark, sf):
     return profile.columns(raw_records(spark, sf), RAW)
 
 
-@query("a06_dataset_profile", "{rec} SELECT count(*) AS rows, count(DISTINCT commodity) AS commodities, count(DISTINCT market) AS markets, count(DISTINCT province) AS provinces, count(DISTINCT district) AS districts, min(date) AS first_date, max(date) AS last_date, count(DISTINCT date) AS days, count(*) - count(DISTINCT concat_ws('|', CAST(date AS VARCHAR), market, commodity, channel)) AS duplicate_rows, count_if(channel = 'farmgate') AS farmgate, count_if(channel = 'wholesale') AS wholesale, count_if(channel = 'retail') AS retail FROM rec")
+@query("a06_dataset_profile", "{rec} SELECT count(*) AS rows, count(DISTINCT commodity) AS commodities, count(DISTINCT market) AS markets, count(DISTINCT province) AS provinces, count(DISTINCT district) AS districts, min(date) AS first_date, max(date) AS last_date, count(DISTINCT date) AS days, count(*) - count(DISTINCT concat_ws('|', CAST(date AS VARCHAR), market, commodity, channel)) AS duplicate_rows, count(*) FILTER (WHERE channel = 'farmgate') AS farmgate, count(*) FILTER (WHERE channel = 'wholesale') AS wholesale, count(*) FILTER (WHERE channel = 'retail') AS retail FROM rec")
 def a06(spark, sf):
     return profile.dataset(records(spark, sf))
 
@@ -94,7 +94,7 @@ def a08(spark, sf):
     return profile.quality(raw_records(spark, sf), row_issues(spark, sf), RAW)
 
 
-_COUNTS = "count(*) AS total, count_if(status = 'open') AS open, count_if(status <> 'open') AS resolved, " + ", ".join(f"count_if(status = 'open' AND severity = '{s}') AS {s}" for s in ("critical", "high", "medium", "low")) + ", " + ", ".join(f"count_if(status = 'open' AND category = '{c}') AS {c}" for c in ("duplicate", "anomaly", "conflict"))
+_COUNTS = "count(*) AS total, count(*) FILTER (WHERE status = 'open') AS open, count(*) FILTER (WHERE status <> 'open') AS resolved, " + ", ".join(f"count(*) FILTER (WHERE status = 'open' AND severity = '{s}') AS {s}" for s in ("critical", "high", "medium", "low")) + ", " + ", ".join(f"count(*) FILTER (WHERE status = 'open' AND category = '{c}') AS {c}" for c in ("duplicate", "anomaly", "conflict"))
 
 
 @query("a09_issue_counts", f"{{rec}}, {ISSUES} SELECT {_COUNTS} FROM iss")
@@ -117,7 +117,7 @@ def j15(spark, sf):
     return trusted(spark, sf).select("id", "commodity", "market", "channel")
 
 
-@query("a20_dashboard_split", f"{{std}}, bl AS (SELECT DISTINCT record_id FROM ({_ROW_ISSUES}) WHERE severity IN ('critical', 'high')) SELECT count_if(price > 0 AND record_id IS NULL) AS clean, count_if(price IS NOT NULL AND NOT (price > 0 AND record_id IS NULL)) AS held, count_if(price IS NULL) AS no_price FROM std LEFT JOIN bl ON id = record_id")
+@query("a20_dashboard_split", f"{{std}}, bl AS (SELECT DISTINCT record_id FROM ({_ROW_ISSUES}) WHERE severity IN ('critical', 'high')) SELECT count(*) FILTER (WHERE price > 0 AND record_id IS NULL) AS clean, count(*) FILTER (WHERE price IS NOT NULL AND NOT (price > 0 AND record_id IS NULL)) AS held, count(*) FILTER (WHERE price IS NULL) AS no_price FROM std LEFT JOIN bl ON id = record_id")
 def a20(spark, sf):
     s = std(spark, sf)
     blocked = row_issues(spark, sf).where("severity IN ('critical', 'high')").select(F.col("record_id").alias("id"), F.lit(True).alias("blocked")).distinct()

@@ -165,7 +165,7 @@ def j06(spark, sf):
     return res(spark, sf).where("status = 'archived'").groupBy(F.col("match").alias("commodity")).agg(F.count("*").alias("n"))
 
 
-@query("j07_best_match", f"{{std}}, {SCORES} SELECT name, owner, score, rank FROM cand WHERE rank <= 3")
+@query("j07_best_match", f"{{std}}, {SCORES} SELECT name, owner, score, CAST(rank AS INTEGER) AS rank FROM cand WHERE rank <= 3")
 def j07(spark, sf):
     names = std(spark, sf).select(F.col("commodity_form").alias("name"))
     return match.candidates(match.fuzzy_scores(names, match.forms(commodities(spark, sf)))).select("name", "owner", "score", "rank")
