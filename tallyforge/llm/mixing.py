@@ -205,10 +205,14 @@ def overlaps(docs: DataFrame, block: int) -> DataFrame:
 
 
 def block_use(spark, sources: list[Source], block: int, shards: int, seed: int) -> DataFrame:
-    """Of each block how many slots take it whole, and the words of the one that is cut short."""
-    return slot_blocks(spark, sources, block, shards, seed).groupBy("src", "block").agg(
+    """Of each block how many slots take it whole, and the words of the one that is cut short.
+
+    It grows with the corpus, but the planner sees only the short plan that it is spread from: the hint keeps it from
+    being broadcast."""
+    used = slot_blocks(spark, sources, block, shards, seed).groupBy("src", "block").agg(
         F.sum((F.col("words") == block).cast("long")).alias("times"), F.sum(F.when(F.col("words") < block, F.col("words")).otherwise(0)).alias("cut"),
     )
+    return used.hint("merge")
 
 
 def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = 17) -> DataFrame:
