@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,6 +45,19 @@ class Forest:
         return 2.0 ** (-depth / len(self.trees) / max(path_norm(self.sample), 1e-9))
 
 
+def to_json(forest: Forest) -> str:
+    """The model as text, with the features it was fitted to."""
+    return json.dumps({"features": NAMES, "sample": forest.sample, "threshold": forest.threshold, "trees": [[a.tolist() for a in t] for t in forest.trees]})
+
+
+def from_json(text: str) -> Forest | None:
+    """A stored model, or None if it was fitted to other features."""
+    d = json.loads(text)
+    if tuple(d["features"]) != NAMES:
+        return None
+    return Forest([tuple(np.array(a) for a in t) for t in d["trees"]], d["sample"], d["threshold"])
+
+
 def fit(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> Forest:
     rng = np.random.default_rng(seed)
     psi = min(sample, len(x))

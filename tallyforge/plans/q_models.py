@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import r4 as cut
-from ..operators import anomaly, evaluate, features, forest
+from ..operators import anomaly, evaluate, features, forest, match
+from . import analyze
+from .q_entities import SCORES
 from .q_rules import LADDER, OUTLIERS, r4
 from .registry import query
-from .views import records
+from .views import commodities, markets, raw_records, records
 
 _LN = "ln(greatest({0}, 1e-6::DOUBLE))"
 
@@ -56,3 +58,33 @@ _INJECTED = """inj0 AS (SELECT rec.*, f.farmgate, CASE WHEN k % 97 = 0 THEN (k /
 @query("m10_injection_recall", f"{{rec}}, {_INJECTED}, {OUTLIERS.replace('FROM rec', 'FROM inj')}, {LADDER.replace('FROM rec', 'FROM inj')}, sc AS (SELECT kind, CASE WHEN id IN (SELECT id FROM outliers) THEN 1.0 ELSE 0.0 END::DOUBLE AS s, CASE WHEN id IN (SELECT record_id FROM viol) THEN 1.0 ELSE 0.0 END::DOUBLE AS l FROM inj) SELECT kind, count(*) AS n, {r4('avg(s)')} AS statistics, {r4('avg(l)')} AS ladder, {r4('avg(greatest(s, l))')} AS either FROM sc GROUP BY kind")
 def m10(spark, sf):
     return evaluate.recall(records(spark, sf))
+
+
+@query("k05_model_roundtrip")
+def k05(spark, sf):
+    """Scores by a model that was stored and loaded."""
+    f = features.price_features(records(spark, sf))
+    return forest.score(f, forest.from_json(forest.to_json(forest.train(f)))).select("id", cut(F.col("score")).alias("score"))
+
+
+@query("m09_whole_analysis")
+def m09(spark, sf):
+    """Findings by type, from raw cells through all layers."""
+    a = analyze.analyze(raw_records(spark, sf), commodities(spark, sf), markets(spark, sf))
+    return a.issues.groupBy("type", "severity").agg(F.count("*").alias("n"))
+
+
+_MISSPELT = "miss AS (SELECT commodity AS want, concat(substr(commodity, 1, 2), substr(commodity, 4)) AS name, 'drop' AS kind FROM cat UNION ALL SELECT commodity, concat(substr(commodity, 1, 1), substr(commodity, 3, 1), substr(commodity, 2, 1), substr(commodity, 4)), 'swap' FROM cat UNION ALL SELECT commodity, concat(commodity, ' x'), 'tail' FROM cat)"
+
+
+@query("m11_match_accuracy", f"{{std}}, {SCORES.replace('SELECT DISTINCT commodity_form AS name FROM std', 'SELECT DISTINCT name FROM miss').replace('forms AS', _MISSPELT + ', forms AS', 1)} SELECT kind, count(*) AS n, {r4('avg(CASE WHEN c.owner = want THEN 1.0 ELSE 0.0 END::DOUBLE)')} AS top1 FROM miss LEFT JOIN (SELECT * FROM cand WHERE rank = 1) c USING (name) GROUP BY kind")
+def m11(spark, sf):
+    """Share of misspelt catalog names whose best owner is the right one, by kind of mistake."""
+    c = F.col("commodity")
+    part = lambda a, b=None: F.substring(c, a, b or 1_000_000)
+    kinds = {"drop": F.concat(part(1, 2), part(4)), "swap": F.concat(part(1, 1), part(3, 1), part(2, 1), part(4)), "tail": F.concat(c, F.lit(" x"))}
+    catalog = commodities(spark, sf)
+    miss = catalog.select(c.alias("want"), F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), e.alias("name")) for k, e in kinds.items()))))
+    best = match.candidates(match.fuzzy_scores(miss.select("name"), match.forms(catalog)), 1).select("name", "owner")
+    right = F.when(F.col("owner") == F.col("want"), 1.0).otherwise(0.0)
+    return miss.join(best, "name", "left").groupBy("kind").agg(F.count("*").alias("n"), cut(F.avg(right)).alias("top1"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
@@ -15,3 +15,10 @@ def scratch(spark: SparkSession) -> str:
         base = f"file://{tempfile.mkdtemp(prefix='tallyforge-')}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/core-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A table written to the shared folder and read back."""
+    where = scratch(df.sparkSession)
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
