@@ -18,6 +18,7 @@ import hashlib
 import lzma
 import re
 import zlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -38,6 +39,9 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|%u([0-9A-Fa-f]{4})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Consecutive lines of nothing but base64; text may stand before the first and behind the last.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_BREAK = re.compile(r"[ \t\r\n]+")
 _STANDARD = str.maketrans("-_", "+/")
 
 
@@ -144,9 +148,12 @@ def _readable(raw: bytes) -> str | None:
     return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
 
 
-def _from_base64(layer: Layer, state: dict) -> list[Layer]:
-    out = []
-    for m in _BASE64.finditer(layer.text):
+def _base64_runs(text: str) -> Iterator[tuple[int, int, str, Sequence[int]]]:
+    """Start, end, characters without padding and their places, of each run that may be base64.
+
+    Lines that follow each other are one run besides their own ones, from each of its first four characters on:
+    a word or a dashed line before the data then shifts no byte of them."""
+    for m in _BASE64.finditer(text):
         runs = [(m.start(), m[0])]
         if "/" in m[0]:  # a path may hold a run of its own
             at = m.start()
@@ -155,27 +162,46 @@ def _from_base64(layer: Layer, state: dict) -> list[Layer]:
                     runs.append((at, piece))
                 at += len(piece) + 1
         for a, run in runs:
-            body = run.rstrip("=").translate(_STANDARD)
-            if len(body) % 4 == 1:
-                continue
-            try:
-                raw = base64.b64decode(body + "=" * (-len(body) % 4))
-            except binascii.Error:
-                continue
-            b, packed, seen = a + len(run), False, set()
-            while (more := _inflated(raw)) is not None and (key := hashlib.sha256(raw).digest()) not in seen:
-                seen.add(key)
-                raw, cut = more
-                packed = True
-                state["oversize"] += cut
-            if packed:
-                text = raw.decode(errors="replace")
-                if text:
-                    s, e = layer.place(a, b)
-                    out.append(Layer(text, _Same(s, len(text)), _Same(e, len(text))))
-            elif (text := _readable(raw)) is not None:
-                last = a + len(body)
-                out.append(Layer(text, *_spread(layer, text, lambda i, j, a=a, last=last: (a + i * 4 // 3, min(last, a - (-j * 4 // 3))))))
+            body = run.rstrip("=")
+            if len(body) % 4 != 1:
+                yield a, a + len(run), body, range(a, a + len(body))
+    if "\n" not in text and "\r" not in text:
+        return
+    for m in _WRAPPED.finditer(text):
+        lines, places, at = [], [], m.start()
+        for gap in [*_BREAK.finditer(text, m.start(), m.end()), None]:
+            end = gap.start() if gap else m.end()
+            line = text[at:end].rstrip("=")
+            lines.append(line)
+            places += range(at, at + len(line))
+            at = gap.end() if gap else end
+        body = "".join(lines)
+        if len(body) >= 16:
+            for k in range(4):
+                n = len(body) - ((len(body) - k) % 4 == 1)
+                yield places[k], m.end(), body[k:n], places[k:n]
+
+
+def _from_base64(layer: Layer, state: dict) -> list[Layer]:
+    out = []
+    for a, b, body, at in _base64_runs(layer.text):
+        try:
+            raw = base64.b64decode(body.translate(_STANDARD) + "=" * (-len(body) % 4))
+        except binascii.Error:
+            continue
+        packed, seen = False, set()
+        while (more := _inflated(raw)) is not None and (key := hashlib.sha256(raw).digest()) not in seen:
+            seen.add(key)
+            raw, cut = more
+            packed = True
+            state["oversize"] += cut
+        if packed:
+            text = raw.decode(errors="replace")
+            if text:
+                s, e = layer.place(a, b)
+                out.append(Layer(text, _Same(s, len(text)), _Same(e, len(text))))
+        elif (text := _readable(raw)) is not None:
+            out.append(Layer(text, *_spread(layer, text, lambda i, j, at=at: (at[i * 4 // 3], at[min(len(at), -(-j * 4 // 3)) - 1] + 1))))
     return out
 
 

@@ -89,3 +89,33 @@ def test_op6_query(spark, sf):
         assert r.base_sha256 == hashlib.sha256(secrets.joined(base).encode()).hexdigest()
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == n for _, k, _ in base) for n in range(3)]
         assert set(filter(None, secrets.joined(base).split(","))) <= set(r.spans.split(","))
+
+
+def wrapped(raw, columns, newline="\n"):
+    line = base64.b64encode(raw).decode()
+    return newline.join(line[k : k + columns] for k in range(0, len(line), columns))
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n", "\n  "])
+@pytest.mark.parametrize("columns", [20, 64, 76])
+@pytest.mark.parametrize("before", ["see: "])
+def test_wrapped_base64(columns, newline, before):
+    # the secret straddles lines of 64 and of 76 columns; the first line ends within a character of two bytes
+    plain = "n" * 47 + "é token=" + "Zx9Qw" * 12 + " end"
+    text = before + wrapped(plain.encode(), columns, newline) + " after"
+    a, b = next((a, b) for a, k, b in secrets.scan(text)["spans"] if k == 0 and b - a > 80)
+    kept = [i for i in range(len(before), len(text) - 6) if not text[i].isspace()]
+    at = len(plain[:49].encode())
+    assert a in (kept[at * 4 // 3], kept[at * 4 // 3] + 1) and b <= kept[-(-(at + 66) * 4 // 3) - 1] + 1
+    assert not any(b - a > 80 for a, _, b in secrets.scan(secrets.redacted(text))["spans"])
+
+
+@pytest.mark.parametrize("pack", [zlib.compress, gzip.compress, bz2.compress])
+def test_wrapped_compressed(pack):
+    noise = " ".join(hashlib.sha256(bytes([k])).hexdigest()[:20] for k in range(60))
+    text = "see: " + wrapped(pack((noise + " " + SECRET).encode()), 76)
+    assert any(k == 0 for _, k, _ in secrets.scan(text)["spans"])
+
+
+def test_wrapped_is_linear():
+    assert secrets.scan("x" * 300000 + "\n" + "ab\n" * 50000)["spans"] == []
