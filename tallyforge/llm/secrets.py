@@ -60,8 +60,8 @@ def base_hits(text: str) -> list[tuple[int, int, int]]:
 @dataclass
 class Layer:
     text: str
-    starts: list[int] | range
-    ends: list[int] | range
+    starts: list[int] | range | _Same | _OfBytes
+    ends: list[int] | range | _Same | _OfBytes
     """For each character of the text, the code points of the original that it stands for."""
 
     def place(self, a: int, b: int) -> tuple[int, int]:
@@ -140,14 +140,6 @@ def _inflated(raw: bytes) -> tuple[bytes, bool] | None:
     return out, len(out) == MAX_LAYER
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
-
-
 def _base64_runs(text: str) -> Iterator[tuple[int, int, str, Sequence[int]]]:
     """Start, end, characters without padding and their places, of each run that may be base64.
 
@@ -195,13 +187,12 @@ def _from_base64(layer: Layer, state: dict) -> list[Layer]:
             raw, cut = more
             packed = True
             state["oversize"] += cut
+        text = raw.decode("latin-1")  # a character for each byte: hits and further layers begin in ASCII alone
         if packed:
-            text = raw.decode(errors="replace")
-            if text:
-                s, e = layer.place(a, b)
-                out.append(Layer(text, _Same(s, len(text)), _Same(e, len(text))))
-        elif (text := _readable(raw)) is not None:
-            out.append(Layer(text, *_spread(layer, text, lambda i, j, at=at: (at[i * 4 // 3], at[min(len(at), -(-j * 4 // 3)) - 1] + 1))))
+            s, e = layer.place(a, b)
+            out.append(Layer(text, _Same(s, len(text)), _Same(e, len(text))))
+        else:
+            out.append(Layer(text, _OfBytes(layer.starts, at, len(text), 0), _OfBytes(layer.ends, at, len(text), 1)))
     return out
 
 
@@ -215,6 +206,19 @@ class _Same:
         return [self.value] * len(range(*k.indices(self.count))) if isinstance(k, slice) else self.value
 
 
+class _OfBytes:
+    """Places of bytes decoded from base64 characters at the given places of a layer; side 0 for starts, 1 for ends."""
+
+    def __init__(self, outer, at: Sequence[int], count: int, side: int):
+        self.outer, self.at, self.count, self.side = outer, at, count, side
+
+    def _place(self, k: int) -> int:
+        return self.outer[self.at[min(len(self.at), -(-(k + 1) * 4 // 3)) - 1 if self.side else k * 4 // 3]]
+
+    def __getitem__(self, k):
+        return [self._place(j) for j in range(*k.indices(self.count))] if isinstance(k, slice) else self._place(k)
+
+
 def scan(text: str | None) -> dict:
     """``base`` hits of the text, ``spans`` of all layers (both sorted), number of ``layers`` and of cut ones."""
     text = text or ""

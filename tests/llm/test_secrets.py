@@ -98,7 +98,7 @@ def wrapped(raw, columns, newline="\n"):
 
 @pytest.mark.parametrize("newline", ["\n", "\r\n", "\n  "])
 @pytest.mark.parametrize("columns", [20, 64, 76])
-@pytest.mark.parametrize("before", ["see: "])
+@pytest.mark.parametrize("before", ["see: ", "word\n", "-----BEGIN IT-----\n"])
 def test_wrapped_base64(columns, newline, before):
     # the secret straddles lines of 64 and of 76 columns; the first line ends within a character of two bytes
     plain = "n" * 47 + "é token=" + "Zx9Qw" * 12 + " end"
@@ -119,3 +119,18 @@ def test_wrapped_compressed(pack):
 
 def test_wrapped_is_linear():
     assert secrets.scan("x" * 300000 + "\n" + "ab\n" * 50000)["spans"] == []
+
+
+@pytest.mark.parametrize("odd", ["\u00a0", "\u3000", "\u200b", "\u200d", "\u00ad", "\f", "\0", "\x1b"])
+def test_odd_characters_hide_nothing(odd):
+    plain = "ab" + odd + "AKIA" + "Q" * 17 + odd
+    text = "q " + base64.b64encode(plain.encode()).decode() + " e"
+    at = len(("ab" + odd).encode())
+    assert secrets.scan(text)["spans"] == [(2 + at * 4 // 3, 1, 2 - (-(at + 21) * 4 // 3))]
+    nested = base64.b64encode((odd + ENCODERS["base64"](SECRET) + odd).encode()).decode()
+    assert any(k == 0 for _, k, _ in secrets.scan(nested)["spans"])
+
+
+def test_binary_hides_nothing():
+    text = base64.b64encode(b"\x89\xff\xfe" + SECRET.encode() + b"\xc3\x28\x00").decode()
+    assert any(k == 0 for _, k, _ in secrets.scan(text)["spans"])
