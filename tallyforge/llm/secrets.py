@@ -1,6 +1,7 @@
 """Secret scans over a worklist of decoded layers.
 
-A text is scanned as it is; then URL escapes, Unicode escapes, base64 runs and compressed data in it are unwrapped
+A text is scanned as it is; then URL escapes, Unicode escapes, base64 runs and compressed data (all members of
+gzip, zlib, bz2 and xz, at any place and however their bytes are spelled) in it are unwrapped
 into further layers, each scanned and unwrapped in turn until nothing new appears. Layers seen before (by content
 and place) are not entered again, so data that decode to themselves end. Every hit is mapped to code points of the
 original text: exactly through escapes and base64, to the whole encoded run through compression.
@@ -43,6 +44,10 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 _BREAK = re.compile(r"[ \t\r\n]+")
 _STANDARD = str.maketrans("-_", "+/")
+#: Second bytes of a zlib header by its first one: a multiple of 31 together, and no preset dictionary.
+_ZLIB = {c: [f for f in range(256) if (c << 8 | f) % 31 == 0 and not f & 32] for c in range(8, 0x79, 16)}
+_PACKED = re.compile("|".join(("\x1f\x8b\x08", "BZh[1-9](?:1AY&SY|\x17rE8P\x90)", "\xfd7zXZ\0", *(f"{re.escape(chr(c))}[{''.join(f'\\x{f:02x}' for f in fs)}]" for c, fs in _ZLIB.items()))))
+PIECE, BLOCK = 1 << 16, 1 << 20
 
 
 def base_hits(text: str) -> list[tuple[int, int, int]]:
@@ -63,6 +68,8 @@ class Layer:
     starts: list[int] | range | _Same | _OfBytes
     ends: list[int] | range | _Same | _OfBytes
     """For each character of the text, the code points of the original that it stands for."""
+    end: int | None = None
+    """The end of the run that was decoded, padding included."""
 
     def place(self, a: int, b: int) -> tuple[int, int]:
         return self.starts[a], self.ends[b - 1]
@@ -79,30 +86,13 @@ def _spliced(layer: Layer, parts: list[tuple[int, int, str, list[int], list[int]
     return Layer("".join([*texts, layer.text[at:]]), [*starts, *layer.starts[at:]], [*ends, *layer.ends[at:]])
 
 
-def _spread(layer: Layer, text: str, place) -> tuple[list[int], list[int]]:
-    """Places of characters decoded from bytes; place(i, j) gives the source characters of bytes i to j."""
-    starts, ends, at = [], [], 0
-    for c in text:
-        n = len(c.encode())
-        a, b = place(at, at + n)
-        starts.append(layer.starts[a])
-        ends.append(layer.ends[b - 1])
-        at += n
-    return starts, ends
-
-
 def _from_url(layer: Layer) -> Layer | None:
     if "%" not in layer.text:
         return None
     parts = []
     for m in _URL.finditer(layer.text):
-        raw, a = bytes.fromhex(m[0].replace("%", "")), m.start()
-        try:
-            text = raw.decode()
-            parts.append((a, m.end(), text, *_spread(layer, text, lambda i, j, a=a: (a + 3 * i, a + 3 * j))))
-        except UnicodeDecodeError:
-            text = raw.decode("latin-1")
-            parts.append((a, m.end(), text, [layer.starts[a + 3 * i] for i in range(len(raw))], [layer.ends[a + 3 * i + 2] for i in range(len(raw))]))
+        text, a = bytes.fromhex(m[0].replace("%", "")).decode("latin-1"), m.start()
+        parts.append((a, m.end(), text, [layer.starts[a + 3 * i] for i in range(len(text))], [layer.ends[a + 3 * i + 2] for i in range(len(text))]))
     return _spliced(layer, parts) if parts else None
 
 
@@ -121,23 +111,89 @@ def _from_unicode(layer: Layer) -> Layer | None:
     return _spliced(layer, parts) if parts else None
 
 
-def _inflated(raw: bytes) -> tuple[bytes, bool] | None:
-    """Decompressed data and whether they were cut, or None if the data are not compressed."""
-    if raw[:2] == b"\x1f\x8b":
-        opened = zlib.decompressobj(31)
-    elif len(raw) > 2 and raw[0] & 15 == 8 and raw[0] >> 4 <= 7 and (raw[0] << 8 | raw[1]) % 31 == 0:
-        opened = zlib.decompressobj()
-    elif raw[:3] == b"BZh":
-        opened = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\0":
-        opened = lzma.LZMADecompressor()
-    else:
-        return None
-    try:
-        out = opened.decompress(raw, MAX_LAYER)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        return None
-    return out, len(out) == MAX_LAYER
+def _pieces(text: str, at: int) -> Iterator[bytes]:
+    """The text's characters from a place on as bytes, up to the first that isn't one."""
+    for k in range(at, len(text), PIECE):
+        part = text[k : k + PIECE]
+        try:
+            yield part.encode("latin-1")
+        except UnicodeEncodeError as wide:
+            if wide.start:
+                yield part[: wide.start].encode("latin-1")
+            return
+
+
+def _opened(head: bytes):
+    if head[:3] == b"\x1f\x8b\x08":
+        return zlib.decompressobj(31)
+    if len(head) > 2 and head[1] in _ZLIB.get(head[0], ()):
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\0":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def _inflated(pieces: Iterator[bytes], told: dict) -> Iterator[bytes]:
+    """Blocks of all members that follow each other; of damaged or cut ones what comes out of them.
+
+    ``told`` gets the bytes ``used`` and whether they ended as a ``whole``."""
+    told.update(used=0, whole=False)
+    rest, read = b"", 0
+    while True:
+        while len(rest) < 16 and (more := next(pieces, b"")):
+            read += len(more)
+            rest = (rest + more).lstrip(b"\0")  # padding between members
+        if (opened := _opened(rest)) is None:
+            return
+        piece, made = rest, False
+        try:
+            while not opened.eof:
+                out = opened.decompress(piece, BLOCK)
+                if out:
+                    made = True
+                    yield out
+                if opened.eof:
+                    break
+                tail = getattr(opened, "unconsumed_tail", b"")
+                if tail:
+                    piece = tail
+                elif getattr(opened, "needs_input", len(out) < BLOCK) or not (out or piece):
+                    piece = next(pieces, b"")
+                    read += len(piece)
+                    if not (out or piece):
+                        raise EOFError
+                else:
+                    piece = b""
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+            if made:
+                told.update(used=read, whole=False)
+            return
+        rest = opened.unused_data
+        told.update(used=read - len(rest), whole=True)
+        rest = rest.lstrip(b"\0")
+
+
+def _from_packed(layer: Layer, state: dict) -> list[Layer]:
+    out, at = [], 0
+    while m := _PACKED.search(layer.text, at):
+        told: dict = {}
+        parts, size = [], 0
+        for block in _inflated(_pieces(layer.text, m.start()), told):
+            parts.append(block)
+            size += len(block)
+            if size >= MAX_LAYER:
+                state["oversize"] += 1
+                break
+        at = m.start() + (told["used"] if told["whole"] else 1)
+        if parts:
+            last = at if told["whole"] else m.start() + told["used"] or len(layer.text)
+            s, e = layer.place(m.start(), last)
+            if layer.end is not None and last == len(layer.text):
+                e = layer.end
+            out.append(Layer(b"".join(parts).decode("latin-1"), _Same(s, sum(map(len, parts))), _Same(e, sum(map(len, parts)))))
+    return out
 
 
 def _base64_runs(text: str) -> Iterator[tuple[int, int, str, Sequence[int]]]:
@@ -176,23 +232,13 @@ def _base64_runs(text: str) -> Iterator[tuple[int, int, str, Sequence[int]]]:
 
 def _from_base64(layer: Layer, state: dict) -> list[Layer]:
     out = []
-    for a, b, body, at in _base64_runs(layer.text):
+    for _, b, body, at in _base64_runs(layer.text):
         try:
             raw = base64.b64decode(body.translate(_STANDARD) + "=" * (-len(body) % 4))
         except binascii.Error:
             continue
-        packed, seen = False, set()
-        while (more := _inflated(raw)) is not None and (key := hashlib.sha256(raw).digest()) not in seen:
-            seen.add(key)
-            raw, cut = more
-            packed = True
-            state["oversize"] += cut
         text = raw.decode("latin-1")  # a character for each byte: hits and further layers begin in ASCII alone
-        if packed:
-            s, e = layer.place(a, b)
-            out.append(Layer(text, _Same(s, len(text)), _Same(e, len(text))))
-        else:
-            out.append(Layer(text, _OfBytes(layer.starts, at, len(text), 0), _OfBytes(layer.ends, at, len(text), 1)))
+        out.append(Layer(text, _OfBytes(layer.starts, at, len(text), 0), _OfBytes(layer.ends, at, len(text), 1), layer.ends[b - 1]))
     return out
 
 
@@ -228,8 +274,8 @@ def scan(text: str | None) -> dict:
     todo = [Layer(text, range(len(text)), range(1, len(text) + 1))]
     while todo:
         layer = todo.pop()
-        for step in (_from_url, _from_unicode, _from_base64):
-            found = _from_base64(layer, state) if step is _from_base64 else [x for x in (step(layer),) if x]
+        for step in (_from_url, _from_unicode, _from_base64, _from_packed):
+            found = step(layer, state) if step in (_from_base64, _from_packed) else [x for x in (step(layer),) if x]
             for new in found:
                 n = len(new.text)
                 if not n:

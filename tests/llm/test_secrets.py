@@ -2,6 +2,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import urllib.parse
 import zlib
@@ -134,3 +135,35 @@ def test_odd_characters_hide_nothing(odd):
 def test_binary_hides_nothing():
     text = base64.b64encode(b"\x89\xff\xfe" + SECRET.encode() + b"\xc3\x28\x00").decode()
     assert any(k == 0 for _, k, _ in secrets.scan(text)["spans"])
+
+
+PACKERS = [zlib.compress, gzip.compress, bz2.compress, lzma.compress]
+
+
+@pytest.mark.parametrize("pack", PACKERS)
+@pytest.mark.parametrize("spell", [
+    lambda raw: "".join(f"%{b:02x}" for b in raw), lambda raw: "".join(f"\\x{b:02x}" for b in raw),
+    lambda raw: urllib.parse.quote(raw), lambda raw: "".join(f"\\u{b:04x}" for b in raw), lambda raw: base64.b64encode(b"head " + raw).decode(),
+])
+def test_compressed_by_any_decoder(spell, pack):
+    text = "é— " + spell(pack(SECRET.encode())) + " —é"
+    found = [(a, b) for a, k, b in secrets.scan(text)["spans"] if k == 0]
+    assert found and all(3 <= a < b <= len(text) - 3 for a, b in found)
+    twice = "é— " + spell(pack(pack(SECRET.encode()))) + " —é"
+    assert secrets.scan(twice)["spans"]
+
+
+@pytest.mark.parametrize("pack", PACKERS)
+@pytest.mark.parametrize("gap", [b"", b"\0" * 8])
+def test_later_members(pack, gap):
+    half = len(SECRET) // 2
+    parts = [b"nothing here ", SECRET[:half].encode(), SECRET[half:].encode(), b" end"]
+    text = base64.b64encode(gap.join(map(pack, parts))).decode()
+    assert (0, 0, len(text)) in secrets.scan(text)["spans"]
+
+
+def test_damaged_member_keeps_its_start():
+    noise = b"".join(hashlib.sha256(str(k).encode()).digest() for k in range(4000))
+    raw = gzip.compress(SECRET.encode() + b" " + noise)
+    text = base64.b64encode(raw[:-8] + b"damaged!").decode()
+    assert any(k == 0 for _, k, _ in secrets.scan(text)["spans"])
