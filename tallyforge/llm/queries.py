@@ -36,7 +36,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("layers", "oversize")
+    return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("layers")
 
 
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:

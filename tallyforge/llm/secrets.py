@@ -6,8 +6,10 @@ into further layers, each scanned and unwrapped in turn until nothing new appear
 and place) are not entered again, so data that decode to themselves end. Every hit is mapped to code points of the
 original text: exactly through escapes and base64, to the whole encoded run through compression.
 
-Null and empty texts have no hits. Repeated rows give repeated results. Compressed data that grow beyond
-``MAX_LAYER`` bytes are cut there for memory's sake, and counted in ``oversize`` of the scan.
+Null and empty texts have no hits. Repeated rows give repeated results. Compressed data that grow beyond ``WINDOW``
+bytes are scanned to their end in parts, cut only where no hit, escape, base64 run or further compressed data can
+cross. Where such a thing is itself longer than ``MAX_LAYER``, parts overlap instead; that is counted in ``oversize`` of
+the scan, and the whole encoded run is masked.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from . import common
 
 #: The kinds, in the order of ties.
 KINDS = ("assign", "access", "hex")
-MAX_LAYER = 64 << 20
+WINDOW, MAX_LAYER, OVERLAP = 8 << 20, 64 << 20, 1 << 16
 MASK = "[REDACTED]"
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -47,6 +49,8 @@ _STANDARD = str.maketrans("-_", "+/")
 #: Second bytes of a zlib header by its first one: a multiple of 31 together, and no preset dictionary.
 _ZLIB = {c: [f for f in range(256) if (c << 8 | f) % 31 == 0 and not f & 32] for c in range(8, 0x79, 16)}
 _PACKED = re.compile("|".join(("\x1f\x8b\x08", "BZh[1-9](?:1AY&SY|\x17rE8P\x90)", "\xfd7zXZ\0", *(f"{re.escape(chr(c))}[{''.join(f'\\x{f:02x}' for f in fs)}]" for c, fs in _ZLIB.items()))))
+#: After a match nothing goes on: a character that is in no hit, escape or base64 run, a word between spaces, an empty line.
+_APART = re.compile(r"""[^A-Za-z0-9+/_.=\-"' :%\\{}&#;\t\r\n]|(?<=\x20)[A-Za-z]++\x20(?=[A-Za-z])|\n(?=\n)""")
 PIECE, BLOCK = 1 << 16, 1 << 20
 
 
@@ -78,6 +82,12 @@ class Layer:
 def _spliced(layer: Layer, parts: list[tuple[int, int, str, list[int], list[int]]]) -> Layer:
     """The layer with [a, b) replaced by a text whose characters have the given places."""
     texts, starts, ends, at = [], [], [], 0
+    if isinstance(layer.starts, _Same):
+        for a, b, text, _, _ in parts:
+            texts += (layer.text[at:a], text)
+            at = b
+        whole = "".join([*texts, layer.text[at:]])
+        return Layer(whole, _Same(layer.starts[0], len(whole)), _Same(layer.ends[0], len(whole)))
     for a, b, text, s, e in parts:
         texts += (layer.text[at:a], text)
         starts += [*layer.starts[at:a], *s]
@@ -138,8 +148,8 @@ def _opened(head: bytes):
 def _inflated(pieces: Iterator[bytes], told: dict) -> Iterator[bytes]:
     """Blocks of all members that follow each other; of damaged or cut ones what comes out of them.
 
-    ``told`` gets the bytes ``used`` and whether they ended as a ``whole``."""
-    told.update(used=0, whole=False)
+    ``told`` gets the bytes ``used``, whether they ended as a ``whole``, and whether more input was ``wanted``."""
+    told.update(used=0, whole=False, wanted=False)
     rest, read = b"", 0
     while True:
         while len(rest) < 16 and (more := next(pieces, b"")):
@@ -166,7 +176,8 @@ def _inflated(pieces: Iterator[bytes], told: dict) -> Iterator[bytes]:
                         raise EOFError
                 else:
                     piece = b""
-        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+        except (zlib.error, OSError, lzma.LZMAError, EOFError) as stop:
+            told["wanted"] = type(stop) is EOFError
             if made:
                 told.update(used=read, whole=False)
             return
@@ -175,25 +186,67 @@ def _inflated(pieces: Iterator[bytes], told: dict) -> Iterator[bytes]:
         rest = rest.lstrip(b"\0")
 
 
-def _from_packed(layer: Layer, state: dict) -> list[Layer]:
-    out, at = [], 0
+def _cut_place(text: str) -> int:
+    """The last place that nothing crosses, 0 if there is none."""
+    end, at = len(text), 0
+    while m := _PACKED.search(text, at):
+        told: dict = {}
+        for _ in _inflated(_pieces(text, m.start()), told):
+            pass
+        if told["wanted"] or told["whole"] and m.start() + told["used"] + 16 > len(text):  # it, or a next member, may go on
+            end = m.start()
+            break
+        at = m.start() + (told["used"] if told["whole"] else 1)
+    for lo in range((max(0, end - 1)) // PIECE * PIECE, -1, -PIECE):
+        last = None
+        for last in _APART.finditer(text, lo, min(end, lo + PIECE)):
+            pass
+        if last:
+            return last.end()
+    return 0
+
+
+def _windows(blocks: Iterator[bytes]) -> Iterator[tuple[str, bool]]:
+    """Parts of a stream, and whether one had to be cut through something."""
+    buffer, full = bytearray(), WINDOW
+    for block in blocks:
+        buffer += block
+        if len(buffer) < full:
+            continue
+        text = buffer.decode("latin-1")
+        if at := _cut_place(text):
+            yield text[:at], False
+            del buffer[:at]
+            full = max(WINDOW, 2 * len(buffer))
+        elif len(buffer) >= MAX_LAYER:
+            yield text, True
+            del buffer[:-OVERLAP]
+            full = WINDOW
+        else:
+            full = min(MAX_LAYER, 2 * full)
+    if buffer:
+        yield buffer.decode("latin-1"), False
+
+
+def _from_packed(layer: Layer, state: dict) -> Iterator[Layer]:
+    at = 0
     while m := _PACKED.search(layer.text, at):
         told: dict = {}
-        parts, size = [], 0
-        for block in _inflated(_pieces(layer.text, m.start()), told):
-            parts.append(block)
-            size += len(block)
-            if size >= MAX_LAYER:
-                state["oversize"] += 1
-                break
+        size = sum(map(len, _inflated(_pieces(layer.text, m.start()), told)))
         at = m.start() + (told["used"] if told["whole"] else 1)
-        if parts:
-            last = at if told["whole"] else m.start() + told["used"] or len(layer.text)
-            s, e = layer.place(m.start(), last)
-            if layer.end is not None and last == len(layer.text):
-                e = layer.end
-            out.append(Layer(b"".join(parts).decode("latin-1"), _Same(s, sum(map(len, parts))), _Same(e, sum(map(len, parts)))))
-    return out
+        if not size:
+            continue
+        last = m.start() + told["used"]
+        s, e = layer.place(m.start(), last)
+        if layer.end is not None and last == len(layer.text):
+            e = layer.end
+        whole = True
+        for text, cut in _windows(_inflated(_pieces(layer.text, m.start()), {})):
+            whole &= not cut
+            yield Layer(text, _Same(s, len(text)), _Same(e, len(text)))
+        if not whole:
+            state["oversize"] += 1
+            state["cut"].add((s, e))
 
 
 def _base64_runs(text: str) -> Iterator[tuple[int, int, str, Sequence[int]]]:
@@ -230,16 +283,14 @@ def _base64_runs(text: str) -> Iterator[tuple[int, int, str, Sequence[int]]]:
                 yield places[k], m.end(), body[k:n], places[k:n]
 
 
-def _from_base64(layer: Layer, state: dict) -> list[Layer]:
-    out = []
+def _from_base64(layer: Layer) -> Iterator[Layer]:
     for _, b, body, at in _base64_runs(layer.text):
         try:
             raw = base64.b64decode(body.translate(_STANDARD) + "=" * (-len(body) % 4))
         except binascii.Error:
             continue
         text = raw.decode("latin-1")  # a character for each byte: hits and further layers begin in ASCII alone
-        out.append(Layer(text, _OfBytes(layer.starts, at, len(text), 0), _OfBytes(layer.ends, at, len(text), 1), layer.ends[b - 1]))
-    return out
+        yield Layer(text, _OfBytes(layer.starts, at, len(text), 0), _OfBytes(layer.ends, at, len(text), 1), layer.ends[b - 1])
 
 
 class _Same:
@@ -265,32 +316,41 @@ class _OfBytes:
         return [self._place(j) for j in range(*k.indices(self.count))] if isinstance(k, slice) else self._place(k)
 
 
+def _unwrapped(layer: Layer, state: dict) -> Iterator[Layer]:
+    for step in (_from_url, _from_unicode):
+        if new := step(layer):
+            yield new
+    yield from _from_base64(layer)
+    yield from _from_packed(layer, state)
+
+
 def scan(text: str | None) -> dict:
-    """``base`` hits of the text, ``spans`` of all layers (both sorted), number of ``layers`` and of cut ones."""
+    """``base`` hits of the text, ``spans`` of all layers (both sorted), number of ``layers`` and of ``oversize`` ones, and
+    the places of these (``cut``)."""
     text = text or ""
     base = base_hits(text)
-    spans, state, layers = set(base), {"oversize": 0}, 1
+    spans, state, layers = set(base), {"oversize": 0, "cut": set()}, 1
     seen: set[bytes] = set()
-    todo = [Layer(text, range(len(text)), range(1, len(text) + 1))]
-    while todo:
-        layer = todo.pop()
-        for step in (_from_url, _from_unicode, _from_base64, _from_packed):
-            found = step(layer, state) if step in (_from_base64, _from_packed) else [x for x in (step(layer),) if x]
-            for new in found:
-                n = len(new.text)
-                if not n:
-                    continue
-                if isinstance(new.starts, list) and len(new.starts) != n:
-                    raise AssertionError("places of a layer")
-                key = hashlib.sha256(f"{new.starts[0]}:{new.ends[n - 1]}:".encode() + new.text.encode(errors="surrogatepass")).digest()
-                if key in seen:
-                    continue
-                seen.add(key)
-                layers += 1
-                for a, kind, b in base_hits(new.text):
-                    s, e = new.place(a, b)
-                    spans.add((s, kind, e))
-                todo.append(new)
+    todo = [_unwrapped(Layer(text, range(len(text)), range(1, len(text) + 1)), state)]
+    while todo:  # a layer is done with before its next sibling is made
+        new = next(todo[-1], None)
+        if new is None:
+            todo.pop()
+            continue
+        n = len(new.text)
+        if not n:
+            continue
+        if isinstance(new.starts, list) and len(new.starts) != n:
+            raise AssertionError("places of a layer")
+        key = hashlib.sha256(f"{new.starts[0]}:{new.ends[n - 1]}:".encode() + new.text.encode(errors="surrogatepass")).digest()
+        if key in seen:
+            continue
+        seen.add(key)
+        layers += 1
+        for a, kind, b in base_hits(new.text):
+            s, e = new.place(a, b)
+            spans.add((s, kind, e))
+        todo.append(_unwrapped(new, state))
     return {"base": base, "spans": sorted(spans), "layers": layers, **state}
 
 
@@ -312,16 +372,17 @@ def _scanning():
 
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts of base hits, their digest, all spans, layers entered and layers cut, for each row."""
+    """Counts of base hits, their digest, all spans, layers entered and oversize ones, for each row."""
     return common.map_rows(df.select(F.col(id_col).cast("long").alias("doc_id"), text_col), _scanning, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, layers int, oversize int")
 
 
 def redacted(text: str | None) -> str | None:
-    """The text with every span of every layer masked; overlapping spans become one mask."""
+    """The text with every span of every layer, and runs of oversize ones, masked; overlapping spans become one mask."""
     if not text:
         return text
     whole: list[list[int]] = []
-    for a, _, b in scan(text)["spans"]:
+    found = scan(text)
+    for a, b in sorted({*((a, b) for a, _, b in found["spans"]), *found["cut"]}):
         if whole and a < whole[-1][1]:
             whole[-1][1] = max(b, whole[-1][1])
         else:

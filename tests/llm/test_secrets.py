@@ -167,3 +167,43 @@ def test_damaged_member_keeps_its_start():
     raw = gzip.compress(SECRET.encode() + b" " + noise)
     text = base64.b64encode(raw[:-8] + b"damaged!").decode()
     assert any(k == 0 for _, k, _ in secrets.scan(text)["spans"])
+
+
+def test_beyond_the_largest_layer(spark):
+    packer = zlib.compressobj()
+    raw = b"".join([*(packer.compress(b"ab, " * (1 << 18)) for _ in range(70)), packer.compress(SECRET.encode()), packer.flush()])
+    text = "x " + base64.b64encode(raw).decode() + " y"
+    r = secrets.scan(text)
+    assert r["oversize"] == 0 and r["spans"] == [(2, 0, len(text) - 2)]
+    assert secrets.redacted(text) == "x [REDACTED] y"
+
+
+@pytest.fixture
+def small(monkeypatch):
+    for name, value in {"WINDOW": 4096, "MAX_LAYER": 16384, "OVERLAP": 512, "BLOCK": 1000, "PIECE": 700}.items():
+        monkeypatch.setattr(secrets, name, value)
+
+
+@pytest.mark.parametrize("filler", [b"some words in a row ", b"a,", b"\0", b"line.\n\n"])
+@pytest.mark.parametrize("inner", [*ENCODERS, "raw gzip", "wrapped"])
+@pytest.mark.parametrize("before", [0, 4080, 4090, 30000])
+def test_windows(small, filler, inner, before):
+    noise = "-".join(hashlib.sha256(bytes([k])).hexdigest()[:20] for k in range(200))
+    plain = noise + " " + SECRET
+    hidden = gzip.compress(plain.encode(), mtime=0) if inner == "raw gzip" else wrapped(plain.encode(), 64).encode() if inner == "wrapped" else ENCODERS[inner](SECRET).encode()
+    filled = (filler * before)[:before] + b", "
+    whole = filled + hidden + b" ," + filler * 2000
+    parts = list(secrets._windows(whole[k : k + 1000] for k in range(0, len(whole), 1000)))
+    assert not any(cut for _, cut in parts) and "".join(p for p, _ in parts).encode("latin-1") == whole
+    text = base64.urlsafe_b64encode(bz2.compress(whole)).decode()
+    assert (0, 0, len(text)) in secrets.scan(text)["spans"]
+
+
+def test_what_nothing_divides(small, spark):
+    text = "x " + base64.urlsafe_b64encode(bz2.compress(b"Zz" * 40000)).decode() + " y"
+    r = secrets.scan(text)
+    assert r["oversize"] == 1 and secrets.redacted(text) == "x [REDACTED] y"
+
+
+def test_oversize_is_kept(spark, sf):
+    assert "oversize" in queries.QUERIES["op6_secret_scan"](spark, sf).columns
