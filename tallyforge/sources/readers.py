@@ -10,7 +10,7 @@ import re
 from collections import Counter
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,56 +75,112 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None)
     return rows.where(~above & (F.concat_ws("", *clean) != "")).select(*(c.alias(n) for c, n in zip(clean, names, strict=True)))
 
 
-def flattened(df: DataFrame) -> DataFrame:
-    """Nested structs as dotted columns; lists of scalars joined by '; ', lists of structs as 'n items'; all as strings."""
-
-    def leaves(kind: T.DataType, path: list[str]):
-        if isinstance(kind, T.StructType):
-            for f in kind.fields:
-                yield from leaves(f.dataType, [*path, f.name])
-        else:
-            yield path, kind
-
+def _cells(kind: T.StructType, value: Column | None = None, path: tuple[str, ...] = ()) -> list[tuple[str, Column]]:
+    """Dotted names and strings of a record's leaves; without a value it is the row itself."""
     out = []
-    for path, kind in leaves(df.schema, []):
-        c = F.col(".".join(f"`{p}`" for p in path))
-        if isinstance(kind, T.ArrayType):
-            inner = isinstance(kind.elementType, (T.StructType, T.ArrayType, T.MapType))
+    for f in kind.fields:
+        c, k, here = _field(value, f.name), f.dataType, (*path, f.name)
+        if isinstance(k, T.StructType):
+            out += _cells(k, c, here)
+            continue
+        if isinstance(k, T.ArrayType):
+            inner = isinstance(k.elementType, (T.StructType, T.ArrayType, T.MapType))
             c = F.concat(F.size(c).cast("string"), F.lit(" items")) if inner else F.array_join(c.cast("array<string>"), "; ")
-        elif isinstance(kind, T.MapType):
+        elif isinstance(k, T.MapType):
             c = F.to_json(c)
-        out.append(F.coalesce(c.cast("string"), F.lit("")).alias(".".join(path)))
-    return df.select(*out)
+        out.append((".".join(here), F.coalesce(c.cast("string"), F.lit(""))))
+    return out
 
 
-def _record_lists(kind: T.DataType, path: tuple[str, ...], depth: int = 0):
-    """Paths of lists of structs below a schema."""
-    if depth > DEPTH:
-        return
-    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-        yield path, len(kind.elementType.fields)
-    elif isinstance(kind, T.StructType):
-        for f in kind.fields:
-            yield from _record_lists(f.dataType, (*path, f.name), depth + 1)
+def _field(value: Column | None, name: str) -> Column:
+    return F.col(f"`{name}`") if value is None else value.getField(name)
 
 
-def json_rows(df: DataFrame) -> DataFrame:
-    """Rows of a JSON document: the list of records with most fields is spread out, scalars beside it are carried down."""
-    found = sorted(_record_lists(df.schema, ()), key=lambda x: (-x[1], x[0]))
-    if not found:
+def flattened(df: DataFrame) -> DataFrame:
+    """Nested structs as dotted columns; lists of scalars joined by '; ', lists of structs as 'n items'; all as strings."""
+    return df.select(*(c.alias(name) for name, c in _cells(df.schema)))
+
+
+def _is_list(kind: T.DataType) -> bool:
+    return isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType)
+
+
+def _record_lists(kind: T.StructType, value: Column | None = None, path: tuple[str, ...] = ()):
+    """Paths and columns of lists of structs below a schema."""
+    for f in kind.fields:
+        c, here = _field(value, f.name), (*path, f.name)
+        if _is_list(f.dataType):
+            yield here, c
+        elif isinstance(f.dataType, T.StructType) and len(here) <= DEPTH:
+            yield from _record_lists(f.dataType, c, here)
+
+
+def _branches(kind: T.StructType, value: Column | None, context: dict[str, Column], counts: dict[tuple[str, ...], int], path: tuple[str, ...] = ()):
+    """Where a document's rows are: (path, columns carried down, kind of record, list of records or None, single record)."""
+    if len(path) > DEPTH:
+        return []
+    lists, objects, scalars = [], [], []
+    for f in kind.fields:
+        (lists if _is_list(f.dataType) else objects if isinstance(f.dataType, T.StructType) else scalars).append(f)
+    carried = context | {name: c for name, c in _cells(T.StructType(scalars), value)}
+    if lists:
+        f = min(lists, key=lambda f: (-counts[*path, f.name], f.name))
+        return [((*path, f.name), carried, f.dataType.elementType, _field(value, f.name), None)]
+    below = []
+    for f in objects:
+        group = {"group": F.lit(f.name)} if len(objects) > 1 else {}
+        below += _branches(f.dataType, _field(value, f.name), carried | group, counts, (*path, f.name))
+    return below or [(path, context, kind, None, value)]
+
+
+def json_rows(df: DataFrame, document: bool = False) -> DataFrame:
+    """Rows of a JSON document: the list with most records is spread out, scalars beside it are carried down, and two or
+    more sibling objects are spread out with their key in ``group``.
+
+    Without any list, rows are records themselves unless each is a whole ``document``."""
+    lists = dict(_record_lists(df.schema))
+    if not lists and not document:
         return flattened(df)
-    path = found[0][0]
-    beside = [f.name for f in df.schema.fields if f.name != path[0] and not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]
-    item = F.explode_outer(F.col(".".join(f"`{p}`" for p in path))).alias("__item")
-    rows = df.select(*beside, item)
-    return flattened(rows.select(*beside, *(F.col(f"__item.`{f.name}`").alias(f.name if f.name not in beside else f"{path[-1]}.{f.name}") for f in rows.schema["__item"].dataType.fields)))
+    counts = dict.fromkeys(lists, 0)
+    if len(lists) > 1:
+        sizes = df.agg(*(F.sum(F.when(c.isNotNull(), F.size(c))).alias(f"n{k}") for k, c in enumerate(lists.values()))).first()
+        counts = {path: n or 0 for path, n in zip(lists, sizes, strict=True)}
+    branches = _branches(df.schema, None, {}, counts)
+    if len(branches) == 1:
+        path, carried, _, items, one = branches[0]
+        if items is None:
+            return df.select(*(c.alias(n) for n, c in (carried | dict(_cells(branches[0][2], one))).items()))
+        rows = df.select(*(c.alias(n) for n, c in carried.items()), F.explode_outer(items).alias("__item"))
+        fields = rows.schema["__item"].dataType.fields
+        return flattened(rows.select(*(F.col(f"`{n}`") for n in carried), *(F.col(f"__item.`{f.name}`").alias(f.name if f.name not in carried else f"{path[-1]}.{f.name}") for f in fields)))
+
+    def told(branch, item: Column) -> dict[str, Column]:
+        path, carried, kind, _, _ = branch
+        return carried | {n if n not in carried else f"{path[-1]}.{n}": c for n, c in _cells(kind, item)}
+
+    names = list(dict.fromkeys(n for b in branches for n in told(b, F.lit(None))))
+
+    def record(branch, item: Column) -> Column:
+        cells = told(branch, item)
+        return F.struct(*(cells.get(n, F.lit("")).alias(n) for n in names))
+
+    def each(branch):
+        return lambda item: record(branch, item)
+
+    empty = F.array().cast(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in names])))
+    parts = []
+    for b in branches:
+        _, _, _, items, one = b
+        made = F.array(record(b, one)) if items is None else F.transform(items, each(b))
+        parts.append(F.when((one if items is None else items).isNotNull(), made).otherwise(empty))
+    return df.select(F.inline(F.concat(*parts)))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """A JSON list, an object with records in it, or a line for each record; ``data`` around the records is opened."""
     head = "".join(r.value for r in spark.read.text(path).limit(HEAD_LINES).collect()).lstrip("﻿ \t\r\n")
     lines = bool(re.match(r"\{.*\}\s*$", head.split("\n")[0] if "\n" in head else head)) and spark.read.text(path).limit(2).count() > 1
-    return json_rows(spark.read.json(path, multiLine=not lines))
+    return json_rows(spark.read.json(path, multiLine=not lines), document=not lines and head.startswith("{"))
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> DataFrame:

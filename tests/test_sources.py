@@ -36,6 +36,20 @@ def test_json_and_xml(spark, tmp_path):
     assert sorted(r.a for r in readers.read_table(spark, str(tmp_path / "c.xml")).collect()) == ["x", "y"]
 
 
+@pytest.mark.parametrize("text, want", [
+    ('{"meta": [{"a": 1, "b": 2, "c": 3, "d": 4, "e": 5}], "prices": [{"n": 1, "p": 10}, {"n": 2, "p": 20}]}', [{"n": "1", "p": "10"}, {"n": "2", "p": "20"}]),
+    ('{"y": 7, "Beans": {"mk": [{"p": 1}, {"p": 2}]}, "Maize": {"unit": "kg", "mk": [{"p": 3}]}}',
+     [{"y": "7", "group": "Beans", "unit": "", "p": "1"}, {"y": "7", "group": "Beans", "unit": "", "p": "2"}, {"y": "7", "group": "Maize", "unit": "kg", "p": "3"}]),
+    ('{"Beans": {"p": 1}, "Maize": {"p": 2, "q": "x"}}', [{"group": "Beans", "p": "1", "q": ""}, {"group": "Maize", "p": "2", "q": "x"}]),
+    ('{"all": {"s": "t", "list": [{"p": 1}, {"p": 2}]}}', [{"s": "t", "p": "1"}, {"s": "t", "p": "2"}]),
+    ('[{"a": {"p": 1}, "b": {"p": 2}}]', [{"a.p": "1", "b.p": "2"}]),
+])
+def test_json_finds_all_rows(spark, tmp_path, text, want):
+    (tmp_path / "a.json").write_text(text)
+    rows = [r.asDict() for r in readers.read_table(spark, str(tmp_path / "a.json")).collect()]
+    assert sorted(rows, key=str) == sorted([{k: r[k] for k in rows[0]} for r in want], key=str) and set(rows[0]) == set(want[0])
+
+
 def test_mapping(spark):
     df = spark.createDataFrame([("2026-09-01", "Kimironko", "Beans", "Retail", "1,200 RWF")], "Itariki string, Market_Name string, Product string, Level string, Amount string")
     assert mapping.suggest_mapping(df) == {"date": "Itariki", "market": "Market_Name", "commodity": "Product", "price_type": "Level", "price": "Amount"}
