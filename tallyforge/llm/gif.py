@@ -88,25 +88,28 @@ def lzw_decode(stream: bytes, root: int, limit: int) -> bytes:
     bits, at, out, made = 8 * len(stream), 0, [], 0
     singles = [bytes([v]) for v in range(clear)] + [b"", b""]
     width, ends = _BITS[root], _ENDS[root]
+    entries: list[bytes] = []
+    done, going = 0, False  # whether the codes since the last clear go on, in further blocks of a full table
     while at < bits and made < limit:
-        count = int(np.searchsorted(ends, bits - at, "right")) - 1
-        offsets = at + ends[:count]
-        if count == len(width):  # more 12-bit codes may follow a full table
-            more = (bits - at - int(ends[-1])) // 12
-            offsets = np.concatenate([offsets, at + ends[-1] + 12 * np.arange(min(more, 8 * FULL))])
-        if not count:
+        if going:
+            offsets = at + 12 * np.arange(min((bits - at) // 12, 8 * FULL))
+            w = np.full(len(offsets), 12, np.uint32)
+        else:
+            count = int(np.searchsorted(ends, bits - at, "right")) - 1
+            offsets = at + ends[:count]
+            w = width[np.arange(count)].astype(np.uint32)
+        if not len(offsets):
             break
-        w = width[np.minimum(np.arange(len(offsets)), len(width) - 1)].astype(np.uint32)
         i = offsets >> 3
         codes = ((raw[i] | raw[i + 1] << 8 | raw[i + 2] << 16) >> (offsets & 7).astype(np.uint32)) & ((np.uint32(1) << w) - 1)
         stops = np.flatnonzero((codes == clear) | (codes == end))
         stop = int(stops[0]) if len(stops) else len(codes)
-        if len(stops):
-            at = int(offsets[stop]) + int(w[stop])
-        else:
-            at = bits
+        last = min(stop, len(codes) - 1)
+        at = int(offsets[last]) + int(w[last])
         segment = codes[:stop].tolist()
-        if segment:
+        if segment and going:
+            out += [entries[c] for c in segment]
+        elif segment:
             if segment[0] >= clear:
                 raise ValueError("LZW stream starts with an unknown code")
             entries = list(singles)
@@ -127,7 +130,10 @@ def lzw_decode(stream: bytes, root: int, limit: int) -> bytes:
                 prev = e
             for c in segment[room + 1 :]:
                 put(entries[c])
-            made = sum(map(len, out)) if limit < (1 << 62) else 0
+        going = not len(stops)
+        if limit < (1 << 62):
+            made += sum(map(len, out[done:]))
+            done = len(out)
         if len(stops) and codes[stop] == end:
             break
     return b"".join(out)[:limit]

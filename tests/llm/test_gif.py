@@ -78,3 +78,20 @@ def test_frames_table(spark):
 
 def test_op1_query(spark, sf):
     assert queries.QUERIES["op1_gif_media"](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_full_table_without_clear():
+    image = np.random.default_rng(5).integers(0, 256, (300, 300), np.uint8)  # about 90,000 codes after one clear
+    data, known, codes, at = image.tobytes(), {}, [], image.tobytes()[0]
+    for v in data[1:]:
+        if (at, v) in known:
+            at = known[at, v]
+            continue
+        codes.append(at)
+        if len(known) < gif.FULL - 258:
+            known[at, v] = 258 + len(known)
+        at = v
+    codes += [at, gif.END]
+    widths = [9, *gif._BITS[8][: len(codes)], *[12] * (len(codes) - len(gif._BITS[8]))]
+    stream = gif._packed(np.array([gif.CLEAR, *codes]), np.array(widths))
+    assert gif.lzw_decode(stream, 8, len(data)) == data
