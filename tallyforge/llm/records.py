@@ -77,7 +77,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -107,7 +107,7 @@ class Encoder:
         if len(self.words) > CACHED:
             self.words, self.older = {}, self.words
         words, older = self.words, self.older
-        split = [None if _RUN.search(t) else t.split(" ") for t in texts]
+        split = [None if _RUN.search(t) or self.special.search(t) else t.split(" ") for t in texts]
         flat = [w for p in split if p for w in p[1:]]
         found = list(map(words.get, flat))
         lacking = [k for k, v in enumerate(found) if v is None]

@@ -5,6 +5,7 @@ from array import array
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from tallyforge.llm import common, queries, records
 
@@ -23,6 +24,12 @@ def test_words_are_the_whole_text(coder, texts):
     assert coder(texts) == whole
 
 
+def test_special_tokens_are_what_the_library_gives(coder):
+    library = Tokenizer.from_file(records.tokenizer_path())
+    texts = ["hello <|endoftext|> world", "a<|endoftext|>b", "plain words here"]
+    assert coder(texts) == [array("I", library.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+
+
 def test_damage_is_found():
     for ids in ([], [1, 2], [1, 70_000]):
         raw = array("I", ids).tobytes()
