@@ -6,12 +6,15 @@ token ids (unsigned, the end id last); two bytes do where no id of the record is
 A masked checksum is crc32 turned right by 15 bits plus ``MASK``.
 
 Documents are in ascending order of doc_id over all files; rows with equal ids follow by a hash of their text. Null and empty texts
-hold the end id alone. A row whose id is null comes first. Task attempts write files of their own names, and only
+hold the end id alone. A row whose id is null comes first. Ids are what the library gives for the whole text, special tokens
+spelled in it included. Texts of any length are encoded whole, in memory of some twenty times their bytes. Repeated rows give
+repeated records; an empty table gives no file. Columns other than the id and the text are not read. Task attempts write files of their own names, and only
 files that the finished tasks report are read, so lost executors leave no wrong data.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -21,6 +24,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,15 +33,17 @@ from . import common
 
 END_ID = 2
 MASK = 0xA282EAD8
-#: Words of one generation of an encoder's cache, about 200 bytes each; the last two generations are kept.
-CACHED = 700_000
+#: Words that an encoder keeps before it lets go of the rare ones, about 250 bytes each; bytes of text that are encoded together.
+CACHED, PORTION = 1_000_000, 4 << 20
 _LENGTH = struct.Struct("<Q")
 _SUM = struct.Struct("<I")
 _HEAD = struct.Struct("<qB")
 _INDEX = struct.Struct("<QQ")
 _NO_ID = -(1 << 63)
+#: White space as Python, and the tokenizer, see it, for Arrow's expressions, which know that of ASCII alone.
+_WHITE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in map(chr, range(1 << 16)) if c.isspace()) + "]"
 #: A space with white space on both sides, or at the end: pieces can't be cut there.
-_RUN = re.compile(r"\s (?:\s|\Z)")
+_RUN = rf"{_WHITE} (?:{_WHITE}|\z)"
 
 
 def masked(data: bytes) -> int:
@@ -50,11 +56,15 @@ def frame(data: bytes) -> bytes:
     return b"".join((head, _SUM.pack(masked(head)), data, _SUM.pack(masked(data))))
 
 
+def _head(doc: int | None, width: int) -> bytes:
+    return _HEAD.pack(_NO_ID if doc is None else doc, width)
+
+
 def packed(doc: int | None, ids: bytes) -> bytes:
     """A record's data of ids given as unsigned 32 bits each."""
     wide = np.frombuffer(ids, "<u4")
     narrow = not len(wide) or int(wide.max()) < 1 << 16
-    return _HEAD.pack(_NO_ID if doc is None else doc, 2 if narrow else 4) + (wide.astype("<u2").tobytes() if narrow else ids)
+    return _head(doc, 2 if narrow else 4) + (wide.astype("<u2").tobytes() if narrow else ids)
 
 
 def unpacked(data: bytes) -> tuple[int | None, bytes]:
@@ -69,88 +79,157 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _strings(words: pa.Array) -> list[str]:
+    """The words, which hold no space, at once instead of one by one."""
+    if not len(words):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py().split(" ")
+
+
 class Encoder:
-    """Token ids as little-endian bytes. The tokenizer never joins text across a space before a word, so words are
-    encoded once each and looked up; texts with other runs of white space are encoded whole."""
+    """Token ids as the tokenizer gives them. It never joins text across a space before a word, so words are encoded
+    once each and looked up; texts with other runs of white space, or with a special token's spelling, are encoded whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
-        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        top = max(END_ID, *vocabulary.values())
+        self.type = np.uint16 if top < 1 << 16 else np.uint32
+        self.begins = np.zeros(top + 1, bool)
         self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # a space, as byte-level tokens spell it
-
-    def plain(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, new: list[str]) -> None:
-        """Adds words, each with a space before it: many at once, as one text that is cut where tokens begin with a space."""
-        simple = [w for w in new if w.split() == [w]]
-        for k in range(0, len(simple), 1000):
-            part = simple[k : k + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            starts = (np.flatnonzero(self.begins[ids]) * 4).tolist()
-            if len(starts) != len(part):
-                self.words.update(zip(part, self.plain([f" {w}" for w in part]), strict=True))
-                continue
-            raw = ids.tobytes()
-            self.words.update(zip(part, [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)], strict=True))
-        rest = [w for w in new if w not in self.words]
-        if rest:
-            self.words.update(zip(rest, self.plain([f" {w}" for w in rest]), strict=True))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join([_RUN, *added])
+        self.forget()
+
+    def forget(self) -> None:
+        self.words: dict[str, int] = {}  # numbers of words; where their ids begin, and how many they are
+        self.ids, self.counts, self.starts = np.zeros(0, self.type), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.hits = np.zeros(0, np.int32)
+
+    def thin_out(self) -> None:
+        """Keeps the words that were asked for more than once, half of what may be kept at most."""
+        often = np.argsort(-self.hits, kind="stable")[: CACHED // 2]
+        often = np.sort(often[self.hits[often] > 1])
+        names = np.array(list(self.words), object)[often].tolist()
+        counts = self.counts[often]
+        ends = np.cumsum(counts)
+        ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[often] - (ends - counts), counts)]
+        self.words = dict(zip(names, range(len(names)), strict=True))
+        self.ids, self.counts, self.starts, self.hits = ids, counts, ends - counts, self.hits[often] >> 1
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.type) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: list[str], simple: np.ndarray) -> None:
+        """Adds words, each with a space before it: simple ones, without white space, many at once as one text that is cut
+        where tokens begin with a space."""
+        counts, starts, made, at = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), [self.ids], len(self.ids)
+
+        def add(rows: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+            nonlocal at
+            counts[rows], starts[rows] = lengths, at + np.cumsum(lengths) - lengths
+            made.append(ids)
+            at += len(ids)
+
+        rest = [np.flatnonzero(~simple)]
+        rows = np.flatnonzero(simple)
+        for k in range(0, len(rows), 1000):
+            part = rows[k : k + 1000]
+            ids = self.plain([f" {' '.join([new[r] for r in part.tolist()])}"])[0]
+            begins = np.flatnonzero(self.begins[ids])
+            if len(begins) == len(part):
+                add(part, ids, np.diff(begins, append=len(ids)))
+            else:
+                rest.append(part)
+        alone = np.concatenate(rest)
+        if len(alone):
+            each = self.plain([f" {new[r]}" for r in alone.tolist()])
+            add(alone, np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each)))
+        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
+        self.ids, self.counts, self.starts = np.concatenate(made), np.concatenate([self.counts, counts]), np.concatenate([self.starts, starts])
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the places of their ends."""
         if len(self.words) > CACHED:
-            self.words, self.older = {}, self.words
-        words, older = self.words, self.older
-        split = [None if _RUN.search(t) or self.special.search(t) else t.split(" ") for t in texts]
-        flat = [w for p in split if p for w in p[1:]]
-        found = list(map(words.get, flat))
-        lacking = [k for k, v in enumerate(found) if v is None]
+            self.thin_out()
+        given = pa.array(texts, pa.string())
+        alone = pc.match_substring_regex(given, self.whole)
+        heads = self.plain([t if a else t.split(" ", 1)[0] for t, a in zip(texts, alone.to_pylist(), strict=True)])
+        split = pc.split_pattern(pc.if_else(alone, "", given), " ")
+        ends = split.offsets.to_numpy()
+        seen = split.values.dictionary_encode()
+        place = seen.indices.to_numpy().copy()
+        place[ends[:-1]] = -1  # a text's first word has no space before it
+        used = np.zeros(len(seen.dictionary), bool)
+        used[place[place >= 0]] = True
+        kinds = seen.dictionary.filter(pa.array(used))
+        words = _strings(kinds)
+        number = list(map(self.words.get, words))
+        lacking = [k for k, n in enumerate(number) if n is None]
+        number = np.array([-1 if n is None else n for n in number], np.int64) if lacking else np.array(number, np.int64)
         if lacking:
-            new = {flat[k] for k in lacking}
-            words.update({w: older[w] for w in new if w in older})
-            self.learn([w for w in new if w not in words])
-            for k in lacking:
-                found[k] = words[flat[k]]
-        heads, at, out = iter(self.plain([t if p is None else p[0] for t, p in zip(texts, split, strict=True)])), 0, []
-        for p in split:
-            n = len(p) - 1 if p else 0
-            out.append(b"".join([next(heads), *found[at : at + n]]))
-            at += n
-        return out
+            odd = pc.match_substring_regex(kinds.take(pa.array(lacking)), f"^$|{_WHITE}").to_numpy(zero_copy_only=False)
+            number[lacking] = np.arange(len(self.words), len(self.words) + len(lacking))
+            self.learn([words[k] for k in lacking], ~odd)
+        self.hits = np.append(self.hits, np.zeros(len(self.words) - len(self.hits), np.int32))
+        self.hits[number] += 1
+        known = np.full(len(used) + 1, -1, np.int64)
+        known[:-1][used] = number
+        word = known[place]
+        size, begin = np.append(self.counts, 0)[word], np.append(self.starts, 0)[word]
+        lengths = np.fromiter(map(len, heads), np.int64, len(heads))
+        size[ends[:-1]] = lengths
+        begin[ends[:-1]] = len(self.ids) + np.cumsum(lengths) - lengths
+        after = np.cumsum(size)
+        every = np.concatenate([self.ids, *heads])
+        return every[np.arange(after[-1] if len(after) else 0) + np.repeat(begin - (after - size), size)], np.concatenate([[0], after])[ends[1:]]
 
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One for all tasks of a worker process."""
+    """One for all tasks of a worker process, whose one core the library's own threads would only crowd."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Encoder(path)
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``PORTION`` bytes of text, a row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + PORTION)))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def _write(batches: Iterator[pa.RecordBatch], where: str, path: str) -> Iterator[pa.RecordBatch]:
-    encode, end = encoder(path), array("I", [END_ID]).tobytes()
+    encode = encoder(path)
+    end, narrow = np.array([END_ID], encode.type).tobytes(), encode.type is np.uint16
     task = TaskContext.get()
     fs, base = common.filesystem(where)
     name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
     at = count = ids_total = 0
     out = index = None
     for batch in batches:
-        for part in common.chunks(batch):
+        for part in _portions(batch):
             if out is None:
                 out = fs.open_output_stream(f"{base}/{name}.rec", buffer_size=1 << 20)
                 index = fs.open_output_stream(f"{base}/{name}.idx", buffer_size=1 << 16)
             docs = part.column(0).to_pylist()
-            for doc, ids in zip(docs, encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                record = frame(packed(doc, ids + end))
+            ids, ends = encode([t or "" for t in part.column(1).to_pylist()])
+            raw, width = memoryview(ids.astype(f"<u{ids.itemsize}", copy=False)).cast("B"), ids.itemsize
+            lo = 0
+            for doc, hi in zip(docs, ends.tolist(), strict=True):
+                own = bytes(raw[lo * width : hi * width]) + end
+                record = frame(_head(doc, 2) + own if narrow else packed(doc, own))
                 out.write(record)
                 index.write(_INDEX.pack(at, len(record)))
                 at += len(record)
-                count += 1
-                ids_total += len(ids) // 4 + 1
+                lo = hi
+            count += len(docs)
+            ids_total += len(ids) + len(docs)
     if out is not None:
         out.close()
         index.close()
