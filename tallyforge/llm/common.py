@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -58,9 +59,12 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Any]], schema: T.St
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; a local one is set only where the session has none, as in tests."""
+    """A fresh folder below spark.checkpoint.dir; a local one is set only where the session has none and all its tasks
+    run in this process, as in tests. On a cluster without the setting it stops: executors share no local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         base = f"file://{tempfile.mkdtemp(prefix='tallyforge-')}"
@@ -68,6 +72,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tf-{uuid.uuid4().hex}"
 
 
+def fresh(name: str, *tables: DataFrame) -> str:
+    """The name, longer by as many underscores as it takes to clash with no column of the tables."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, where: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back: cuts lineage so that lost executors cost no recomputation."""
     df.write.mode("overwrite").parquet(where)
