@@ -14,8 +14,9 @@ less six standard deviations are confirmed on full sets. Buckets are never paire
 meets the smallest class of its bucket; pairs in a bucket are formed only between classes that aren't connected yet,
 so a group of many near copies costs about a pair a class, and no link between unconnected classes is left out.
 
-Null and empty texts have no shingles and are their own component. Rows of one doc_id count as one document in
-links. Repeated rows give repeated results; an empty table gives none.
+Null and empty texts have no shingles and are their own component, as is a row without doc_id. Rows of one doc_id are one
+document: it is linked with what any of its texts is linked with. Repeated rows give repeated results; an empty table
+gives none. Texts of any length are taken whole; of the other columns none is read.
 """
 
 from __future__ import annotations
@@ -35,9 +36,9 @@ from .components import connected
 
 SHINGLE, SIMILAR = 2, (80, 100)
 REGISTERS, MANTISSA, BANDS, ROWS = 256, 10, 40, 5
-#: Least estimate that is confirmed: the threshold less six standard deviations of the estimate at it.
 #: Rows and bytes of sets of a bucket that are compared at once.
-BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
+BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
+#: Least estimate that is confirmed: the threshold less six standard deviations of the estimate at it.
 LEAST = SIMILAR[0] / SIMILAR[1] - 6 * (SIMILAR[0] / SIMILAR[1] * (1 - SIMILAR[0] / SIMILAR[1]) / REGISTERS) ** 0.5
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _REST = np.uint64((1 << 56) - 1)
@@ -155,8 +156,8 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             for rep, fp, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 s = shingle_set(text, size)
                 if xxhash.xxh3_128_digest(s.tobytes()) == fp:
-                    rows.append((rep, s.tobytes(), sketch(s).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], ["rep", "shingles", "registers"])
+                    rows.append((rep, fp, s.tobytes(), sketch(s).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], ["rep", "fp", "shingles", "registers"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,11 +209,14 @@ def groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
     shared = common.written(banded.join(stars, "key"), f"{where}/shared")
     needed = shared.select("rep").distinct().join(classes.select("rep", "fp"), "rep")
     texts = needed.join(plain.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "fp", "text")
-    sets = common.written(texts.mapInArrow(partial(_sets, size=shingle), "rep long, shingles binary, registers binary").dropDuplicates(["rep"]), f"{where}/sets")
+    sets = common.written(texts.mapInArrow(partial(_sets, size=shingle), "rep long, fp binary, shingles binary, registers binary").dropDuplicates(["rep", "fp"]), f"{where}/sets")
     one, two = (sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"s{c}"), F.col("registers").alias(f"r{c}")) for c in "ab")
     pairs = shared.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     links = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "ra", "sb", "rb").mapInArrow(_confirmed, "a long, b long")
-    links = common.written(links, f"{where}/links")
+    # the texts of one doc_id belong together: a link from it to the class of each
+    several = told.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("doc_id")
+    own = told.join(several, "doc_id").select("doc_id", "fp").join(classes.select("fp", "rep"), "fp").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    links = common.written(links.union(own), f"{where}/links")
     labels = connected(links, f"{where}/first").withColumnRenamed("node", "rep")
     marked = shared.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     marked = common.written(marked, f"{where}/marked")
@@ -234,5 +238,6 @@ def groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
 
 def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """The rows, with all their columns, of the smallest doc_id of each group."""
-    found = groups(df, id_col=id_col, text_col=text_col, shingle=shingle).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return df.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    kept = common.fresh("kept", df)
+    found = groups(df, id_col=id_col, text_col=text_col, shingle=shingle).where("kept").select(F.col("doc_id").alias(kept)).distinct()
+    return df.join(found, F.col(id_col).cast("long").eqNullSafe(F.col(kept)), "left_semi")

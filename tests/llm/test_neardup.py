@@ -114,6 +114,20 @@ def test_rows_against_brute_force(spark, monkeypatch):
     assert len(twice) == 40
 
 
+def test_all_texts_of_a_document_are_linked(spark):
+    rng = random.Random(8)
+    a, b, c = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(60)) for x in "abc")
+    for order in (1, -1):
+        rows = [(1, a), (1, b), (5, a + " tail"), (6, b + " tail"), (7, c), (8, c + " tail"), (7, c), (2, a), (None, b)][::order]
+        got = {(r.doc_id, r.component_id, r.kept) for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {(1, 1, True), (5, 1, False), (6, 1, False), (2, 1, False), (7, 7, True), (8, 7, False), (None, 1, True)}
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "one two three", 5), (2, "one two three", 6)], "doc_id long, text string, kept int").selectExpr("*", "0 AS kept_", "1 AS __kept")
+    assert [r.kept for r in neardup.keep_one(df).collect()] == [5]
+
+
 def test_op2_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
