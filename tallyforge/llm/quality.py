@@ -4,9 +4,11 @@ A document of label 1 is preferred to one of label 0; a linear score is fitted b
 their features. The cut is the score quantile at the labels' share of 0 in the fitted rows, and scores are passed
 through a logistic curve centred on it, so that 0.5 is the cut.
 
-Features come from the text alone. Null and empty texts have features of zero and a score like any other. At most
-``FIT_ROWS`` labelled rows, the first by a hash of doc_id, are fitted, each row of label 0 against ``RIVALS`` of
-label 1 at least; with fewer than two labels seen, every score is 0.5. A doc_id labelled twice counts with the larger label.
+Features come from the whole text alone, of any length. Null and empty texts have features of zero and a score like any
+other. At most ``FIT_ROWS`` labelled rows, the first by a hash of doc_id, are fitted, each row of label 0 against ``RIVALS`` of
+label 1 at least; with fewer than two labels seen, every score is 0.5. A doc_id labelled twice counts with the larger label,
+one with several texts by the one whose features come first. Equal texts have equal scores; a score on the cut counts as
+good. Repeated rows give repeated results, an empty table none; columns of other names are not read.
 """
 
 from __future__ import annotations
@@ -92,7 +94,7 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in common.chunks(batch):
             rows = [np.array(features(t)).tobytes() for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), part.column("quality")], ["x", "quality"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.binary()), part.column("quality")], ["doc_id", "x", "quality"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model:
@@ -101,7 +103,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", fit_row
     known = known.where(F.col("quality").isin(0, 1) & ~common.held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(known), "doc_id").select("text", "quality").mapInArrow(_features_of, "x binary, quality int").limit(2 * fit_rows).collect()
+    found = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality").mapInArrow(_features_of, "doc_id long, x binary, quality int")
+    rows = found.groupBy("doc_id").agg(F.min("x").alias("x"), F.min("quality").alias("quality")).collect()  # a row a label
     rows = sorted((bytes(r.x), r.quality) for r in rows)  # the fit doesn't depend on the order of tasks
     x = np.array([np.frombuffer(r[0]) for r in rows]).reshape(-1, WIDTH)
     return fit(x, np.array([r[1] for r in rows]))
