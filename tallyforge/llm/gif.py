@@ -1,9 +1,11 @@
 """GIF media columns: LZW code streams, palettes, disposal and transparency, timed frames with colour histograms.
 
 ``encode_payloads`` stores byte payloads as grey-ramp GIF89a animations, 64 samples a row and FRAME_ROWS rows a
-frame; ``decode_gif`` reads any GIF87a/89a file into composited frames. Null and empty texts give one row of
-padding; a file that isn't a GIF, or is cut short, raises ``ValueError`` in ``decode_gif`` and gives null columns
-in ``frames``. Rows keep their ids, also repeated ones; other input columns are not read.
+frame; ``iter_gif`` reads any GIF87a/89a file frame by frame, each with the canvas composited so far; ``describe_media``
+keeps the timed frames with their colour histograms beside a payload's digests. Null and empty texts give one row of
+padding. A file that isn't a GIF, or is cut short or damaged at any place, raises ``ValueError`` in ``iter_gif`` and gives
+null columns in ``frames``. Texts of any length are stored whole; one frame's canvas is held at a time. Rows keep their ids,
+also repeated ones, and equal texts give equal rows; an empty table gives none. Other input columns are not read.
 """
 
 from __future__ import annotations
@@ -11,11 +13,16 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from . import common
 
@@ -149,7 +156,7 @@ class Frame:
     indices: np.ndarray
     """Rows by columns, as stored (de-interlaced)."""
     rgba: np.ndarray
-    """The whole canvas after this frame was drawn."""
+    """The whole canvas after this frame was drawn; the next frame is drawn over it."""
 
 
 def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
@@ -160,12 +167,32 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
         n = data[at]
         if not n:
             return b"".join(parts), at + 1
+        if at + 1 + n > len(data):
+            raise ValueError("sub-blocks cut short")
         parts.append(data[at + 1 : at + 1 + n])
         at += n + 1
 
 
+def _palette(data: bytes, at: int, size: int) -> np.ndarray:
+    if at + size > len(data):
+        raise ValueError("palette cut short")
+    return np.frombuffer(data, np.uint8, size, at).reshape(-1, 3)
+
+
 def decode_gif(data: bytes) -> list[Frame]:
+    """All frames at once, each with a canvas of its own."""
+    return [replace(f, rgba=f.rgba.copy()) for f in iter_gif(data)]
+
+
+def iter_gif(data: bytes) -> Iterator[Frame]:
     """Frames in order, each with its own pixels and the canvas after it; delays are summed into start times."""
+    try:
+        yield from _frames_of(data)
+    except (IndexError, struct.error) as cut:
+        raise ValueError("cut short") from cut
+
+
+def _frames_of(data: bytes) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack("<HHB", data[6:11])
@@ -173,16 +200,15 @@ def decode_gif(data: bytes) -> list[Frame]:
     shared = None
     if flags & 0x80:
         n = 3 << ((flags & 7) + 1)
-        shared = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3)
+        shared = _palette(data, at, n)
         at += n
     canvas = np.zeros((height, width, 4), np.uint8)
-    frames: list[Frame] = []
     clock = delay = disposal = 0
     transparent = None
     while at < len(data):
         kind = data[at]
         if kind == 0x3B:
-            return frames
+            return
         if kind == 0x21:
             label = data[at + 1]
             body, at = _blocks(data, at + 2)
@@ -197,7 +223,7 @@ def decode_gif(data: bytes) -> list[Frame]:
         palette = shared
         if local & 0x80:
             n = 3 << ((local & 7) + 1)
-            palette = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3)
+            palette = _palette(data, at, n)
             at += n
         if palette is None:
             raise ValueError("no palette")
@@ -223,7 +249,7 @@ def decode_gif(data: bytes) -> list[Frame]:
         else:
             shows = seen != transparent
             region[shows] = drawn[shows]
-        frames.append(Frame(clock, delay, disposal, left, top, indices, canvas.copy()))
+        yield Frame(clock, delay, disposal, left, top, indices, canvas)
         clock += delay
         if disposal == 2:
             region[:] = 0
@@ -276,17 +302,31 @@ def encode_payloads(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return common.map_rows(df.select(F.col(id_col).cast("long").alias("doc_id"), text_col), _encode, "doc_id long, n_bytes long, media binary")
 
 
+#: A timed frame as it is stored: its place in time, how it goes, and the counts of 16 levels of each colour.
+_TIMED = "frame int, start_ms int, delay_ms int, disposal int, width int, height int, hist_r array<long>, hist_g array<long>, hist_b array<long>"
+
+
+def _timed(k: int, f: Frame) -> dict:
+    r, g, b = histogram(f.rgba)
+    return {"frame": k, "start_ms": f.start_ms, "delay_ms": f.delay_ms, "disposal": f.disposal, "width": f.rgba.shape[1], "height": f.rgba.shape[0], "hist_r": r, "hist_g": g, "hist_b": b}
+
+
 def _read_back():
     def step(ids, sizes, medias):
-        cols = ([], [], [], [], [], [], [], [])
+        cols = ([], [], [], [], [], [], [], [], [])
         for i, n, media in zip(ids, sizes, medias, strict=True):
-            frames = decode_gif(media)
-            payload = b"".join(f.indices.tobytes() for f in frames)
-            grey = np.zeros(16, np.int64)
-            for f in frames:
-                grey += histogram(f.rgba[: f.indices.shape[0]])[0]
-            feature = f"frames={len(frames)};ms={sum(f.delay_ms for f in frames)};hist={','.join(map(str, grey))}"
-            row = (i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature)
+            digest, size, tail, timed = hashlib.sha256(), 0, b"", []
+            grey, length = np.zeros(16, np.int64), 0
+            for k, f in enumerate(iter_gif(media)):
+                part = f.indices.tobytes()
+                digest.update(part)
+                size, tail = size + len(part), (tail + part)[-64:]
+                timed.append(_timed(k, f))
+                # the frame's own rows: the last one may be smaller than the canvas
+                grey += histogram(f.rgba[: f.indices.shape[0]])[0] if f.indices.shape != f.rgba.shape[:2] else timed[-1]["hist_r"]
+                length += f.delay_ms
+            feature = f"frames={len(timed)};ms={length};hist={','.join(map(str, grey))}"
+            row = (i, n, size, digest.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature, timed)
             for c, v in zip(cols, row, strict=True):
                 c.append(v)
         return cols
@@ -295,36 +335,47 @@ def _read_back():
 
 
 def describe_media(media: DataFrame) -> DataFrame:
-    """Reads stored media back and computes what ``op1_gif_media`` returns."""
-    return common.map_rows(media.select("doc_id", "n_bytes", "media"), _read_back, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """Reads stored media back and computes what ``op1_gif_media`` returns: digests, and the timed frames of each."""
+    return common.map_rows(
+        media.select("doc_id", "n_bytes", "media"),
+        _read_back,
+        f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames array<struct<{_TIMED}>>",
+    )
 
 
-def _frames():
-    def step(ids, medias):
-        cols = tuple([] for _ in range(11))
-        for i, media in zip(ids, medias, strict=True):
-            try:
-                found = decode_gif(media) if media is not None else []
-            except (ValueError, IndexError, struct.error):
-                found = []
-                for c, v in zip(cols, (i, *[None] * 10), strict=True):
-                    c.append(v)
-            for k, f in enumerate(found):
-                r, g, b = histogram(f.rgba)
-                row = (i, k, f.start_ms, f.delay_ms, f.disposal, f.rgba.shape[1], f.rgba.shape[0], f.rgba.tobytes(), r, g, b)
-                for c, v in zip(cols, row, strict=True):
-                    c.append(v)
-        return cols
+#: Bytes of canvases in one batch of frames, about.
+CANVASES = 32 << 20
 
-    return step
+
+def _frames(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    rows, held = [], 0
+
+    def made():
+        nonlocal held
+        out = pa.RecordBatch.from_pylist(rows, schema)
+        rows.clear()
+        held = 0
+        return out
+
+    for batch in batches:
+        for i, media in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if not media.is_valid:
+                continue
+            try:
+                for k, f in enumerate(iter_gif(media.as_py())):
+                    rows.append({"doc_id": i, **_timed(k, f), "rgba": f.rgba.tobytes()})
+                    held += f.rgba.nbytes + 1000
+                    if held >= CANVASES:
+                        yield made()
+            except ValueError:
+                rows.append({"doc_id": i})
+        if rows:
+            yield made()
 
 
 def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """One row per timed frame: the composited RGBA canvas and its colour histograms.
 
-    A null medium has no rows; an unreadable one has a single row of nulls beside its id."""
-    return common.map_rows(
-        media.select(F.col(id_col).cast("long"), media_col),
-        _frames,
-        "doc_id long, frame int, start_ms long, delay_ms long, disposal int, width int, height int, rgba binary, hist_r array<long>, hist_g array<long>, hist_b array<long>",
-    )
+    A null medium has no rows; where one can't be read on, the frames before are followed by a row of nulls beside its id."""
+    schema = StructType.fromDDL(f"doc_id long, {_TIMED}, rgba binary")
+    return media.select(F.col(id_col).cast("long"), F.col(media_col).cast("binary")).mapInArrow(partial(_frames, schema=to_arrow_schema(schema)), schema)

@@ -4,7 +4,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tallyforge.llm import gif, queries
 
@@ -50,11 +53,67 @@ def test_interlace_and_late_clear():
 
 def test_errors():
     good = gif.store_payload(b"x" * 64)
-    for bad in (b"", b"GIF89a", good[:-1], good[:805], b"PNG" + good[3:]):
-        with pytest.raises((ValueError, IndexError)):
+    for bad in (b"", b"GIF89a", b"PNG" + good[3:], *(good[:n] for n in range(len(good)))):
+        with pytest.raises(ValueError):
             gif.decode_gif(bad)
 
 
+def plain_decode(data):
+    """Samples and delays of each frame by another reader: codes bit by bit, table as a list."""
+    at, out, delay = 13 + (3 << ((data[10] & 7) + 1) if data[10] & 0x80 else 0), [], 0
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            if data[at + 1] == 0xF9:
+                delay = 10 * int.from_bytes(data[at + 4 : at + 6], "little")
+            at += 2
+        else:
+            assert data[at] == 0x2C and not data[at + 9] & 0x80
+            root, at = data[at + 10], at + 11
+        body = b""
+        while data[at]:
+            body, at = body + data[at + 1 : at + 1 + data[at]], at + 1 + data[at]
+        at += 1
+        if data[at - len(body)] is None or not body or len(body) == 4:
+            continue
+        bits = "".join(f"{b:08b}"[::-1] for b in body)
+        place, width, table, samples, last = 0, root + 1, [], bytearray(), None
+        while True:
+            code = int(bits[place : place + width][::-1], 2)
+            place += width
+            if code == 1 << root:
+                table, width, last = [bytes([k]) for k in range(1 << root)] + [b"", b""], root + 1, None
+                continue
+            if code == (1 << root) + 1:
+                break
+            entry = table[code] if code < len(table) else last + last[:1]
+            samples += entry
+            if last is not None and len(table) < 4096:
+                table.append(last + entry[:1])
+                if len(table) == 1 << width and width < 12:
+                    width += 1
+            last = entry
+        out.append((bytes(samples), delay))
+    return out
+
+
+def test_op1_by_another_reader(spark, sf):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(40).collect()}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    media = gif.encode_payloads(df)
+    stored = {r.doc_id: bytes(r.media) for r in media.collect()}
+    for r in gif.describe_media(media).collect():
+        found = plain_decode(stored[r.doc_id])
+        payload = b"".join(p for p, _ in found)
+        raw = (docs[r.doc_id] or "").encode()
+        assert payload == raw + b"\0" * ((-len(raw)) % 64 or (0 if raw else 64))
+        assert (r.payload_sha256, r.payload_bytes, r.tail_crc32) == (hashlib.sha256(payload).hexdigest(), len(payload), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored[r.doc_id]), hashlib.sha256(stored[r.doc_id]).hexdigest())
+        levels = [sum(b >> 4 == k for b in payload) for k in range(16)]
+        assert r.feature == f"frames={len(found)};ms={sum(d for _, d in found)};hist={','.join(map(str, levels))}"
+        assert [(f.frame, f.delay_ms) for f in r.frames] == [(k, d) for k, (_, d) in enumerate(found)]
+        assert r.frames[0].hist_r == r.frames[0].hist_g == [sum(b >> 4 == k for b in found[0][0]) for k in range(16)]
+
+
 def test_query_rows(spark):
     rows = [(1, "abc", "x"), (2, None, "y"), (3, "", None), (4, "é" * 50000, "z"), (4, "é" * 50000, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, media string")
@@ -74,6 +133,18 @@ def test_frames_table(spark):
     assert [f.start_ms for f in got] == [0, 40] and sum(got[0].hist_r) == 64 * 512
     bad = spark.createDataFrame([(1, b"nope"), (2, None)], "doc_id long, media binary")
     assert [(r.doc_id, r.frame) for r in gif.frames(bad).collect()] == [(1, None)]
+    cut = spark.createDataFrame([(3, gif.store_payload(b"a" * 40000 + b"b" * 24 * 64)[:-40])], "doc_id long, media binary")
+    assert [(r.doc_id, r.frame, r.hist_r is None) for r in gif.frames(cut).collect()] == [(3, 0, False), (3, None, True)]
+
+
+def test_many_frames_hold_one_canvas(spark, monkeypatch):
+    monkeypatch.setattr(gif, "FRAME_ROWS", 4)
+    monkeypatch.setattr(gif, "CANVASES", 5000)
+    payload = bytes(range(256)) * 40
+    media = gif.store_payload(payload)
+    assert b"".join(f.indices.tobytes() for f in gif.iter_gif(media)) == payload
+    parts = list(gif._frames(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "media": pa.array([media], pa.binary())})]), to_arrow_schema(StructType.fromDDL(f"doc_id long, {gif._TIMED}, rgba binary"))))
+    assert sum(p.num_rows for p in parts) == 40 and max(p.num_rows for p in parts) <= 3
 
 
 def test_op1_query(spark, sf):
