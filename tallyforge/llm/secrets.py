@@ -6,7 +6,10 @@ into further layers, each scanned and unwrapped in turn until nothing new appear
 and place) are not entered again, so data that decode to themselves end. Every hit is mapped to code points of the
 original text: exactly through escapes and base64, to the whole encoded run through compression.
 
-Null and empty texts have no hits. Repeated rows give repeated results. Compressed data that grow beyond ``WINDOW``
+Null and empty texts have no hits. Repeated rows give repeated results; an empty table gives none; columns of other names are
+kept as they are or not read. Hits of several kinds at one place are all reported, in the order of ``KINDS``. Texts of any
+length are scanned whole: places are kept by runs, not by characters, and of a long layer only the surroundings of what was
+decoded, up to where nothing can cross, make a further layer. Compressed data that grow beyond ``WINDOW``
 bytes are scanned to their end in parts, cut only where no hit, escape, base64 run or further compressed data can
 cross. Where such a thing is itself longer than ``MAX_LAYER``, parts overlap instead; that is counted in ``oversize`` of
 the scan, and the whole encoded run is masked.
@@ -21,6 +24,8 @@ import hashlib
 import lzma
 import re
 import zlib
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -33,6 +38,8 @@ from . import common
 #: The kinds, in the order of ties.
 KINDS = ("assign", "access", "hex")
 WINDOW, MAX_LAYER, OVERLAP = 8 << 20, 64 << 20, 1 << 16
+#: Characters of a layer that is unwrapped as a whole, however few of them are escaped.
+SMALL = 1 << 12
 MASK = "[REDACTED]"
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -69,8 +76,8 @@ def base_hits(text: str) -> list[tuple[int, int, int]]:
 @dataclass
 class Layer:
     text: str
-    starts: list[int] | range | _Same | _OfBytes
-    ends: list[int] | range | _Same | _OfBytes
+    starts: Sequence[int] | _Runs | _Same | _OfBytes
+    ends: Sequence[int] | _Runs | _Same | _OfBytes
     """For each character of the text, the code points of the original that it stands for."""
     end: int | None = None
     """The end of the run that was decoded, padding included."""
@@ -79,36 +86,88 @@ class Layer:
         return self.starts[a], self.ends[b - 1]
 
 
-def _spliced(layer: Layer, parts: list[tuple[int, int, str, list[int], list[int]]]) -> Layer:
-    """The layer with [a, b) replaced by a text whose characters have the given places."""
-    texts, starts, ends, at = [], [], [], 0
-    if isinstance(layer.starts, _Same):
-        for a, b, text, _, _ in parts:
-            texts += (layer.text[at:a], text)
+class _Runs:
+    """Places by runs of characters: from ``new[r]`` on, each stands for ``step[r]`` characters from ``old[r]`` on of the
+    layer outside; side 0 for starts, 1 for ends."""
+
+    def __init__(self, outer, new: Sequence[int], old: Sequence[int], step: Sequence[int], side: int):
+        self.outer, self.new, self.old, self.step, self.side = outer, new, old, step, side
+
+    def __getitem__(self, k: int) -> int:
+        r = bisect_right(self.new, k) - 1
+        return self.outer[self.old[r] + (k - self.new[r]) * self.step[r] + self.side * (self.step[r] - 1)]
+
+
+def _reach(text: str, edits: list[tuple[int, int, str, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """Parts of a text around its edits, which nothing crosses: first edit, last edit + 1, start, end of each part."""
+    first = start = end = 0
+    for k, (a, b, _, _) in enumerate(edits):
+        if k and a <= end:
+            left = None  # in reach of the one before
+        else:
+            left, size = end, 256
+            while left == end and a - end > size // 16:
+                lo = max(end, a - size)
+                for m in _APART.finditer(text, lo, a):
+                    left = m.end()
+                if lo == end:
+                    break
+                size *= 16
+        if left is not None:
+            if k:
+                yield first, k, start, end
+            first, start = k, left
+        if b > end:
+            m = _APART.search(text, b)
+            end = m.end() if m else len(text)
+    yield first, len(edits), start, end
+
+
+def _spliced(layer: Layer, edits: list[tuple[int, int, str, int]]) -> Iterator[Layer]:
+    """The layer with [a, b) replaced by texts whose characters stand for so many of the layer's each.
+
+    Where no compressed data begin in it, only the parts around edits are new, each a layer of its own."""
+
+    def made(some: list[tuple[int, int, str, int]], at: int, end: int) -> Layer:
+        texts, new, old, step, size = [], array("q"), array("q"), array("q"), 0
+        for a, b, text, width in some:
+            for place, part, each in ((at, layer.text[at:a], 1), (a, text, width)):
+                if part:
+                    texts.append(part)
+                    new.append(size)
+                    old.append(place)
+                    step.append(each)
+                    size += len(part)
             at = b
-        whole = "".join([*texts, layer.text[at:]])
-        return Layer(whole, _Same(layer.starts[0], len(whole)), _Same(layer.ends[0], len(whole)))
-    for a, b, text, s, e in parts:
-        texts += (layer.text[at:a], text)
-        starts += [*layer.starts[at:a], *s]
-        ends += [*layer.ends[at:a], *e]
-        at = b
-    return Layer("".join([*texts, layer.text[at:]]), [*starts, *layer.starts[at:]], [*ends, *layer.ends[at:]])
+        if at < end:
+            texts.append(layer.text[at:end])
+            new.append(size)
+            old.append(at)
+            step.append(1)
+        whole = "".join(texts)
+        if isinstance(layer.starts, _Same):
+            return Layer(whole, layer.starts, layer.ends)
+        return Layer(whole, _Runs(layer.starts, new, old, step, 0), _Runs(layer.ends, new, old, step, 1))
+
+    whole = made(edits, 0, len(layer.text))
+    if len(layer.text) <= SMALL or _PACKED.search(whole.text):
+        yield whole
+        return
+    del whole
+    for first, last, start, end in _reach(layer.text, edits):
+        yield made(edits[first:last], start, end)
 
 
-def _from_url(layer: Layer) -> Layer | None:
-    if "%" not in layer.text:
-        return None
-    parts = []
-    for m in _URL.finditer(layer.text):
-        text, a = bytes.fromhex(m[0].replace("%", "")).decode("latin-1"), m.start()
-        parts.append((a, m.end(), text, [layer.starts[a + 3 * i] for i in range(len(text))], [layer.ends[a + 3 * i + 2] for i in range(len(text))]))
-    return _spliced(layer, parts) if parts else None
+def _from_url(layer: Layer) -> Iterator[Layer]:
+    if "%" in layer.text:
+        edits = [(m.start(), m.end(), bytes.fromhex(m[0].replace("%", "")).decode("latin-1"), 3) for m in _URL.finditer(layer.text)]
+        if edits:
+            yield from _spliced(layer, edits)
 
 
-def _from_unicode(layer: Layer) -> Layer | None:
+def _from_unicode(layer: Layer) -> Iterator[Layer]:
     if "\\" not in layer.text and "&#" not in layer.text and "%u" not in layer.text:
-        return None
+        return
     found = []
     for m in _UNICODE.finditer(layer.text):
         code = int(m[m.lastindex], 10 if m.lastindex == 7 else 16)
@@ -117,8 +176,9 @@ def _from_unicode(layer: Layer) -> Layer | None:
             found.append((a, m.end(), 0x10000 + (high - 0xD800 << 10) + code - 0xDC00))
         else:
             found.append((m.start(), m.end(), code))
-    parts = [(a, b, chr(c), [layer.starts[a]], [layer.ends[b - 1]]) for a, b, c in found if c <= 0x10FFFF and not 0xD800 <= c < 0xE000]
-    return _spliced(layer, parts) if parts else None
+    edits = [(a, b, chr(c), b - a) for a, b, c in found if c <= 0x10FFFF and not 0xD800 <= c < 0xE000]
+    if edits:
+        yield from _spliced(layer, edits)
 
 
 def _pieces(text: str, at: int) -> Iterator[bytes]:
@@ -243,7 +303,7 @@ def _from_packed(layer: Layer, state: dict) -> Iterator[Layer]:
         whole = True
         for text, cut in _windows(_inflated(_pieces(layer.text, m.start()), {})):
             whole &= not cut
-            yield Layer(text, _Same(s, len(text)), _Same(e, len(text)))
+            yield Layer(text, _Same(s), _Same(e))
         if not whole:
             state["oversize"] += 1
             state["cut"].add((s, e))
@@ -269,18 +329,35 @@ def _base64_runs(text: str) -> Iterator[tuple[int, int, str, Sequence[int]]]:
     if "\n" not in text and "\r" not in text:
         return
     for m in _WRAPPED.finditer(text):
-        lines, places, at = [], [], m.start()
+        lines, new, old, size, at = [], array("q"), array("q"), 0, m.start()
         for gap in [*_BREAK.finditer(text, m.start(), m.end()), None]:
             end = gap.start() if gap else m.end()
             line = text[at:end].rstrip("=")
             lines.append(line)
-            places += range(at, at + len(line))
+            new.append(size)
+            old.append(at)
+            size += len(line)
             at = gap.end() if gap else end
         body = "".join(lines)
         if len(body) >= 16:
             for k in range(4):
                 n = len(body) - ((len(body) - k) % 4 == 1)
-                yield places[k], m.end(), body[k:n], places[k:n]
+                places = _Lines(new, old, k, n)
+                yield places[0], m.end(), body[k:n], places
+
+
+class _Lines:
+    """Places of the characters from ``k`` to ``n`` of lines joined into one run."""
+
+    def __init__(self, new: Sequence[int], old: Sequence[int], k: int, n: int):
+        self.new, self.old, self.k, self.n = new, old, k, n
+
+    def __len__(self) -> int:
+        return self.n - self.k
+
+    def __getitem__(self, j: int) -> int:
+        r = bisect_right(self.new, j + self.k) - 1
+        return self.old[r] + j + self.k - self.new[r]
 
 
 def _from_base64(layer: Layer) -> Iterator[Layer]:
@@ -290,37 +367,32 @@ def _from_base64(layer: Layer) -> Iterator[Layer]:
         except binascii.Error:
             continue
         text = raw.decode("latin-1")  # a character for each byte: hits and further layers begin in ASCII alone
-        yield Layer(text, _OfBytes(layer.starts, at, len(text), 0), _OfBytes(layer.ends, at, len(text), 1), layer.ends[b - 1])
+        yield Layer(text, _OfBytes(layer.starts, at, 0), _OfBytes(layer.ends, at, 1), layer.ends[b - 1])
 
 
 class _Same:
     """One place for all of a layer's characters."""
 
-    def __init__(self, value: int, count: int):
-        self.value, self.count = value, count
+    def __init__(self, value: int):
+        self.value = value
 
-    def __getitem__(self, k):
-        return [self.value] * len(range(*k.indices(self.count))) if isinstance(k, slice) else self.value
+    def __getitem__(self, k: int) -> int:
+        return self.value
 
 
 class _OfBytes:
     """Places of bytes decoded from base64 characters at the given places of a layer; side 0 for starts, 1 for ends."""
 
-    def __init__(self, outer, at: Sequence[int], count: int, side: int):
-        self.outer, self.at, self.count, self.side = outer, at, count, side
+    def __init__(self, outer, at: Sequence[int], side: int):
+        self.outer, self.at, self.side = outer, at, side
 
-    def _place(self, k: int) -> int:
+    def __getitem__(self, k: int) -> int:
         return self.outer[self.at[min(len(self.at), -(-(k + 1) * 4 // 3)) - 1 if self.side else k * 4 // 3]]
 
-    def __getitem__(self, k):
-        return [self._place(j) for j in range(*k.indices(self.count))] if isinstance(k, slice) else self._place(k)
-
 
 def _unwrapped(layer: Layer, state: dict) -> Iterator[Layer]:
-    for step in (_from_url, _from_unicode):
-        if new := step(layer):
-            yield new
-    yield from _from_base64(layer)
+    for step in (_from_url, _from_unicode, _from_base64):
+        yield from step(layer)
     yield from _from_packed(layer, state)
 
 
@@ -340,8 +412,6 @@ def scan(text: str | None) -> dict:
         n = len(new.text)
         if not n:
             continue
-        if isinstance(new.starts, list) and len(new.starts) != n:
-            raise AssertionError("places of a layer")
         key = hashlib.sha256(f"{new.starts[0]}:{new.ends[n - 1]}:".encode() + new.text.encode(errors="surrogatepass")).digest()
         if key in seen:
             continue

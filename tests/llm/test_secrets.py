@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import lzma
 import re
+import tracemalloc
 import urllib.parse
 import zlib
 
@@ -207,3 +208,35 @@ def test_what_nothing_divides(small, spark):
 
 def test_oversize_is_kept(spark, sf):
     assert "oversize" in queries.QUERIES["op6_secret_scan"](spark, sf).columns
+
+
+ESCAPED = [
+    "password", "token", "secret", "=", ": ", " ", '"', "abcdef", "AKIA", "QQQQQQQQQQQQQQQQ", "0123456789abcdef", "deadbeef00", "é", "\n", "\n\n", ", ", "a word ", "%", "%25", "%3d", "%41", "%4", "1", "\\u0041", "\\u00",
+    "&#61;", "&#x3d;", "\\x3d", "\\u{3d}", "%u003d", "\\ud83d\\ude00", base64.b64encode(b"secret=abcdefgh").decode(), base64.b64encode(gzip.compress(b"token: abcdefgh", mtime=0)).decode(), urllib.parse.quote(zlib.compress(b"AKIA" + b"Z" * 16)),
+    "%2573ecret%253Dabcdefghi", "c2VjcmV0PWFi\nY2RlZmdoaWprbA==",
+]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(ESCAPED), max_size=24).map("".join))
+def test_surroundings_are_enough(text):
+    """Layers of what surrounds the decoded parts give the spans that whole layers give."""
+    found = []
+    for small in (1 << 30, 0):
+        secrets.SMALL = small
+        try:
+            found.append(secrets.scan(text)["spans"])
+        finally:
+            secrets.SMALL = 1 << 12
+    assert found[0] == found[1]
+
+
+def test_long_texts_in_little_memory():
+    text = "some plain words, and more of them. " * 100_000 + "%41KIA" + "Z" * 16 + " " + "%25" * 200 + "41 \\u0073ecret=abcdefgh " + "and so on, " * 100_000
+    tracemalloc.start()
+    r = secrets.scan(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    at = 3_600_000
+    assert {(at, 1, at + 22)} <= set(r["spans"]) and any(text[a:b] == "\\u0073ecret=abcdefgh" for a, _, b in r["spans"])
+    assert peak < 8 * len(text)
