@@ -31,6 +31,22 @@ def test_stages(spark):
     assert sorted(again) == sorted(r.doc_id for r in rows) and set(ids) == set(mixed)
 
 
+def test_odd_rows_through_all_stages(spark, sf):
+    """Nulls in any column, empty and long texts, repeated rows and clashing names: no stage stops, and each keeps its columns."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = [(None, "plain words here", "en", "src1", 3), (10**7, None, None, None, None), (10**7 + 1, "", "en", None, 0), (10**7 + 2, "long " * 60_000, "en", "src1", 5)]
+    odd += [(10**7 + 3, "said twice " * 40, "en", "src1", 1)] * 3 + [(10**7 + 3, "another text of that id " * 30, "en", "src2", 1)]
+    docs = docs.union(spark.createDataFrame(odd, docs.schema)).selectExpr("*", "'a' AS kept", "1 AS nth", "2 AS uses", "3 AS src", "4 AS size", "5 AS h", "'b' AS component_id", "6.0D AS score", "'c' AS ids")
+    names, where = docs.columns, common.shared_dir(spark)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = common.written(stage(spark, docs, sf), f"{where}/{k}")
+        if k < 4:
+            assert docs.columns == names, name
+            assert docs.where("kept <> 'a' OR nth <> 1 OR h <> 5 OR ids <> 'c'").count() == 0
+        assert docs.where("doc_id < 10000000").count() > 0
+    assert docs.columns == ["doc_id", "ids"]
+
+
 def test_empty(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
