@@ -7,7 +7,9 @@ decisions that led to it.
 
 At most ``PER_LANGUAGE`` rows a language, the first by a hash of doc_id, are fitted; languages missing from
 ``FAMILIES`` are families of their own. ``und`` with score 0 goes to null texts, texts without a letter, and every
-text when nothing could be learnt. Repeated rows give repeated results.
+text when nothing could be learnt. Whole texts are counted, of any length. Equal texts get equal results; ties of wins and
+margins go to the language first in alphabetical order. Repeated rows are learnt once and give repeated results; an empty table
+gives none. Columns of other names are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WIDTH, PER_LANGUAGE, STEPS, COST = 4096, 400, 150, 20.0
+#: Languages whose samples the driver takes; with more of them learning stops.
+MAX_LANGUAGES = 1000
 #: Families of languages by ISO 639-1 code.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is", "af"),
@@ -132,19 +136,23 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in common.chunks(batch):
             rows = [features(t).astype(np.float16).tobytes() for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), part.column("lang")], ["x", "lang"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "lang", "h")), pa.array(rows, pa.binary())], ["doc_id", "lang", "h", "x"])
 
 
 def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Fits on a bounded sample of rows that aren't held out, all languages alike; features are made on the executors."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where(~common.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    place = rows.withColumn("h", F.xxhash64("doc_id", "text")).select("doc_id", "lang", "h").withColumn("salt", F.pmod("h", F.lit(64)))
-    for keys in (["lang", "salt"], ["lang"]):  # so that no task ranks a whole language
+    rows = rows.where(~common.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("doc_id", "text"))
+    place = rows.select("doc_id", "lang", "h").withColumns({"fine": F.pmod("h", F.lit(512)), "coarse": F.pmod("h", F.lit(8))})
+    for keys in (["lang", "fine"], ["lang", "coarse"], ["lang"]):  # so that no task ranks a whole language
         place = place.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("n") <= per_language).drop("n")
-    picked = place.select("doc_id", "lang", "h").distinct()
-    texts = rows.withColumn("h", F.xxhash64("doc_id", "text")).join(picked, ["doc_id", "lang", "h"], "left_semi").dropDuplicates(["doc_id", "lang", "h"])
-    found = texts.select("text", "lang").mapInArrow(_features_of, "x binary, lang string").collect()
+    picked = place.select("doc_id", "lang", "h").distinct().limit(MAX_LANGUAGES * per_language + 1).collect()
+    if len(picked) > MAX_LANGUAGES * per_language:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages; raise MAX_LANGUAGES if the driver can hold their samples")
+    spark, keys = docs.sparkSession, ["doc_id", "lang", "h"]
+    wanted = F.broadcast(spark.createDataFrame(picked, "doc_id long, lang string, h long"))  # bounded by the parameters alone
+    found = rows.join(wanted, keys, "left_semi").select(*keys, "text").mapInArrow(_features_of, "doc_id long, lang string, h long, x binary")
+    found = found.groupBy(*keys).agg(F.min("x").alias("x")).collect()
     found = sorted((bytes(r.x), r.lang) for r in found)  # the fit doesn't depend on the order of tasks
     x = np.array([np.frombuffer(r[0], np.float16) for r in found], np.float32).reshape(-1, WIDTH)
     return fit(x, [r[1] for r in found])
