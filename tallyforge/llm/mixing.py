@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -27,9 +27,11 @@ from . import common
 
 #: Weights by a source's place, repeating; the mix's share of all words; the most a source is repeated.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
-BLOCK_WORDS, SHARDS, BUCKETS, MAX_SOURCES = 256, 64, 1024, 100_000
+BLOCK_WORDS, SHARDS, MAX_SOURCES = 256, 64, 100_000
 #: Slots in one row of the plan before they are spread out.
-RUN = 1 << 16
+RUN = 1 << 14
+#: Documents of a source that are ordered together, and the buckets beyond which there are more, up to so many.
+BUCKET_ROWS, BUCKETS, MOST_ROWS = 500, 1 << 16, 100_000
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
@@ -90,6 +92,7 @@ class Source:
     slots: int
     cut: int
     """Words of the last slot."""
+    rows: int = 0
 
 
 def _plan(key: str, place: int, size: int, target: float, block: int, seed: int) -> Source:
@@ -139,12 +142,12 @@ def _sized(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFr
 
 
 def plan_sources(sized: DataFrame, block: int, seed: int, max_sources: int = MAX_SOURCES) -> list[Source]:
-    rows = sized.groupBy("src").agg(F.sum("size").alias("size")).limit(max_sources + 1).collect()
+    rows = sized.groupBy("src").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(max_sources + 1).collect()
     if len(rows) > max_sources:
         raise ValueError(f"more than {max_sources} sources; raise max_sources if the driver can hold them")
     rows = sorted(rows, key=lambda r: (r.src == "n", r.src))
     wanted = targets([r.size for r in rows])
-    return [_plan(r.src, k, r.size, t, block, seed) for k, (r, t) in enumerate(zip(rows, wanted, strict=True))]
+    return [replace(_plan(r.src, k, r.size, t, block, seed), rows=r.n) for k, (r, t) in enumerate(zip(rows, wanted, strict=True))]
 
 
 def slot_blocks(spark, sources: list[Source], block: int, shards: int, seed: int) -> DataFrame:
@@ -158,17 +161,20 @@ def slot_blocks(spark, sources: list[Source], block: int, shards: int, seed: int
     ]
     plan = spark.createDataFrame(runs, "shard int, src string, place int, first long, slot0 long, n long, blocks long, slots long, cut long")
     plan = plan.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("n") - 1) / RUN).cast("long"))))
-    plan = plan.repartition(shards, "shard", "src", "run")
+    total = sum(s.slots for s in sources)
+    tasks = min(-(-total // RUN), max(1000, total >> 21))  # tasks of a run each, of some million slots in large mixes
+    plan = plan.repartition(max(1, tasks), "shard", "src", "run")
     plan = plan.withColumn("k", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("n"), (F.col("run") + 1) * RUN) - 1)))
     plan = plan.withColumn("j", F.col("first") + F.col("k"))
 
     @F.pandas_udf("long")
     def mapped(place: pd.Series, j: pd.Series, blocks: pd.Series) -> pd.Series:
-        out = np.empty(len(j), np.int64)
-        epoch = (j // blocks).to_numpy()
-        for p, e, n in set(zip(place, epoch, blocks, strict=True)):
-            rows = ((place == p) & (epoch == e)).to_numpy()
-            out[rows] = permute((j[rows] % n).to_numpy(), int(n), _key(seed, int(p), int(e)))
+        at, out = place.to_numpy(), np.empty(len(j), np.int64)
+        epoch, rest = np.divmod(j.to_numpy(), blocks.to_numpy())
+        order = np.lexsort((epoch, at))
+        change = (np.diff(at[order]) != 0) | (np.diff(epoch[order]) != 0)
+        for rows in np.split(order, np.flatnonzero(change) + 1) if len(order) else []:
+            out[rows] = permute(rest[rows], int(blocks.iat[rows[0]]), _key(seed, int(at[rows[0]]), int(epoch[rows[0]])))
         return pd.Series(out)
 
     return plan.select(
@@ -177,11 +183,14 @@ def slot_blocks(spark, sources: list[Source], block: int, shards: int, seed: int
     )
 
 
-def placed(sized: DataFrame) -> DataFrame:
+def placed(sized: DataFrame, sources: list[Source]) -> DataFrame:
     """Adds bucket, row (place in the bucket) and start, the words of the source before the document.
 
-    Two levels, so that no task holds a whole source. Equal rows may change places."""
-    bucketed = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int"))
+    Two levels, so that no task holds a whole source: as many buckets as its largest source needs. Equal rows may change
+    places."""
+    most = max([1, *(s.rows for s in sources)])
+    buckets = min(-(-most // BUCKET_ROWS), max(BUCKETS, -(-most // MOST_ROWS)))
+    bucketed = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
     sums = bucketed.groupBy("src", "bucket").agg(F.sum("size").alias("bucket_words"))
     ahead = sums.select("src", "bucket", (F.sum("bucket_words").over(Window.partitionBy("src").orderBy("bucket")) - F.col("bucket_words")).alias("ahead"))
     order = Window.partitionBy("src", "bucket").orderBy("doc_id", "size", *(["h"] if "h" in sized.columns else []))
@@ -221,7 +230,7 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
     sized = common.written(_sized(df, id_col, text_col, source_col), common.shared_dir(spark))
     sources = plan_sources(sized, block, seed)
     facts = spark.createDataFrame([(s.key, s.size, float(s.target)) for s in sources], "src string, source_size long, target double")
-    docs = placed(sized)
+    docs = placed(sized, sources)
     use = block_use(spark, sources, block, shards, seed)
     took = overlaps(docs, block).join(use, ["src", "block"]).groupBy("src", "bucket", "doc_id", "row").agg(
         F.sum(F.col("times") * (F.col("b") - F.col("a")) + F.greatest(F.lit(0), F.least(F.col("cut"), F.col("b")) - F.col("a"))).alias("taken")
@@ -265,7 +274,7 @@ class _Copying:
     def __call__(self, batches):
         for batch in batches:
             for part in common.chunks(batch):
-                texts, uses = (part.column(part.schema.names.index(c)).to_pylist() for c in (self.text_col, "__uses"))
+                texts, uses = (part.column(k).to_pylist() for k in (self.names.index(self.text_col), len(self.names)))
                 rows, made = [], []
                 for k, (t, u) in enumerate(zip(texts, uses, strict=True)):
                     for text in copies(t or "", [(x["a"], x["b"], x["times"]) for x in u or []]):
@@ -284,12 +293,14 @@ def mixed_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     ``n_chars``, where there is one, follows the text. Documents that the mix doesn't take are left out."""
     spark = df.sparkSession
-    sized = df.select("*", *(c.alias(f"__{n}") for n, c in _facts(id_col, text_col, source_col).items()))
-    slim = sized.select(*(F.col(f"__{n}").alias(n) for n in ("doc_id", "src", "size", "h")))
+    facts = _facts(id_col, text_col, source_col)
+    own = {n: common.fresh(n, df) for n in (*facts, "nth", "uses")}
+    sized = df.select("*", *(c.alias(own[n]) for n, c in facts.items()))
+    slim = sized.select(*(F.col(own[n]).alias(n) for n in ("doc_id", "src", "size", "h")))
     slim = common.written(slim, common.shared_dir(spark))
     sources = plan_sources(slim, block, seed)
     use = block_use(spark, sources, block, shards, seed)
-    docs = placed(slim)
+    docs = placed(slim, sources)
     parts = overlaps(docs, block).join(use, ["src", "block"])
     first, a, b = F.col("block") * block - F.col("start"), F.col("a"), F.col("b")
     c = F.least(F.greatest(F.col("cut"), a), b)  # the words before c are taken once more
@@ -297,12 +308,12 @@ def mixed_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         F.struct((first + a).alias("a"), (first + c).alias("b"), (F.col("times") + 1).alias("times")),
         F.struct((first + c).alias("a"), (first + b).alias("b"), F.col("times").alias("times")),
     )
-    uses = parts.groupBy("src", "bucket", "row", "doc_id", "h").agg(F.flatten(F.collect_list(ranges)).alias("__uses"))
+    uses = parts.groupBy("src", "bucket", "row", "doc_id", "h").agg(F.flatten(F.collect_list(ranges)).alias("uses"))
     # rows of one id, source and text are alike: the n-th of them gets the n-th uses
     alike = Window.partitionBy("doc_id", "h", "src").orderBy("row")
-    uses = uses.withColumn("nth", F.row_number().over(alike)).select(F.col("doc_id").alias("__doc_id"), F.col("h").alias("__h"), F.col("src").alias("__src"), F.col("nth").alias("__nth"), "__uses")
-    numbered = sized.withColumn("__nth", F.row_number().over(Window.partitionBy("__doc_id", "__h", "__src").orderBy(F.lit(0))))
-    keys = [F.col(f"l.__{k}").eqNullSafe(F.col(f"r.__{k}")) for k in ("doc_id", "h", "src", "nth")]
+    uses = uses.withColumn("nth", F.row_number().over(alike)).select("doc_id", "h", "src", "nth", "uses")
+    numbered = sized.withColumn(own["nth"], F.row_number().over(Window.partitionBy(own["doc_id"], own["h"], own["src"]).orderBy(F.lit(0))))
+    keys = [F.col(f"l.`{own[k]}`").eqNullSafe(F.col(f"r.{k}")) for k in ("doc_id", "h", "src", "nth")]
     joined = numbered.alias("l").join(uses.alias("r"), keys)
-    rows = joined.select(*(F.col(f"l.`{n}`") for n in df.columns), "__uses")
+    rows = joined.select(*(F.col(f"l.`{n}`") for n in df.columns), F.col("r.uses").alias(own["uses"]))
     return rows.mapInArrow(_Copying(df.columns, text_col), df.schema)

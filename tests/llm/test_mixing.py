@@ -52,6 +52,7 @@ def test_small_tables(spark):
     checked(rows, docs)
     assert sorted(rows) == sorted(mixing.mix(df.repartition(3)).collect())
     assert mixing.mix(df.limit(0)).count() == 0
+    assert mixing.mixed_documents(df.selectExpr("*", "1 AS __uses", "2 AS uses", "3 AS nth", "4 AS H")).columns[-4:] == ["__uses", "uses", "nth", "H"]
     twice = spark.createDataFrame([(1, "a b c", "x")] * 4, "doc_id long, text string, source string")
     assert len(mixing.mix(twice).collect()) == 4
 
@@ -68,6 +69,43 @@ def test_op4_query(spark, sf):
     checked(queries.QUERIES["op4_source_mix"](spark, sf).collect(), docs)
 
 
+def plain_targets(sizes):
+    """Shares by weight, full sources taken out one after the other, the fullest first."""
+    weight = [(5, 2, 1)[k % 3] for k in range(len(sizes))]
+    out, open_, left = {}, set(range(len(sizes))), 1.5 * sum(sizes)
+    while open_:
+        total = sum(weight[k] for k in open_)
+        k = min(open_, key=lambda k: (sizes[k] / weight[k], k))
+        if left * weight[k] / total < 2 * sizes[k]:
+            return [out[k] if k in out else left * weight[k] / total for k in range(len(sizes))]
+        out[k] = 2 * sizes[k]
+        left -= out[k]
+        open_.remove(k)
+    return [out[k] for k in range(len(sizes))]
+
+
+def test_targets_by_another_way():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 5, 9):
+        for _ in range(50):
+            sizes = rng.integers(0, 1000, n).tolist()
+            assert mixing.targets(sizes) == pytest.approx(plain_targets(sizes))
+
+
+def test_one_task_a_run(spark):
+    s = mixing._plan("sa", 0, 10**7, 10**7, 64, 1)
+    assert mixing.slot_blocks(spark, [s], 64, 4, 1).rdd.getNumPartitions() >= -(-s.slots // mixing.RUN)
+
+
+def test_blocks_are_taken_evenly(spark):
+    """Each block of a source as often as its slots' epochs say, by counting in Python."""
+    s = mixing._plan("sa", 3, 1000, 1700, 64, 1)
+    want = [int(mixing.permute(np.array([j % s.blocks]), s.blocks, mixing._key(1, 0, j // s.blocks))[0]) for j in range(s.slots)]
+    got = mixing.slot_blocks(spark, [s], 64, 4, 1).collect()
+    assert sorted(r.block for r in got) == sorted(want) and max(want.count(b) for b in want) <= 2
+    assert sorted(r.words for r in got).count(64) >= s.slots - 1
+
+
 def test_slots_are_blocks(spark):
     sources = [mixing._plan("sa", 0, 1000, 1300, 64, 1), mixing._plan("sb", 1, 10, 20, 64, 1)]
     rows = mixing.slot_blocks(spark, sources, 64, 4, 1).collect()
