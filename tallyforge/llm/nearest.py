@@ -2,14 +2,17 @@
 
 A vector is stored as its nearest of ``CELLS`` centres, the length of the residual, and four bits for each pair of the
 residual direction's dimensions. Codes and codebooks minimise the squared error plus ``ETA`` - 1 times the square of
-its part along the vector, which is what shifts large inner products. Queries are scanned against all vectors, in
-blocks: two codes share a byte and a table of 256 sums; the best ``RERANK`` of a block go to exact products, added
-up in double precision in order of dimensions.
+its part along the vector, which is what shifts large inner products. The index is a written table; each task has a
+block of queries, reads the index's codes from the shared folder block by block, and keeps the best ``RERANK`` rows of each
+query: two codes share a byte and a table of 256 sums. It then reads the vectors of these rows for exact products, added up
+in double precision in order of dimensions. Neither codes nor vectors are shuffled to the queries, and what a query passes
+on doesn't grow with the table.
 
 Queries are the rows whose id is divisible by ``EVERY``. Null and zero vectors, vectors with null or non-finite
-components, and those of another length than the most frequent one take no part. Equal vectors are scanned once: they stand for
-their smallest ids, more than which no answer can hold. Rows that repeat id and vector count once. The codebooks are
-fitted to at most ``FIT_ROWS`` vectors, the first by a hash of their id; every vector is indexed.
+components, and those of another length than the most frequent one take no part, as do rows without an id. Equal vectors are
+scanned once: they stand for their smallest ids, more than which no answer can hold. Rows that repeat id and vector count
+once. Equal products are ranked by id. An empty table gives no rows; other columns are not read. The codebooks are fitted to
+at most ``FIT_ROWS`` vectors, the first by a hash of their id; every vector is indexed.
 """
 
 from __future__ import annotations
@@ -18,15 +21,17 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 EVERY, TOP, FIT_ROWS, CELLS, CENTRES, RERANK = 20, 20, 8192, 64, 16, 256
-QUERY_BLOCK, ROW_BLOCK, SUB = 1024, 8192, 64
+#: Queries of a task at most, queries worth a task and tasks of small tables; rows of the index, and queries, scored at once.
+QUERY_BLOCK, LEAST_BLOCK, TASKS, ROW_BLOCK, SUB = 4096, 32, 24, 1 << 15, 64
 THRESHOLD, SEED = 0.2, 29
 
 
@@ -120,39 +125,93 @@ class Model:
 
 
 def exact(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Inner products of a query with rows, in double precision, dimension by dimension."""
+    """Inner products of queries with rows, one each, in double precision, dimension by dimension."""
     out = np.zeros(len(rows))
-    for d in range(len(q)):
-        out += np.float64(q[d]) * rows[:, d].astype(np.float64)
+    for d in range(q.shape[1]):
+        out += q[:, d].astype(np.float64) * rows[:, d].astype(np.float64)
     return out
 
 
-def _scan(queries: pd.DataFrame, rows: pd.DataFrame, model: Model) -> pd.DataFrame:
-    """The best rows of a block for each query of a block: ids and exact scores."""
-    out: list[tuple[int, int, float]] = []
-    if len(queries) and len(rows):
-        q = np.frombuffer(b"".join(queries["vec"]), np.float32).reshape(len(queries), -1)
-        x = np.frombuffer(b"".join(rows["vec"]), np.float32).reshape(len(rows), -1)
-        cell, norm = rows["cell"].to_numpy(), rows["norm"].to_numpy()
-        code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1).T.astype(np.intp)
-        ids = rows["ids"].tolist()
-        least = np.array([i[0] for i in ids])
-        for lo in range(0, len(q), SUB):
-            centre, table = model.tables(q[lo : lo + SUB].astype(np.float64))
-            score = np.zeros((len(centre), len(rows)), np.float32)
+class Best:
+    """The rows of largest estimates of each query, over blocks of an index that are handed in one after the other."""
+
+    def __init__(self, model: Model, q: np.ndarray, depth: int):
+        self.q, self.depth, self.rows = q, depth, 0
+        self.tables = [model.tables(q[lo : lo + SUB].astype(np.float64)) for lo in range(0, len(q), SUB)]
+        self.score = np.full((len(q), depth), -np.inf, np.float32)
+        self.place = np.full((len(q), depth), -1, np.int64)
+
+    def add(self, cell: np.ndarray, norm: np.ndarray, code: np.ndarray) -> None:
+        """Codes have a row for each byte."""
+        n = len(cell)
+        for k, (centre, table) in enumerate(self.tables):
+            at = slice(k * SUB, (k + 1) * SUB)
+            score = np.zeros((len(centre), n), np.float32)
             for m in range(len(code)):
                 score += np.take(table[m], code[m], axis=1)
-            score = score * norm + np.take(centre, cell, axis=1)
-            depth = min(RERANK, len(rows))
-            best = np.argpartition(-score, depth - 1, axis=1)[:, :depth]
-            for k, row in enumerate(best):
-                s = exact(q[lo + k], x[row])
-                order = np.lexsort((least[row], -s))[: TOP + 1]
-                found = [(float(s[o]), int(i)) for o in order for i in ids[row[o]]]
-                found.sort(key=lambda f: (-f[0], f[1]))
-                qid = int(queries["qid"].iat[lo + k])
-                out += [(qid, i, f) for f, i in found[: TOP + 1]]
-    return pd.DataFrame(out, columns=["qid", "vec_id", "score"]).astype({"qid": np.int64, "vec_id": np.int64, "score": np.float64})
+            score *= norm
+            score += np.take(centre, cell, axis=1)
+            first = np.argpartition(-score, self.depth - 1, axis=1)[:, : self.depth] if n > self.depth else np.broadcast_to(np.arange(n), score.shape)
+            both = np.hstack([self.score[at], np.take_along_axis(score, first, 1)])
+            place = np.hstack([self.place[at], first + self.rows])
+            keep = np.argpartition(-both, self.depth - 1, axis=1)[:, : self.depth]
+            self.score[at], self.place[at] = np.take_along_axis(both, keep, 1), np.take_along_axis(place, keep, 1)
+        self.rows += n
+
+
+def _blocks(where: str, columns: list[str], rows: int) -> Iterator[pa.RecordBatch]:
+    """The index, in the same order every time."""
+    fs, base = common.filesystem(where)
+    for f in sorted(fs.get_file_info(FileSelector(base)), key=lambda f: f.path):
+        if f.path.endswith(".parquet"):
+            with fs.open_input_file(f.path) as source:
+                yield from pq.ParquetFile(source).iter_batches(rows, columns=columns)
+
+
+def _matrix(column: pa.Array, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def _answered(q: np.ndarray, model: Model, where: str, depth: int, row_block: int) -> list[list[tuple[int, float]]]:
+    """(vec_id, product) of the nearest rows of each query, its own among them."""
+    best = Best(model, q, depth)
+    for block in _blocks(where, ["cell", "norm", "code"], row_block):
+        best.add(block.column(0).to_numpy(), block.column(1).to_numpy(), np.ascontiguousarray(_matrix(block.column(2), np.uint8).T))
+    flat = best.place.ravel()
+    order = np.argsort(flat, kind="stable")
+    score, least, more = np.full(len(flat), -np.inf), np.zeros(len(flat), np.int64), {}
+    at, row = int(np.searchsorted(flat[order], 0)), 0
+    for block in _blocks(where, ["ids", "vec"], row_block):
+        end = at + int(np.searchsorted(flat[order[at:]], row + block.num_rows))
+        wanted = order[at:end]
+        if len(wanted):
+            local = flat[wanted] - row
+            used, back = np.unique(local, return_inverse=True)
+            ids = block.column(0).take(pa.array(used)).to_pylist()
+            score[wanted] = exact(q[wanted // depth], _matrix(block.column(1).take(pa.array(used)), np.float32)[back])
+            least[wanted] = np.array([i[0] for i in ids])[back]
+            more |= {row + int(u): i for u, i in zip(used, ids, strict=True) if len(i) > 1}
+        at, row = end, row + block.num_rows
+    out = []
+    for k in range(len(q)):
+        own = slice(k * depth, (k + 1) * depth)
+        found = []
+        for o in np.lexsort((least[own], -score[own]))[: TOP + 1].tolist():
+            place = int(best.place[k, o])
+            if place >= 0:
+                found += [(i, float(score[own][o])) for i in more.get(place, [int(least[own][o])])]
+        out.append(sorted(found, key=lambda f: (-f[1], f[0]))[: TOP + 1])
+    return out
+
+
+def _searched(batches: Iterator[pa.RecordBatch], model: Model, where: str, depth: int, query_block: int, row_block: int) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
+    for batch in batches:
+        for lo in range(0, batch.num_rows, query_block):
+            part = batch.slice(lo, query_block)
+            found = _answered(_matrix(part.column(1), np.float32), model, where, depth, row_block)
+            rows = [[{"vec_id": i, "score": s} for i, s in f] for f in found]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, kind)], ["h", "vec", "found"])
 
 
 def _coded(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -161,7 +220,7 @@ def _coded(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
             part = batch.slice(lo, 512)
             vec = part.column(1).to_pylist()
             cell, norm, code = model.encode(np.frombuffer(b"".join(vec), np.float32).reshape(len(vec), -1))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell), pa.array(norm), pa.array([c.tobytes() for c in code], pa.binary())], ["ids", "vec", "block", "cell", "norm", "code"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell), pa.array(norm), pa.array([c.tobytes() for c in code], pa.binary())], ["ids", "vec", "cell", "norm", "code"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,23 +250,14 @@ def search(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embeddin
     for keys in (["h", "vec", "salt"], ["h", "vec"]):  # the smallest ids of equal vectors, of which there may be many
         ids = ids.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("vec_id"))).where(F.col("n") <= TOP + 1)
     classes = ids.groupBy("h", "vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    asked = packed.where(F.col("vec_id") % EVERY == 0)
-    wanted = asked.groupBy("h", "vec").agg(F.min("vec_id").alias("qid"))
-    sizes = classes.groupBy().count().collect()[0][0], wanted.groupBy().count().collect()[0][0]
-    blocks, query_blocks = -(-sizes[0] // ROW_BLOCK), max(1, -(-sizes[1] // QUERY_BLOCK))
-    indexed = classes.withColumn("block", F.pmod("h", F.lit(blocks)).cast("int")).select("ids", "vec", "block").mapInArrow(partial(_coded, model=model), "ids array<long>, vec binary, block int, cell int, norm float, code binary")
-    indexed = common.written(indexed, f"{where}/index")
-    left = wanted.withColumn("qb", F.pmod(F.hash("h"), F.lit(query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("qid", "vec", "qb", "block")
-    right = indexed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    pairs = left.groupBy("qb", "block").cogroup(right.groupBy("qb", "block"))
-
-    def scan(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        return _scan(queries, block, model)
-
-    found = pairs.applyInPandas(scan, "qid long, vec_id long, score double")
-    nearest = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= TOP + 1).drop("n")
-    answers = wanted.join(found, "qid").drop("qid")
-    mine = asked.select("h", "vec", F.col("vec_id").alias("query_id")).join(answers, ["h", "vec"]).where("query_id <> vec_id")
-    ranked = mine.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "vec").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= TOP).select("query_id", "rank", "vec_id", "score")
+    coded = classes.select("ids", "vec").mapInArrow(partial(_coded, model=model), "ids array<long>, vec binary, cell int, norm float, code binary")
+    common.written(coded, f"{where}/index")
+    asked = packed.where(F.col("vec_id") % EVERY == 0).select("h", "vec", F.col("vec_id").alias("query_id"))
+    wanted = common.written(asked.select("h", "vec").distinct(), f"{where}/wanted")
+    queries = wanted.count()
+    tasks = max(1, -(-queries // QUERY_BLOCK), min(TASKS, -(-queries // LEAST_BLOCK)))
+    search_in = partial(_searched, model=model, where=f"{where}/index", depth=RERANK, query_block=QUERY_BLOCK, row_block=ROW_BLOCK)
+    answers = wanted.repartition(tasks).mapInArrow(search_in, "h long, vec binary, found array<struct<vec_id: long, score: double>>")
+    others = F.slice(F.filter("found", lambda f: f.vec_id != F.col("query_id")), 1, TOP)
+    ranked = asked.join(answers, ["h", "vec"]).select("query_id", F.posexplode(others).alias("k", "f"))
+    return ranked.select("query_id", (F.col("k") + 1).alias("rank"), "f.vec_id", "f.score")

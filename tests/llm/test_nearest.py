@@ -53,6 +53,43 @@ def test_codes_shrink_parallel_error():
     assert np.corrcoef(score.ravel(), (x[:3] @ x[:50].T).ravel())[0, 1] > 0.9
 
 
+def test_recall_of_full_blocks():
+    """Rows by the ten thousands: normal ones, ones of many lengths, and clusters."""
+    rng = np.random.default_rng(1)
+    n, normal = 20_000, rng.normal(size=(20_000, 64))
+    tables = {"normal": normal, "lengths": normal * rng.lognormal(size=(n, 1)), "clusters": rng.normal(size=(20, 64))[rng.integers(20, size=n)] + 0.3 * normal}
+    for name, x in tables.items():
+        x = x.astype(np.float32)
+        model = nearest.Model(x[: nearest.FIT_ROWS])
+        cell, norm, code = model.encode(x)
+        asked = np.arange(0, n, 400)
+        best = nearest.Best(model, x[asked], nearest.RERANK)
+        for lo in range(0, n, 7000):
+            best.add(cell[lo : lo + 7000], norm[lo : lo + 7000], np.ascontiguousarray(code[lo : lo + 7000].T))
+        assert all(len(set(p.tolist())) == nearest.RERANK for p in best.place)
+        top = np.argsort(-(x[asked].astype(np.float64) @ x.T.astype(np.float64)), axis=1)[:, :20]
+        assert np.mean([len(set(p.tolist()) & set(t.tolist())) / 20 for p, t in zip(best.place, top, strict=True)]) > 0.95, name
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    sf = "/root/testdata/sf0.01"
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    monkeypatch.setattr(nearest, "RERANK", 40)
+    one = sorted(nearest.search(df).collect())
+    monkeypatch.setattr(nearest, "ROW_BLOCK", 17)
+    monkeypatch.setattr(nearest, "QUERY_BLOCK", 3)
+    assert sorted(nearest.search(df).collect()) == one
+
+
+def test_an_id_with_two_vectors(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i % 40, rng.normal(size=4).astype(np.float32).tolist()) for i in range(80)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    x = {(i, tuple(v)): np.array(v, np.float32).astype(np.float64) for i, v in rows}
+    for r in nearest.search(df).collect():
+        assert any(abs(float(a @ b) - r.score) < 1e-12 for (i, _), a in x.items() if i == r.query_id for (j, _), b in x.items() if j == r.vec_id)
+
+
 def test_rows(spark):
     rng = np.random.default_rng(7)
     rows = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(300)]
