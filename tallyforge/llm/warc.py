@@ -1,13 +1,19 @@
 """WARC archives with an external merge of their index.
 
 Every task writes an archive of gzip members, a record each, and the index entries of its captures as sorted runs.
-Runs are merged by a loser tree on (URL key, timestamp, record), in ranges of keys that split the samples evenly,
+Runs are merged by a loser tree on (URL key, timestamp, record), in ranges of keys of about ``RANGE_CAPTURES`` captures,
 into index files that are in order over all ranges: the capture histories. More than ``FAN_IN`` runs are merged in passes.
-Readers follow the merged index back into the archives.
+Beside each run stand two small files: keys and places of some lines, by which a merge finds where its range
+begins, and at most ``SAMPLES`` keys that split the run evenly. The driver holds the names of the runs, and the samples of
+``FAN_IN`` runs at most; a merge is told its own runs and bounds alone. Readers follow the merged index back into the
+archives.
 
 Of records with equal payloads the one with the largest page_id is a response; the others are revisits that carry its
 id, the payload's digest and length, but no payload. Null html is an empty payload; a null URL has the key ``-``.
 Repeated rows of the kept id are all responses. Files of failed or repeated tasks are never listed, hence never read.
+Which pages are revisits is found by digests alone, and joined to the pages by their ids, so that no group of equal
+payloads comes to one task. Payloads of any length are taken whole. An empty table gives no files and no captures; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -16,7 +22,6 @@ import base64
 import bisect
 import gzip
 import hashlib
-import io
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,7 +36,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-RUN_CAPTURES, SAMPLES, FAN_IN, RANGES, LEVEL = 50_000, 64, 128, 24, 1
+RUN_CAPTURES, SAMPLES, FAN_IN, LEVEL = 50_000, 256, 128, 1
+#: Lines from one known place of a run to the next at least, and known places of a run at most, about.
+STEP, PLACES = 256, 1 << 14
+#: Captures of a merged index file at most, about; files that are made of smaller tables; captures worth a file.
+RANGE_CAPTURES, FILES, LEAST_CAPTURES = 1_000_000, 24, 2000
+#: Buckets over which the pages of one digest are dealt.
+SALTS = 32
 _NONE = -(1 << 63)
 _START = datetime(2020, 1, 1, tzinfo=timezone.utc)
 
@@ -101,28 +112,52 @@ def _entry(line: bytes) -> Entry:
     return key, when, int(page), name, int(at), int(n)
 
 
-def _spill(fs, base: str, name: str, entries: list[Entry]) -> dict:
-    """Writes a sorted run, with an index of every so many lines' first key and place."""
-    entries.sort()
-    step = max(1, -(-len(entries) // SAMPLES))
-    samples, at = [], 0
-    with fs.open_output_stream(f"{base}/{name}", buffer_size=1 << 18) as out:
-        for k, e in enumerate(entries):
-            line = _line(e)
-            if k % step == 0:
-                samples.append((e[0], e[1], e[2], at))
-            out.write(line)
-            at += len(line)
-    return {"run": name, "bytes": at, "samples": samples}
+class _Run:
+    """Writes a sorted run, and beside it what finds places in it and splits it."""
 
+    def __init__(self, fs, base: str, name: str, count: int):
+        self.fs, self.path, self.name = fs, f"{base}/{name}", name
+        self.every, self.step = max(1, -(-count // SAMPLES)), max(STEP, count // PLACES)
+        self.out, self.places = (fs.open_output_stream(f"{base}/{name}{end}", buffer_size=1 << 18) for end in ("", ".at"))
+        self.samples: list[bytes] = []
+        self.count = self.at = 0
 
-_TOLD = "archive string, run string, bytes long, samples array<struct<key: string, ts: string, page: long, at: long>>"
-_SAMPLE = pa.list_(pa.struct([("key", pa.string()), ("ts", pa.string()), ("page", pa.int64()), ("at", pa.int64())]))
+    def add(self, e: Entry) -> None:
+        line = _line(e)
+        if self.count % self.step == 0:
+            self.places.write(f"{e[0]}\t{e[1]}\t{e[2]}\t{self.at}\n".encode())
+        if self.count % self.every == self.every // 2:
+            self.samples.append(f"{e[0]}\t{e[1]}\t{e[2]}\n".encode())
+        self.out.write(line)
+        self.at += len(line)
+        self.count += 1
 
+    def close(self) -> tuple[str, int]:
+        self.out.close()
+        self.places.close()
+        with self.fs.open_output_stream(f"{self.path}.split") as f:
+            f.write(b"".join(self.samples))
+        return self.name, self.count
 
-def _told(name: str, runs: list[dict]) -> pa.RecordBatch:
-    samples = [[dict(zip(("key", "ts", "page", "at"), s, strict=True)) for s in r["samples"]] for r in runs]
-    return pa.RecordBatch.from_arrays([pa.array([name] * len(runs), pa.string()), pa.array([r["run"] for r in runs], pa.string()), pa.array([r["bytes"] for r in runs], pa.int64()), pa.array(samples, _SAMPLE)], ["archive", "run", "bytes", "samples"])
+
+def _spill(fs, base: str, name: str, entries: list[Entry]) -> tuple[str, int]:
+    run = _Run(fs, base, name, len(entries))
+    for e in sorted(entries):
+        run.add(e)
+    return run.close()
+
+
+_TOLD = "part string, run string, captures long"
+
+
+def _told(name: str, runs: list[tuple[str, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([name] * len(runs), pa.string()), pa.array([r[0] for r in runs], pa.string()), pa.array([r[1] for r in runs], pa.int64())], ["part", "run", "captures"])
+
+
+def _keys(fs, path: str) -> list[tuple]:
+    """Lines of a side file: key, timestamp, page, and whatever number follows."""
+    with fs.open_input_stream(path) as f:
+        return [(key, when, *map(int, rest)) for key, when, *rest in (line.split("\t") for line in f.read().decode().splitlines())]
 
 
 def _write(batches: Iterator[pa.RecordBatch], where: str, level: int) -> Iterator[pa.RecordBatch]:
@@ -155,16 +190,21 @@ def _write(batches: Iterator[pa.RecordBatch], where: str, level: int) -> Iterato
         yield _told(name, runs)
 
 
-def write_archives(df: DataFrame, where: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", level: int = LEVEL) -> list[dict]:
-    """Writes archives and runs; returns the runs. Payloads that occur once or by the largest id are stored."""
+def write_archives(df: DataFrame, where: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", level: int = LEVEL) -> list[tuple[str, int]]:
+    """Writes archives and runs; returns the runs and their captures. Payloads that occur once or by the largest id are stored."""
     fs, base = common.filesystem(where)
     fs.create_dir(base, recursive=True)
     html = F.col(html_col).cast("string")
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.unhex(F.sha1(F.coalesce(html, F.lit("")).cast("binary"))).alias("digest"))
-    kept = pages.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("digest", "keeper")
-    rows = pages.join(kept, "digest", "left").select("page_id", "url", "html", "keeper")
+    slim = pages.select("page_id", "digest").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
+    kept = slim.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 AND keeper IS NOT NULL")
+    kept = kept.select("digest", "keeper", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    again = slim.join(kept, ["digest", "salt"]).where("page_id IS NULL OR page_id <> keeper").select("page_id", "digest", "keeper").distinct()
+    again = again.select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "keeper")
+    same = F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest"))
+    rows = pages.join(again, same, "left").select("page_id", "url", "html", "keeper")
     told = rows.mapInArrow(partial(_write, where=where, level=level), _TOLD).collect()
-    return [r.asDict(recursive=True) for r in sorted(told, key=lambda r: r.run)]
+    return sorted((r.run, r.captures) for r in told)
 
 
 class LoserTree:
@@ -204,60 +244,73 @@ class LoserTree:
             self._play(leaf)
 
 
-def _part(fs, base: str, run: dict, low, high) -> Iterator[Entry]:
-    """Entries of a run with low <= key < high (None: open), read from the last sample at or before low."""
-    keys = [(s["key"], s["ts"], s["page"]) for s in run["samples"]]
-    k = max(0, bisect.bisect_left(keys, low) - 1) if low is not None else 0
-    start = run["samples"][k]["at"] if keys else 0
-    with fs.open_input_file(f"{base}/{run['run']}") as f:
+def _part(fs, base: str, name: str, low, high) -> Iterator[Entry]:
+    """Entries of a run with low <= key < high (None: open), read from the last known place at or before low."""
+    start = 0
+    if low is not None:
+        places = _keys(fs, f"{base}/{name}.at")
+        k = bisect.bisect_left([p[:3] for p in places], low) - 1
+        start = places[k][3] if k >= 0 else 0
+    with fs.open_input_file(f"{base}/{name}") as f:
         f.seek(start)
-        for line in io.BufferedReader(f, 1 << 18) if hasattr(f, "readinto") else io.BytesIO(f.read()):
-            e = _entry(line)
-            if low is not None and e[:3] < low:
-                continue
-            if high is not None and e[:3] >= high:
-                return
-            yield e
-
-
-def _merge(batches: Iterator[pa.RecordBatch], where: str, runs: list[dict], ranges: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """Each row asks for one merge: the runs from first to end, within a range of keys, into one file."""
+        for lines in _some(f, 256):
+            for line in lines:
+                e = _entry(line)
+                if low is not None and e[:3] < low:
+                    continue
+                if high is not None and e[:3] >= high:
+                    return
+                yield e
+
+
+def _merge(batches: Iterator[pa.RecordBatch], where: str) -> Iterator[pa.RecordBatch]:
+    """Each row asks for one merge: its runs, the captures to expect and a range of keys, into one file."""
     fs, base = common.filesystem(where)
     task = TaskContext.get()
     for batch in batches:
-        for name, first, end, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            low, high = ranges[r] if r >= 0 else (None, None)
-            tree = LoserTree([_part(fs, base, run, low, high) for run in runs[first:end]])
-            file = f"{name}-{task.taskAttemptId()}.cdx"
-            samples, at, step = [], 0, RUN_CAPTURES // SAMPLES
-            with fs.open_output_stream(f"{base}/{file}", buffer_size=1 << 18) as out:
-                for k, e in enumerate(tree):
-                    if k % step == 0:
-                        samples.append((e[0], e[1], e[2], at))
-                    line = _line(e)
-                    out.write(line)
-                    at += len(line)
-            yield _told(name, [{"run": file, "bytes": at, "samples": samples}])
-
-
-def merge_runs(spark, where: str, runs: list[dict], *, fan_in: int = FAN_IN, ranges: int = RANGES) -> list[dict]:
-    """Globally ordered index files, in order."""
-
-    def merged(jobs: list[tuple], within: list[tuple], source: list[dict]) -> list[dict]:
-        asked = spark.createDataFrame(jobs, "name string, first int, end int, r int").repartition(len(jobs))
-        told = asked.mapInArrow(partial(_merge, where=where, runs=source, ranges=within), _TOLD).collect()
-        return [r.asDict(recursive=True) for r in sorted(told, key=lambda r: r.archive)]
+        for name, runs, captures, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            bounds = [None if k is None else (k["key"], k["ts"], k["page"]) for k in (low, high)]
+            out = _Run(fs, base, f"{name}-{task.taskAttemptId()}.cdx", captures)
+            for e in LoserTree([_part(fs, base, run, *bounds) for run in runs]):
+                out.add(e)
+            yield _told(name, [out.close()])
+
+
+def cuts(fs, base: str, runs: list[tuple[str, int]], ranges: int) -> list[tuple]:
+    """At most ``ranges`` - 1 keys that split the runs' captures evenly: each sample stands for its share of its run."""
+    weighed = []
+    for name, captures in runs:
+        keys = _keys(fs, f"{base}/{name}.split")
+        weighed += [(key, captures / len(keys)) for key in keys]
+    weighed.sort()
+    total, done, out = sum(w for _, w in weighed), 0.0, []
+    for key, weight in weighed:
+        if done >= total * (len(out) + 1) / ranges and len(out) < ranges - 1 and (not out or key > out[-1]):
+            out.append(key)
+        done += weight
+    return out
+
+
+def merge_runs(spark, where: str, runs: list[tuple[str, int]], *, fan_in: int = FAN_IN, range_captures: int = RANGE_CAPTURES) -> list[tuple[str, int]]:
+    """Globally ordered index files and their captures, in order."""
+    key = "struct<key: string, ts: string, page: long>"
+
+    def merged(jobs: list[tuple]) -> list[tuple[str, int]]:
+        asked = spark.createDataFrame(jobs, f"name string, runs array<string>, captures long, low {key}, high {key}").repartition(len(jobs))
+        told = asked.mapInArrow(partial(_merge, where=where), _TOLD).collect()
+        return [(r.run, r.captures) for r in sorted(told, key=lambda r: r.part)]
 
     level = 0
     while len(runs) > fan_in:
-        jobs = [(f"level{level}-{k:06d}", k, min(len(runs), k + fan_in), -1) for k in range(0, len(runs), fan_in)]
-        runs, level = merged(jobs, [], runs), level + 1
+        groups = [runs[k : k + fan_in] for k in range(0, len(runs), fan_in)]
+        runs, level = merged([(f"level{level}-{k:06d}", [r for r, _ in g], sum(n for _, n in g), None, None) for k, g in enumerate(groups)]), level + 1
     if not runs:
         return []
-    keys = sorted((s["key"], s["ts"], s["page"]) for run in runs for s in run["samples"])
-    cuts = sorted({keys[len(keys) * k // ranges] for k in range(1, ranges)})
-    within = list(zip([None, *cuts], [*cuts, None], strict=True))
-    return merged([(f"merged-{k:06d}", 0, len(runs), k) for k in range(len(within))], within, runs)
+    fs, base = common.filesystem(where)
+    total = sum(n for _, n in runs)
+    bounds = cuts(fs, base, runs, max(-(-total // range_captures), min(FILES, -(-total // LEAST_CAPTURES))))
+    within = zip([None, *bounds], [*bounds, None], strict=True)
+    return merged([(f"merged-{k:06d}", [r for r, _ in runs], total // (len(bounds) + 1), low, high) for k, (low, high) in enumerate(within)])
 
 
 def _captures(batches: Iterator[pa.RecordBatch], where: str) -> Iterator[pa.RecordBatch]:
@@ -305,7 +358,7 @@ def _some(f, count: int) -> Iterator[list[bytes]]:
         yield lines
 
 
-def read_captures(spark, where: str, index: list[dict]) -> DataFrame:
+def read_captures(spark, where: str, index: list[tuple[str, int]]) -> DataFrame:
     """The captures of the merged index in order within each file, with payloads of responses (null for revisits)."""
-    listed = spark.createDataFrame([(r["run"],) for r in index], "file string").repartition(max(1, len(index)))
+    listed = spark.createDataFrame([(name,) for name, _ in index], "file string").repartition(max(1, len(index)))
     return listed.mapInArrow(partial(_captures, where=where), "url_key string, timestamp string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
