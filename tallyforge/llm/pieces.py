@@ -6,9 +6,13 @@ with uniforms hashed from (seed, row key, word, step), so that a row's segmentat
 and text. No piece spans the gap before a word, hence the lattice splits there without loss, and words that recur
 are filtered once. Characters without a piece (U+2581 in the text too) are spelled in byte pieces.
 
+Words of more than ``LONG`` characters (scripts without spaces, encoded data) are filtered one by one with a window of the
+longest piece: of each place only its sum is kept, and the sampler works the shares out again where it passes. Texts of any
+length are taken whole, in parts of at most ``BATCH_CHARS`` characters of words, which change nothing.
+
 A piece's probability falls as 1 / (rank + ``OFFSET``) with its place in the vocabulary (a BPE model has ranks for scores),
-to the power ``THETA``; a byte counts as the last rank. Null gives null ids, empty text an empty list. Rows with
-equal keys and texts get equal segmentations.
+to the power ``THETA``; a byte counts as the last rank. Null gives null ids, empty text an empty list; a null key counts
+as 0. Rows with equal keys and texts get equal segmentations. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import hashlib
 import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +31,10 @@ from pyspark.sql import functions as F
 from . import common
 
 OFFSET, THETA, SEED = 3.0, 1.0, 11
-#: Characters of text that are segmented together.
-BATCH_CHARS = 1_500_000
+#: Characters of text that are segmented together; characters of a word that is filtered alone.
+BATCH_CHARS, LONG = 1_000_000, 2048
+#: Factor that keeps sums of a long word within a double's range.
+_LIFT = 1e200
 _SPACE, _RAW = 0x2581, 0x110001
 _WORDS = re.compile(r" *[^ ]+| +")
 _TURN = np.uint64(0x9E3779B97F4A7C15)
@@ -77,6 +84,12 @@ class Vocabulary:
         self.weight = (theta * (weight - np.log(np.exp(weight).sum()))).astype(np.float64)
         self.byte_weight = float(self.weight.min())
         self.longest = max(map(len, names))
+        self.names, self.share = names, np.exp(self.weight).tolist()
+        self.byte_share = float(np.exp(self.byte_weight))
+        self.reach: dict[str, int] = {}  # the longest piece that ends in a character
+        for piece in names:
+            self.reach[piece[-1]] = max(len(piece), self.reach.get(piece[-1], 1))
+        self.odd = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in self.reach and not any(c in piece for piece in names))
         prefixes: dict[int, int] = {}
         for piece, i in names.items():
             h = 0
@@ -188,6 +201,61 @@ class Lattice:
         return end, count, out
 
 
+class LongWord:
+    """Forward filtering of one word (with its space in front) in plain numbers, and samples of it."""
+
+    def __init__(self, v: Vocabulary, word: str):
+        self.v, self.word = v, word
+        self.spelled = word.replace("\u2581", v.odd).replace(" ", "\u2581")
+        self.sums, self.lifts = np.ones(len(word) + 1), np.zeros(len(word) + 1, np.int32)
+        sums, lifts = [1.0], [0]  # of the window alone
+        deep, lift = v.longest, 0
+        for i in range(1, len(word) + 1):
+            total = 0.0
+            for length, weight, _ in self.ways(i):
+                x = weight * sums[-length]
+                total += x * _LIFT if lifts[-length] < lift else x
+            if total < 1 / _LIFT:
+                total, lift = total * _LIFT, lift + 1
+            self.sums[i], self.lifts[i] = total, lift
+            sums.append(total)
+            lifts.append(lift)
+            if len(sums) > 4096:
+                del sums[:-deep], lifts[:-deep]
+
+    def ways(self, i: int):
+        """Length, weight and id (-1 for bytes) of what may end at a place, shorter ones first."""
+        v, text = self.v, self.spelled
+        find = v.names.get
+        k = find(text[i - 1])
+        if k is None:
+            yield 1, v.byte_share ** len(self.word[i - 1].encode()), -1
+        else:
+            yield 1, v.share[k], k
+        for length in range(2, min(i, v.reach.get(text[i - 1], 1)) + 1):
+            k = find(text[i - length : i])
+            if k is not None:
+                yield length, v.share[k], k
+
+    def sample(self, seed: int) -> np.ndarray:
+        out: list[int] = []
+        i, step, chances = len(self.word), 0, []
+        while i:
+            if step % 4096 == 0:
+                turns = (np.arange(step + 1, step + 4097).astype(np.uint64)) * _TURN
+                chances = ((_mixed(np.uint64(seed) + turns) >> np.uint64(11)).astype(np.float64) * 2.0**-53).tolist()
+            ways = [(length, w * float(self.sums[i - length]) * (_LIFT if self.lifts[i - length] < self.lifts[i] else 1.0), k) for length, w, k in self.ways(i)]
+            rest = chances[step % 4096] * sum(x for _, x, _ in ways)
+            for length, x, k in ways:  # noqa: B007
+                rest -= x
+                if rest < 0:
+                    break
+            out += [k] if k >= 0 else self.v.bytes_id[list(self.word[i - 1].encode())][::-1].tolist()
+            i -= length
+            step += 1
+        return np.array(out[::-1], np.int32)
+
+
 def _words_of(text: str) -> list[str]:
     """Words without the first of their spaces."""
     if "  " in text or text[:1] == " ":
@@ -195,18 +263,23 @@ def _words_of(text: str) -> list[str]:
     return text.split(" ")
 
 
-def sample_segmentations(texts: list[str], keys: list[int], v: Vocabulary, seed: int = SEED) -> list[np.ndarray]:
-    """Ids of each text."""
-    split = [_words_of(t) if t else [] for t in texts]
-    index = {w: k for k, w in enumerate(dict.fromkeys(w for p in split for w in p))}
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
+def _seeds(keys: list[int], places: list[np.ndarray], seed: int) -> np.ndarray:
+    """A number for each word from its row's key and its place in the text."""
+    row = np.repeat(np.array([k & 0xFFFFFFFFFFFFFFFF for k in keys], np.uint64), [len(p) for p in places])
+    place = np.concatenate(places) if places else np.zeros(0, np.int64)
+    return _mixed(_mixed(row + np.uint64(seed)) + place.astype(np.uint64) * _BASE)
+
+
+def _short(parts: list[tuple[list[str], int, int]], v: Vocabulary, seed: int) -> list[np.ndarray]:
+    """Ids of runs of words: (words, row key, place of the first)."""
+    kinds = dict.fromkeys(chain.from_iterable(words for words, _, _ in parts))
+    index = dict(zip(kinds, range(len(kinds)), strict=True))
     if not index:
-        return [np.zeros(0, np.int32) for _ in texts]
+        return [np.zeros(0, np.int32) for _ in parts]
+    sizes = np.fromiter((len(words) for words, _, _ in parts), np.int64, len(parts))
     lattice = Lattice(v, [f" {w}" for w in index])
-    word = np.fromiter((index[w] for p in split for w in p), np.int64, int(sizes.sum()))
-    row = np.repeat(np.array([k & 0xFFFFFFFFFFFFFFFF for k in keys], np.uint64), sizes)
-    place = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    mixed = _mixed(_mixed(row + np.uint64(seed)) + place.astype(np.uint64) * _BASE)
+    word = np.fromiter(map(index.__getitem__, chain.from_iterable(words for words, _, _ in parts)), np.int64, int(sizes.sum()))
+    mixed = _seeds([k for _, k, _ in parts], [np.arange(at, at + len(words)) for words, _, at in parts], seed)
     end, _, piece = lattice.sample(word, mixed)
     ends = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(sizes)])]
     lone = np.flatnonzero(piece < 0)
@@ -224,6 +297,59 @@ def sample_segmentations(texts: list[str], keys: list[int], v: Vocabulary, seed:
     return [piece[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
+def _runs(words: list[str]):
+    """(place, words) of runs of short words of at most BATCH_CHARS characters, and (place, word) of long ones."""
+    if max(map(len, words)) <= LONG and sum(map(len, words)) + len(words) <= BATCH_CHARS:
+        yield 0, words
+        return
+    at = size = 0
+    for k, w in enumerate(words):
+        if len(w) > LONG or size + len(w) > BATCH_CHARS:
+            if k > at:
+                yield at, words[at:k]
+            at, size = k, 0
+        if len(w) > LONG:
+            yield k, w
+            at = k + 1
+        else:
+            size += len(w) + 1
+    if at < len(words):
+        yield at, words[at:]
+
+
+def sample_segmentations(texts: list[str], keys: list[int], v: Vocabulary, seed: int = SEED) -> list[np.ndarray]:
+    """Ids of each text."""
+    owner: list[int] = []  # the text of each part, in order
+    made: list[np.ndarray | None] = []
+    waiting: list[tuple[int, tuple[list[str], int, int]]] = []
+    size = 0
+
+    def flush() -> None:
+        nonlocal size
+        for (k, _), ids in zip(waiting, _short([p for _, p in waiting], v, seed), strict=True):
+            made[k] = ids
+        waiting.clear()
+        size = 0
+
+    for t, (text, key) in enumerate(zip(texts, keys, strict=True)):
+        for place, part in _runs(_words_of(text)) if text else []:
+            owner.append(t)
+            made.append(None)
+            if isinstance(part, str):
+                made[-1] = LongWord(v, f" {part}").sample(int(_seeds([key], [np.array([place])], seed)[0]))
+                continue
+            chars = sum(map(len, part)) + len(part)
+            if size and size + chars > BATCH_CHARS:
+                flush()
+            waiting.append((len(made) - 1, (part, key, place)))
+            size += chars
+    flush()
+    found: list[list[np.ndarray]] = [[] for _ in texts]
+    for t, ids in zip(owner, made, strict=True):
+        found[t].append(ids)
+    return [p[0] if len(p) == 1 else np.concatenate(p) if p else np.zeros(0, np.int32) for p in found]
+
+
 def decode(ids, v: Vocabulary) -> str:
     """The text of any segmentation."""
     raw = b"".join(map(v.spelled.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))

@@ -1,4 +1,5 @@
 import math
+import time
 from collections import Counter
 
 import numpy as np
@@ -50,6 +51,36 @@ def test_samples_follow_the_lattice(v):
     assert lattice.alpha[lattice.layer[6]] == pytest.approx(math.log(total), abs=1e-4)
 
 
+def test_long_words_follow_the_lattice(v):
+    rng = np.random.default_rng(6)
+    for word in (" there", " " + "".join(rng.choice(list("abcdeé日▁😀\n "), 400)), "   " + "ab" * 300):
+        lattice, long = pieces.Lattice(v, [word]), pieces.LongWord(v, word)
+        alpha = [math.log(s) - lift * math.log(pieces._LIFT) for s, lift in zip(long.sums.tolist(), long.lifts.tolist())]
+        assert np.allclose(alpha, [lattice.alpha[lattice.layer[i]] for i in range(len(word) + 1)], atol=1e-3, rtol=1e-5)
+    seeds = rng.integers(0, 2**63, 300).astype(np.uint64)
+    lattice, long = pieces.Lattice(v, [" thereafter"]), pieces.LongWord(v, " thereafter")
+    end, count, piece = lattice.sample(np.zeros(300, np.int64), seeds)
+    same = [long.sample(int(s)).tolist() == piece[e - n : e].tolist() for s, e, n in zip(seeds.tolist(), end.tolist(), count.tolist())]
+    assert np.mean(same) > 0.99
+
+
+def test_parts_change_nothing(v, monkeypatch):
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcde "), n)) for n in rng.integers(0, 12, 400)]
+    texts = [" ".join(words), "", "x" * 5000 + " " + " ".join(words[:50]) + " " + "日本" * 3000, " ".join(words[::-1])]
+    want = [x.tolist() for x in pieces.sample_segmentations(texts, [1, 2, 3, 4], v)]
+    monkeypatch.setattr(pieces, "BATCH_CHARS", 100)
+    assert [x.tolist() for x in pieces.sample_segmentations(texts, [1, 2, 3, 4], v)] == want
+    assert [pieces.decode(x, v) for x in want] == texts
+
+
+def test_long_texts_without_spaces(v):
+    text = "".join(map(chr, np.random.default_rng(1).integers(33, 127, 300_000)))
+    began = time.process_time()
+    assert pieces.decode(pieces.sample_segmentations([text], [1], v)[0], v) == text
+    assert time.process_time() - began < 20
+
+
 def test_rows(spark, v):
     rows = [(1, None), (2, ""), (3, "a b"), (3, "a b"), (4, "x" * 20000 + " y" * 20000), (None, "q")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, ids string")
