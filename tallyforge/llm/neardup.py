@@ -37,7 +37,7 @@ from .components import connected
 SHINGLE, SIMILAR = 2, (80, 100)
 REGISTERS, MANTISSA, BANDS, ROWS = 256, 10, 40, 5
 #: Rows and bytes of sets of a bucket that are compared at once.
-BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
+BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
 #: Least estimate that is confirmed: the threshold less six standard deviations of the estimate at it.
 LEAST = SIMILAR[0] / SIMILAR[1] - 6 * (SIMILAR[0] / SIMILAR[1] * (1 - SIMILAR[0] / SIMILAR[1]) / REGISTERS) ** 0.5
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -200,19 +200,19 @@ def groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
     spark = df.sparkSession
     where = common.shared_dir(spark)
     plain = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    told = common.written(plain.mapInArrow(partial(_described, size=shingle), "doc_id long, n long, fp binary, keys binary"), f"{where}/told")
+    told = common.written(plain.mapInArrow(common.Tidied(partial(_described, size=shingle)), "doc_id long, n long, fp binary, keys binary"), f"{where}/told")
     classes = told.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("keys").alias("keys"))
     classes = common.written(classes, f"{where}/classes")
-    banded = classes.select("rep", "n", "keys").mapInArrow(_banded, "key long, rep long, n long")
+    banded = classes.select("rep", "n", "keys").mapInArrow(common.Tidied(_banded), "key long, rep long, n long")
     stars = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("rows"), F.sum("n").alias("total")).where("rows > 1")
     stars = common.written(stars, f"{where}/stars")
     shared = common.written(banded.join(stars, "key"), f"{where}/shared")
     needed = shared.select("rep").distinct().join(classes.select("rep", "fp"), "rep")
     texts = needed.join(plain.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "fp", "text")
-    sets = common.written(texts.mapInArrow(partial(_sets, size=shingle), "rep long, fp binary, shingles binary, registers binary").dropDuplicates(["rep", "fp"]), f"{where}/sets")
+    sets = common.written(texts.mapInArrow(common.Tidied(partial(_sets, size=shingle)), "rep long, fp binary, shingles binary, registers binary").dropDuplicates(["rep", "fp"]), f"{where}/sets")
     one, two = (sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"s{c}"), F.col("registers").alias(f"r{c}")) for c in "ab")
     pairs = shared.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    links = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "ra", "sb", "rb").mapInArrow(_confirmed, "a long, b long")
+    links = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "ra", "sb", "rb").mapInArrow(common.Tidied(_confirmed), "a long, b long")
     # the texts of one doc_id belong together: a link from it to the class of each
     several = told.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("doc_id")
     own = told.join(several, "doc_id").select("doc_id", "fp").join(classes.select("fp", "rep"), "fp").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
