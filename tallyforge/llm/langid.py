@@ -151,7 +151,7 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", pe
         raise ValueError(f"more than {MAX_LANGUAGES} languages; raise MAX_LANGUAGES if the driver can hold their samples")
     spark, keys = docs.sparkSession, ["doc_id", "lang", "h"]
     wanted = F.broadcast(spark.createDataFrame(picked, "doc_id long, lang string, h long"))  # bounded by the parameters alone
-    found = rows.join(wanted, keys, "left_semi").select(*keys, "text").mapInArrow(_features_of, "doc_id long, lang string, h long, x binary")
+    found = rows.join(wanted, keys, "left_semi").select(*keys, "text").mapInArrow(common.Tidied(_features_of), "doc_id long, lang string, h long, x binary")
     found = found.groupBy(*keys).agg(F.min("x").alias("x")).collect()
     found = sorted((bytes(r.x), r.lang) for r in found)  # the fit doesn't depend on the order of tasks
     x = np.array([np.frombuffer(r[0], np.float16) for r in found], np.float32).reshape(-1, WIDTH)

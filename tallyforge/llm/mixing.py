@@ -316,4 +316,4 @@ def mixed_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     keys = [F.col(f"l.`{own[k]}`").eqNullSafe(F.col(f"r.{k}")) for k in ("doc_id", "h", "src", "nth")]
     joined = numbered.alias("l").join(uses.alias("r"), keys)
     rows = joined.select(*(F.col(f"l.`{n}`") for n in df.columns), F.col("r.uses").alias(own["uses"]))
-    return rows.mapInArrow(_Copying(df.columns, text_col), df.schema)
+    return rows.mapInArrow(common.Tidied(_Copying(df.columns, text_col)), df.schema)

@@ -32,7 +32,7 @@ from . import common
 
 OFFSET, THETA, SEED = 3.0, 1.0, 11
 #: Characters of text that are segmented together; characters of a word that is filtered alone.
-BATCH_CHARS, LONG = 1_000_000, 2048
+BATCH_CHARS, LONG = 600_000, 2048
 #: Factor that keeps sums of a long word within a double's range.
 _LIFT = 1e200
 _SPACE, _RAW = 0x2581, 0x110001
@@ -127,7 +127,7 @@ class Lattice:
         self.wide, self.text = wide, text
         n = int(self.layer[-1])
         deep = min(v.longest, top)
-        self.piece = np.full((deep + 1, n), -1, np.int32)
+        self.piece = np.full((deep + 1, n), -1, np.int16 if v.size < 1 << 15 else np.int32)
         score = np.full((deep + 1, n), -np.inf, np.float32)
         word = np.repeat(np.arange(len(words)), self.length)
         offset = np.arange(len(codes)) - self.first[word]
@@ -387,7 +387,7 @@ def encode(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
     text = F.col(text_col).cast("string")
     digest = F.sha2(text.cast("binary"), 256) if keep_digest else F.lit(None).cast("string")
     plain = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), digest.alias("source_sha256"))
-    out = plain.mapInArrow(_Encoding(path or model_path(), seed, theta), "doc_id long, ids array<int>, source_sha256 string")
+    out = plain.mapInArrow(common.Tidied(_Encoding(path or model_path(), seed, theta)), "doc_id long, ids array<int>, source_sha256 string")
     return out if keep_digest else out.drop("source_sha256")
 
 
@@ -415,4 +415,4 @@ def decode_rows(encoded: DataFrame, *, path: str | None = None) -> DataFrame:
     """Adds n_pieces, ids_crc32, the decoded text and its SHA-256 to what ``encode`` returns."""
     more = "".join(f", {c} string" for c in encoded.columns if c == "source_sha256")
     plain = encoded.select("doc_id", "ids", *(c for c in encoded.columns if c == "source_sha256"))
-    return plain.mapInArrow(_Decoding(path or model_path()), f"doc_id long, ids array<int>, n_pieces long, ids_crc32 long, text string, text_sha256 string{more}")
+    return plain.mapInArrow(common.Tidied(_Decoding(path or model_path())), f"doc_id long, ids array<int>, n_pieces long, ids_crc32 long, text string, text_sha256 string{more}")

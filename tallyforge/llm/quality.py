@@ -103,7 +103,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", fit_row
     known = known.where(F.col("quality").isin(0, 1) & ~common.held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality").mapInArrow(_features_of, "doc_id long, x binary, quality int")
+    found = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality").mapInArrow(common.Tidied(_features_of), "doc_id long, x binary, quality int")
     rows = found.groupBy("doc_id").agg(F.min("x").alias("x"), F.min("quality").alias("quality")).collect()  # a row a label
     rows = sorted((bytes(r.x), r.quality) for r in rows)  # the fit doesn't depend on the order of tasks
     x = np.array([np.frombuffer(r[0]) for r in rows]).reshape(-1, WIDTH)
@@ -138,4 +138,4 @@ def keep_good(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataF
                 x = np.array([features(t) for t in part.column(place).to_pylist()]).reshape(-1, WIDTH)
                 yield part.filter(pa.array(model.score(x) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.Tidied(run), docs.schema)

@@ -244,7 +244,7 @@ def write_records(df: DataFrame, where: str, *, id_col: str = "doc_id", text_col
     fs.create_dir(base, recursive=True)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     ordered = docs.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    rows = ordered.mapInArrow(partial(_write, where=where, path=path or tokenizer_path()), "part int, file string, records long, ids long, bytes long").collect()
+    rows = ordered.mapInArrow(common.Tidied(partial(_write, where=where, path=path or tokenizer_path())), "part int, file string, records long, ids long, bytes long").collect()
     files, before = [], 0
     for r in sorted(rows, key=lambda r: r.part):
         files.append((r.file, r.records, r.ids, r.bytes, before))

@@ -474,4 +474,4 @@ def redact_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
                 col = part.column(place)
                 yield part.set_column(place, part.schema.field(place), pa.array([redacted(t) for t in col.to_pylist()], col.type))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(common.Tidied(run), df.schema)

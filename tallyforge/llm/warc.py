@@ -203,7 +203,7 @@ def write_archives(df: DataFrame, where: str, *, id_col: str = "page_id", url_co
     again = again.select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "keeper")
     same = F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest"))
     rows = pages.join(again, same, "left").select("page_id", "url", "html", "keeper")
-    told = rows.mapInArrow(partial(_write, where=where, level=level), _TOLD).collect()
+    told = rows.mapInArrow(common.Tidied(partial(_write, where=where, level=level)), _TOLD).collect()
     return sorted((r.run, r.captures) for r in told)
 
 
