@@ -11,8 +11,10 @@ LADDER = ("farmgate", "wholesale", "retail")
 
 
 def trusted(df: DataFrame, issues: DataFrame) -> DataFrame:
-    """Priced records without an open critical or high finding."""
-    blocked = issues.where("status = 'open' AND severity IN ('critical', 'high')").select(F.col("record_id").alias("id"))
+    """Priced records without an open critical or high finding, or one of a duplicate that was settled as corrected."""
+    grave = (F.col("status") == "open") & F.col("severity").isin("critical", "high")
+    settled = (F.col("status") == "corrected") & (F.col("category") == "duplicate")
+    blocked = issues.where(grave | settled).select(F.col("record_id").alias("id"))
     return df.where("price IS NOT NULL").join(blocked, "id", "left_anti")
 
 

@@ -40,14 +40,19 @@ def name_neighbours(names: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame) -> DataFrame:
-    """Rows that aren't duplicates by key, against the earliest earlier row of their date and channel with alike names."""
+    """Rows that aren't duplicates by key, against the earliest earlier row of their date and channel with alike names.
+
+    Of the rows of one date, channel and pair of names only the earliest can be an original, and of all alike groups only
+    the earliest of those: if that one isn't earlier than a row, none is. So groups are joined, not rows."""
+    names, keys = ["commodity", "market"], ["date", "channel", "commodity", "market"]
     flagged = exact_duplicates(df).select("id")
-    rows = df.join(flagged, "id", "left_anti").select("seq", "id", "date", "channel", "commodity", "market")
-    k = name_neighbours(rows.select(F.col("commodity").alias("name"))).select(F.col("a").alias("commodity"), F.col("b").alias("c2"), F.col("score").alias("cs"))
-    m = name_neighbours(rows.select(F.col("market").alias("name"))).select(F.col("a").alias("market"), F.col("b").alias("m2"), F.col("score").alias("ms"))
-    other = rows.select("date", "channel", F.col("seq").alias("seq2"), F.col("id").alias("id2"), F.col("commodity").alias("c2"), F.col("market").alias("m2"))
-    pairs = rows.join(k, "commodity").join(m, "market").where("NOT (commodity = c2 AND market = m2)").join(other, ["date", "channel", "c2", "m2"])
-    pairs = pairs.where(F.struct("seq2", "id2") < F.struct("seq", "id"))
-    first = pairs.groupBy("id").agg(F.min(F.struct("seq2", "id2", ((F.col("cs") + F.col("ms")) / 2).alias("score"))).alias("f"))
+    rows = df.join(flagged, "id", "left_anti").select("seq", "id", *keys)
+    groups = rows.groupBy(*keys).agg(F.min(F.struct("seq", "id")).alias("first"))
+    alike = [name_neighbours(groups.select(F.col(n).alias("name"))).select(F.col("a").alias(n), F.col("b").alias(f"{n}_2"), F.col("score").alias(f"{n}_score")) for n in names]
+    other = groups.select("date", "channel", *(F.col(n).alias(f"{n}_2") for n in names), F.col("first").alias("other"))
+    pairs = groups.select(*keys).join(alike[0], "commodity").join(alike[1], "market").where("NOT (commodity = commodity_2 AND market = market_2)")
+    score = (F.col("commodity_score") + F.col("market_score")) / 2
+    best = pairs.join(other, ["date", "channel", "commodity_2", "market_2"]).groupBy(*keys).agg(F.min(F.struct("other", score.alias("score"))).alias("f"))
+    found = rows.join(best, keys).where(F.col("f.other") < F.struct("seq", "id"))
     sure = F.col("f.score") >= SURE
-    return first.select("id", F.col("f.id2").alias("original_id"), r4(F.col("f.score")).alias("score"), F.when(sure, "PROBABLE_DUPLICATE").otherwise("POSSIBLE_DUPLICATE").alias("type"), F.when(sure, "medium").otherwise("low").alias("severity"))
+    return found.select("id", F.col("f.other.id").alias("original_id"), r4(F.col("f.score")).alias("score"), F.when(sure, "PROBABLE_DUPLICATE").otherwise("POSSIBLE_DUPLICATE").alias("type"), F.when(sure, "medium").otherwise("low").alias("severity"))

@@ -1,4 +1,4 @@
-"""Isolation forest: fitted on a bounded sample, scored on the executors."""
+"""Isolation forest: its trees sample rows of the whole table, all rows are scored on the executors."""
 
 from __future__ import annotations
 
@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.text import r4
+from ..sources.files import written
 from .features import NAMES
 
-TREES, SAMPLE, FIT_ROWS, QUANTILE, SIGNAL, CAP = 100, 256, 20_000, 0.975, 0.4, 0.05
+TREES, SAMPLE, QUANTILE, SIGNAL, CAP = 100, 256, 0.975, 0.4, 0.05
+#: Bins of one pass over scores; rows that are few enough to be sorted.
+BINS, SORTED = 2048, 100_000
 
 
 def path_norm(n: float) -> float:
@@ -94,16 +97,46 @@ def fit(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = 42)
     return Forest(out, psi)
 
 
-def train(features: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 42) -> Forest:
-    """Fits on the first ``fit_rows`` rows by a hash of their id; the threshold is a quantile of their scores."""
-    rows = features.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select(*NAMES).collect()
+def train(features: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> Forest:
+    """A forest whose trees each sample rows of the whole table, by a hash of their id; the threshold is the quantile of the
+    scores of all rows."""
+    rows = features.orderBy(F.xxhash64("id"), "id").limit(trees * sample).select(*NAMES).collect()  # what the trees sample
     x = np.array([list(r) for r in rows], float).reshape(-1, len(NAMES))
-    forest = fit(x, seed=seed)
+    forest = fit(x, trees, sample, seed)
     if len(x):
-        forest.threshold = round(float(np.quantile(forest.scores(x), QUANTILE)), 4)
+        forest.threshold = math.floor(quantile(score(features, forest), "score", QUANTILE) * 1e4 + 0.5) / 1e4
     return forest
 
 
+def quantile(df: DataFrame, column: str, q: float) -> float:
+    """The q-quantile of a column of numbers, interpolated, over all rows: counts in ever finer bins find the bins of the
+    two rows around it, and only rows of these are sorted. No task holds more than the counts of ``BINS`` bins."""
+    values = written(df.where(F.col(column).isNotNull() & ~F.isnan(column)).select(F.col(column).cast("double").alias("v")))
+    n, low, high = values.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return math.nan
+    at = (n - 1) * q
+    found = [_ranked(values, k, low, high) for k in sorted({math.floor(at), math.ceil(at)})]
+    return found[0] + (found[-1] - found[0]) * (at - math.floor(at))
+
+
+def _ranked(values: DataFrame, k: int, low: float, high: float) -> float:
+    """The value at place k, from 0."""
+    while low < high:
+        width = (high - low) / BINS
+        place = F.least(F.floor((F.col("v") - low) / width), F.lit(BINS - 1)) if width > 0 else F.lit(0)
+        part = values.where(F.col("v").between(low, high))
+        bins = part.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("bin").collect()
+        for b in bins:
+            if k < b.n:
+                break
+            k -= b.n
+        if b.n <= SORTED or (b.lo, b.hi) == (low, high):
+            return part.where(F.col("v").between(b.lo, b.hi)).orderBy("v").offset(k).limit(1).first().v
+        low, high = b.lo, b.hi
+    return low
+
+
 def score(features: DataFrame, forest: Forest) -> DataFrame:
     """Adds the score, between 0 and 1."""
 
@@ -117,14 +150,15 @@ def score(features: DataFrame, forest: Forest) -> DataFrame:
 def findings(scored: DataFrame, forest: Forest, known: DataFrame) -> DataFrame:
     """Rows over the threshold with a strong signal: they corroborate a known outlier, or are new ones.
 
-    New ones are held to a share of all rows by a cut of their scores; rows of equal score at the cut stay together."""
+    New ones are held to a share of all rows: those of the highest scores, ties to the smaller id."""
     strong = scored.where((F.col("score") >= forest.threshold) & (F.array_max("signal") >= SIGNAL))
     rows = strong.join(known.select("id", F.lit(True).alias("known")).distinct(), "id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    total, new = scored.count(), rows.where("NOT known").count()
-    cap = max(1, math.floor(CAP * total + 0.5))
-    if new > cap:
-        cut = rows.where("NOT known").agg(F.percentile("score", 1 - cap / new)).collect()[0][0]
-        rows = rows.where(F.col("known") | (F.col("score") >= cut))
+    cap = max(1, math.floor(CAP * scored.count() + 0.5))
+    rows = written(rows)
+    new = rows.where("NOT known")
+    if new.count() > cap:
+        new = new.orderBy(F.desc("score"), "id").limit(cap)
+    rows = rows.where("known").unionByName(new)
     reason = F.element_at(F.array(*map(F.lit, NAMES)), F.array_position("signal", F.array_max("signal")).cast("int"))
     return rows.select(
         "id", r4(F.col("score")).alias("score"), F.when(F.col("known"), "corroborated").otherwise("new").alias("effect"), reason.alias("reason"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.text import r4, similarity
+from ..functions.text import normalized, r4, similarity
 
 ALIAS_WEIGHT, ALIAS_LIFT = 0.99, 0.05
 
@@ -79,6 +79,43 @@ def decide(names: DataFrame, catalog: DataFrame, limits: Thresholds = Thresholds
     return out.select("name", status.alias("status"), "match", F.when(F.size("owners") >= 1, 1.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"))
 
 
+MARKET, SURE = Thresholds(accept=0.88, review=0.50), 0.92
+
+
+def market_name(form: Column) -> Column:
+    """A market's form without the word market."""
+    return F.trim(F.regexp_replace(F.regexp_replace(form, r"\b(market|mkt)\b", " "), " +", " "))
+
+
+def decide_markets(names: DataFrame, registry: DataFrame, limits: Thresholds = MARKET) -> DataFrame:
+    """name, status, match, score of each distinct folded market name: a registered spelling first, else the best of the
+    registry once the word market is left out of both. Below ``SURE`` the n-gram model is asked: agreement blends the score
+    upward, dissent keeps it from being accepted."""
+    forms_of = registry.select(F.col("market").alias("owner"), normalized(F.col("market")).alias("form")).distinct()
+    whole = names.distinct().where("name IS NOT NULL")
+    first = exact_owners(whole, forms_of)
+    rest = whole.join(first, "name", "left_anti").withColumn("short", market_name(F.col("name")))
+    bare = forms_of.select("owner", market_name(F.col("form")).alias("form"), F.lit(0).alias("alias"))
+    asked = rest.select(F.col("short").alias("name")).distinct()
+    second = exact_owners(asked, bare)
+    best = candidates(fuzzy_scores(asked.join(second, "name", "left_anti"), bare), 1)
+    model = tfidf_best(best.where(F.col("score") < SURE).select("name"), bare.select(F.col("form").alias("name")).distinct()).select("name", F.col("owner").alias("model"), "cosine")
+    agrees = market_name(normalized(F.col("owner"))) == F.col("model")
+    blended = F.when(F.col("model").isNull(), F.col("score")).when(agrees, F.greatest("score", 0.5 * F.col("score") + 0.5 * F.col("cosine"))).otherwise(F.least("score", F.lit(limits.accept - 0.01)))
+    best = best.join(model, "name", "left").withColumn("next", F.when(F.col("score") - F.col("next") < limits.tie, F.col("next"))).withColumn("score", r4(blended))
+    near = asked.join(second, "name", "left").join(best.select("name", "owner", "score", "next"), "name", "left")
+    out = rest.join(near.withColumnRenamed("name", "short"), "short", "left").select("name", "owners", "owner", "score", "next")
+    out = out.unionByName(first.select("name", "owners", F.lit(None).cast("string").alias("owner"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("next")))
+    score = F.when(F.size("owners") >= 1, 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
+    match = F.when(F.size("owners") >= 1, F.col("owners")[0]).when(score >= limits.review, F.col("owner"))
+    close = (score >= limits.tie_least) & F.col("next").isNotNull()  # a next one is kept only if it was close before the model spoke
+    status = (
+        F.when(F.col("name") == "", "empty").when(F.size("owners") == 1, "exact").when(F.size("owners") > 1, "ambiguous")
+        .when(score < limits.review, "unknown").when(close, "ambiguous").when(score >= limits.accept, "auto").otherwise("review")
+    )
+    return out.select("name", status.alias("status"), match.alias("match"), score.alias("score"))
+
+
 @F.pandas_udf(DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the longest common subsequence over the summed lengths; two empty texts are equal."""

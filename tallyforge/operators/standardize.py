@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parse
@@ -21,19 +21,21 @@ def typed(raw: DataFrame) -> DataFrame:
     })
 
 
-def market_name(form: Column) -> Column:
-    """A market's form without the word market."""
-    return F.trim(F.regexp_replace(form, r"\b(market|mkt)\b", ""))
-
-
 def resolved(rows: DataFrame, catalog: DataFrame, registry: DataFrame) -> DataFrame:
-    """Canonical commodity and market; districts and provinces come from the registry; unknown names keep their text."""
+    """Canonical commodity and market; districts and provinces come from the registry, else from the row where it has them;
+    names that aren't accepted keep their text."""
     decided = match.decide(rows.select(F.col("commodity_form").alias("name")), catalog).select(F.col("name").alias("commodity_form"), "status", "match", "score")
-    units = catalog.select(F.col("commodity").alias("match"), F.col("unit").alias("catalog_unit"))
-    known = registry.select(market_name(normalized(F.col("market"))).alias("market_key"), F.col("market").alias("registry_market"), "district", "province")
-    out = rows.withColumn("market_key", market_name(F.col("market_form"))).join(decided, "commodity_form", "left").join(units, "match", "left").join(known, "market_key", "left")
+    units = catalog.groupBy(F.col("commodity").alias("match")).agg(F.min("unit").alias("catalog_unit"))
+    markets = match.decide_markets(rows.select(F.col("market_form").alias("name")), registry).select(F.col("name").alias("market_form"), F.col("status").alias("market_status"), F.col("match").alias("market_match"), F.col("score").alias("market_score"))
+    known = registry.groupBy(F.col("market").alias("market_match")).agg(F.min(F.struct("district", "province")).alias("place"))
+    out = rows.join(decided, "commodity_form", "left").join(units, "match", "left").join(markets, "market_form", "left").join(known, "market_match", "left")
+    taken = F.col("market_status").isin("exact", "auto")
+    raw = {c: F.nullif(F.trim(F.col(f"raw_{c}")), F.lit("")) if f"raw_{c}" in rows.columns else F.lit(None).cast("string") for c in ("district", "province")}
     commodity = F.coalesce(F.when(F.col("status").isin("exact", "auto", "archived"), F.col("match")), F.nullif(title(F.col("raw_commodity")), F.lit("")))
-    return out.withColumns({"commodity": commodity, "market": F.coalesce("registry_market", F.nullif(title(F.col("raw_market")), F.lit("")))})
+    return out.withColumns({
+        "commodity": commodity, "market": F.coalesce(F.when(taken, F.col("market_match")), F.nullif(title(F.col("raw_market")), F.lit(""))),
+        **{c: F.coalesce(F.when(taken, F.col(f"place.{c}")), title(raw[c])) for c in ("district", "province")},
+    }).drop("place")
 
 
 def missing(rows: DataFrame) -> DataFrame:
@@ -65,10 +67,16 @@ def unusual_units(rows: DataFrame) -> DataFrame:
 
 
 def entity_findings(rows: DataFrame) -> DataFrame:
-    """Findings on commodity names that weren't simply accepted."""
+    """Findings on commodity and market names that weren't simply accepted; ``entity`` tells which."""
+    names = F.array(
+        F.struct(F.lit("commodity").alias("entity"), F.col("status").alias("status"), F.col("match").alias("suggestion"), F.col("score").alias("score")),
+        F.struct(F.lit("market").alias("entity"), F.col("market_status").alias("status"), F.col("market_match").alias("suggestion"), F.col("market_score").alias("score")),
+    )
     kind = F.when(F.col("status") == "unknown", "UNKNOWN_ENTITY").otherwise("ENTITY_MATCH")
-    severity = F.when(F.col("status") == "unknown", "high").when(F.col("status").isin("archived", "ambiguous"), "medium").when(F.col("score") >= 0.78, "low").otherwise("medium")
-    return rows.where(F.col("status").isin("unknown", "archived", "ambiguous", "review")).select("id", "status", kind.alias("type"), severity.alias("severity"), F.col("match").alias("suggestion"), "score")
+    likely = (F.col("entity") == "market") | (F.col("score") >= 0.78)
+    severity = F.when(F.col("status") == "unknown", "high").when(F.col("status").isin("archived", "ambiguous"), "medium").when(likely, "low").otherwise("medium")
+    found = rows.select("id", F.inline(names)).where(F.col("status").isin("unknown", "archived", "ambiguous", "review"))
+    return found.select("id", "entity", "status", kind.alias("type"), severity.alias("severity"), "suggestion", "score")
 
 
 def lineage(rows: DataFrame) -> DataFrame:

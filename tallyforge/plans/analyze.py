@@ -27,14 +27,19 @@ class Analysis:
 
 
 def upload(df: DataFrame, found: dict[str, str] | None = None, channel: str | None = None) -> DataFrame:
-    """An upload under the raw names, gaps empty; ``seq`` and ``id`` must be there or order and names come from a hash of the row."""
+    """An upload under the raw names, gaps empty.
+
+    Where it has no ``seq`` and ``id``, rows are numbered as they stand: by their place in their part of the table, which for
+    files that Spark reads is their place in the file. The numbered table is written once, so that ids stay what they are."""
     found = found or mapping.suggest_mapping(df)
     if lacking := mapping.missing_required(found):
         raise ValueError(f"no column for {', '.join(lacking)}")
     cells = [F.coalesce(F.col(f"`{found[f]}`").cast("string"), F.lit("")) if f in found else F.lit(channel or "" if f == "price_type" else "") for f in RAW]
-    key = F.sha2(F.concat_ws("\x1f", *cells), 256)
-    own = [F.col(c) if c in df.columns else (F.xxhash64(*cells) if c == "seq" else key).alias(c) for c in ("seq", "id")]
-    return df.select(*own, *(c.alias(n) for c, n in zip(cells, RAW.values(), strict=True)))
+    more = [F.coalesce(F.col(f"`{found[f]}`").cast("string"), F.lit("")).alias(f"raw_{f}") for f in ("district", "province") if f in found]
+    place = F.monotonically_increasing_id()
+    own = [F.col("seq") if "seq" in df.columns else place.alias("seq"), F.col("id").cast("string") if "id" in df.columns else F.concat(F.lit("rec-"), place).alias("id")]
+    out = df.select(*own, *(c.alias(n) for c, n in zip(cells, RAW.values(), strict=True)), *more)
+    return out if {"seq", "id"} <= set(df.columns) else written(out)
 
 
 def _found(df: DataFrame, record: str, kind: str, category: str, confidence=None, severity=None, suggestion=None) -> DataFrame:
@@ -61,9 +66,9 @@ def analyze(raw: DataFrame, catalog: DataFrame, registry: DataFrame, *, with_for
         _found(anomaly.markups(records), "record_id", "PRICE_ANOMALY", "anomaly", None, "high"),
     ]
     if with_forest:
-        f = features.price_features(records)
+        f = written(features.price_features(records))
         model = forest.train(f)
         new = forest.findings(forest.score(f, model), model, outliers).where("effect = 'new'")
         parts.append(_found(new, "id", "PRICE_ANOMALY", "anomaly", None, None, "suggestion"))
     issues = reduce(lambda a, b: a.unionByName(b), parts)
-    return Analysis(records, issues, standardize.lineage(rows), profile.dataset(records), profile.coverage(records, registry), profile.quality(raw, issues, list(RAW.values())), analytics.trusted(records, issues))
+    return Analysis(records, issues, standardize.lineage(rows), profile.dataset(records), profile.coverage(records, registry), profile.quality(rows, issues, list(RAW.values())), analytics.trusted(records, issues))

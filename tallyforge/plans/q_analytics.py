@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import r4 as cut
 from ..operators import analytics, anomaly, dedupe, profile, standardize
+from ..sources.files import written
 from .q_entities import RES, res, std
 from .q_rules import DUPES, LADDER, OUTLIERS, r4
 from .registry import query
@@ -28,9 +29,10 @@ def with_status(found):
     return found.withColumn("status", F.when(F.substring(F.md5(F.concat("record_id", "type")), 1, 1).isin(*"0123"), "accepted").otherwise("open"))
 
 
-def issues(spark, sf):
-    """Findings of all rules over the clean records, one stream after the other."""
-    rec = records(spark, sf)
+def issues(spark, sf, rec=None):
+    """Findings of all rules over the clean records, one stream after the other; records are read by every rule, so they
+    are written once."""
+    rec = written(records(spark, sf)) if rec is None else rec
     parts = [
         anomaly.price_outliers(rec).select(F.col("id").alias("record_id"), F.lit("PRICE_ANOMALY").alias("type"), F.lit("anomaly").alias("category"), "severity", "confidence"),
         anomaly.ladder_violations(rec).select("record_id", F.lit("LADDER_VIOLATION").alias("type"), F.lit("conflict").alias("category"), "severity", "confidence"),
@@ -43,7 +45,8 @@ def issues(spark, sf):
 
 
 def trusted(spark, sf):
-    return analytics.trusted(records(spark, sf), issues(spark, sf))
+    rec = written(records(spark, sf))
+    return analytics.trusted(rec, issues(spark, sf, rec))
 
 
 @query("a05_column_profile", "{raw}, long AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", trim({c}) AS v, TRY_CAST(trim({c}) AS DOUBLE) AS x FROM raw" for c in RAW) + f"""), p AS (SELECT "column", count(*) AS n, count(*) FILTER (WHERE v = '') AS missing, count(DISTINCT nullif(v, '')) AS "distinct", count(x) AS numbers, min(x) AS lo, max(x) AS hi, avg(x) AS mean FROM long GROUP BY ALL),
@@ -67,13 +70,14 @@ def j16(spark, sf):
     return markets(spark, sf).join(records(spark, sf).select("market"), "market", "left_semi").select("market")
 
 
-_SCORE_SQL = f"""{{std}}, {RES}, i0 AS ({_ROW_ISSUES} UNION ALL SELECT id, CASE WHEN status = 'unknown' THEN 'UNKNOWN_ENTITY' ELSE 'ENTITY_MATCH' END, 'conflict', 'medium', score FROM res WHERE status IN ('unknown', 'archived', 'ambiguous', 'review')),
+_SCORE_SQL = f"""{{std}}, {RES}, i0 AS ({_ROW_ISSUES} UNION ALL SELECT id, CASE WHEN status = 'unknown' THEN 'UNKNOWN_ENTITY' ELSE 'ENTITY_MATCH' END, 'conflict', 'medium', score FROM res WHERE status IN ('unknown', 'archived', 'ambiguous', 'review')
+    UNION ALL SELECT id, CASE WHEN market_status = 'unknown' THEN 'UNKNOWN_ENTITY' ELSE 'ENTITY_MATCH' END, 'conflict', 'medium', market_score FROM res WHERE market_status IN ('unknown', 'ambiguous', 'review')),
   ri AS (SELECT *, CASE WHEN substr(md5(concat(record_id, type)), 1, 1) IN ('0', '1', '2', '3') THEN 'accepted' ELSE 'open' END AS status FROM i0)"""
 
 
-def row_issues(spark, sf):
-    """Findings about single raw rows."""
-    s, r = std(spark, sf), res(spark, sf)
+def row_issues(rows):
+    """Findings about single raw rows, of resolved ones."""
+    s = r = rows
     one = lambda df, kind, severity=None, confidence=1.0: df.select(F.col("id").alias("record_id"), F.lit(kind).alias("type"), F.lit("conflict").alias("category"), F.lit(severity).alias("severity") if severity else F.col("severity"), F.lit(confidence).alias("confidence"))
     entity = standardize.entity_findings(r).select(F.col("id").alias("record_id"), "type", F.lit("conflict").alias("category"), F.lit("medium").alias("severity"), F.col("score").alias("confidence"))
     parts = [one(standardize.missing(s), "MISSING_VALUE"), one(standardize.invalid_dates(s), "INVALID_DATE"), one(standardize.invalid_prices(s), "INVALID_PRICE"), one(standardize.unknown_units(s), "UNIT_INCONSISTENCY", None, 0.85), entity]
@@ -91,7 +95,8 @@ _GAPS = " + ".join(f"count_if(trim({c}) = '')" for c in RAW)
   s AS (SELECT greatest(0.0, least(1.0, 1 - gaps / (n * 6.0::DOUBLE) - m / n::DOUBLE / 4)) AS c, greatest(0.0, least(1.0, 1 - inc / n::DOUBLE)) AS k, 1.0::DOUBLE AS u, greatest(0.0, least(1.0, 1 - 1.2::DOUBLE * inv / n)) AS v, CASE WHEN mo + md = 0 THEN 0.95 ELSE greatest(0.0, least(1.0, 0.95::DOUBLE - 2 * mo / n::DOUBLE + md / n::DOUBLE)) END AS a FROM g, f)
   SELECT {r4('c')} AS completeness, {r4('k')} AS consistency, u AS uniqueness, {r4('v')} AS validity, {r4('a')} AS ai_confidence, CAST(floor(30 * c + 20 * k + 20 * u + 20 * v + 10 * a + 0.5) AS BIGINT) AS total FROM s""")
 def a08(spark, sf):
-    return profile.quality(raw_records(spark, sf), row_issues(spark, sf), RAW)
+    rows = written(res(spark, sf))
+    return profile.quality(rows, row_issues(rows), RAW)
 
 
 _COUNTS = "count(*) AS total, count(*) FILTER (WHERE status = 'open') AS open, count(*) FILTER (WHERE status <> 'open') AS resolved, " + ", ".join(f"count(*) FILTER (WHERE status = 'open' AND severity = '{s}') AS {s}" for s in ("critical", "high", "medium", "low")) + ", " + ", ".join(f"count(*) FILTER (WHERE status = 'open' AND category = '{c}') AS {c}" for c in ("duplicate", "anomaly", "conflict"))
@@ -117,12 +122,12 @@ def j15(spark, sf):
     return trusted(spark, sf).select("id", "commodity", "market", "channel")
 
 
-@query("a20_dashboard_split", f"{{std}}, bl AS (SELECT DISTINCT record_id FROM ({_ROW_ISSUES}) WHERE severity IN ('critical', 'high')) SELECT count(*) FILTER (WHERE price > 0 AND record_id IS NULL) AS clean, count(*) FILTER (WHERE price IS NOT NULL AND NOT (price > 0 AND record_id IS NULL)) AS held, count(*) FILTER (WHERE price IS NULL) AS no_price FROM std LEFT JOIN bl ON id = record_id")
+@query("a20_dashboard_split", f"{{std}}, bl AS (SELECT DISTINCT record_id FROM ({_ROW_ISSUES}) WHERE severity IN ('critical', 'high')) SELECT count(*) FILTER (WHERE price > 0 AND record_id IS NULL) AS clean, count(*) FILTER (WHERE price > 0 AND record_id IS NOT NULL) AS held, count(*) FILTER (WHERE price IS NULL OR price <= 0) AS no_price FROM std LEFT JOIN bl ON id = record_id")
 def a20(spark, sf):
-    s = std(spark, sf)
-    blocked = row_issues(spark, sf).where("severity IN ('critical', 'high')").select(F.col("record_id").alias("id"), F.lit(True).alias("blocked")).distinct()
-    clean = (F.col("price") > 0) & F.col("blocked").isNull()
-    return s.join(blocked, "id", "left").agg(F.count_if(clean).alias("clean"), F.count_if(F.col("price").isNotNull() & ~clean).alias("held"), F.count_if(F.col("price").isNull()).alias("no_price"))
+    rows = written(res(spark, sf))
+    blocked = row_issues(rows).where("severity IN ('critical', 'high')").select(F.col("record_id").alias("id"), F.lit(True).alias("blocked")).distinct()
+    priced = F.coalesce(F.col("price") > 0, F.lit(False))
+    return rows.join(blocked, "id", "left").agg(F.count_if(priced & F.col("blocked").isNull()).alias("clean"), F.count_if(priced & F.col("blocked").isNotNull()).alias("held"), F.count_if(~priced).alias("no_price"))
 
 
 def _med(c):

@@ -23,9 +23,38 @@ SCORES = FORMS + f""",
   dec0 AS (SELECT n.name, owners, CASE WHEN owners IS NULL THEN score END AS score, CASE WHEN owners IS NULL THEN next END AS next, CASE WHEN len(owners) = 1 THEN owners[1] WHEN owners IS NULL AND score >= 0.55 THEN owner END AS match FROM names n LEFT JOIN ex USING (name) LEFT JOIN (SELECT * FROM cand WHERE rank = 1) c USING (name)),
   decided AS (SELECT name, CASE WHEN name = '' THEN 'empty' WHEN archived THEN 'archived' WHEN len(owners) = 1 THEN 'exact' WHEN len(owners) > 1 THEN 'ambiguous' WHEN coalesce(score, 0) < 0.55 THEN 'unknown' WHEN score >= 0.5 AND score - next < 0.02 THEN 'ambiguous' WHEN score >= 0.9 THEN 'auto' ELSE 'review' END AS status,
     match, CASE WHEN len(owners) >= 1 THEN 1.0 ELSE coalesce(score, 0.0) END AS score FROM dec0 LEFT JOIN cat ON match = commodity)"""
-RES = SCORES + """,
-  res AS (SELECT s.*, d.status, d.match, d.score, c.unit AS catalog_unit, g.market AS registry_market, g.district, g.province FROM std s LEFT JOIN decided d ON d.name = s.commodity_form LEFT JOIN cat c ON c.commodity = d.match
-    LEFT JOIN reg g ON trim(regexp_replace(lower(regexp_replace(g.market, '[^A-Za-z0-9]', ' ', 'g')), '\\b(market|mkt)\\b', '', 'g')) = trim(regexp_replace(s.market_form, '\\b(market|mkt)\\b', '', 'g')))"""
+def _short(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({x}, '\\b(market|mkt)\\b', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+TFIDF = """
+  gn AS (SELECT name, g AS gram, count(*) AS tf FROM (SELECT name, substr(w, CAST(i AS INTEGER), CAST(n AS INTEGER)) AS g, n FROM (SELECT name, concat(' ', unnest(list_filter(string_split(name, ' '), lambda t: t <> '')), ' ') AS w FROM {0}) ws, range(1, 60) t(i), range(2, 5) u(n) WHERE i <= length(w) - n + 1) GROUP BY ALL)"""
+_MCOS = (
+    TFIDF.format("(SELECT DISTINCT form AS name FROM mbare)").replace("gn AS", "mcg AS") + ", " + TFIDF.format("(SELECT short AS name FROM mcand WHERE rank = 1 AND score < 0.92)").replace("gn AS", "mgn AS")
+    + f""", midf AS (SELECT gram, ln((1 + (SELECT count(DISTINCT name) FROM mcg)) / CAST(1 + count(*) AS DOUBLE)) + 1 AS idf FROM mcg GROUP BY gram),
+  mwn AS (SELECT name, gram, w / sqrt(sum(w * w) OVER (PARTITION BY name)) AS w FROM (SELECT name, gram, (1 + ln(tf)) * idf AS w FROM mgn JOIN midf USING (gram))),
+  mwc AS (SELECT owner, gram, v / sqrt(sum(v * v) OVER (PARTITION BY owner)) AS v FROM (SELECT name AS owner, gram, (1 + ln(tf)) * idf AS v FROM mcg JOIN midf USING (gram))),
+  mtb AS (SELECT name, owner AS model, cosine FROM (SELECT name, owner, {r4('sum(w * v)')} AS cosine FROM mwn JOIN mwc USING (gram) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY name ORDER BY cosine DESC, owner) = 1)"""
+)
+MARKETS = f"""
+  mforms AS (SELECT DISTINCT market AS owner, {FOLD.format('market')} AS form FROM reg), mnames AS (SELECT DISTINCT market_form AS name FROM std),
+  mx1 AS (SELECT name, list_sort(list(DISTINCT owner)) AS owners FROM mnames JOIN mforms ON name = form GROUP BY name),
+  mrest AS (SELECT name, {_short('name')} AS short FROM mnames WHERE name NOT IN (SELECT name FROM mx1)), mbare AS (SELECT owner, {_short('form')} AS form FROM mforms),
+  mx2 AS (SELECT short, list_sort(list(DISTINCT owner)) AS owners FROM (SELECT DISTINCT short FROM mrest) JOIN mbare ON short = form GROUP BY short),
+  mask AS (SELECT DISTINCT short AS name FROM mrest WHERE short <> '' AND short NOT IN (SELECT short FROM mx2)),
+  mng AS (SELECT DISTINCT name, substr(concat(' ', name, ' '), CAST(i AS INTEGER), 3) AS g FROM mask, range(1, 60) t(i) WHERE i <= length(name)),
+  mfg AS (SELECT DISTINCT owner, form, substr(concat(' ', form, ' '), CAST(i AS INTEGER), 3) AS g FROM mbare, range(1, 60) t(i) WHERE i <= length(form)),
+  mfz AS (SELECT name, owner, {r4('max(s)')} AS score FROM (SELECT name, owner, {sim('name', 'form')} AS s FROM (SELECT DISTINCT name, owner, form FROM mng JOIN mfg USING (g))) GROUP BY ALL),
+  mcand AS (SELECT name AS short, owner, score, row_number() OVER w AS rank, lead(score) OVER w AS next FROM mfz WINDOW w AS (PARTITION BY name ORDER BY score DESC, owner)),
+  {_MCOS},
+  mtop AS (SELECT short, owner, next0, CASE WHEN score >= 0.92 OR model IS NULL THEN score WHEN model = fshort THEN greatest(score, {r4('0.5::DOUBLE * score + 0.5::DOUBLE * cosine')}) ELSE least(score, 0.87::DOUBLE) END AS score
+    FROM (SELECT short, owner, score, CASE WHEN score - next < 0.02 THEN next END AS next0, {_short(FOLD.format('owner'))} AS fshort FROM mcand WHERE rank = 1) LEFT JOIN mtb ON mtb.name = short),
+  mall AS (SELECT name, owners, NULL AS owner, NULL AS score, NULL AS next0 FROM mx1 UNION ALL SELECT name, owners, owner, score, next0 FROM mrest LEFT JOIN mx2 USING (short) LEFT JOIN mtop USING (short)),
+  mdec AS (SELECT name, CASE WHEN len(owners) >= 1 THEN 1.0 ELSE coalesce(score, 0.0) END AS score, CASE WHEN len(owners) >= 1 THEN owners[1] WHEN score >= 0.5 THEN owner END AS match,
+    CASE WHEN name = '' THEN 'empty' WHEN len(owners) = 1 THEN 'exact' WHEN len(owners) > 1 THEN 'ambiguous' WHEN coalesce(score, 0) < 0.5 THEN 'unknown' WHEN score >= 0.5 AND next0 IS NOT NULL THEN 'ambiguous' WHEN score >= 0.88 THEN 'auto' ELSE 'review' END AS status FROM mall)"""
+RES = SCORES + f""", {MARKETS},
+  res AS (SELECT s.*, d.status, d.match, d.score, c.unit AS catalog_unit, m.status AS market_status, m.match AS market_match, m.score AS market_score, g.market AS registry_market, g.district, g.province FROM std s LEFT JOIN decided d ON d.name = s.commodity_form LEFT JOIN cat c ON c.commodity = d.match
+    LEFT JOIN mdec m ON m.name = s.market_form LEFT JOIN reg g ON g.market = m.match AND m.status IN ('exact', 'auto'))"""
 
 
 def std(spark, sf):
@@ -139,7 +168,7 @@ def d07(spark, sf):
     return standardize.unusual_units(res(spark, sf))
 
 
-@query("d08_entity_issues", f"{{std}}, {RES} SELECT id, status, CASE WHEN status = 'unknown' THEN 'UNKNOWN_ENTITY' ELSE 'ENTITY_MATCH' END AS type, CASE WHEN status = 'unknown' THEN 'high' WHEN status IN ('archived', 'ambiguous') THEN 'medium' WHEN score >= 0.78 THEN 'low' ELSE 'medium' END AS severity, match AS suggestion, score FROM res WHERE status IN ('unknown', 'archived', 'ambiguous', 'review')")
+@query("d08_entity_issues", f"{{std}}, {RES} SELECT id, entity, status, CASE WHEN status = 'unknown' THEN 'UNKNOWN_ENTITY' ELSE 'ENTITY_MATCH' END AS type, CASE WHEN status = 'unknown' THEN 'high' WHEN status IN ('archived', 'ambiguous') THEN 'medium' WHEN entity = 'market' OR score >= 0.78 THEN 'low' ELSE 'medium' END AS severity, suggestion, score FROM (SELECT id, 'commodity' AS entity, status, match AS suggestion, score FROM res UNION ALL SELECT id, 'market', market_status, market_match, market_score FROM res) WHERE status IN ('unknown', 'archived', 'ambiguous', 'review')")
 def d08(spark, sf):
     return standardize.entity_findings(res(spark, sf))
 
@@ -154,6 +183,11 @@ def j01(spark, sf):
     return res(spark, sf).select("id", "market", "district", "province")
 
 
+@query("d12_market_status", f"{{std}}, {MARKETS} SELECT name, status, match, score FROM mdec")
+def d12(spark, sf):
+    return match.decide_markets(std(spark, sf).select(F.col("market_form").alias("name")), markets(spark, sf))
+
+
 @query("j05_exact_forms", f"{{std}}, {SCORES} SELECT name, array_to_string(owners, '|') AS owners FROM ex")
 def j05(spark, sf):
     names = std(spark, sf).select(F.col("commodity_form").alias("name")).distinct()
@@ -171,8 +205,6 @@ def j07(spark, sf):
     return match.candidates(match.fuzzy_scores(names, match.forms(commodities(spark, sf)))).select("name", "owner", "score", "rank")
 
 
-TFIDF = """
-  gn AS (SELECT name, g AS gram, count(*) AS tf FROM (SELECT name, substr(w, CAST(i AS INTEGER), CAST(n AS INTEGER)) AS g, n FROM (SELECT name, concat(' ', unnest(list_filter(string_split(name, ' '), lambda t: t <> '')), ' ') AS w FROM {0}) ws, range(1, 60) t(i), range(2, 5) u(n) WHERE i <= length(w) - n + 1) GROUP BY ALL)"""
 _CAT_GRAMS = TFIDF.format("(SELECT commodity AS name FROM cat)").replace("gn AS", "cg AS")
 _IDF = "idf AS (SELECT gram, count(*) AS df, ln((1 + (SELECT count(DISTINCT name) FROM cg)) / CAST(1 + count(*) AS DOUBLE)) + 1 AS idf FROM cg GROUP BY gram)"
 _COS = f"""{_CAT_GRAMS}, {_IDF}, {TFIDF.format('names')},

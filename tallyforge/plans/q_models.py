@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import r4 as cut
 from ..operators import anomaly, evaluate, features, forest, match
+from ..sources.files import written
 from . import analyze
 from .q_entities import SCORES
 from .q_rules import LADDER, OUTLIERS, r4
@@ -38,14 +39,14 @@ def m04(spark, sf):
 
 @query("m06_forest_scores")
 def m06(spark, sf):
-    f = features.price_features(records(spark, sf))
+    f = written(features.price_features(records(spark, sf)))
     return forest.score(f, forest.train(f)).select("id", cut(F.col("score")).alias("score"))
 
 
 @query("m08_forest_issues")
 def m08(spark, sf):
-    rec = records(spark, sf)
-    f = features.price_features(rec)
+    rec = written(records(spark, sf))
+    f = written(features.price_features(rec))
     model = forest.train(f)
     return forest.findings(forest.score(f, model), model, anomaly.price_outliers(rec))
 
@@ -63,7 +64,7 @@ def m10(spark, sf):
 @query("k05_model_roundtrip")
 def k05(spark, sf):
     """Scores by a model that was stored and loaded."""
-    f = features.price_features(records(spark, sf))
+    f = written(features.price_features(records(spark, sf)))
     return forest.score(f, forest.from_json(forest.to_json(forest.train(f)))).select("id", cut(F.col("score")).alias("score"))
 
 

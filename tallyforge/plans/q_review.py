@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import anomaly, review
 from . import q_analytics
+from ..sources.files import written
 from .q_analytics import ISSUES
 from .q_entities import std
 from .q_rules import DUPES, LADDER, OUTLIERS, r4
@@ -59,8 +60,8 @@ _DECIDED = f"""decisions AS (SELECT record_id, type, 'accepted' AS decision, 1 A
   dec AS (SELECT i.* REPLACE (CASE WHEN decision IS NULL THEN status WHEN decision = 'accepted' AND NOT ({_KEEP}) THEN 'open' ELSE decision END AS status) FROM iss i LEFT JOIN ld USING (record_id, type))"""
 
 
-def decided(spark, sf):
-    found = q_analytics.issues(spark, sf)
+def decided(spark, sf, rec=None):
+    found = written(q_analytics.issues(spark, sf, rec))
     first = F.substring("record_id", 1, 1)
     made = found.where(first.isin("a", "b", "c")).select("record_id", "type", F.lit("accepted").alias("decision"), F.lit(1).alias("at"))
     made = made.union(found.where(first == "c").select("record_id", "type", F.lit("corrected"), F.lit(2)))
@@ -74,10 +75,11 @@ def r07(spark, sf):
 
 @query("r08_publish", f"{{rec}}, {ISSUES}, {_DECIDED} SELECT id, commodity, market, channel, {r4('price')} AS price, id IN (SELECT record_id FROM dec WHERE status = 'corrected') AS corrected FROM rec WHERE id NOT IN (SELECT record_id FROM dec WHERE status = 'open' AND severity IN ('critical', 'high'))")
 def r08(spark, sf):
-    found = decided(spark, sf)
+    rec = written(records(spark, sf))
+    found = written(decided(spark, sf, rec))
     blocked = found.where("status = 'open' AND severity IN ('critical', 'high')").select(F.col("record_id").alias("id"))
     fixed = found.where("status = 'corrected'").select(F.col("record_id").alias("id"), F.lit(True).alias("corrected")).distinct()
-    out = records(spark, sf).join(blocked, "id", "left_anti").join(fixed, "id", "left")
+    out = rec.join(blocked, "id", "left_anti").join(fixed, "id", "left")
     return out.select("id", "commodity", "market", "channel", (F.floor(F.col("price") * 1e4 + 0.5) / 1e4).alias("price"), F.coalesce("corrected", F.lit(False)).alias("corrected"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import anomaly, dedupe
+from ..sources.files import written
 from .registry import query
 from .views import records
 
@@ -105,4 +106,4 @@ def j08(spark, sf):
   SELECT id, original_id, {r4('score')} AS score, CASE WHEN score >= 0.92 THEN 'PROBABLE_DUPLICATE' ELSE 'POSSIBLE_DUPLICATE' END AS type, CASE WHEN score >= 0.92 THEN 'medium' ELSE 'low' END AS severity FROM best""",
 )
 def d14(spark, sf):
-    return dedupe.near_duplicates(tailed(spark, sf))
+    return dedupe.near_duplicates(written(tailed(spark, sf)))

@@ -59,16 +59,16 @@ _RECORDS_SQL = f"""rec AS (
 
 #: Raw spellings as one expression per column; {{...}} marks where the engines differ.
 _DIRTY = {
-    "raw_date": "CASE k % 50 WHEN 0 THEN '' WHEN 1 THEN '30/02/2000' WHEN 2 THEN {dmy} WHEN 3 THEN {dmy} WHEN 4 THEN {dmony} WHEN 5 THEN concat({ymd}, 'T10:00') ELSE {ymd} END",
+    "raw_date": "CASE k % 50 WHEN 0 THEN '' WHEN 1 THEN '30/02/2000' WHEN 6 THEN {long} WHEN 7 THEN {dow} WHEN 8 THEN {full} WHEN 9 THEN {my} WHEN 10 THEN 'Foo 3, 2001' WHEN 2 THEN {dmy} WHEN 3 THEN {dmy} WHEN 4 THEN {dmony} WHEN 5 THEN concat({ymd}, 'T10:00') ELSE {ymd} END",
     "raw_price": "CASE k % 40 WHEN 0 THEN '' WHEN 1 THEN 'n/a' WHEN 2 THEN concat('-', {whole}) WHEN 3 THEN '0' WHEN 4 THEN concat({whole}, ' RWF') WHEN 5 THEN concat('1,', lpad({whole}, 6, '0')) WHEN 6 THEN '1-2' ELSE concat({whole}, '.', lpad({cents}, 2, '0')) END",
     "raw_commodity": "CASE k % 30 WHEN 0 THEN upper(commodity) WHEN 1 THEN concat(commodity, ' x') WHEN 2 THEN concat('  ', commodity, ' ') WHEN 3 THEN {swapped} WHEN 4 THEN 'Mystery item' WHEN 5 THEN '' ELSE commodity END",
     "raw_market": "CASE k % 35 WHEN 0 THEN '' WHEN 1 THEN upper(market) WHEN 2 THEN concat(market, ' Market') WHEN 3 THEN concat(market, '0') ELSE market END",
-    "raw_channel": "CASE WHEN k % 45 = 0 THEN 'unknown' WHEN channel = 'farmgate' THEN CASE k % 3 WHEN 0 THEN 'Farm Gate' WHEN 1 THEN 'farm_gate' ELSE 'Producer price' END WHEN channel = 'wholesale' THEN CASE k % 2 WHEN 0 THEN 'Whole sale' ELSE 'WHOLESALE' END ELSE CASE k % 2 WHEN 0 THEN 'Retail' ELSE 'retailer' END END",
-    "raw_unit": "CASE k % 25 WHEN 0 THEN 'crate' WHEN 1 THEN '' WHEN 2 THEN concat(upper(unit), 's') WHEN 3 THEN 'Kgs' WHEN 4 THEN 'liter' ELSE unit END",
+    "raw_channel": "CASE WHEN k % 45 = 0 THEN 'unknown' WHEN k % 45 = 1 THEN CASE channel WHEN 'farmgate' THEN 'Farm' WHEN 'wholesale' THEN 'bulk' ELSE 'CONSUMER' END WHEN channel = 'farmgate' THEN CASE k % 3 WHEN 0 THEN 'Farm Gate' WHEN 1 THEN 'farm_gate' ELSE 'Producer price' END WHEN channel = 'wholesale' THEN CASE k % 2 WHEN 0 THEN 'Whole sale' ELSE 'WHOLESALE' END ELSE CASE k % 2 WHEN 0 THEN 'Retail' ELSE 'retailer' END END",
+    "raw_unit": "CASE k % 25 WHEN 0 THEN 'crate' WHEN 1 THEN '' WHEN 2 THEN concat(upper(unit), 's') WHEN 3 THEN 'Kgs' WHEN 4 THEN 'liter' WHEN 5 THEN 'Lt' WHEN 6 THEN 'Units' WHEN 7 THEN 'Pcs' ELSE unit END",
 }
 _WHOLE, _CENTS = "CAST(CAST(floor(price * 100 + 0.5) AS BIGINT) {div} 100 AS {text})", "CAST(CAST(floor(price * 100 + 0.5) AS BIGINT) % 100 AS {text})"
-_SPARK = {"dmy": "date_format(date, 'dd/MM/yyyy')", "dmony": "date_format(date, 'd MMM yyyy')", "ymd": "date_format(date, 'yyyy-MM-dd')", "swapped": "concat(split_part(commodity, ' ', 2), ' ', split_part(commodity, ' ', 1))", "whole": _WHOLE.format(div="div", text="STRING"), "cents": _CENTS.format(text="STRING")}
-_DUCK = {"dmy": "strftime(date, '%d/%m/%Y')", "dmony": "strftime(date, '%-d %b %Y')", "ymd": "strftime(date, '%Y-%m-%d')", "swapped": "concat(split_part(commodity, ' ', 2), ' ', split_part(commodity, ' ', 1))", "whole": _WHOLE.format(div="//", text="VARCHAR"), "cents": _CENTS.format(text="VARCHAR")}
+_SPARK = {"long": "date_format(date, 'MMMM d, yyyy')", "dow": "date_format(date, 'EEE, MMM d, yyyy')", "full": "date_format(date, 'd MMMM yyyy')", "my": "date_format(date, 'MMM. yyyy')", "dmy": "date_format(date, 'dd/MM/yyyy')", "dmony": "date_format(date, 'd MMM yyyy')", "ymd": "date_format(date, 'yyyy-MM-dd')", "swapped": "concat(split_part(commodity, ' ', 2), ' ', split_part(commodity, ' ', 1))", "whole": _WHOLE.format(div="div", text="STRING"), "cents": _CENTS.format(text="STRING")}
+_DUCK = {"long": "strftime(date, '%B %-d, %Y')", "dow": "strftime(date, '%a, %b %-d, %Y')", "full": "strftime(date, '%-d %B %Y')", "my": "strftime(date, '%b. %Y')", "dmy": "strftime(date, '%d/%m/%Y')", "dmony": "strftime(date, '%-d %b %Y')", "ymd": "strftime(date, '%Y-%m-%d')", "swapped": "concat(split_part(commodity, ' ', 2), ' ', split_part(commodity, ' ', 1))", "whole": _WHOLE.format(div="//", text="VARCHAR"), "cents": _CENTS.format(text="VARCHAR")}
 
 
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,12 +80,12 @@ _RAW_SQL = "raw AS (SELECT seq, id, k, " + ", ".join(f"{e.format(**_DUCK)} AS {c
 _FOLD = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9'' ]', ' ', 'g'), ' +', ' ', 'g'))"
 _STD_SQL = (
     """std AS (SELECT seq, id, k, raw_date, raw_price, raw_commodity, raw_market, raw_channel, raw_unit,
-    CAST(coalesce(try_strptime(raw_date, '%Y-%m-%d'), try_strptime(raw_date, '%d/%m/%Y'), try_strptime(raw_date, '%-d %b %Y'), try_strptime(regexp_extract(raw_date, '^(\\d{4}-\\d{1,2}-\\d{1,2})T', 1), '%Y-%m-%d')) AS DATE) AS date,
+    CAST(coalesce(try_strptime(raw_date, '%Y-%m-%d'), try_strptime(raw_date, '%d/%m/%Y'), try_strptime(raw_date, '%-d %b %Y'), try_strptime(raw_date, '%-d %B %Y'), try_strptime(raw_date, '%B %-d, %Y'), try_strptime(raw_date, '%a, %b %-d, %Y'), try_strptime(concat('1 ', raw_date), '%-d %b. %Y'), try_strptime(regexp_extract(raw_date, '^(\\d{4}-\\d{1,2}-\\d{1,2})T', 1), '%Y-%m-%d')) AS DATE) AS date,
     TRY_CAST(nullif(regexp_replace(raw_price, '[^0-9.-]', '', 'g'), '') AS DOUBLE) AS price,
     CASE replace("""
     + _FOLD.format("raw_channel")
-    + """, ' ', '') WHEN 'farmgate' THEN 'farmgate' WHEN 'producer' THEN 'farmgate' WHEN 'producerprice' THEN 'farmgate' WHEN 'wholesale' THEN 'wholesale' WHEN 'wholesaler' THEN 'wholesale' WHEN 'retail' THEN 'retail' WHEN 'retailer' THEN 'retail' WHEN 'retailprice' THEN 'retail' END AS channel,
-    CASE regexp_replace(lower(trim(raw_unit)), 's$', '') WHEN 'kilogram' THEN 'kg' WHEN 'kilo' THEN 'kg' WHEN 'liter' THEN 'litre' WHEN 'l' THEN 'litre' WHEN 'egg' THEN 'piece' WHEN 'pc' THEN 'piece' ELSE nullif(regexp_replace(lower(trim(raw_unit)), 's$', ''), '') END AS unit,
+    + """, ' ', '') WHEN 'farmgate' THEN 'farmgate' WHEN 'farm' THEN 'farmgate' WHEN 'producer' THEN 'farmgate' WHEN 'producerprice' THEN 'farmgate' WHEN 'wholesale' THEN 'wholesale' WHEN 'wholesaler' THEN 'wholesale' WHEN 'bulk' THEN 'wholesale' WHEN 'retail' THEN 'retail' WHEN 'retailer' THEN 'retail' WHEN 'consumer' THEN 'retail' END AS channel,
+    CASE regexp_replace(lower(trim(raw_unit)), 's$', '') WHEN 'kilogram' THEN 'kg' WHEN 'kilo' THEN 'kg' WHEN 'liter' THEN 'litre' WHEN 'lt' THEN 'litre' WHEN 'l' THEN 'litre' WHEN 'egg' THEN 'piece' WHEN 'unit' THEN 'piece' WHEN 'pc' THEN 'piece' ELSE nullif(regexp_replace(lower(trim(raw_unit)), 's$', ''), '') END AS unit,
     """
     + _FOLD.format("raw_commodity")
     + " AS commodity_form, "

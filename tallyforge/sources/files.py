@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share; a local one only where the session names none, as in tests."""
+    """A fresh folder that driver and executors share; a local one only where the session names none and all its tasks run
+    in this process, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tallyforge-')}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/core-{uuid.uuid4().hex}"
