@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Latin letters with marks and their plain forms.
@@ -54,6 +54,11 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(mixed)
 
 
+def spread(pairs: DataFrame, key: str) -> DataFrame:
+    """Pairs of names over all shuffle partitions: they are few bytes, but each takes long to compare."""
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def r4(x: Column) -> Column:
     """Four decimals, halves up."""
     return F.floor(x * 1e4 + 0.5) / 1e4

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalized, r4, similarity
+from ..functions.text import normalized, r4, similarity, spread
 
 NEAR, SURE = 0.82, 0.92
 
@@ -34,7 +34,7 @@ def name_neighbours(names: DataFrame) -> DataFrame:
     words = one.withColumn("word", F.explode(F.array_distinct(F.split("form", " ")))).where("word <> ''")
     other = words.select(F.col("name").alias("b"), F.col("form").alias("form_b"), "word")
     pairs = words.join(other, "word").where(F.col("name") < F.col("b")).select(F.col("name").alias("a"), "b", "form", "form_b").distinct()
-    pairs = pairs.withColumn("score", r4(similarity(F.col("form"), F.col("form_b")))).where(F.col("score") >= NEAR).select("a", "b", "score")
+    pairs = spread(pairs, "b").withColumn("score", r4(similarity(F.col("form"), F.col("form_b")))).where(F.col("score") >= NEAR).select("a", "b", "score")
     own = one.select(F.col("name").alias("a"), F.col("name").alias("b"), F.lit(1.0).alias("score"))
     return pairs.union(pairs.select("b", "a", "score")).union(own)
 

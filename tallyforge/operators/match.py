@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.text import normalized, r4, similarity
+from ..functions.text import normalized, r4, similarity, spread
+from ..sources.files import written
 
 ALIAS_WEIGHT, ALIAS_LIFT = 0.99, 0.05
 
@@ -43,11 +44,18 @@ def exact_owners(names: DataFrame, known: DataFrame) -> DataFrame:
     return names.join(known, names.name == known.form).groupBy("name").agg(F.sort_array(F.collect_set("owner")).alias("owners"))
 
 
-def fuzzy_scores(names: DataFrame, known: DataFrame) -> DataFrame:
-    """name, owner, score: names and forms that share a trigram; a winning alias is weighed down, then lifted."""
+def fuzzy_scores(names: DataFrame, known: DataFrame, common: int | None = None) -> DataFrame:
+    """name, owner, score: names and forms that share a trigram; a winning alias is weighed down, then lifted.
+
+    Trigrams of more than ``common`` forms pair nothing where the name has a rarer one, so that registries whose names
+    all begin alike don't become all pairs."""
     left = names.distinct().where("name <> ''").withColumn("gram", F.explode(trigrams(F.col("name"))))
     right = known.withColumn("gram", F.explode(trigrams(F.col("form"))))
-    pairs = left.join(right, "gram").select("name", "owner", "form", "alias").distinct()
+    if common is not None:
+        often = right.groupBy("gram").agg(F.countDistinct("form").alias("df"))
+        rare = left.join(often, "gram").withColumn("least", F.min("df").over(Window.partitionBy("name")))
+        left = rare.where((F.col("df") <= common) | (F.col("least") > common)).select("name", "gram")
+    pairs = spread(left.join(right, "gram").select("name", "owner", "form", "alias").distinct(), "name")
     pairs = pairs.withColumn("s", similarity(F.col("name"), F.col("form")))
     by = pairs.groupBy("name", "owner").agg(F.coalesce(F.max(F.when(F.col("alias") == 0, F.col("s"))), F.lit(0.0)).alias("own"), F.coalesce(F.max(F.when(F.col("alias") > 0, F.col("s"))), F.lit(0.0)).alias("other"))
     other = F.col("other") * ALIAS_WEIGHT
@@ -62,8 +70,7 @@ def candidates(scores: DataFrame, limit: int = 3) -> DataFrame:
 
 def decide(names: DataFrame, catalog: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
     """name, status, match, score of each distinct name: exact, archived, auto, review, ambiguous, unknown or empty."""
-    names = names.distinct()
-    known = forms(catalog)
+    names, known = written(names.distinct()), written(forms(catalog))
     exact = exact_owners(names, known)
     rest = names.join(exact, "name", "left_anti")
     best = candidates(fuzzy_scores(rest, known), 1)
@@ -79,7 +86,7 @@ def decide(names: DataFrame, catalog: DataFrame, limits: Thresholds = Thresholds
     return out.select("name", status.alias("status"), "match", F.when(F.size("owners") >= 1, 1.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"))
 
 
-MARKET, SURE = Thresholds(accept=0.88, review=0.50), 0.92
+MARKET, SURE, COMMON = Thresholds(accept=0.88, review=0.50), 0.92, 250
 
 
 def market_name(form: Column) -> Column:
@@ -89,18 +96,20 @@ def market_name(form: Column) -> Column:
 
 def decide_markets(names: DataFrame, registry: DataFrame, limits: Thresholds = MARKET) -> DataFrame:
     """name, status, match, score of each distinct folded market name: a registered spelling first, else the best of the
-    registry once the word market is left out of both. Below ``SURE`` the n-gram model is asked: agreement blends the score
-    upward, dissent keeps it from being accepted."""
-    forms_of = registry.select(F.col("market").alias("owner"), normalized(F.col("market")).alias("form")).distinct()
-    whole = names.distinct().where("name IS NOT NULL")
+    registry once the word market is left out of both. Below ``SURE`` the n-gram model, fitted to the names that are asked
+    about, ranks the three best: agreement blends the score upward, dissent keeps it from being accepted."""
+    forms_of = written(registry.select(F.col("market").alias("owner"), normalized(F.col("market")).alias("form")).distinct())
+    whole = written(names.distinct().where("name IS NOT NULL"))
     first = exact_owners(whole, forms_of)
     rest = whole.join(first, "name", "left_anti").withColumn("short", market_name(F.col("name")))
     bare = forms_of.select("owner", market_name(F.col("form")).alias("form"), F.lit(0).alias("alias"))
     asked = rest.select(F.col("short").alias("name")).distinct()
     second = exact_owners(asked, bare)
-    best = candidates(fuzzy_scores(asked.join(second, "name", "left_anti"), bare), 1)
-    model = tfidf_best(best.where(F.col("score") < SURE).select("name"), bare.select(F.col("form").alias("name")).distinct()).select("name", F.col("owner").alias("model"), "cosine")
-    agrees = market_name(normalized(F.col("owner"))) == F.col("model")
+    top = written(candidates(fuzzy_scores(asked.join(second, "name", "left_anti"), bare, COMMON), 3))
+    best = top.where("rank = 1")
+    doubted = best.where(F.col("score") < SURE).select("name")
+    model = tfidf_among(top.join(doubted, "name", "left_semi").join(bare, "owner").select("name", "owner", "form"))
+    agrees = F.col("owner") == F.col("model")
     blended = F.when(F.col("model").isNull(), F.col("score")).when(agrees, F.greatest("score", 0.5 * F.col("score") + 0.5 * F.col("cosine"))).otherwise(F.least("score", F.lit(limits.accept - 0.01)))
     best = best.join(model, "name", "left").withColumn("next", F.when(F.col("score") - F.col("next") < limits.tie, F.col("next"))).withColumn("score", r4(blended))
     near = asked.join(second, "name", "left").join(best.select("name", "owner", "score", "next"), "name", "left")
@@ -170,6 +179,15 @@ def tfidf_best(names: DataFrame, corpus: DataFrame) -> DataFrame:
     return scores.groupBy("name").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "owner")).alias("b")).select("name", "b.owner", (-F.col("b.c")).alias("cosine"))
 
 
+def tfidf_among(pairs: DataFrame) -> DataFrame:
+    """name, model, cosine: of each name's owners with their forms the nearest one, by weights fitted to all these forms."""
+    known = grams(pairs.select(F.col("form").alias("name")).distinct())
+    by = idf(known)
+    left, right = weights(grams(pairs.select("name").distinct()), by), weights(known, by).select(F.col("name").alias("form"), "gram", F.col("w").alias("v"))
+    scores = pairs.join(left, "name").join(right, ["form", "gram"]).groupBy("name", "owner").agg(r4(F.sum(F.col("w") * F.col("v"))).alias("cosine"))
+    return scores.groupBy("name").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "owner")).alias("b")).select("name", F.col("b.owner").alias("model"), (-F.col("b.c")).alias("cosine"))
+
+
 def rank_entities(names: DataFrame, catalog: DataFrame, accept: float = 0.90, sure: float = 0.92) -> DataFrame:
     """Fuzzy best, asked against the n-gram model below ``sure``: agreement blends upward, dissent caps the score."""
     best = candidates(fuzzy_scores(names, forms(catalog)), 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..functions.text import normalized, title
+from ..sources.files import written
 from . import match
 
 #: Units that a catalog-free record may have.
@@ -23,7 +24,8 @@ def typed(raw: DataFrame) -> DataFrame:
 
 def resolved(rows: DataFrame, catalog: DataFrame, registry: DataFrame) -> DataFrame:
     """Canonical commodity and market; districts and provinces come from the registry, else from the row where it has them;
-    names that aren't accepted keep their text."""
+    names that aren't accepted keep their text. Rows are written once, as their names are asked for before they are joined."""
+    rows = written(rows)
     decided = match.decide(rows.select(F.col("commodity_form").alias("name")), catalog).select(F.col("name").alias("commodity_form"), "status", "match", "score")
     units = catalog.groupBy(F.col("commodity").alias("match")).agg(F.min("unit").alias("catalog_unit"))
     markets = match.decide_markets(rows.select(F.col("market_form").alias("name")), registry).select(F.col("name").alias("market_form"), F.col("status").alias("market_status"), F.col("match").alias("market_match"), F.col("score").alias("market_score"))

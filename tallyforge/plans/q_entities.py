@@ -30,11 +30,12 @@ def _short(x: str) -> str:
 TFIDF = """
   gn AS (SELECT name, g AS gram, count(*) AS tf FROM (SELECT name, substr(w, CAST(i AS INTEGER), CAST(n AS INTEGER)) AS g, n FROM (SELECT name, concat(' ', unnest(list_filter(string_split(name, ' '), lambda t: t <> '')), ' ') AS w FROM {0}) ws, range(1, 60) t(i), range(2, 5) u(n) WHERE i <= length(w) - n + 1) GROUP BY ALL)"""
 _MCOS = (
-    TFIDF.format("(SELECT DISTINCT form AS name FROM mbare)").replace("gn AS", "mcg AS") + ", " + TFIDF.format("(SELECT short AS name FROM mcand WHERE rank = 1 AND score < 0.92)").replace("gn AS", "mgn AS")
+    f"mpairs AS (SELECT short AS name, owner, form FROM mcand JOIN mbare USING (owner) WHERE rank <= 3 AND short IN (SELECT short FROM mcand WHERE rank = 1 AND score < 0.92)), "
+    + TFIDF.format("(SELECT DISTINCT form AS name FROM mpairs)").replace("gn AS", "mcg AS") + ", " + TFIDF.format("(SELECT DISTINCT name FROM mpairs)").replace("gn AS", "mgn AS")
     + f""", midf AS (SELECT gram, ln((1 + (SELECT count(DISTINCT name) FROM mcg)) / CAST(1 + count(*) AS DOUBLE)) + 1 AS idf FROM mcg GROUP BY gram),
   mwn AS (SELECT name, gram, w / sqrt(sum(w * w) OVER (PARTITION BY name)) AS w FROM (SELECT name, gram, (1 + ln(tf)) * idf AS w FROM mgn JOIN midf USING (gram))),
-  mwc AS (SELECT owner, gram, v / sqrt(sum(v * v) OVER (PARTITION BY owner)) AS v FROM (SELECT name AS owner, gram, (1 + ln(tf)) * idf AS v FROM mcg JOIN midf USING (gram))),
-  mtb AS (SELECT name, owner AS model, cosine FROM (SELECT name, owner, {r4('sum(w * v)')} AS cosine FROM mwn JOIN mwc USING (gram) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY name ORDER BY cosine DESC, owner) = 1)"""
+  mwc AS (SELECT form, gram, v / sqrt(sum(v * v) OVER (PARTITION BY form)) AS v FROM (SELECT name AS form, gram, (1 + ln(tf)) * idf AS v FROM mcg JOIN midf USING (gram))),
+  mtb AS (SELECT name, owner AS model, cosine FROM (SELECT name, owner, {r4('sum(w * v)')} AS cosine FROM mpairs JOIN mwn USING (name) JOIN mwc USING (form, gram) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY name ORDER BY cosine DESC, owner) = 1)"""
 )
 MARKETS = f"""
   mforms AS (SELECT DISTINCT market AS owner, {FOLD.format('market')} AS form FROM reg), mnames AS (SELECT DISTINCT market_form AS name FROM std),
@@ -44,11 +45,12 @@ MARKETS = f"""
   mask AS (SELECT DISTINCT short AS name FROM mrest WHERE short <> '' AND short NOT IN (SELECT short FROM mx2)),
   mng AS (SELECT DISTINCT name, substr(concat(' ', name, ' '), CAST(i AS INTEGER), 3) AS g FROM mask, range(1, 60) t(i) WHERE i <= length(name)),
   mfg AS (SELECT DISTINCT owner, form, substr(concat(' ', form, ' '), CAST(i AS INTEGER), 3) AS g FROM mbare, range(1, 60) t(i) WHERE i <= length(form)),
-  mfz AS (SELECT name, owner, {r4('max(s)')} AS score FROM (SELECT name, owner, {sim('name', 'form')} AS s FROM (SELECT DISTINCT name, owner, form FROM mng JOIN mfg USING (g))) GROUP BY ALL),
+  mrare AS (SELECT name, g FROM (SELECT *, min(df) OVER (PARTITION BY name) AS least FROM mng JOIN (SELECT g, count(DISTINCT form) AS df FROM mfg GROUP BY g) USING (g)) WHERE df <= 250 OR least > 250),
+  mfz AS (SELECT name, owner, {r4('max(s)')} AS score FROM (SELECT name, owner, {sim('name', 'form')} AS s FROM (SELECT DISTINCT name, owner, form FROM mrare JOIN mfg USING (g))) GROUP BY ALL),
   mcand AS (SELECT name AS short, owner, score, row_number() OVER w AS rank, lead(score) OVER w AS next FROM mfz WINDOW w AS (PARTITION BY name ORDER BY score DESC, owner)),
   {_MCOS},
-  mtop AS (SELECT short, owner, next0, CASE WHEN score >= 0.92 OR model IS NULL THEN score WHEN model = fshort THEN greatest(score, {r4('0.5::DOUBLE * score + 0.5::DOUBLE * cosine')}) ELSE least(score, 0.87::DOUBLE) END AS score
-    FROM (SELECT short, owner, score, CASE WHEN score - next < 0.02 THEN next END AS next0, {_short(FOLD.format('owner'))} AS fshort FROM mcand WHERE rank = 1) LEFT JOIN mtb ON mtb.name = short),
+  mtop AS (SELECT short, owner, next0, CASE WHEN score >= 0.92 OR model IS NULL THEN score WHEN model = owner THEN greatest(score, {r4('0.5::DOUBLE * score + 0.5::DOUBLE * cosine')}) ELSE least(score, 0.87::DOUBLE) END AS score
+    FROM (SELECT short, owner, score, CASE WHEN score - next < 0.02 THEN next END AS next0 FROM mcand WHERE rank = 1) LEFT JOIN mtb ON mtb.name = short),
   mall AS (SELECT name, owners, NULL AS owner, NULL AS score, NULL AS next0 FROM mx1 UNION ALL SELECT name, owners, owner, score, next0 FROM mrest LEFT JOIN mx2 USING (short) LEFT JOIN mtop USING (short)),
   mdec AS (SELECT name, CASE WHEN len(owners) >= 1 THEN 1.0 ELSE coalesce(score, 0.0) END AS score, CASE WHEN len(owners) >= 1 THEN owners[1] WHEN score >= 0.5 THEN owner END AS match,
     CASE WHEN name = '' THEN 'empty' WHEN len(owners) = 1 THEN 'exact' WHEN len(owners) > 1 THEN 'ambiguous' WHEN coalesce(score, 0) < 0.5 THEN 'unknown' WHEN score >= 0.5 AND next0 IS NOT NULL THEN 'ambiguous' WHEN score >= 0.88 THEN 'auto' ELSE 'review' END AS status FROM mall)"""

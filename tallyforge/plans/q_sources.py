@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import anomaly
-from ..sources import mapping, readers
+from ..sources import export, mapping, readers
 from ..sources.files import scratch
 from ..streaming import dedup
 from .q_rules import LADDER, r4
 from .registry import query
-from .views import raw_records, records, table
+from .views import UNIT, raw_records, records, table
 
 _CENTS = "CAST(floor(s_acctbal * 100 + 0.5) AS BIGINT)"
 
@@ -52,7 +52,7 @@ def s03(spark, sf):
 
 @query("p01_detect_columns")
 def p01(spark, sf):
-    found = mapping.detect_columns(["Itariki", "Province", "District", "Market_Name", "Product", "Price_Type", "Unit", "Price_RWF"])
+    found = mapping.detect_columns(["Price date", "Province", "District", "Market_Name", "Product", "Price_Type", "Unit", "Price_RWF"])
     return spark.createDataFrame(list(found.items()), "field string, header string")
 
 
@@ -90,3 +90,27 @@ def e01(spark, sf):
     e.union(e).write.parquet(where)
     stream = spark.readStream.schema(e.schema).parquet(where)
     return dedup.run_available(dedup.deduplicated(stream, "3650 days"), spark).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("s14_nested_export", f"""WITH p AS (SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS local, p_name AS english, {UNIT} AS unit FROM part), sh AS (SELECT local FROM p GROUP BY local HAVING count(DISTINCT id) > 1)
+  SELECT strftime(l_shipdate, '%Y-%m-%d') AS date, CASE n_regionkey WHEN 1 THEN 'Southern Province' WHEN 2 THEN 'Western Province' WHEN 3 THEN 'Northern Province' WHEN 4 THEN 'Eastern Province' ELSE '' END AS province, n_name AS district, s_name AS market,
+  CASE WHEN p.local IN (SELECT local FROM sh) THEN upper(p.english[1]) || p.english[2:] ELSE upper(p.local[1]) || p.local[2:] END AS commodity, 'retail' AS price_type, p.unit AS unit,
+  CAST(CASE WHEN l_linenumber % 3 = 0 THEN NULL WHEN l_linenumber % 3 = 1 THEN l_quantity ELSE (l_quantity * 2 + l_linenumber) / 2 END AS DOUBLE) AS price, CAST(l_orderkey * 16 + l_linenumber AS VARCHAR) AS export_id
+  FROM lineitem JOIN p ON l_partkey = p.id JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""")
+def s14(spark, sf):
+    """Prices nested as in an export, written as JSON, read back and flattened; products are looked up by code."""
+    li, s, n, p = (table(spark, sf, t) for t in ("lineitem", "supplier", "nation", "part"))
+    rows = li.join(s, li.l_suppkey == s.s_suppkey).join(F.broadcast(n), s.s_nationkey == n.n_nationkey)
+    turn = F.col("l_linenumber") % 3
+    nested = rows.select(
+        (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("id"), F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm").alias("created_on"), F.col("l_partkey").alias("commodity_code"),
+        F.struct(F.col("s_name").alias("name"), F.col("n_name").alias("district"), F.struct(F.col("n_regionkey").alias("id")).alias("province")).alias("market"),
+        F.when(turn == 1, F.col("l_quantity").cast("double")).alias("average_price"), F.when(turn == 2, F.col("l_quantity").cast("double") * 2).alias("price_1"), F.when(turn == 2, F.col("l_linenumber").cast("double")).alias("price_2"),
+    )
+    where = scratch(spark)
+    nested.write.json(where)
+    read = spark.read.json(where)
+    if not export.is_export(read):
+        raise ValueError("not a nested export")
+    products = p.select(F.col("p_partkey").alias("id"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("commodity_name"), F.col("p_name").alias("commodity_name_en"), F.expr(UNIT).alias("commodity_unit"))
+    return export.export_rows(read, products, channel="retail").withColumn("price", F.nullif("price", F.lit("")).cast("double"))

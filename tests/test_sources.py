@@ -1,9 +1,12 @@
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import parse, text
 from tallyforge.operators import analytics, anomaly, dedupe, features, forest, match, review
-from tallyforge.sources import mapping, readers
+from tallyforge.sources import export, mapping, readers
 from tallyforge.streaming import dedup
 
 
@@ -52,7 +55,7 @@ def test_json_finds_all_rows(spark, tmp_path, text, want):
 
 def test_mapping(spark):
     df = spark.createDataFrame([("2026-09-01", "Kimironko", "Beans", "Retail", "1,200 RWF")], "Itariki string, Market_Name string, Product string, Level string, Amount string")
-    assert mapping.suggest_mapping(df) == {"date": "Itariki", "market": "Market_Name", "commodity": "Product", "price_type": "Level", "price": "Amount"}
+    assert mapping.suggest_mapping(df, more={"date": ("itariki",)}) == {"date": "Itariki", "market": "Market_Name", "commodity": "Product", "price_type": "Level", "price": "Amount"}
     assert mapping.missing_required({"market": "x"}) == ["commodity", "price"]
     assert mapping.channel_from_name("Farm-gate 2026.csv") == "farmgate"
 
@@ -141,3 +144,59 @@ def test_stream_windows(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     got = dedup.run_available(dedup.windowed(stream), spark).collect()
     assert [(r.n, r.total) for r in got] == [(2, 3.0)]
+
+
+def test_detect_is_the_plain_search():
+    """Against the rule spelled out: the first header equal to a word of the field, else the first that holds one."""
+    rng = random.Random(3)
+    pool = ["Observation date", "commodity_name", "Average Price", "Price type", "market place", "UOM", "Crop", "Province", "x", "Unit price (RWF)", "level", "Day", "Currency code"]
+    for _ in range(50):
+        headers = rng.sample(pool, rng.randrange(1, len(pool)))
+        for field, got in mapping.detect_columns(headers).items():
+            want = None
+            for test in (lambda k, w: k == w, lambda k, w: w in k):
+                for h in headers:
+                    key = "_".join("".join(c if c.isalnum() else " " for c in h.lower()).split())
+                    if want is None and any(test(key, w) for w in mapping.DETECT[field]):
+                        want = h
+            assert got == want
+
+
+def test_words_that_were_lacking():
+    found = mapping.detect_columns(["observation_date", "commodity", "market_name", "unit_price", "market_level", "unit_of_measure"])
+    assert found == {"date": "observation_date", "province": None, "district": None, "market": "market_name", "commodity": "commodity", "price_type": "market_level", "unit": "unit_of_measure", "price": "unit_price", "currency": None}
+
+
+def test_values_decide(spark):
+    rows = [("2026-09-01", "Gasabo", "Kigali City", "Kimironko", "Beans", "yes", "1", "900", "12")] * 3 + [("2026-09-02", "Musanze", "Northern Province", "Byumba", "Maize", "no", "2", "1,000 RWF", "13")] * 3
+    df = spark.createDataFrame(rows, "created_on string, Region string, Area string, Markets string, commodity_name string, price string, market_id string, average_price string, product string")
+    got = mapping.suggest_mapping(df, districts=["Gasabo", "Musanze"])
+    assert got == {"date": "created_on", "district": "Region", "province": "Area", "market": "Markets", "commodity": "commodity_name", "price": "average_price"}
+    assert mapping.geography_shares(df, "Area", ["Gasabo"]) == (0.0, 1.0)
+
+
+def test_wide_sheets(spark):
+    df = spark.createDataFrame([("Beans", "100", "", "300"), ("Maize", "n/a", "50", "70"), ("Peas", "10", "20", " ")], "Product string, `Farm gate price` string, Wholesale string, `Retail price` string")
+    assert mapping.channel_columns(df) == {"wholesale": "Wholesale", "retail": "Retail price"}  # a third of the first one is no number
+    long = sorted(map(tuple, mapping.unpivot_channels(df.drop("Farm gate price")).collect()))
+    assert long == [("Beans", "retail", "300"), ("Maize", "retail", "70"), ("Maize", "wholesale", "50"), ("Peas", "wholesale", "20")]
+    assert mapping.unpivot_channels(df.select("Product", "Wholesale")).columns == ["Product", "Wholesale"]
+
+
+def test_nested_export(spark, tmp_path):
+    rows = [
+        {"id": 1, "created_on": "2026-09-28T08:00:00", "market": {"name": "Kimironko", "district": "Gasabo", "province": 5}, "product": {"id": 7, "commodity_name": "ibishyimbo  byera", "commodity_name_en": "white beans", "commodity_unit": "Kg"}, "price_1": 500.0, "price_2": 700.0, "price_type": "RETAIL"},
+        {"id": 2, "entry_date": "2026-09-27", "market_name": "Byumba", "commodity_code": 8, "average_price": 300.5, "price_1": 1.0},
+        {"id": 3, "entry_date": "2026-09-27", "market_name": "Byumba", "commodity_code": 9, "price_type": ""},
+    ]
+    (tmp_path / "x.json").write_text(json.dumps(rows))
+    df = spark.read.json(str(tmp_path / "x.json"), multiLine=True)
+    assert export.is_export(df) and not export.is_export(df.select("id", "product"))
+    products = spark.createDataFrame([(8, "imboga", "greens", "Bunch"), (9, "imboga", "spinach", "Bunch")], "id long, commodity_name string, commodity_name_en string, commodity_unit string")
+    got = [tuple(r) for r in export.export_rows(df, products, channel="farmgate").orderBy("export_id").collect()]
+    assert got == [
+        ("2026-09-28", "Kigali City", "Gasabo", "Kimironko", "Ibishyimbo byera", "RETAIL", "Kg", "600.0", "1"),
+        ("2026-09-27", "", "", "Byumba", "Greens", "farmgate", "Bunch", "300.5", "2"),
+        ("2026-09-27", "", "", "Byumba", "Spinach", "farmgate", "Bunch", "", "3"),
+    ]
+    assert export.export_rows(df.limit(0)).count() == 0
