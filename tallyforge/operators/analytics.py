@@ -99,3 +99,9 @@ def highlights(df: DataFrame) -> DataFrame:
     a = province.agg(r4(F.min("median")).alias("least_province"), r4(F.max("median")).alias("most_province"))
     b = market.agg(F.min(F.struct("median", "market")).alias("lo"), F.max(F.struct("median", "market")).alias("hi"), r4(F.percentile("median", 0.5)).alias("middle"))
     return a.crossJoin(b.select(F.col("lo.market").alias("cheapest"), F.col("hi.market").alias("dearest"), "middle"))
+
+
+def market_medians(df: DataFrame) -> DataFrame:
+    """Market: rounded median of its prices, and how many there are."""
+    by = df.where("price > 0").groupBy("market").agg(F.percentile("price", 0.5).alias("m"), F.count("*").alias("n"))
+    return by.select("market", F.floor(F.col("m") + 0.5).cast("long").alias("median"), "n")
