@@ -26,19 +26,29 @@ def price(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9.-]", "").try_cast("double")
 
 
+def _once(x: Column, use) -> Column:
+    """use(x) with x worked out once, however often it is named."""
+    return F.transform(F.array(x), use)[0]
+
+
 def date(x: Column) -> Column:
     """Day of a text in one of the known forms; a month alone is its first day, a day that isn't in the calendar is null.
 
-    The first form that fits is taken apart, and the parts are cast once."""
-    t = F.trim(x)
-    out = None
-    for form, (year, month, day) in DATES:
-        parts = [F.regexp_extract(t, form, k) if k else F.lit("1") for k in (year, month, day)]
-        if "[A-Za-z]" in form:
-            place = F.instr(F.lit(MONTHS), F.lower(F.substring(parts[1], 1, 3)))
-            parts[1] = F.when(place > 0, F.floor((place + 3) / 4).cast("string"))
-        out = (F if out is None else out).when(t.rlike(form), F.concat(parts[0], F.lit("-"), F.lpad(parts[1], 2, "0"), F.lit("-"), F.lpad(parts[2], 2, "0")))
-    return out.try_cast("date")
+    The first form that fits is turned into year, month and day, which are cast once."""
+
+    def turned(t: Column) -> Column:
+        out = None
+        for form, order in DATES:
+            out = (F if out is None else out).when(t.rlike(form), F.regexp_replace(t, form, "-".join(f"${k}" if k else "1" for k in order)))
+        return F.split(out, "-")
+
+    def joined(parts: Column) -> Column:
+        month = parts[1]
+        place = F.instr(F.lit(MONTHS), F.lower(F.substring(month, 1, 3)))
+        number = F.when(month.rlike("^[0-9]+$"), F.lpad(month, 2, "0")).when(place > 0, F.lpad(F.floor((place + 3) / 4).cast("string"), 2, "0"))
+        return F.concat(parts[0], F.lit("-"), number, F.lit("-"), F.lpad(parts[2], 2, "0"))
+
+    return _once(_once(F.trim(x), turned), joined).try_cast("date")
 
 
 def _lookup(key: Column, spellings: dict[str, tuple[str, ...]], otherwise: Column) -> Column:
