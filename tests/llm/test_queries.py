@@ -8,7 +8,7 @@ from tallyforge.llm import queries
 def test_sql_twins(spark, name):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "sales"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     cur = con.execute(queries.ORACLE_SQL[name])
     names = [d[0] for d in cur.description]
@@ -19,4 +19,4 @@ def test_sql_twins(spark, name):
 
 def test_names():
     ops = {n.split("_")[0] for n in queries.QUERIES if n.startswith("op")}
-    assert ops == {f"op{k}" for k in range(1, 11)} and "pipeline" in queries.QUERIES
+    assert ops == {f"op{k}" for k in range(1, 14)} and "pipeline" in queries.QUERIES
