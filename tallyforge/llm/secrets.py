@@ -1,11 +1,16 @@
 """Secret scans over a worklist of decoded layers.
 
-A text is scanned as it is; then URL escapes, Unicode escapes, base64 runs and compressed data (all members of
+A text is scanned as it is; then URL escapes, Unicode escapes, base64 runs, text of two or four bytes a character and compressed data (all members of
 gzip, zlib, bz2 and xz, at any place and however their bytes are spelled) in it are unwrapped
 into further layers, each scanned and unwrapped in turn until nothing new appears. Layers seen before (by content
 and place) are not entered again, so data that decode to themselves end. Every hit is mapped to code points of the
 original text: exactly through escapes and base64, to the whole encoded run through compression.
 
+Escapes within escapes are unwrapped to their end at once, in one pass whatever their depth: what lies between holds no other
+hits, as no hit has a character that begins an escape. So the depth of layers grows with the logarithm of a text's length
+only, base64 being what is left to nest. Base64 is decoded from each of a run's first four characters on, so that nothing written before
+the data shifts it, and over line breaks, also quoted ones (``>`` before a line) or such as are spelled ``\\n``.
+
 Null and empty texts have no hits. Repeated rows give repeated results; an empty table gives none; columns of other names are
 kept as they are or not read. Hits of several kinds at one place are all reported, in the order of ``KINDS``. Texts of any
 length are scanned whole: places are kept by runs, not by characters, and of a long layer only the surroundings of what was
@@ -49,9 +54,14 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|%u([0-9A-Fa-f]{4})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: What may stand between two lines of base64: a line break, also one spelled with a backslash, and marks of quoting around it.
+_GAP = r"""[ \t"',]*+(?:\\?(?:\r\n?|\n)|(?:\\r)?\\n|\\r)[ \t"'>|#*;]*+"""
 #: Consecutive lines of nothing but base64; text may stand before the first and behind the last.
-_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
-_BREAK = re.compile(r"[ \t\r\n]+")
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{_GAP}[A-Za-z0-9+/_-]++)++={{0,2}}")
+_BREAK = re.compile(_GAP)
+#: Runs of characters of four or two bytes each, either end first.
+_WIDE = re.compile("(?:[\x01-\x7f]\0{3}){6,}|(?:\0{3}[\x01-\x7f]){6,}|(?:[\x01-\x7f]\0){6,}|(?:\0[\x01-\x7f]){6,}")
+_HEXITS = frozenset("0123456789abcdefABCDEF")
 _STANDARD = str.maketrans("-_", "+/")
 #: Second bytes of a zlib header by its first one: a multiple of 31 together, and no preset dictionary.
 _ZLIB = {c: [f for f in range(256) if (c << 8 | f) % 31 == 0 and not f & 32] for c in range(8, 0x79, 16)}
@@ -59,6 +69,8 @@ _PACKED = re.compile("|".join(("\x1f\x8b\x08", "BZh[1-9](?:1AY&SY|\x17rE8P\x90)"
 #: After a match nothing goes on: a character that is in no hit, escape or base64 run, a word between spaces, an empty line.
 _APART = re.compile(r"""[^A-Za-z0-9+/_.=\-"' :%\\{}&#;\t\r\n]|(?<=\x20)[A-Za-z]++\x20(?=[A-Za-z])|\n(?=\n)""")
 PIECE, BLOCK = 1 << 16, 1 << 20
+#: Characters of the longest escape, a pair of surrogates.
+REACH = 12
 
 
 def base_hits(text: str) -> list[tuple[int, int, int]]:
@@ -81,6 +93,8 @@ class Layer:
     """For each character of the text, the code points of the original that it stands for."""
     end: int | None = None
     """The end of the run that was decoded, padding included."""
+    escapes: str = "url unicode"
+    """The kinds of escapes that are left to unwrap, each on its own."""
 
     def place(self, a: int, b: int) -> tuple[int, int]:
         return self.starts[a], self.ends[b - 1]
@@ -123,7 +137,7 @@ def _reach(text: str, edits: list[tuple[int, int, str, int]]) -> Iterator[tuple[
     yield first, len(edits), start, end
 
 
-def _spliced(layer: Layer, edits: list[tuple[int, int, str, int]]) -> Iterator[Layer]:
+def _spliced(layer: Layer, edits: list[tuple[int, int, str, int]], escapes: str) -> Iterator[Layer]:
     """The layer with [a, b) replaced by texts whose characters stand for so many of the layer's each.
 
     Where no compressed data begin in it, only the parts around edits are new, each a layer of its own."""
@@ -146,8 +160,8 @@ def _spliced(layer: Layer, edits: list[tuple[int, int, str, int]]) -> Iterator[L
             step.append(1)
         whole = "".join(texts)
         if isinstance(layer.starts, _Same):
-            return Layer(whole, layer.starts, layer.ends)
-        return Layer(whole, _Runs(layer.starts, new, old, step, 0), _Runs(layer.ends, new, old, step, 1))
+            return Layer(whole, layer.starts, layer.ends, escapes=escapes)
+        return Layer(whole, _Runs(layer.starts, new, old, step, 0), _Runs(layer.ends, new, old, step, 1), escapes=escapes)
 
     whole = made(edits, 0, len(layer.text))
     if len(layer.text) <= SMALL or _PACKED.search(whole.text):
@@ -158,27 +172,122 @@ def _spliced(layer: Layer, edits: list[tuple[int, int, str, int]]) -> Iterator[L
         yield made(edits[first:last], start, end)
 
 
-def _from_url(layer: Layer) -> Iterator[Layer]:
-    if "%" in layer.text:
-        edits = [(m.start(), m.end(), bytes.fromhex(m[0].replace("%", "")).decode("latin-1"), 3) for m in _URL.finditer(layer.text)]
-        if edits:
-            yield from _spliced(layer, edits)
+def _url_edits(text: str) -> list[tuple[int, int, str, int]]:
+    if "%" not in text:
+        return []
+    return [(m.start(), m.end(), bytes.fromhex(m[0].replace("%", "")).decode("latin-1"), 3) for m in _URL.finditer(text)]
 
 
-def _from_unicode(layer: Layer) -> Iterator[Layer]:
-    if "\\" not in layer.text and "&#" not in layer.text and "%u" not in layer.text:
-        return
-    found = []
-    for m in _UNICODE.finditer(layer.text):
+def _unicode_edits(text: str) -> list[tuple[int, int, str, int]]:
+    if "\\" not in text and "&#" not in text and "%u" not in text:
+        return []
+    found: list[tuple[int, int, int]] = []
+    for m in _UNICODE.finditer(text):
         code = int(m[m.lastindex], 10 if m.lastindex == 7 else 16)
         if found and 0xDC00 <= code < 0xE000 and found[-1][1] == m.start() and 0xD800 <= found[-1][2] < 0xDC00:
             a, _, high = found.pop()
             found.append((a, m.end(), 0x10000 + (high - 0xD800 << 10) + code - 0xDC00))
         else:
             found.append((m.start(), m.end(), code))
-    edits = [(a, b, chr(c), b - a) for a, b, c in found if c <= 0x10FFFF and not 0xD800 <= c < 0xE000]
+    return [(a, b, chr(c), b - a) for a, b, c in found if _spelled(c)]
+
+
+def _spelled(code: int) -> bool:
+    return code <= 0x10FFFF and not 0xD800 <= code < 0xE000
+
+
+def _closed(tail: list[str], kinds: str) -> tuple[int, int]:
+    """How many of the last characters are a whole escape of these kinds, and its code; 0 if they are none."""
+    c = tail[-1]
+    if c in _HEXITS:
+        if "url" in kinds and len(tail) > 2 and tail[-3] == "%" and tail[-2] in _HEXITS:
+            return 3, int(tail[-2] + c, 16)
+        if "unicode" in kinds:
+            for n, marks in ((4, ("\\x",)), (6, ("\\u", "%u")), (10, ("\\U",))):
+                if len(tail) >= n and tail[-n] + tail[1 - n] in marks and all(x in _HEXITS for x in tail[2 - n :]):
+                    code = int("".join(tail[2 - n :]), 16)
+                    if 0xDC00 <= code < 0xE000 and len(tail) > 11 and (m := _UNICODE.fullmatch("".join(tail[-12:-6]))) and 0xD800 <= (high := int(m[m.lastindex], 16)) < 0xDC00:
+                        return 12, 0x10000 + (high - 0xD800 << 10) + code - 0xDC00
+                    return n, code
+    elif c in "};" and "unicode" in kinds:
+        for n in range(4, min(11, len(tail) + 1)):
+            if tail[-n] in "\\&":
+                if m := _UNICODE.fullmatch("".join(tail[-n:])):
+                    return n, int(m[m.lastindex], 10 if m.lastindex == 7 else 16)
+                break
+    return 0, 0
+
+
+def _nested_edits(text: str, lo: int, hi: int, kinds: str) -> tuple[list[tuple[int, int, str, int]], int]:
+    """Edits that unwrap escapes to their end, from ``lo`` to ``hi`` at least and on to where none is open, and that place.
+
+    A character that completes an escape, a decoded one too, closes it at once."""
+    tail: list[str] = []
+    starts, ends = array("q"), array("q")
+    k = lo
+    while k < len(text) and (k < hi or any(c in tail[-REACH:] for c in "%\\&")):
+        tail.append(text[k])
+        starts.append(k)
+        k += 1
+        ends.append(k)
+        while (closed := _closed(tail, kinds))[0] and _spelled(closed[1]):
+            n, code = closed
+            del tail[-n:], starts[len(starts) - n + 1 :], ends[-n:]
+            tail.append(chr(code))
+            ends.append(k)
+    return [(a, b, c, b - a) for c, a, b in zip(tail, starts, ends, strict=True) if b - a > 1], k
+
+
+def _edits(text: str, kinds: str) -> list[tuple[int, int, str, int]]:
+    """Edits that leave no escape of these kinds: one level by patterns, and around those that make new escapes all levels."""
+
+    def plain(t: str) -> list[tuple[int, int, str, int]]:
+        return sorted((_url_edits(t) if "url" in kinds else []) + (_unicode_edits(t) if "unicode" in kinds else []))
+
+    edits = plain(text)
+    out: list[tuple[int, int, str, int]] = []
+    first, done = 0, 0
+    while first < len(edits):
+        last = first + 1  # edits that are near each other
+        while last < len(edits) and edits[last][0] - edits[last - 1][1] <= REACH:
+            last += 1
+        lo, hi = max(done, edits[first][0] - REACH), edits[last - 1][1]
+        at, made = lo, []
+        for a, b, new, _ in edits[first:last]:
+            made += (text[at:a], new)
+            at = b
+        if plain("".join([*made, text[at : hi + REACH]])):
+            at = edits[first][0]
+            while (before := max(text.rfind(c, max(done, at - REACH), at) for c in "%\\&")) >= 0:  # one may be open
+                at = before
+            more, done = _nested_edits(text, at, hi, kinds)
+            out += more
+            while last < len(edits) and edits[last][0] < done:
+                last += 1
+        else:
+            out += edits[first:last]
+            done = hi
+        first = last
+    return out
+
+
+def _from_escapes(layer: Layer) -> Iterator[Layer]:
+    for kinds in layer.escapes.split():
+        edits = _edits(layer.text, kinds)
+        if edits:
+            yield from _spliced(layer, edits, "" if "+" in kinds else "url+unicode")
+
+
+def _from_wide(layer: Layer) -> Iterator[Layer]:
+    if "\0" not in layer.text:
+        return
+    edits = []
+    for m in _WIDE.finditer(layer.text):
+        run = m[0]
+        width = 4 if "\0\0\0" in run[:5] else 2
+        edits.append((m.start(), m.end(), run.replace("\0", ""), width))
     if edits:
-        yield from _spliced(layer, edits)
+        yield from _spliced(layer, edits, "url unicode")
 
 
 def _pieces(text: str, at: int) -> Iterator[bytes]:
@@ -312,21 +421,14 @@ def _from_packed(layer: Layer, state: dict) -> Iterator[Layer]:
 def _base64_runs(text: str) -> Iterator[tuple[int, int, str, Sequence[int]]]:
     """Start, end, characters without padding and their places, of each run that may be base64.
 
-    Lines that follow each other are one run besides their own ones, from each of its first four characters on:
-    a word or a dashed line before the data then shifts no byte of them."""
+    A run is taken from each of its first four characters on: what is written before the data then shifts no byte of
+    them. Lines that follow each other are one run besides their own ones."""
     for m in _BASE64.finditer(text):
-        runs = [(m.start(), m[0])]
-        if "/" in m[0]:  # a path may hold a run of its own
-            at = m.start()
-            for piece in m[0].split("/"):
-                if len(piece) >= 16:
-                    runs.append((at, piece))
-                at += len(piece) + 1
-        for a, run in runs:
-            body = run.rstrip("=")
-            if len(body) % 4 != 1:
-                yield a, a + len(run), body, range(a, a + len(body))
-    if "\n" not in text and "\r" not in text:
+        body = m[0].rstrip("=")
+        for k in range(4):
+            n = len(body) - ((len(body) - k) % 4 == 1)
+            yield m.start() + k, m.end(), body[k:n], range(m.start() + k, m.start() + n)
+    if "\n" not in text and "\r" not in text and "\\" not in text:
         return
     for m in _WRAPPED.finditer(text):
         lines, new, old, size, at = [], array("q"), array("q"), 0, m.start()
@@ -391,7 +493,7 @@ class _OfBytes:
 
 
 def _unwrapped(layer: Layer, state: dict) -> Iterator[Layer]:
-    for step in (_from_url, _from_unicode, _from_base64):
+    for step in (_from_escapes, _from_wide, _from_base64):
         yield from step(layer)
     yield from _from_packed(layer, state)
 

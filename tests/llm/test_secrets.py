@@ -240,3 +240,39 @@ def test_long_texts_in_little_memory():
     at = 3_600_000
     assert {(at, 1, at + 22)} <= set(r["spans"]) and any(text[a:b] == "\\u0073ecret=abcdefgh" for a, _, b in r["spans"])
     assert peak < 8 * len(text)
+
+
+HIDDEN = "password=hunter2secret"
+PLAIN = base64.b64encode(HIDDEN.encode()).decode()
+
+
+@pytest.mark.parametrize("n", [1200, 100_000])
+def test_deep_escapes_end(n):
+    """Nested from the front, from behind, through Unicode escapes and through both kinds in turn."""
+    for text, first in ((f"x password%{'25' * n}3Dhunter222 y", 2), (f"%7{'%3' * n}0assword=hunter22", 0), (f"\\u005c{'u005c' * n}u0070assword=hunter22", 0), (f"%5cu0025{'5cu0025' * n}70assword=hunter22", 0)):
+        found = secrets.scan(text)
+        end = len(text) - 2 * (first == 2)
+        assert (first, 0, end) in found["spans"] and found["layers"] < 12
+        assert "hunter" not in secrets.redacted(text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [f"id_{PLAIN}", f"v1+{PLAIN}", f"a{PLAIN}", f"/b/{PLAIN}", f"x-y-{PLAIN}-z", f"path/to_{PLAIN.rstrip('=')}/more"]
+    + [base64.b64encode(HIDDEN.encode(code)).decode() for code in ("utf-16", "utf-16-le", "utf-16-be", "utf-32")]
+    + [gap.join(PLAIN[k : k + 8] for k in range(0, len(PLAIN), 8)) for gap in ("\n", "\n> ", "\r\n>> ", "\\n", "\\r\\n", '",\n  "', "\n# ", "\\\n")],
+)
+def test_shifted_quoted_and_wide_base64(text):
+    for around in ("{}", "> {}", "see {} there", '{{"k": "{}"}}'):
+        whole = around.format(text)
+        found = secrets.scan(whole)["spans"]
+        assert any(k == 0 and whole[a:b] for a, k, b in found), whole
+        masked = secrets.redacted(whole)
+        assert PLAIN[4:20] not in masked and not any(k == 0 for _, k, _ in secrets.scan(masked)["spans"])
+
+
+def test_nested_escapes_among_others():
+    assert secrets.redacted("100% sure %41 and 5%25 off, %2570assword=hunter22, %zz") == f"100% sure %41 and 5%25 off, {secrets.MASK}, %zz"
+    assert secrets.redacted("\\ud83d\\ude00 \\u005cu0070assword=hunter22 \\ud800") == f"\\ud83d\\ude00 {secrets.MASK} \\ud800"
+    edits = secrets._edits("%2541%2542 %43 %%341", "url")
+    assert [(a, b, c) for a, b, c, _ in edits] == [(0, 5, "A"), (5, 10, "B"), (11, 14, "C"), (15, 20, "A")]
