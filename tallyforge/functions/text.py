@@ -2,23 +2,48 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Latin letters with marks and their plain forms.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """Letters and what each is folded to, marks (deleted) last, and characters that become several, from Unicode's compatibility
+    decompositions without combining marks (U+0300 to U+036F). What has no letter or digit of ASCII in it isn't listed."""
+    one, several = {}, {}
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x30000))):
+        apart = unicodedata.normalize("NFKD", c)
+        bare = re.sub("[\u0300-\u036f]", "", apart).lower()
+        if bare != c and re.search("[a-z0-9']", bare):
+            if len(bare) == 1:
+                one[c] = bare
+            else:
+                several[c] = bare
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    return "".join(one) + marks, "".join(one.values()), several
+
+
+LETTERS, PLAIN, SEVERAL = _foldings()
+
+
+def folded(x: Column) -> Column:
+    """Lower case, letters without marks, compatibility forms (ligatures, wide letters, numbers in circles) spelled out."""
+    table = F.create_map(*(F.lit(v) for pair in SEVERAL.items() for v in pair))
+    spelled = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(table[c], c)), "")
+    return F.lower(F.translate(F.when(x.rlike(f"[{''.join(SEVERAL)}]"), spelled).otherwise(x), LETTERS, PLAIN))
 
 
 def normalized(x: Column) -> Column:
     """Lower case without marks; letters, digits, apostrophes and single spaces remain."""
-    folded = F.translate(F.lower(x), MARKED, PLAIN)
-    return F.trim(F.regexp_replace(F.regexp_replace(folded, "[^a-z0-9' ]", " "), " +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(folded(x), "[^a-z0-9' ]", " "), " +", " "))
 
 
 def squeezed(x: Column) -> Column:
     """As ``normalized``, without apostrophes."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(x), MARKED, PLAIN), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(folded(x), "[^a-z0-9]+", " "))
 
 
 def title(x: Column) -> Column:

@@ -27,7 +27,8 @@ def exact_duplicates(df: DataFrame) -> DataFrame:
 
 
 def name_neighbours(names: DataFrame) -> DataFrame:
-    """Pairs (a, b, score) of distinct names that are alike, both ways, with each name's own pair at 1.
+    """Pairs (a, b, score) of distinct names that are alike, both ways, with each name's own pair at 1; names
+    without a letter or digit are like nothing, themselves included.
 
     Names that share no word reach 0.55 at most without containment, hence pairs are formed over shared words."""
     one = names.distinct().where("name IS NOT NULL").withColumn("form", normalized(F.col("name")))
@@ -35,18 +36,19 @@ def name_neighbours(names: DataFrame) -> DataFrame:
     other = words.select(F.col("name").alias("b"), F.col("form").alias("form_b"), "word")
     pairs = words.join(other, "word").where(F.col("name") < F.col("b")).select(F.col("name").alias("a"), "b", "form", "form_b").distinct()
     pairs = spread(pairs, "b").withColumn("score", r4(similarity(F.col("form"), F.col("form_b")))).where(F.col("score") >= NEAR).select("a", "b", "score")
-    own = one.select(F.col("name").alias("a"), F.col("name").alias("b"), F.lit(1.0).alias("score"))
+    own = one.where("form <> ''").select(F.col("name").alias("a"), F.col("name").alias("b"), F.lit(1.0).alias("score"))
     return pairs.union(pairs.select("b", "a", "score")).union(own)
 
 
 def near_duplicates(df: DataFrame) -> DataFrame:
     """Rows that aren't duplicates by key, against the earliest earlier row of their date and channel with alike names.
+    Gaps count as empty: rows without a date are of one date, but a row without a name is like none.
 
     Of the rows of one date, channel and pair of names only the earliest can be an original, and of all alike groups only
     the earliest of those: if that one isn't earlier than a row, none is. So groups are joined, not rows."""
     names, keys = ["commodity", "market"], ["date", "channel", "commodity", "market"]
     flagged = exact_duplicates(df).select("id")
-    rows = df.join(flagged, "id", "left_anti").select("seq", "id", *keys)
+    rows = df.join(flagged, "id", "left_anti").select("seq", "id", *(F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys))
     groups = rows.groupBy(*keys).agg(F.min(F.struct("seq", "id")).alias("first"))
     alike = [name_neighbours(groups.select(F.col(n).alias("name"))).select(F.col("a").alias(n), F.col("b").alias(f"{n}_2"), F.col("score").alias(f"{n}_score")) for n in names]
     other = groups.select("date", "channel", *(F.col(n).alias(f"{n}_2") for n in names), F.col("first").alias("other"))

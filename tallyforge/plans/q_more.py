@@ -81,12 +81,32 @@ def u07(spark, sf):
     return explain.replaced(q_analytics.issues(spark, sf, rec).select("record_id", "type", "severity"), theirs, ("PRICE_ANOMALY", "LADDER_VIOLATION"))
 
 
-@query("r09_resolved", f"{{rec}}, {OUTLIERS}, fx AS (SELECT id, CAST(floor(median + 0.5) AS DOUBLE) AS fix FROM outliers WHERE substr(id, 1, 1) = 'a') SELECT id, {r4('coalesce(fix, price)')} AS price, fix IS NOT NULL AS corrected FROM rec LEFT JOIN fx USING (id)")
-def r09(spark, sf):
+_DECISIONS = """fx AS (SELECT id, 1 AS ts, 'price' AS field, CAST(CAST(floor(median + 0.5) AS BIGINT) AS VARCHAR) AS v FROM outliers WHERE substr(id, 1, 1) IN ('a', 'b') UNION ALL SELECT id, 2, 'price', '120' FROM outliers WHERE substr(id, 1, 1) = 'b' UNION ALL SELECT id, 3, 'market', 'Moved' FROM outliers WHERE substr(id, 1, 1) = 'b')"""
+
+
+def resolved(spark, sf):
+    """Some outliers get the median, some of them 120 after that (mostly less than the median), and another market."""
     rec = written(records(spark, sf))
-    decisions = anomaly.price_outliers(rec).where(F.substring("id", 1, 1) == "a").select("id", F.lit("corrected").alias("status"), "suggestion")
-    out, _ = review.resolved(rec, decisions)
-    return out.select("id", cut(F.col("price")).alias("price"), "corrected")
+    first, found = F.substring("id", 1, 1), anomaly.price_outliers(rec)
+    none = F.lit(None).cast("string")
+    made = found.where(first.isin("a", "b")).select("id", F.lit(1).alias("at"), F.lit("corrected").alias("status"), none.alias("field"), F.col("suggestion").cast("string").alias("suggestion"), none.alias("override"))
+    later = found.where(first == "b")
+    made = made.union(later.select("id", F.lit(2), F.lit("corrected"), F.lit("price"), F.col("suggestion").cast("string"), F.lit("120")))
+    made = made.union(later.select("id", F.lit(3), F.lit("corrected"), F.lit("market"), none, F.lit("Moved"))).union(later.select("id", F.lit(4), F.lit("accepted"), F.lit("price"), F.lit("7"), none))
+    return review.resolved(rec, made)
+
+
+@query("r09_resolved", f"{{rec}}, {OUTLIERS}, {_DECISIONS} SELECT id, {r4('coalesce(CAST(p.v AS DOUBLE), price)')} AS price, coalesce(m.v, market) AS market, p.v IS NOT NULL AS corrected FROM rec LEFT JOIN (SELECT id, max_by(v, ts) AS v FROM fx WHERE field = 'price' GROUP BY id) p USING (id) LEFT JOIN (SELECT id, v FROM fx WHERE field = 'market') m USING (id)")
+def r09(spark, sf):
+    out, _ = resolved(spark, sf)
+    return out.select("id", cut(F.col("price")).alias("price"), "market", "corrected")
+
+
+@query("r09_resolved_lineage", f"{{rec}}, {OUTLIERS}, {_DECISIONS} SELECT id, field, ts AS step, CASE WHEN ts = 3 THEN market WHEN ts = 2 THEN lag(v) OVER (PARTITION BY id, field ORDER BY ts) END AS before, v AS after FROM fx JOIN rec USING (id)")
+def r09_lineage(spark, sf):
+    """What each decision changed; a price's own value, which engines spell differently, is left out."""
+    _, lineage = resolved(spark, sf)
+    return lineage.select("id", "field", F.col("at").alias("step"), F.when(F.col("at") > 1, F.col("before")).alias("before"), "after")
 
 
 @query("j17_market_medians", f"{{rec}} SELECT s_name AS market, n_name AS district, CAST(floor(median + 0.5) AS BIGINT) AS median, n FROM (SELECT market, quantile_cont(price, 0.5) AS median, count(*) AS n FROM rec WHERE price > 0 GROUP BY market) JOIN supplier ON lower(s_name) = lower(market) JOIN nation ON s_nationkey = n_nationkey")

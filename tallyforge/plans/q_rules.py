@@ -77,14 +77,16 @@ def sim(a: str, b: str) -> str:
 
 
 #: Records some of whose names carry an extra word, as near copies do.
-TAILED = "tailed AS (SELECT seq, id, date, channel, price, CASE WHEN k % 7 = 0 THEN concat(commodity, ' x') ELSE commodity END AS commodity, market FROM rec)"
+TAILED = "tailed AS (SELECT seq, id, CASE WHEN k % 11 <> 0 THEN date END AS date, CASE WHEN k % 29 <> 0 THEN channel END AS channel, price, CASE WHEN k % 7 = 0 THEN concat(commodity, ' x') WHEN k % 97 = 0 THEN NULL ELSE commodity END AS commodity, CASE WHEN k % 89 <> 0 THEN market END AS market FROM rec)"
 
 
 def tailed(spark, sf):
-    return records(spark, sf).withColumn("commodity", F.when(F.col("k") % 7 == 0, F.concat("commodity", F.lit(" x"))).otherwise(F.col("commodity")))
+    k, gone = F.col("k"), F.lit(None)
+    named = F.when(k % 7 == 0, F.concat("commodity", F.lit(" x"))).when(k % 97 == 0, gone).otherwise(F.col("commodity"))
+    return records(spark, sf).withColumns({"commodity": named, **{c: F.when(k % n != 0, F.col(c)) for c, n in (("date", 11), ("channel", 29), ("market", 89))}})
 
 
-_NB = f"nb AS (SELECT a, b, score FROM (SELECT x.commodity AS a, y.commodity AS b, {r4(sim('x.commodity', 'y.commodity'))} AS score FROM (SELECT DISTINCT commodity FROM tailed) x, (SELECT DISTINCT commodity FROM tailed) y) WHERE score >= 0.82)"
+_NB = f"nb AS (SELECT a, b, score FROM (SELECT x.commodity AS a, y.commodity AS b, {r4(sim('x.commodity', 'y.commodity'))} AS score FROM (SELECT DISTINCT commodity FROM tailed WHERE commodity IS NOT NULL) x, (SELECT DISTINCT commodity FROM tailed WHERE commodity IS NOT NULL) y) WHERE score >= 0.82)"
 
 
 @query("j08_name_neighbours", f"{{rec}}, {TAILED}, {_NB} SELECT * FROM nb")
@@ -94,11 +96,11 @@ def j08(spark, sf):
 
 @query(
     "d14_near_duplicates",
-    f"""{{rec}}, {TAILED}, {_NB},
-  mk AS (SELECT DISTINCT market FROM tailed), forms AS (SELECT market, trim(regexp_replace(lower(market), '[^a-z0-9]+', ' ', 'g')) AS form FROM mk),
+    f"""{{rec}}, {TAILED}, {_NB}, full0 AS (SELECT seq, id, coalesce(CAST(date AS VARCHAR), '') AS date, coalesce(channel, '') AS channel, coalesce(commodity, '') AS commodity, coalesce(market, '') AS market FROM tailed),
+  mk AS (SELECT DISTINCT market FROM full0), forms AS (SELECT market, trim(regexp_replace(lower(market), '[^a-z0-9]+', ' ', 'g')) AS form FROM mk),
   mw AS (SELECT market, form, unnest(string_split(form, ' ')) AS w FROM forms),
   mnb AS (SELECT a, b, score FROM (SELECT DISTINCT x.market AS a, y.market AS b, {r4(sim('x.form', 'y.form'))} AS score FROM mw x JOIN mw y USING (w)) WHERE score >= 0.82),
-  keyed AS (SELECT *, lower(concat_ws('|', CAST(date AS VARCHAR), market, commodity, channel)) AS key FROM tailed),
+  keyed AS (SELECT *, lower(concat_ws('|', date, market, commodity, channel)) AS key FROM full0),
   firsts AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq, id) = 1),
   pairs AS (SELECT x.id, y.id AS original_id, y.seq AS s2, (nb.score + mnb.score) / 2 AS score FROM firsts x JOIN nb ON nb.a = x.commodity JOIN mnb ON mnb.a = x.market
     JOIN firsts y ON y.date = x.date AND y.channel = x.channel AND y.commodity = nb.b AND y.market = mnb.b WHERE NOT (x.commodity = y.commodity AND x.market = y.market) AND (y.seq, y.id) < (x.seq, x.id)),

@@ -93,7 +93,7 @@ def e01(spark, sf):
 
 
 @query("s14_nested_export", f"""WITH p AS (SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS local, p_name AS english, {UNIT} AS unit FROM part), sh AS (SELECT local FROM p GROUP BY local HAVING count(DISTINCT id) > 1)
-  SELECT strftime(l_shipdate, '%Y-%m-%d') AS date, CASE n_regionkey WHEN 1 THEN 'Southern Province' WHEN 2 THEN 'Western Province' WHEN 3 THEN 'Northern Province' WHEN 4 THEN 'Eastern Province' ELSE '' END AS province, n_name AS district, s_name AS market,
+  SELECT strftime(l_shipdate, '%Y-%m-%d') AS date, CASE CASE WHEN l_suppkey % 4 = 0 THEN n_regionkey ELSE (n_regionkey + 1) % 5 END WHEN 1 THEN 'Southern Province' WHEN 2 THEN 'Western Province' WHEN 3 THEN 'Northern Province' WHEN 4 THEN 'Eastern Province' ELSE '' END AS province, n_name AS district, s_name AS market,
   CASE WHEN p.local IN (SELECT local FROM sh) THEN upper(p.english[1]) || p.english[2:] ELSE upper(p.local[1]) || p.local[2:] END AS commodity, 'retail' AS price_type, p.unit AS unit,
   CAST(CASE WHEN l_linenumber % 3 = 0 THEN NULL WHEN l_linenumber % 3 = 1 THEN l_quantity ELSE (l_quantity * 2 + l_linenumber) / 2 END AS DOUBLE) AS price, CAST(l_orderkey * 16 + l_linenumber AS VARCHAR) AS export_id
   FROM lineitem JOIN p ON l_partkey = p.id JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""")
@@ -104,7 +104,7 @@ def s14(spark, sf):
     turn = F.col("l_linenumber") % 3
     nested = rows.select(
         (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("id"), F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm").alias("created_on"), F.col("l_partkey").alias("commodity_code"),
-        F.struct(F.col("s_name").alias("name"), F.col("n_name").alias("district"), F.struct(F.col("n_regionkey").alias("id")).alias("province")).alias("market"),
+        F.struct(F.col("s_name").alias("name"), F.col("n_name").alias("district"), F.when(F.col("l_suppkey") % 4 != 0, (F.col("n_regionkey") + 1) % 5).alias("held_in_province"), F.struct(F.col("n_regionkey").alias("id")).alias("province")).alias("market"),
         F.when(turn == 1, F.col("l_quantity").cast("double")).alias("average_price"), F.when(turn == 2, F.col("l_quantity").cast("double") * 2).alias("price_1"), F.when(turn == 2, F.col("l_linenumber").cast("double")).alias("price_2"),
     )
     where = scratch(spark)
@@ -113,4 +113,4 @@ def s14(spark, sf):
     if not export.is_export(read):
         raise ValueError("not a nested export")
     products = p.select(F.col("p_partkey").alias("id"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("commodity_name"), F.col("p_name").alias("commodity_name_en"), F.expr(UNIT).alias("commodity_unit"))
-    return export.export_rows(read, products, channel="retail").withColumn("price", F.nullif("price", F.lit("")).cast("double"))
+    return export.export_rows(read, products, channel="retail", province_field="held_in_province").withColumn("price", F.nullif("price", F.lit("")).cast("double"))

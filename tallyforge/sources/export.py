@@ -43,10 +43,13 @@ def row_price(schema: T.StructType) -> Column:
     return F.coalesce(number("average_price"), mean)
 
 
-def province_id(schema: T.StructType) -> Column:
-    """The market's province: its number, or the number within it."""
+def province_id(schema: T.StructType, field: str | None = None) -> Column:
+    """The market's province: the number in the given field, else in one whose name ends in ``_province``; else in ``province``
+    itself or the id within it."""
+    market = _find(schema, None, "market")
+    named = [n for n in market[0].names if n.endswith("_province")] if market and isinstance(market[0], T.StructType) else []
     found = []
-    for path in (("market", "registry_province"), ("market", "province"), ("market", "province", "id")):
+    for path in (*((("market", field),) if field else ()), *(("market", n) for n in named), ("market", "province"), ("market", "province", "id")):
         f = _find(schema, None, *path)
         if f and isinstance(f[0], T.NumericType):
             found.append(f[1].cast("int"))
@@ -65,18 +68,19 @@ def ambiguous_names(products: DataFrame) -> DataFrame:
     return named.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
 
 
-def export_rows(df: DataFrame, products: DataFrame | None = None, channel: str | None = None) -> DataFrame:
+def export_rows(df: DataFrame, products: DataFrame | None = None, channel: str | None = None, province_field: str | None = None) -> DataFrame:
     """The nine columns of each row, as strings, gaps empty.
 
     A product without details is looked up by its code in ``products`` (id, commodity_name, commodity_name_en,
-    commodity_unit). A local name that several products share gives way to the English one."""
+    commodity_unit). A local name that several products share gives way to the English one. ``province_field`` names the
+    market's field that has the number of its province, see ``province_id``."""
     kind = df.schema
     code = _text(kind, ("product", "id"), ("commodity_code",)).try_cast("long")
     own = {"local": _text(kind, ("product", "commodity_name"), ("commodity_name",)), "english": _text(kind, ("product", "commodity_name_en"), ("commodity_name_en",)), "unit": _text(kind, ("product", "commodity_unit"))}
     provinces = F.create_map(*(F.lit(x) for pair in PROVINCES.items() for x in pair))
     price = row_price(kind)
     rows = df.select(
-        F.substring(_text(kind, ("created_on",), ("entry_date",)), 1, 10).alias("date"), F.coalesce(provinces[province_id(kind)], F.lit("")).alias("province"), _text(kind, ("market", "district")).alias("district"),
+        F.substring(_text(kind, ("created_on",), ("entry_date",)), 1, 10).alias("date"), F.coalesce(provinces[province_id(kind, province_field)], F.lit("")).alias("province"), _text(kind, ("market", "district")).alias("district"),
         _text(kind, ("market", "name"), ("market_name",)).alias("market"), *(c.alias(n) for n, c in own.items()), code.alias("code"),
         F.coalesce(F.nullif(_text(kind, ("price_type",)), F.lit("")), F.lit(channel or "")).alias("price_type"), F.coalesce(price.cast("string"), F.lit("")).alias("price"), _text(kind, ("id",)).alias("export_id"),
     )

@@ -8,8 +8,10 @@ from __future__ import annotations
 import csv
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -183,14 +185,34 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return json_rows(spark.read.json(path, multiLine=not lines), document=not lines and head.startswith("{"))
 
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a part of an XML file, cut at each ``>``: opening tags, how often they are there, and whether another one follows
+    directly."""
+    opens, outer, before = Counter(), set(), None
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            m = re.search(r"<([A-Za-z_][\w.-]*)(?:\s[^<]*)?$", text)
+            if m and before and not text[: m.start()].strip():
+                outer.add(before)
+            before = m[1] if m and not text.endswith("/") else None
+            if m:
+                opens[m[1]] += 1
+    yield pa.RecordBatch.from_pydict({"tag": pa.array(list(opens), pa.string()), "n": pa.array(list(opens.values()), pa.int64()), "outer": pa.array([t in outer for t in opens], pa.bool_())})
+
+
+def row_tag_of(spark: SparkSession, path: str) -> str:
+    """The most frequent element with others in it, of all elements of the file; without such, the most frequent one."""
+    parts = spark.read.option("lineSep", ">").text(path).mapInArrow(_tally, "tag string, n long, outer boolean")
+    tags = parts.groupBy("tag").agg(F.sum("n").alias("n"), F.max("outer").alias("outer"))
+    row = tags.orderBy(F.desc("outer"), F.desc("n"), F.desc("tag")).first()
+    if row is None:
+        raise ValueError("no element")
+    return row["tag"]
+
+
 def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> DataFrame:
-    """Rows of the most frequent repeated element of the head; attributes and children become columns."""
-    if row_tag is None:
-        head = "".join(r.value for r in spark.read.text(path).limit(2000).collect())
-        tags = Counter(re.findall(r"<([A-Za-z_][\w.-]*)[\s>/]", head))
-        parents = [t for t in tags if re.search(rf"<{re.escape(t)}(\s[^>]*)?>\s*<[A-Za-z_]", head)]
-        row_tag = max(parents or tags, key=lambda t: (tags[t], t))
-    return flattened(spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", "false").load(path))
+    """Rows of the most frequent repeated element; attributes and children become columns."""
+    return flattened(spark.read.format("xml").option("rowTag", row_tag or row_tag_of(spark, path)).option("inferSchema", "false").load(path))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
