@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,11 +31,23 @@ def _foldings() -> tuple[str, str, dict[str, str]]:
 LETTERS, PLAIN, SEVERAL = _foldings()
 
 
+def _ranges(chars: Iterable[str]) -> str:
+    """A pattern's class of characters, in runs."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
 def folded(x: Column) -> Column:
     """Lower case, letters without marks, compatibility forms (ligatures, wide letters, numbers in circles) spelled out."""
-    table = F.create_map(*(F.lit(v) for pair in SEVERAL.items() for v in pair))
+    table = F.from_json(F.lit(json.dumps(SEVERAL)), "map<string, string>")  # one constant, not a node of the plan for each entry
     spelled = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(table[c], c)), "")
-    return F.lower(F.translate(F.when(x.rlike(f"[{''.join(SEVERAL)}]"), spelled).otherwise(x), LETTERS, PLAIN))
+    wide = F.translate(F.when(x.rlike(_ranges(SEVERAL)), spelled).otherwise(x), LETTERS, PLAIN)
+    return F.lower(F.when(x.rlike("[^\\x00-\\x7f]"), wide).otherwise(x))
 
 
 def normalized(x: Column) -> Column:
@@ -62,7 +76,7 @@ def edit_similarity(a: Column, b: Column) -> Column:
 
 
 def _tokens(x: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(x, " "), lambda t: t != ""))
+    return F.array_remove(F.array_distinct(F.split(x, " ")), "")
 
 
 def token_similarity(a: Column, b: Column) -> Column:
@@ -71,9 +85,11 @@ def token_similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Name similarity of normalised texts: 0.55 edits, 0.33 words, 0.12 for containment, 0.08 for any shared word."""
-    t = token_similarity(a, b)
+def similarity(a: Column, b: Column, t: Column | None = None) -> Column:
+    """Name similarity of normalised texts: 0.55 edits, 0.33 words, 0.12 for containment, 0.08 for any shared word.
+
+    ``t``, their token similarity, may be a column that is worked out already."""
+    t = token_similarity(a, b) if t is None else t
     inside = F.when(F.contains(a, b) | F.contains(b, a), 0.12).otherwise(0.0)
     mixed = F.least(F.lit(1.0), 0.55 * edit_similarity(a, b) + 0.33 * t + inside + F.when(t > 0, 0.08).otherwise(0.0))
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(mixed)

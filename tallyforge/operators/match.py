@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.text import normalized, r4, similarity, spread
+from ..functions.text import normalized, r4, similarity, spread, token_similarity
 from ..sources.files import written
 
 ALIAS_WEIGHT, ALIAS_LIFT = 0.99, 0.05
@@ -44,22 +45,68 @@ def exact_owners(names: DataFrame, known: DataFrame) -> DataFrame:
     return names.join(known, names.name == known.form).groupBy("name").agg(F.sort_array(F.collect_set("owner")).alias("owners"))
 
 
-def fuzzy_scores(names: DataFrame, known: DataFrame, common: int | None = None) -> DataFrame:
-    """name, owner, score: names and forms that share a trigram; a winning alias is weighed down, then lifted.
+def owner_scores(pairs: DataFrame) -> DataFrame:
+    """name, owner, score of pairs (name, owner, form, alias); a winning alias is weighed down, then lifted."""
+    name, form = F.col("name"), F.col("form")
+    pairs = spread(pairs, "name").withColumn("t", token_similarity(name, form)).withColumn("s", similarity(name, form, F.col("t")))
+    best = lambda alias: F.coalesce(F.max(F.when((F.col("alias") > 0) == alias, F.col("s"))), F.lit(0.0))
+    by = pairs.groupBy("name", "owner").agg(best(False).alias("own"), best(True).alias("other"))
+    other = F.col("other") * ALIAS_WEIGHT
+    return by.select("name", "owner", r4(F.when(other > F.col("own"), F.least(F.lit(1.0), other + ALIAS_LIFT)).otherwise(F.col("own"))).alias("score"))
+
 
-    Trigrams of more than ``common`` forms pair nothing where the name has a rarer one, so that registries whose names
-    all begin alike don't become all pairs."""
+def fuzzy_scores(names: DataFrame, known: DataFrame) -> DataFrame:
+    """name, owner, score of names and forms that share a trigram: those that share none are alike by less than half."""
     left = names.distinct().where("name <> ''").withColumn("gram", F.explode(trigrams(F.col("name"))))
     right = known.withColumn("gram", F.explode(trigrams(F.col("form"))))
-    if common is not None:
-        often = right.groupBy("gram").agg(F.countDistinct("form").alias("df"))
-        rare = left.join(often, "gram").withColumn("least", F.min("df").over(Window.partitionBy("name")))
-        left = rare.where((F.col("df") <= common) | (F.col("least") > common)).select("name", "gram")
-    pairs = spread(left.join(right, "gram").select("name", "owner", "form", "alias").distinct(), "name")
-    pairs = pairs.withColumn("s", similarity(F.col("name"), F.col("form")))
-    by = pairs.groupBy("name", "owner").agg(F.coalesce(F.max(F.when(F.col("alias") == 0, F.col("s"))), F.lit(0.0)).alias("own"), F.coalesce(F.max(F.when(F.col("alias") > 0, F.col("s"))), F.lit(0.0)).alias("other"))
-    other = F.col("other") * ALIAS_WEIGHT
-    return by.select("name", "owner", r4(F.when(other > F.col("own"), F.least(F.lit(1.0), other + ALIAS_LIFT)).otherwise(F.col("own"))).alias("score"))
+    return owner_scores(left.join(right, "gram").select("name", "owner", "form", "alias").distinct())
+
+
+def _words(text: Column) -> Column:
+    return F.array_remove(F.array_distinct(F.split(text, " ")), "")
+
+
+def _ranked(names: DataFrame, parts: Column, known: DataFrame) -> DataFrame:
+    """name, part and its rank among the name's parts, those of fewest forms first; ``forms`` of each."""
+    each = names.withColumn("part", F.explode(parts)).join(known.groupBy("part").agg(F.count("*").alias("forms")), "part", "left").na.fill(0, ["forms"])
+    return each.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy("forms", "part")))
+
+
+def near_scores(names: DataFrame, known: DataFrame, limits: Thresholds) -> DataFrame:
+    """name, owner, score: of each name every owner that may decide its match, without comparing all names with all forms.
+
+    What the rarest trigrams and the rarest word bring gives a lower bound of the best score. Only owners can matter that reach the
+    review limit and come within the tie of the best (or beat what a best one that the model doubts is capped to). A form that
+    reaches so much shares either more than one word in 2n - 1 of n words, hence one of the name's rarest n - 1 words (any word, if the form has
+    fewer than n), or it is so few edits away that of any 3 d + 1 trigrams one is left, hence one of the rarest."""
+    names, known = written(names.distinct().where("name <> ''")), known.distinct().where("form <> ''")
+    spelled = known.select("form").distinct()
+    grams_of = spelled.withColumn("part", F.explode(trigrams(F.col("form"))))
+    words_of = spelled.withColumn("m", F.size(_words(F.col("form")))).withColumn("part", F.explode(_words(F.col("form"))))
+    grams_in = written(_ranked(names, trigrams(F.col("name")), grams_of))
+    words_in = _ranked(names, _words(F.col("name")), words_of)
+
+    def owners(*found: DataFrame) -> DataFrame:
+        forms_found = reduce(lambda a, b: a.union(b), (f.select("name", "form") for f in found)).distinct()
+        return forms_found.join(known.select("form", "owner"), "form").select("name", "owner").distinct().join(known, "owner")
+
+    present = Window.partitionBy("name").orderBy("rank")
+    rarest = grams_in.where("forms > 0").withColumn("at", F.row_number().over(present)).where("at <= 2")
+    seeds = owner_scores(owners(rarest.join(grams_of, "part"), words_in.where("rank = 1 AND forms > 0").join(words_of, "part")))
+    first = seeds.groupBy("name").agg(F.max("score").alias("least"))
+    # the score that still matters, of a form: less what an alias is lifted by, if there are any, and the last digit
+    lifted = not known.where("alias > 0").isEmpty()
+    floor = F.greatest(F.lit(limits.review), F.least(F.coalesce("least", F.lit(0.0)) - limits.tie, F.lit(limits.accept - 0.01)))
+    need = ((floor - ALIAS_LIFT) / ALIAS_WEIGHT if lifted else floor) - 1e-4
+    n = F.size(_words(F.col("name")))
+    edit = (need - 0.2 - 0.33 / (2 * n - 1)) / 0.55
+    reach = F.when(edit > 1, -1).when(edit <= 0.01, 1 << 20).otherwise(F.floor((1 - edit) / edit * F.length("name") + 1e-6))
+    bound = written(names.join(first, "name", "left").select("name", n.alias("n"), (3 * reach + 1).alias("probes")))
+    by_gram = grams_in.where("forms > 0").join(bound, "name").where("rank <= probes").join(grams_of, "part")
+    asked = words_in.where("forms > 0").join(bound, "name")
+    by_word = asked.where("rank < n").join(words_of, "part")
+    by_short = asked.where("n > 1").withColumn("m", F.explode(F.sequence(F.lit(1), F.greatest(F.col("n") - 1, F.lit(1))))).join(words_of, ["part", "m"])
+    return owner_scores(owners(by_gram, by_word, by_short))
 
 
 def candidates(scores: DataFrame, limit: int = 3) -> DataFrame:
@@ -68,25 +115,46 @@ def candidates(scores: DataFrame, limit: int = 3) -> DataFrame:
     return scores.withColumns({"rank": F.row_number().over(w), "next": F.lead("score").over(w)}).where(F.col("rank") <= limit)
 
 
+def modelled(best: DataFrame, known: DataFrame, limits: Thresholds) -> DataFrame:
+    """Best and second owners with the n-gram model's word on those below ``SURE``: if it prefers the same owner its cosine blends the score
+    upward, else the score is capped below acceptance, where the second may overtake it.
+
+    name, owner, score, tie (whether the second came close before the model spoke), model, cosine."""
+    top = best.where("rank = 1")
+    asked = top.where(F.col("score") < SURE).select("name", "owner")
+    model = nearest_by_model(asked, known).withColumnRenamed("owner", "model")
+    out = top.join(model, "name", "left").join(best.where("rank = 2").select("name", F.col("owner").alias("second"), F.col("score").alias("second_score")), "name", "left")
+    doubted = F.col("model").isNotNull() & (F.col("owner") != F.col("model"))
+    capped = F.least("score", F.lit(limits.accept - 0.01))
+    overtaken = doubted & (F.coalesce("second_score", F.lit(0.0)) > capped)
+    score = F.when(overtaken, F.col("second_score")).when(doubted, capped).when(F.col("model").isNotNull(), F.greatest("score", 0.5 * F.col("score") + 0.5 * F.col("cosine"))).otherwise(F.col("score"))
+    tie = (F.col("score") >= limits.tie_least) & (F.col("score") - F.col("second_score") < limits.tie)
+    return out.select("name", F.when(overtaken, F.col("second")).otherwise(F.col("owner")).alias("owner"), r4(score).alias("score"), F.coalesce(tie, F.lit(False)).alias("tie"), "model", "cosine")
+
+
+def _decided(out: DataFrame, limits: Thresholds) -> DataFrame:
+    """name, status, match and score of names beside their exact ``owners`` or their modelled owner, score and tie."""
+    score = F.when(F.size("owners") >= 1, 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
+    status = (
+        F.when(F.col("name") == "", "empty").when(F.size("owners") == 1, "exact").when(F.size("owners") > 1, "ambiguous")
+        .when(score < limits.review, "unknown").when(F.col("tie"), "ambiguous").when(score >= limits.accept, "auto").otherwise("review")
+    )
+    return out.select("name", status.alias("status"), F.when(F.col("owners").isNull() & (score >= limits.review), F.col("owner")).alias("match"), score.alias("score"), "owners")
+
+
 def decide(names: DataFrame, catalog: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
     """name, status, match, score of each distinct name: exact, archived, auto, review, ambiguous, unknown or empty."""
     names, known = written(names.distinct()), written(forms(catalog))
     exact = exact_owners(names, known)
-    rest = names.join(exact, "name", "left_anti")
-    best = candidates(fuzzy_scores(rest, known), 1)
+    best = written(candidates(near_scores(names.join(exact, "name", "left_anti"), known, limits), 2))
+    out = _decided(names.join(exact, "name", "left").join(modelled(best, known, limits), "name", "left"), limits)
+    out = out.withColumn("match", F.when(F.size("owners") == 1, F.col("owners")[0]).otherwise(F.col("match")))
     archived = catalog.where("archived").select(F.col("commodity").alias("match"), F.lit(True).alias("old"))
-    out = names.join(exact, "name", "left").join(best, "name", "left")
-    match = F.when(F.size("owners") == 1, F.col("owners")[0]).when(F.col("owners").isNull() & (F.col("score") >= limits.review), F.col("owner"))
-    out = out.withColumn("match", match).join(archived, "match", "left")
-    close = (F.col("score") >= limits.tie_least) & (F.col("score") - F.col("next") < limits.tie)
-    status = (
-        F.when(F.col("name") == "", "empty").when(F.col("old"), "archived").when(F.size("owners") == 1, "exact").when(F.size("owners") > 1, "ambiguous")
-        .when(F.coalesce("score", F.lit(0.0)) < limits.review, "unknown").when(close, "ambiguous").when(F.col("score") >= limits.accept, "auto").otherwise("review")
-    )
-    return out.select("name", status.alias("status"), "match", F.when(F.size("owners") >= 1, 1.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"))
+    out = out.join(archived, "match", "left")
+    return out.select("name", F.when(F.col("old") & (F.col("name") != ""), "archived").otherwise(F.col("status")).alias("status"), "match", "score")
 
 
-MARKET, SURE, COMMON = Thresholds(accept=0.88, review=0.50), 0.92, 250
+MARKET, SURE = Thresholds(accept=0.88, review=0.50), 0.92
 
 
 def market_name(form: Column) -> Column:
@@ -96,8 +164,7 @@ def market_name(form: Column) -> Column:
 
 def decide_markets(names: DataFrame, registry: DataFrame, limits: Thresholds = MARKET) -> DataFrame:
     """name, status, match, score of each distinct folded market name: a registered spelling first, else the best of the
-    registry once the word market is left out of both. Below ``SURE`` the n-gram model, fitted to the names that are asked
-    about, ranks the three best: agreement blends the score upward, dissent keeps it from being accepted."""
+    registry once the word market is left out of both."""
     forms_of = written(registry.select(F.col("market").alias("owner"), normalized(F.col("market")).alias("form")).distinct())
     whole = written(names.distinct().where("name IS NOT NULL"))
     first = exact_owners(whole, forms_of)
@@ -105,24 +172,12 @@ def decide_markets(names: DataFrame, registry: DataFrame, limits: Thresholds = M
     bare = forms_of.select("owner", market_name(F.col("form")).alias("form"), F.lit(0).alias("alias"))
     asked = rest.select(F.col("short").alias("name")).distinct()
     second = exact_owners(asked, bare)
-    top = written(candidates(fuzzy_scores(asked.join(second, "name", "left_anti"), bare, COMMON), 3))
-    best = top.where("rank = 1")
-    doubted = best.where(F.col("score") < SURE).select("name")
-    model = tfidf_among(top.join(doubted, "name", "left_semi").join(bare, "owner").select("name", "owner", "form"))
-    agrees = F.col("owner") == F.col("model")
-    blended = F.when(F.col("model").isNull(), F.col("score")).when(agrees, F.greatest("score", 0.5 * F.col("score") + 0.5 * F.col("cosine"))).otherwise(F.least("score", F.lit(limits.accept - 0.01)))
-    best = best.join(model, "name", "left").withColumn("next", F.when(F.col("score") - F.col("next") < limits.tie, F.col("next"))).withColumn("score", r4(blended))
-    near = asked.join(second, "name", "left").join(best.select("name", "owner", "score", "next"), "name", "left")
-    out = rest.join(near.withColumnRenamed("name", "short"), "short", "left").select("name", "owners", "owner", "score", "next")
-    out = out.unionByName(first.select("name", "owners", F.lit(None).cast("string").alias("owner"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("next")))
-    score = F.when(F.size("owners") >= 1, 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
-    match = F.when(F.size("owners") >= 1, F.col("owners")[0]).when(score >= limits.review, F.col("owner"))
-    close = (score >= limits.tie_least) & F.col("next").isNotNull()  # a next one is kept only if it was close before the model spoke
-    status = (
-        F.when(F.col("name") == "", "empty").when(F.size("owners") == 1, "exact").when(F.size("owners") > 1, "ambiguous")
-        .when(score < limits.review, "unknown").when(close, "ambiguous").when(score >= limits.accept, "auto").otherwise("review")
-    )
-    return out.select("name", status.alias("status"), match.alias("match"), score.alias("score"))
+    best = written(candidates(near_scores(asked.join(second, "name", "left_anti"), bare, limits), 2))
+    near = asked.join(second, "name", "left").join(modelled(best, bare, limits), "name", "left")
+    out = rest.join(near.withColumnRenamed("name", "short"), "short", "left").select("name", "owners", "owner", "score", "tie")
+    none = {"owner": "string", "score": "double", "tie": "boolean"}
+    out = _decided(out.unionByName(first.select("name", "owners", *(F.lit(None).cast(k).alias(c) for c, k in none.items()))), limits)
+    return out.select("name", "status", F.when(F.size("owners") >= 1, F.col("owners")[0]).otherwise(F.col("match")).alias("match"), "score")
 
 
 @F.pandas_udf(DoubleType())
@@ -179,13 +234,29 @@ def tfidf_best(names: DataFrame, corpus: DataFrame) -> DataFrame:
     return scores.groupBy("name").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "owner")).alias("b")).select("name", "b.owner", (-F.col("b.c")).alias("cosine"))
 
 
-def tfidf_among(pairs: DataFrame) -> DataFrame:
-    """name, model, cosine: of each name's owners with their forms the nearest one, by weights fitted to all these forms."""
-    known = grams(pairs.select(F.col("form").alias("name")).distinct())
-    by = idf(known)
-    left, right = weights(grams(pairs.select("name").distinct()), by), weights(known, by).select(F.col("name").alias("form"), "gram", F.col("w").alias("v"))
-    scores = pairs.join(left, "name").join(right, ["form", "gram"]).groupBy("name", "owner").agg(r4(F.sum(F.col("w") * F.col("v"))).alias("cosine"))
-    return scores.groupBy("name").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "owner")).alias("b")).select("name", F.col("b.owner").alias("model"), (-F.col("b.c")).alias("cosine"))
+def nearest_by_model(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """name, owner, cosine: of all owners the nearest one by the n-gram model, fitted to all forms; ties to the smaller owner.
+
+    The cosine of the owner that a name is asked about (``owner``) is a lower bound. The more common of a name's n-grams, as long as their weights
+    together stay below it, can't bring another owner that far: only forms that share one of the rest are candidates, and of those only
+    such whose cosine over the rest leaves them in reach."""
+    known = known.where("form <> ''")
+    counted = grams(known.select(F.col("form").alias("name")).distinct())
+    by = idf(counted)
+    right = written(weights(counted, by).select(F.col("name").alias("form"), "gram", F.col("w").alias("v")))
+    left = written(weights(grams(asked.select("name").distinct()), by).join(by.select("gram", "df"), "gram"))
+    dot = F.sum(F.col("w") * F.col("v"))
+    own = asked.join(known.select("owner", "form").distinct(), "owner").select("name", "form").distinct()
+    least = own.join(right, "form").join(left, ["name", "gram"]).groupBy("name", "form").agg(dot.alias("c")).groupBy("name").agg(F.max("c").alias("least"))
+    behind = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("name").orderBy("df", "gram").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    bounded = left.withColumn("behind", F.sqrt(behind)).join(least, "name", "left").withColumn("least", F.coalesce("least", F.lit(0.0)) - 1e-4)
+    probes = bounded.where(F.col("behind") >= F.col("least"))
+    rest = bounded.where(F.col("behind") < F.col("least")).groupBy("name").agg(F.max("behind").alias("rest"))
+    part = probes.join(right, "gram").groupBy("name", "form").agg(dot.alias("c"), F.max("least").alias("least"))
+    hopeful = part.join(rest, "name", "left").where(F.col("c") + F.coalesce("rest", F.lit(0.0)) >= F.col("least"))
+    full = hopeful.select("name", "form").join(right, "form").join(left, ["name", "gram"]).groupBy("name", "form").agg(r4(dot).alias("cosine"))
+    owned = full.join(known.select("form", "owner").distinct(), "form").groupBy("name", "owner").agg(F.max("cosine").alias("cosine"))
+    return owned.groupBy("name").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "owner")).alias("b")).select("name", "b.owner", (-F.col("b.c")).alias("cosine"))
 
 
 def rank_entities(names: DataFrame, catalog: DataFrame, accept: float = 0.90, sure: float = 0.92) -> DataFrame:

@@ -19,42 +19,54 @@ SCORES = FORMS + f""",
   so AS (SELECT name, owner, coalesce(max(s) FILTER (WHERE alias = 0), 0.0) AS own, coalesce(max(s) FILTER (WHERE alias > 0), 0.0) * 0.99::DOUBLE AS other FROM sc GROUP BY ALL),
   fz AS (SELECT name, owner, {r4('CASE WHEN other > own THEN least(1.0, other + 0.05::DOUBLE) ELSE own END')} AS score FROM so),
   cand AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS next FROM fz WINDOW w AS (PARTITION BY name ORDER BY score DESC, owner)),
-  ex AS (SELECT name, list_sort(list(DISTINCT owner)) AS owners FROM names JOIN forms ON name = form GROUP BY name),
-  dec0 AS (SELECT n.name, owners, CASE WHEN owners IS NULL THEN score END AS score, CASE WHEN owners IS NULL THEN next END AS next, CASE WHEN len(owners) = 1 THEN owners[1] WHEN owners IS NULL AND score >= 0.55 THEN owner END AS match FROM names n LEFT JOIN ex USING (name) LEFT JOIN (SELECT * FROM cand WHERE rank = 1) c USING (name)),
-  decided AS (SELECT name, CASE WHEN name = '' THEN 'empty' WHEN archived THEN 'archived' WHEN len(owners) = 1 THEN 'exact' WHEN len(owners) > 1 THEN 'ambiguous' WHEN coalesce(score, 0) < 0.55 THEN 'unknown' WHEN score >= 0.5 AND score - next < 0.02 THEN 'ambiguous' WHEN score >= 0.9 THEN 'auto' ELSE 'review' END AS status,
-    match, CASE WHEN len(owners) >= 1 THEN 1.0 ELSE coalesce(score, 0.0) END AS score FROM dec0 LEFT JOIN cat ON match = commodity)"""
+  ex AS (SELECT name, list_sort(list(DISTINCT owner)) AS owners FROM names JOIN forms ON name = form GROUP BY name)"""
+
+
 def _short(x: str) -> str:
     return f"trim(regexp_replace(regexp_replace({x}, '\\b(market|mkt)\\b', ' ', 'g'), ' +', ' ', 'g'))"
 
 
 TFIDF = """
   gn AS (SELECT name, g AS gram, count(*) AS tf FROM (SELECT name, substr(w, CAST(i AS INTEGER), CAST(n AS INTEGER)) AS g, n FROM (SELECT name, concat(' ', unnest(list_filter(string_split(name, ' '), lambda t: t <> '')), ' ') AS w FROM {0}) ws, range(1, 60) t(i), range(2, 5) u(n) WHERE i <= length(w) - n + 1) GROUP BY ALL)"""
-_MCOS = (
-    f"mpairs AS (SELECT short AS name, owner, form FROM mcand JOIN mbare USING (owner) WHERE rank <= 3 AND short IN (SELECT short FROM mcand WHERE rank = 1 AND score < 0.92)), "
-    + TFIDF.format("(SELECT DISTINCT form AS name FROM mpairs)").replace("gn AS", "mcg AS") + ", " + TFIDF.format("(SELECT DISTINCT name FROM mpairs)").replace("gn AS", "mgn AS")
-    + f""", midf AS (SELECT gram, ln((1 + (SELECT count(DISTINCT name) FROM mcg)) / CAST(1 + count(*) AS DOUBLE)) + 1 AS idf FROM mcg GROUP BY gram),
-  mwn AS (SELECT name, gram, w / sqrt(sum(w * w) OVER (PARTITION BY name)) AS w FROM (SELECT name, gram, (1 + ln(tf)) * idf AS w FROM mgn JOIN midf USING (gram))),
-  mwc AS (SELECT form, gram, v / sqrt(sum(v * v) OVER (PARTITION BY form)) AS v FROM (SELECT name AS form, gram, (1 + ln(tf)) * idf AS v FROM mcg JOIN midf USING (gram))),
-  mtb AS (SELECT name, owner AS model, cosine FROM (SELECT name, owner, {r4('sum(w * v)')} AS cosine FROM mpairs JOIN mwn USING (name) JOIN mwc USING (form, gram) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY name ORDER BY cosine DESC, owner) = 1)"""
-)
+def _model(p: str, names: str, forms: str) -> str:
+    """{p}tb: each name's nearest owner (model) and cosine, of all owners, by n-grams fitted to all forms; all pairs are compared."""
+    return (
+        TFIDF.format(f"(SELECT DISTINCT form AS name FROM {forms} WHERE form <> '')").replace("gn AS", f"{p}cg AS") + ", " + TFIDF.format(f"(SELECT DISTINCT name FROM {names})").replace("gn AS", f"{p}gn AS")
+        + f""", {p}idf AS (SELECT gram, ln((1 + (SELECT count(DISTINCT name) FROM {p}cg)) / CAST(1 + count(*) AS DOUBLE)) + 1 AS idf FROM {p}cg GROUP BY gram),
+  {p}wn AS (SELECT name, gram, w / sqrt(sum(w * w) OVER (PARTITION BY name)) AS w FROM (SELECT name, gram, (1 + ln(tf)) * idf AS w FROM {p}gn JOIN {p}idf USING (gram))),
+  {p}wc AS (SELECT form, gram, v / sqrt(sum(v * v) OVER (PARTITION BY form)) AS v FROM (SELECT name AS form, gram, (1 + ln(tf)) * idf AS v FROM {p}cg JOIN {p}idf USING (gram))),
+  {p}tb AS (SELECT name, owner AS model, cosine FROM (SELECT name, owner, max(cosine) AS cosine FROM (SELECT name, form, {r4('sum(w * v)')} AS cosine FROM {p}wn JOIN {p}wc USING (gram) GROUP BY ALL) JOIN (SELECT DISTINCT owner, form FROM {forms}) USING (form) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY name ORDER BY cosine DESC, owner) = 1)"""
+    )
+
+
+def _ranked(p: str, names: str, forms: str, accept: str) -> str:
+    """{p}near: owner, score and tie of each name (column name), all names compared with all forms (owner, form, alias)."""
+    return f"""{p}so AS (SELECT name, owner, coalesce(max(s) FILTER (WHERE alias = 0), 0.0) AS own, coalesce(max(s) FILTER (WHERE alias > 0), 0.0) * 0.99::DOUBLE AS other FROM (SELECT name, owner, alias, {sim('name', 'form')} AS s FROM {names}, {forms} WHERE name <> '' AND form <> '') GROUP BY ALL),
+  {p}fz AS (SELECT name, owner, {r4('CASE WHEN other > own THEN least(1.0, other + 0.05::DOUBLE) ELSE own END')} AS score FROM {p}so),
+  {p}cand AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS next, lead(owner) OVER w AS second FROM {p}fz WINDOW w AS (PARTITION BY name ORDER BY score DESC, owner)),
+  {_model(p, names, forms)},
+  {p}best AS (SELECT name, owner, score, next, second, coalesce(score >= 0.5 AND score - next < 0.02, false) AS tie, CASE WHEN score < 0.92 THEN model END AS model, cosine FROM {p}cand LEFT JOIN {p}tb USING (name) WHERE rank = 1 AND score >= 0.3),
+  {p}near AS (SELECT name, tie, CASE WHEN model <> owner AND coalesce(next, 0) > least(score, {accept}::DOUBLE - 0.01::DOUBLE) THEN second ELSE owner END AS owner,
+    {r4(f"CASE WHEN model <> owner THEN greatest(least(score, {accept}::DOUBLE - 0.01::DOUBLE), coalesce(next, 0)) WHEN model = owner THEN greatest(score, 0.5::DOUBLE * score + 0.5::DOUBLE * cosine) ELSE score END")} AS score FROM {p}best)"""
+
+
+def _status(accept: str, review: str) -> str:
+    return f"CASE WHEN name = '' THEN 'empty' WHEN len(owners) = 1 THEN 'exact' WHEN len(owners) > 1 THEN 'ambiguous' WHEN coalesce(score, 0) < {review} THEN 'unknown' WHEN tie THEN 'ambiguous' WHEN score >= {accept} THEN 'auto' ELSE 'review' END"
+
+
+#: What is known of a name that reaches no owner is that its score is low: the score of unknown names isn't compared.
+DECIDED = SCORES + f""", crest AS (SELECT name FROM names WHERE name NOT IN (SELECT name FROM ex)), {_ranked('c', 'crest', 'forms', '0.9')},
+  dec1 AS (SELECT n.name, owners, {_status('0.9', '0.55')} AS status, CASE WHEN len(owners) = 1 THEN owners[1] WHEN owners IS NULL AND score >= 0.55 THEN owner END AS match, CASE WHEN len(owners) >= 1 THEN 1.0 ELSE coalesce(score, 0.0) END AS score FROM names n LEFT JOIN ex USING (name) LEFT JOIN cnear USING (name)),
+  decided AS (SELECT name, CASE WHEN archived AND name <> '' THEN 'archived' ELSE status END AS status, match, score FROM dec1 LEFT JOIN cat ON match = commodity)"""
 MARKETS = f"""
   mforms AS (SELECT DISTINCT market AS owner, {FOLD.format('market')} AS form FROM reg), mnames AS (SELECT DISTINCT market_form AS name FROM std),
   mx1 AS (SELECT name, list_sort(list(DISTINCT owner)) AS owners FROM mnames JOIN mforms ON name = form GROUP BY name),
-  mrest AS (SELECT name, {_short('name')} AS short FROM mnames WHERE name NOT IN (SELECT name FROM mx1)), mbare AS (SELECT owner, {_short('form')} AS form FROM mforms),
+  mrest AS (SELECT name, {_short('name')} AS short FROM mnames WHERE name NOT IN (SELECT name FROM mx1)), mbare AS (SELECT owner, {_short('form')} AS form, 0 AS alias FROM mforms),
   mx2 AS (SELECT short, list_sort(list(DISTINCT owner)) AS owners FROM (SELECT DISTINCT short FROM mrest) JOIN mbare ON short = form GROUP BY short),
-  mask AS (SELECT DISTINCT short AS name FROM mrest WHERE short <> '' AND short NOT IN (SELECT short FROM mx2)),
-  mng AS (SELECT DISTINCT name, substr(concat(' ', name, ' '), CAST(i AS INTEGER), 3) AS g FROM mask, range(1, 60) t(i) WHERE i <= length(name)),
-  mfg AS (SELECT DISTINCT owner, form, substr(concat(' ', form, ' '), CAST(i AS INTEGER), 3) AS g FROM mbare, range(1, 60) t(i) WHERE i <= length(form)),
-  mrare AS (SELECT name, g FROM (SELECT *, min(df) OVER (PARTITION BY name) AS least FROM mng JOIN (SELECT g, count(DISTINCT form) AS df FROM mfg GROUP BY g) USING (g)) WHERE df <= 250 OR least > 250),
-  mfz AS (SELECT name, owner, {r4('max(s)')} AS score FROM (SELECT name, owner, {sim('name', 'form')} AS s FROM (SELECT DISTINCT name, owner, form FROM mrare JOIN mfg USING (g))) GROUP BY ALL),
-  mcand AS (SELECT name AS short, owner, score, row_number() OVER w AS rank, lead(score) OVER w AS next FROM mfz WINDOW w AS (PARTITION BY name ORDER BY score DESC, owner)),
-  {_MCOS},
-  mtop AS (SELECT short, owner, next0, CASE WHEN score >= 0.92 OR model IS NULL THEN score WHEN model = owner THEN greatest(score, {r4('0.5::DOUBLE * score + 0.5::DOUBLE * cosine')}) ELSE least(score, 0.87::DOUBLE) END AS score
-    FROM (SELECT short, owner, score, CASE WHEN score - next < 0.02 THEN next END AS next0 FROM mcand WHERE rank = 1) LEFT JOIN mtb ON mtb.name = short),
-  mall AS (SELECT name, owners, NULL AS owner, NULL AS score, NULL AS next0 FROM mx1 UNION ALL SELECT name, owners, owner, score, next0 FROM mrest LEFT JOIN mx2 USING (short) LEFT JOIN mtop USING (short)),
-  mdec AS (SELECT name, CASE WHEN len(owners) >= 1 THEN 1.0 ELSE coalesce(score, 0.0) END AS score, CASE WHEN len(owners) >= 1 THEN owners[1] WHEN score >= 0.5 THEN owner END AS match,
-    CASE WHEN name = '' THEN 'empty' WHEN len(owners) = 1 THEN 'exact' WHEN len(owners) > 1 THEN 'ambiguous' WHEN coalesce(score, 0) < 0.5 THEN 'unknown' WHEN score >= 0.5 AND next0 IS NOT NULL THEN 'ambiguous' WHEN score >= 0.88 THEN 'auto' ELSE 'review' END AS status FROM mall)"""
-RES = SCORES + f""", {MARKETS},
+  mask AS (SELECT DISTINCT short AS name FROM mrest WHERE short <> '' AND short NOT IN (SELECT short FROM mx2)), {_ranked('m', 'mask', 'mbare', '0.88')},
+  mall AS (SELECT name, owners, NULL AS owner, NULL AS score, NULL AS tie FROM mx1 UNION ALL SELECT r.name, owners, owner, score, tie FROM mrest r LEFT JOIN mx2 USING (short) LEFT JOIN mnear n ON n.name = r.short),
+  mdec AS (SELECT name, CASE WHEN len(owners) >= 1 THEN 1.0 ELSE coalesce(score, 0.0) END AS score, CASE WHEN len(owners) >= 1 THEN owners[1] WHEN score >= 0.5 THEN owner END AS match, {_status('0.88', '0.5')} AS status FROM mall)"""
+RES = DECIDED + f""", {MARKETS},
   res AS (SELECT s.*, d.status, d.match, d.score, c.unit AS catalog_unit, m.status AS market_status, m.match AS market_match, m.score AS market_score, g.market AS registry_market, g.district, g.province FROM std s LEFT JOIN decided d ON d.name = s.commodity_form LEFT JOIN cat c ON c.commodity = d.match
     LEFT JOIN mdec m ON m.name = s.market_form LEFT JOIN reg g ON g.market = m.match AND m.status IN ('exact', 'auto'))"""
 
@@ -170,14 +182,19 @@ def d07(spark, sf):
     return standardize.unusual_units(res(spark, sf))
 
 
-@query("d08_entity_issues", f"{{std}}, {RES} SELECT id, entity, status, CASE WHEN status = 'unknown' THEN 'UNKNOWN_ENTITY' ELSE 'ENTITY_MATCH' END AS type, CASE WHEN status = 'unknown' THEN 'high' WHEN status IN ('archived', 'ambiguous') THEN 'medium' WHEN entity = 'market' OR score >= 0.78 THEN 'low' ELSE 'medium' END AS severity, suggestion, score FROM (SELECT id, 'commodity' AS entity, status, match AS suggestion, score FROM res UNION ALL SELECT id, 'market', market_status, market_match, market_score FROM res) WHERE status IN ('unknown', 'archived', 'ambiguous', 'review')")
+@query("d08_entity_issues", f"{{std}}, {RES} SELECT id, entity, status, CASE WHEN status = 'unknown' THEN 'UNKNOWN_ENTITY' ELSE 'ENTITY_MATCH' END AS type, CASE WHEN status = 'unknown' THEN 'high' WHEN status IN ('archived', 'ambiguous') THEN 'medium' WHEN entity = 'market' OR score >= 0.78 THEN 'low' ELSE 'medium' END AS severity, suggestion, CASE WHEN status <> 'unknown' THEN score END AS score FROM (SELECT id, 'commodity' AS entity, status, match AS suggestion, score FROM res UNION ALL SELECT id, 'market', market_status, market_match, market_score FROM res) WHERE status IN ('unknown', 'archived', 'ambiguous', 'review')")
 def d08(spark, sf):
-    return standardize.entity_findings(res(spark, sf))
+    return _told(standardize.entity_findings(res(spark, sf)))
+
+
+def _told(decided):
+    """Without the score of unknown names, of which no more is worked out than that it is below the limit."""
+    return decided.withColumn("score", F.when(F.col("status") != "unknown", F.col("score")))
 
 
-@query("d10_match_status", f"{{std}}, {SCORES} SELECT name, status, match, score FROM decided")
+@query("d10_match_status", f"{{std}}, {DECIDED} SELECT name, status, match, CASE WHEN status <> 'unknown' THEN score END AS score FROM decided")
 def d10(spark, sf):
-    return match.decide(std(spark, sf).select(F.col("commodity_form").alias("name")), commodities(spark, sf))
+    return _told(match.decide(std(spark, sf).select(F.col("commodity_form").alias("name")), commodities(spark, sf)))
 
 
 @query("j01_registry_join", f"{{std}}, {RES} SELECT id, coalesce(registry_market, nullif(array_to_string(list_transform(string_split(lower(trim(raw_market)), ' '), lambda w: upper(w[1]) || w[2:]), ' '), '')) AS market, district, province FROM res")
@@ -185,9 +202,9 @@ def j01(spark, sf):
     return res(spark, sf).select("id", "market", "district", "province")
 
 
-@query("d12_market_status", f"{{std}}, {MARKETS} SELECT name, status, match, score FROM mdec")
+@query("d12_market_status", f"{{std}}, {MARKETS} SELECT name, status, match, CASE WHEN status <> 'unknown' THEN score END AS score FROM mdec")
 def d12(spark, sf):
-    return match.decide_markets(std(spark, sf).select(F.col("market_form").alias("name")), markets(spark, sf))
+    return _told(match.decide_markets(std(spark, sf).select(F.col("market_form").alias("name")), markets(spark, sf)))
 
 
 @query("j05_exact_forms", f"{{std}}, {SCORES} SELECT name, array_to_string(owners, '|') AS owners FROM ex")
