@@ -4,11 +4,15 @@ Words of each source are packed, in a fixed pseudorandom order of documents, int
 is a list of slots, dealt to output shards. Each shard draws its count of slots per source from a multinomial over
 what the sources' targets still lack, so that the totals come out exactly; slot j of a source with n blocks takes
 block p(j mod n), where p is a pseudorandom permutation of the source for epoch j div n. Blocks are joined to slots
-by (source, block). A source's last slot may be cut short to meet its target to the word.
+by (source, block). A source's last slot may be cut short to meet its target to the word. The draws decide which shard a block's
+words go to: ``mix`` says so of each document, ``shard_segments`` lists the shards themselves. There is a shard for about ``SHARD_SLOTS``
+slots, and ``MAX_SHARDS`` at most.
 
 No document is taken more than twice, as targets stop at twice a source's size. A null source is a source of its
 own, last in order. Null and empty texts have size 0 and are never taken. Repeated rows are separate documents.
-An empty table gives no rows. Sources are collected to the driver, a row each: at most ``max_sources``, or it stops.
+An empty table gives no rows. Texts of any length are taken whole: one of many blocks has a row for each block, never all its words in one. Ties
+in the order of documents are broken by size and text, and rows equal in all of these may change places. Columns of other names are not read by ``mix``, and
+kept by ``mixed_documents``, whose own ones get names that clash with none. Sources are collected to the driver, a row each: at most ``max_sources``, or it stops.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ from . import common
 
 #: Weights by a source's place, repeating; the mix's share of all words; the most a source is repeated.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
-BLOCK_WORDS, SHARDS, MAX_SOURCES = 256, 64, 100_000
+BLOCK_WORDS, MAX_SOURCES = 256, 100_000
+SHARD_SLOTS, MAX_SHARDS = 1 << 16, 10_000
 #: Slots in one row of the plan before they are spread out.
 RUN = 1 << 14
 #: Documents of a source that are ordered together, and the buckets beyond which there are more, up to so many.
@@ -127,6 +132,11 @@ def shard_counts(slots: list[int], shards: int, seed: int) -> np.ndarray:
     return np.array(out, np.int64).reshape(shards, len(slots))
 
 
+def shards_for(sources: list[Source], shards: int | None = None) -> int:
+    """The number of shards: as given, else by the number of slots."""
+    return shards or max(1, min(MAX_SHARDS, -(-sum(s.slots for s in sources) // SHARD_SLOTS)))
+
+
 def _facts(id_col: str, text_col: str, source_col: str) -> dict:
     source = F.col(source_col).cast("string")
     return {
@@ -213,29 +223,45 @@ def overlaps(docs: DataFrame, block: int) -> DataFrame:
     )
 
 
-def block_use(spark, sources: list[Source], block: int, shards: int, seed: int) -> DataFrame:
-    """Of each block how many slots take it whole, and the words of the one that is cut short.
+def block_use(spark, sources: list[Source], block: int, shards: int, seed: int, *by: str) -> DataFrame:
+    """Of each block (and shard, if ``by`` says so) how many slots take it whole, and the words of the one that is cut short.
 
     It grows with the corpus, but the planner sees only the short plan that it is spread from: the hint keeps it from
     being broadcast."""
-    used = slot_blocks(spark, sources, block, shards, seed).groupBy("src", "block").agg(
+    used = slot_blocks(spark, sources, block, shards, seed).groupBy("src", "block", *by).agg(
         F.sum((F.col("words") == block).cast("long")).alias("times"), F.sum(F.when(F.col("words") < block, F.col("words")).otherwise(0)).alias("cut"),
     )
     return used.hint("merge")
 
 
-def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row. The sizes are written once to the shared folder."""
+def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK_WORDS, shards: int | None = None, seed: int = 17) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every row, and ``uses``: the words that each shard takes of it from each block.
+
+    The sizes are written once to the shared folder."""
     spark = df.sparkSession
     sized = common.written(_sized(df, id_col, text_col, source_col), common.shared_dir(spark))
     sources = plan_sources(sized, block, seed)
     facts = spark.createDataFrame([(s.key, s.size, float(s.target)) for s in sources], "src string, source_size long, target double")
     docs = placed(sized, sources)
-    use = block_use(spark, sources, block, shards, seed)
-    took = overlaps(docs, block).join(use, ["src", "block"]).groupBy("src", "bucket", "doc_id", "row").agg(
-        F.sum(F.col("times") * (F.col("b") - F.col("a")) + F.greatest(F.lit(0), F.least(F.col("cut"), F.col("b")) - F.col("a"))).alias("taken")
-    )
-    return docs.join(took, ["src", "bucket", "doc_id", "row"], "left").join(F.broadcast(facts), "src").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    use = block_use(spark, sources, block, shards_for(sources, shards), seed, "shard")
+    words = F.col("times") * (F.col("b") - F.col("a")) + F.greatest(F.lit(0), F.least(F.col("cut"), F.col("b")) - F.col("a"))
+    parts = overlaps(docs, block).join(use, ["src", "block"]).withColumn("words", words).where("words > 0")
+    took = parts.groupBy("src", "bucket", "doc_id", "row").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("shard", "block", "words"))).alias("uses"))
+    none = F.array().cast("array<struct<shard: int, block: long, words: long>>")
+    out = docs.join(took, ["src", "bucket", "doc_id", "row"], "left").join(F.broadcast(facts), "src")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("uses", none).alias("uses"))
+
+
+def shard_segments(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK_WORDS, shards: int | None = None, seed: int = 17) -> DataFrame:
+    """The shards: for each slot the pieces of documents that it takes, in order, as shard, slot, start (words of the slot before the
+    piece), src, block, doc_id, first and last (the document's words from, to)."""
+    spark = df.sparkSession
+    sized = common.written(_sized(df, id_col, text_col, source_col), common.shared_dir(spark))
+    sources = plan_sources(sized, block, seed)
+    slots = slot_blocks(spark, sources, block, shards_for(sources, shards), seed).hint("merge")
+    pieces = overlaps(placed(sized, sources), block).join(slots, ["src", "block"]).where("a < words")
+    first = F.col("block") * block - F.col("start") + F.col("a")
+    return pieces.select("shard", "slot", F.col("a").alias("start"), "src", "block", "doc_id", first.alias("first"), (first + F.least("b", "words") - F.col("a")).alias("last"))
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -288,7 +314,7 @@ class _Copying:
                 yield taken
 
 
-def mixed_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = 17) -> DataFrame:
+def mixed_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK_WORDS, shards: int | None = None, seed: int = 17) -> DataFrame:
     """The mix as documents, with all columns of ``df``: a row for each time that a document, or a part of it, is taken.
 
     ``n_chars``, where there is one, follows the text. Documents that the mix doesn't take are left out."""
@@ -299,7 +325,7 @@ def mixed_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     slim = sized.select(*(F.col(own[n]).alias(n) for n in ("doc_id", "src", "size", "h")))
     slim = common.written(slim, common.shared_dir(spark))
     sources = plan_sources(slim, block, seed)
-    use = block_use(spark, sources, block, shards, seed)
+    use = block_use(spark, sources, block, shards_for(sources, shards), seed)
     docs = placed(slim, sources)
     parts = overlaps(docs, block).join(use, ["src", "block"])
     first, a, b = F.col("block") * block - F.col("start"), F.col("a"), F.col("b")

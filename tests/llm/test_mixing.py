@@ -137,3 +137,44 @@ def test_mixed_documents_hold_what_is_taken(spark, sf):
             want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
         assert words == {i: n for i, n in want.items() if n}
     assert mixing.mixed_documents(df.limit(0)).count() == 0
+
+
+def test_draws_are_multinomial():
+    """The first shard's counts over many seeds: chi-square against multinomial shares, and their covariance."""
+    slots = [50_000, 20_000, 10_000]
+    drawn = np.array([mixing.shard_counts(slots, 80, seed)[0] for seed in range(300)])
+    n, p = int(drawn[0].sum()), np.array(slots) / sum(slots)
+    chi = ((drawn - n * p) ** 2 / (n * p)).sum(axis=1)
+    assert abs(chi.mean() - 2) < 0.5  # two degrees of freedom
+    cov = np.cov(drawn.T) / n
+    assert np.abs(cov - (np.diag(p) - np.outer(p, p))).max() < 0.05
+    assert (mixing.shard_counts(slots, 80, 1).sum(axis=0) == slots).all()
+
+
+def test_shards_hold_the_mix(spark):
+    docs = [(k, " ".join(f"w{k}_{j}" for j in range(k % 37)), "ab"[k % 5 == 0]) for k in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = {r.doc_id: r for r in mixing.mix(df, block=16, shards=5, seed=3).collect()}
+    assert all(sum(u.words for u in r.uses) == r.taken for r in rows.values())
+    segments = mixing.shard_segments(df, block=16, shards=5, seed=3).collect()
+    by: dict = {}
+    for s in segments:
+        assert 0 <= s.first < s.last <= rows[s.doc_id].size
+        key = (s.doc_id, s.shard, s.block)
+        by[key] = by.get(key, 0) + s.last - s.first
+    assert by == {(i, u.shard, u.block): u.words for i, r in rows.items() for u in r.uses}
+    assert len({s.shard for s in segments}) == 5
+    slots: dict = {}
+    for s in sorted(segments, key=lambda s: (s.shard, s.slot, s.start)):
+        assert s.start == slots.get((s.shard, s.slot), 0)  # a slot's pieces follow each other without a gap
+        slots[s.shard, s.slot] = s.start + s.last - s.first
+    sources = mixing.plan_sources(mixing._sized(df, "doc_id", "text", "source"), 16, 3)
+    counts = mixing.shard_counts([s.slots for s in sources], 5, 3)
+    assert [len({k for k in slots if k[0] == n}) for n in range(5)] == counts.sum(axis=1).tolist()
+    other = {r.doc_id: r for r in mixing.mix(df, block=16, shards=5, seed=4).collect()}
+    assert any(rows[i].uses != other[i].uses for i in rows)
+
+
+def test_shards_by_size():
+    source = mixing.Source("s", 1, 1.0, 1, 3 * mixing.SHARD_SLOTS + 1, 0)
+    assert mixing.shards_for([source]) == 4 and mixing.shards_for([]) == 1 and mixing.shards_for([source], 9) == 9
