@@ -2,6 +2,11 @@
 
 ``STAGES`` holds (name, function) in order; each function takes (spark, docs, sf_dir) and returns a DataFrame, which
 is written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+Null and empty texts go through all stages: they are scored like any text, linked with nothing, hold no secret, have size 0 (so the
+mix never takes them). Very long texts are taken whole by each stage. Ties: the smallest doc_id of a group of near copies stays; quality is cut at a score, so
+equal scores share their fate. Repeated rows go in as they are: near copies of one id stay together. Empty tables give empty results of the same
+columns; further columns are handed on, and clash with no name that a stage makes up.
 """
 
 from __future__ import annotations
