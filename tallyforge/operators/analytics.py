@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import r4
+from ..sources.files import written
+from .quantiles import joined, group_quantiles, median_of, whole_quantiles
 
 LADDER = ("farmgate", "wholesale", "retail")
 
@@ -20,8 +22,9 @@ def trusted(df: DataFrame, issues: DataFrame) -> DataFrame:
 
 def trend(df: DataFrame) -> DataFrame:
     """Date: median price of each channel, and markets that report."""
-    median = lambda c: r4(F.percentile(F.when(F.col("channel") == c, F.col("price")), 0.5)).alias(c)
-    return df.groupBy("date").agg(*(median(c) for c in LADDER), F.countDistinct("market").alias("markets"))
+    medians = median_of(df.where(F.col("channel").isin(*LADDER)), ["date", "channel"], F.col("price"), "median")
+    by = medians.groupBy("date").agg(*(r4(F.max(F.when(F.col("channel") == c, F.col("median")))).alias(c) for c in LADDER))
+    return joined(df.groupBy("date").agg(F.countDistinct("market").alias("markets")), by, ["date"], "left").select("date", *LADDER, "markets")
 
 
 def channel_ladder(df: DataFrame) -> DataFrame:
@@ -40,9 +43,14 @@ def margins(df: DataFrame) -> DataFrame:
 
 
 def price_map(df: DataFrame) -> DataFrame:
-    """Province and market levels in one pass."""
-    sets = df.groupingSets([["province"], ["province", "market"]], "province", "market")
-    return sets.agg(r4(F.percentile("price", 0.5)).alias("median"), F.count("*").alias("n"), F.countDistinct("commodity").alias("commodities"))
+    """Provinces and their markets: median, rows and commodities."""
+    levels = []
+    for keys in (["province"], ["province", "market"]):
+        counts = df.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct("commodity").alias("commodities"))
+        level = joined(counts, median_of(df, keys, F.col("price"), "median"), keys, "left")
+        market = F.col("market") if "market" in keys else F.lit(None).cast("string")
+        levels.append(level.select("province", market.alias("market"), r4(F.col("median")).alias("median"), "n", "commodities"))
+    return levels[0].unionByName(levels[1])
 
 
 def channel_mix(df: DataFrame) -> DataFrame:
@@ -94,14 +102,14 @@ def pivoted(df: DataFrame) -> DataFrame:
 
 def highlights(df: DataFrame) -> DataFrame:
     """One row: range of province medians, cheapest and dearest market, median of market medians."""
-    market = df.groupBy("market").agg(F.percentile("price", 0.5).alias("median"))
-    province = df.groupBy("province").agg(F.percentile("price", 0.5).alias("median"))
+    market = written(median_of(df, ["market"], F.col("price"), "median"))
+    province = median_of(df, ["province"], F.col("price"), "median")
     a = province.agg(r4(F.min("median")).alias("least_province"), r4(F.max("median")).alias("most_province"))
-    b = market.agg(F.min(F.struct("median", "market")).alias("lo"), F.max(F.struct("median", "market")).alias("hi"), r4(F.percentile("median", 0.5)).alias("middle"))
+    b = market.agg(F.min(F.struct("median", "market")).alias("lo"), F.max(F.struct("median", "market")).alias("hi"), F.lit(whole_quantiles(market, F.col("median"))[0]).alias("middle")).withColumn("middle", r4(F.col("middle")))
     return a.crossJoin(b.select(F.col("lo.market").alias("cheapest"), F.col("hi.market").alias("dearest"), "middle"))
 
 
 def market_medians(df: DataFrame) -> DataFrame:
     """Market: rounded median of its prices, and how many there are."""
-    by = df.where("price > 0").groupBy("market").agg(F.percentile("price", 0.5).alias("m"), F.count("*").alias("n"))
+    by = group_quantiles(df.where("price > 0"), ["market"], F.col("price")).select("market", F.col("q")[0].alias("m"), "n")
     return by.select("market", F.floor(F.col("m") + 0.5).cast("long").alias("median"), "n")

@@ -7,7 +7,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import written
 from .anomaly import PEERS, SET, ladder, priced, robust_z
+from .quantiles import median_of, whole_quantiles
 
 LEAST_PEERS, CLIP = 3, 8.0
 #: Log ratios of retail/farm-gate, wholesale/farm-gate and retail/wholesale without any data.
@@ -32,12 +34,13 @@ def price_features(df: DataFrame) -> DataFrame:
     """Eight features of each priced row, and their signals: distances from what is typical, 0 where imputed."""
     rows = priced(df)
     base = rows.join(peers(rows), PEERS, "left").withColumn("r", F.coalesce(F.col("price") / F.col("median"), F.lit(1.0)))
+    base = written(base)
     for key in ("market", "province"):
-        middle = base.groupBy(key).agg(F.percentile("r", 0.5).alias(f"{key}_ratio"))
-        base = base.join(middle, key, "left")
-    sets = ladder(df).select(*SET, "farmgate", "wholesale", "retail")
-    middle = sets.agg(*(F.coalesce(F.percentile(safe_ln(F.col(a) / F.col(b)), 0.5), F.lit(d).cast("double")).alias(f"typical_{n}") for (n, a, b), d in zip(_LADDER, map(math.log, TYPICAL), strict=True)))
-    base = base.join(sets, SET, "left").crossJoin(F.broadcast(middle))
+        base = base.join(median_of(base, [key], F.col("r"), f"{key}_ratio"), key, "left")
+    sets = written(ladder(df).select(*SET, "farmgate", "wholesale", "retail"))
+    typical = [whole_quantiles(sets, safe_ln(F.col(a) / F.col(b)))[0] for _, a, b in _LADDER]
+    middle = {f"typical_{n}": F.lit(d if m is None else m).cast("double") for (n, _, _), m, d in zip(_LADDER, typical, map(math.log, TYPICAL), strict=True)}
+    base = base.join(sets, SET, "left").withColumns(middle)
     own = lambda c: F.when(F.col("channel") == c, F.col("price")).otherwise(F.col(c))
     code = F.when(F.col("channel") == "farmgate", 0.0).when(F.col("channel") == "wholesale", 1.0).otherwise(2.0)
     z = F.coalesce(F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), robust_z())), F.lit(0.0))

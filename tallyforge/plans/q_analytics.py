@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import r4 as cut
 from ..operators import analytics, anomaly, dedupe, profile, standardize
+from ..operators.quantiles import median_of
 from ..sources.files import written
 from .q_entities import RES, res, std
 from .q_rules import DUPES, LADDER, OUTLIERS, r4
@@ -217,7 +218,7 @@ def o06(spark, sf):
 
 @query("o12_province_order", f"{{rec}} SELECT province, {r4('quantile_cont(price, 0.5)')} AS median FROM rec GROUP BY province ORDER BY median DESC NULLS LAST")
 def o12(spark, sf):
-    return records(spark, sf).groupBy("province").agg(cut(F.percentile("price", 0.5)).alias("median")).orderBy(F.desc_nulls_last("median"))
+    return median_of(records(spark, sf), ["province"], F.col("price"), "m").select("province", cut(F.col("m")).alias("median")).orderBy(F.desc_nulls_last("median"))
 
 
 @query("a23_highlights", f"{{rec}}, mm AS (SELECT market, quantile_cont(price, 0.5) AS median FROM rec GROUP BY market), pp AS (SELECT quantile_cont(price, 0.5) AS median FROM rec GROUP BY province) SELECT (SELECT {r4('min(median)')} FROM pp) AS least_province, (SELECT {r4('max(median)')} FROM pp) AS most_province, (SELECT min_by(market, row(median, market)) FROM mm) AS cheapest, (SELECT max_by(market, row(median, market)) FROM mm) AS dearest, (SELECT {r4('quantile_cont(median, 0.5)')} FROM mm) AS middle")
