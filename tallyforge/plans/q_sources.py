@@ -114,3 +114,20 @@ def s14(spark, sf):
         raise ValueError("not a nested export")
     products = p.select(F.col("p_partkey").alias("id"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("commodity_name"), F.col("p_name").alias("commodity_name_en"), F.expr(UNIT).alias("commodity_unit"))
     return export.export_rows(read, products, channel="retail", province_field="held_in_province").withColumn("price", F.nullif("price", F.lit("")).cast("double"))
+
+
+@query("s16_bad_rows", """WITH l AS (SELECT l_orderkey * 16 + l_linenumber AS id, l_orderkey + l_linenumber AS k, l_quantity FROM lineitem)
+  SELECT 'row' AS kind, CAST(id AS VARCHAR) AS id, CASE k % 5 WHEN 0 THEN concat('two', chr(10), 'lines, "', CAST(k AS VARCHAR), '"') ELSE concat('plain ', CAST(k AS VARCHAR)) END AS note, CASE WHEN k % 7 = 0 THEN '' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS amount FROM l
+  UNION ALL SELECT 'bad', CAST(id AS VARCHAR), 'width', CAST(CASE WHEN k % 7 = 0 THEN 2 ELSE 4 END AS VARCHAR) FROM l WHERE k % 7 = 0 OR k % 11 = 0""")
+def s16_bad_rows(spark, sf):
+    """One CSV file with quoted line breaks, short rows and long ones: its rows, and the list of those that aren't of the header's width."""
+    k, n = F.col("k"), F.col("l_quantity").cast("long").cast("string")
+    li = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 16 + F.col("l_linenumber")).cast("string").alias("id"), (F.col("l_orderkey") + F.col("l_linenumber")).alias("k"), "l_quantity")
+    note = F.when(k % 5 == 0, F.concat(F.lit('"two\nlines, ""'), k.cast("string"), F.lit('"""'))).otherwise(F.concat(F.lit("plain "), k.cast("string")))
+    rest = F.when(k % 7 == 0, "").when(k % 11 == 0, F.concat(F.lit(","), n, F.lit(",more"))).otherwise(F.concat(F.lit(","), n))
+    where = scratch(spark)
+    made = li.select(F.concat("id", F.lit(","), note, rest).alias("value"))
+    spark.createDataFrame([("made by a query",), ("id,note,amount",)], "value string").coalesce(1).union(made).coalesce(1).write.text(where)
+    found = readers.delimited_table(spark, where)
+    bad = found.bad.select(F.lit("bad").alias("kind"), F.split_part("text", F.lit(","), F.lit(1)).alias("id"), F.col("problem").alias("note"), F.col("cells").cast("string").alias("amount"))
+    return found.rows.select(F.lit("row").alias("kind"), "id", "note", "amount").unionByName(bad)

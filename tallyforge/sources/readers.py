@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import delimited
+
 DELIMITERS = (",", ";", "\t", "|")
 HEAD_LINES, DEPTH = 10, 6
 
@@ -50,31 +52,25 @@ def looks_binary(head: str) -> bool:
     return bool(part) and odd > 0.05 * len(part)
 
 
+def delimited_table(spark: SparkSession, path: str, delimiter: str | None = None) -> delimited.Table:
+    """Rows and the ledger of bad ones. The header is the first line of the table with two cells or more, wherever it stands."""
+    lines = delimited.lines_of(spark, path)
+    first = [r.value for r in spark.read.text(path).limit(HEAD_LINES * 3).collect()]
+    if looks_binary("\n".join(first)):
+        raise ValueError("not a text file")
+    head = delimited.head_of(lines, (delimiter,) if delimiter else DELIMITERS, HEAD_LINES)
+    if not head:
+        raise ValueError("no header")
+    delimiter = delimiter or sniff_delimiter(head)
+    cells = next(r for r in csv.reader(head, delimiter=delimiter) if sum(bool(c.strip()) for c in r) >= 2)
+    return delimited.read(spark, path, delimiter, [c.lstrip("\ufeff") for c in cells], repaired_header(cells))
+
+
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """All columns as strings, trimmed, gaps empty; the header is the first line with two cells or more,
-    and lines above it are left out.
+    """All columns as strings, trimmed, gaps empty; lines above the header are left out.
 
     Rows of another width are kept: short ones are filled up, long ones lose what is beyond the header."""
-    head = [r.value for r in spark.read.text(path).limit(HEAD_LINES * 3).collect()]
-    if looks_binary("\n".join(head)):
-        raise ValueError("not a text file")
-    delimiter = delimiter or sniff_delimiter(head)
-    lines = list(csv.reader(head, delimiter=delimiter))
-    at = next((k for k, r in enumerate(lines) if sum(bool(c.strip()) for c in r) >= 2), None)
-    if at is None:
-        raise ValueError("no header")
-    first = lines[at]
-    names = repaired_header(first)
-    schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))])
-    rows = spark.read.csv(path, schema=schema, sep=delimiter, quote='"', escape='"', multiLine=True, header=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE")
-    clean = [F.coalesce(F.trim(F.regexp_replace(F.col(f"c{k}"), "^﻿", "")), F.lit("")) for k in range(len(names))]
-
-    def is_line(cells: list[str]):
-        cells = [c.strip().lstrip("﻿") for c in cells] + [""] * len(names)
-        return reduce(lambda a, b: a & b, (c == cells[k] for k, c in enumerate(clean)))
-
-    above = reduce(lambda a, b: a | b, map(is_line, lines[: at + 1]))  # the header and what stands over it
-    return rows.where(~above & (F.concat_ws("", *clean) != "")).select(*(c.alias(n) for c, n in zip(clean, names, strict=True)))
+    return delimited_table(spark, path, delimiter).rows
 
 
 def _cells(kind: T.StructType, value: Column | None = None, path: tuple[str, ...] = ()) -> list[tuple[str, Column]]:

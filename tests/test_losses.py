@@ -60,3 +60,31 @@ def test_province_field(spark):
     want = [("1", "Western Province"), ("2", "Southern Province"), ("3", "")]
     assert sorted(tuple(r) for r in export.export_rows(df).select("export_id", "province").collect()) == want
     assert sorted(tuple(r) for r in export.export_rows(df, province_field="old_province").select("export_id", "province").collect()) == want
+
+
+def test_quoted_breaks_over_many_tasks(spark, tmp_path):
+    made = ["about this file"] * 45 + ["id,note,amount"]
+    want = []
+    for k in range(300):
+        note = f"line one of {k}\nline, two \"{k}\"\n\nend" if k % 3 == 0 else f"plain {k}"
+        spelled = '"' + note.replace('"', '""') + '"' if k % 3 == 0 else note
+        made.append(f"{k},{spelled},{k * 2}" + (",more" if k % 50 == 7 else ""))
+        want.append((str(k), note, str(k * 2)))
+    made.append("300,short")
+    (tmp_path / "t.csv").write_text("﻿" + "\r\n".join(made) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert spark.read.text(str(tmp_path / "t.csv")).rdd.getNumPartitions() > 8
+        found = readers.delimited_table(spark, str(tmp_path / "t.csv"))
+        got = sorted(map(tuple, found.rows.collect()), key=lambda r: int(r[0]))
+        assert got == [*want, ("300", "short", "")]
+        bad = sorted((r.line, r.cells, r.problem) for r in found.bad.collect())
+        lines = {k: 47 + k + 3 * ((k + 2) // 3) for k in range(301)}  # three more lines for each record before
+        assert bad == [*((lines[k], 4, "width") for k in range(7, 300, 50)), (lines[300], 2, "width")]
+        (tmp_path / "open.csv").write_text("a,b\n1,2\n3,\"never closed\n" + "".join(f"{k},x\n" for k in range(2000)))
+        broken = readers.delimited_table(spark, str(tmp_path / "open.csv"))
+        assert broken.rows.count() == 2002 and {r.problem for r in broken.bad.collect()} == {"open quote"} and broken.bad.count() == 2001
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
