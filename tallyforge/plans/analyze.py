@@ -27,11 +27,13 @@ class Analysis:
 
 
 def upload(df: DataFrame, found: dict[str, str] | None = None, channel: str | None = None) -> DataFrame:
-    """An upload under the raw names, gaps empty.
+    """An upload under the raw names, gaps empty. A wide sheet, with a column of prices for each channel, becomes a row for each price.
 
     Where it has no ``seq`` and ``id``, rows are numbered as they stand: by their place in their part of the table, which for
     files that Spark reads is their place in the file. The numbered table is written once, so that ids stay what they are."""
-    found = found or mapping.suggest_mapping(df)
+    if found is None:
+        df = mapping.unpivot_channels(df)
+        found = mapping.suggest_mapping(df)
     if lacking := mapping.missing_required(found):
         raise ValueError(f"no column for {', '.join(lacking)}")
     cells = [F.coalesce(F.col(f"`{found[f]}`").cast("string"), F.lit("")) if f in found else F.lit(channel or "" if f == "price_type" else "") for f in RAW]

@@ -131,3 +131,20 @@ def s16_bad_rows(spark, sf):
     found = readers.delimited_table(spark, where)
     bad = found.bad.select(F.lit("bad").alias("kind"), F.split_part("text", F.lit(","), F.lit(1)).alias("id"), F.col("problem").alias("note"), F.col("cells").cast("string").alias("amount"))
     return found.rows.select(F.lit("row").alias("kind"), "id", "note", "amount").unionByName(bad)
+
+
+@query("s13_read_export", """SELECT strftime(l_shipdate, '%Y-%m-%d') AS date, CASE n_regionkey WHEN 1 THEN 'Southern Province' WHEN 2 THEN 'Western Province' WHEN 3 THEN 'Northern Province' WHEN 4 THEN 'Eastern Province' ELSE '' END AS province, n_name AS district, s_name AS market,
+  upper(p_name[1]) || p_name[2:] AS commodity, 'retail' AS price_type, 'kg' AS unit, CAST(l_quantity AS DOUBLE) AS price, CAST(l_orderkey * 16 + l_linenumber AS VARCHAR) AS export_id
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""")
+def s13_read_export(spark, sf):
+    """A nested export in JSON, which the reader of all formats finds to be one."""
+    li, s, n, p = (table(spark, sf, t) for t in ("lineitem", "supplier", "nation", "part"))
+    rows = li.join(s, li.l_suppkey == s.s_suppkey).join(F.broadcast(n), s.s_nationkey == n.n_nationkey).join(p, li.l_partkey == p.p_partkey)
+    nested = rows.select(
+        (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("id"), F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm").alias("created_on"), F.lit("retail").alias("price_type"), F.col("l_quantity").cast("double").alias("average_price"),
+        F.struct(F.col("s_name").alias("name"), F.col("n_name").alias("district"), F.col("n_regionkey").alias("province")).alias("market"),
+        F.struct(F.col("l_partkey").alias("id"), F.col("p_name").alias("commodity_name"), F.lit("kg").alias("commodity_unit")).alias("product"),
+    )
+    where = f"{scratch(spark)}.json"
+    nested.write.json(where)
+    return readers.read_table(spark, where).withColumn("price", F.col("price").cast("double"))

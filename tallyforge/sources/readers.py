@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import delimited
+from . import delimited, export
 
 DELIMITERS = (",", ";", "\t", "|")
 HEAD_LINES, DEPTH = 10, 6
+REFUSED = ("pdf", "doc", "docx", "odt", "rtf", "ppt", "pptx", "png", "jpg", "jpeg", "gif", "webp", "bmp", "tif", "tiff", "svg", "zip")
 
 
 def sniff_delimiter(lines: list[str]) -> str:
@@ -174,11 +175,16 @@ def json_rows(df: DataFrame, document: bool = False) -> DataFrame:
     return df.select(F.inline(F.concat(*parts)))
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list, an object with records in it, or a line for each record; ``data`` around the records is opened."""
-    head = "".join(r.value for r in spark.read.text(path).limit(HEAD_LINES).collect()).lstrip("﻿ \t\r\n")
+def read_json(spark: SparkSession, path: str, **more) -> DataFrame:
+    """A JSON list, an object with records in it, or a line for each record; ``data`` around the records is opened. Records of the
+    nested price export become its flat columns, see ``export.export_rows``, which gets what else is given."""
+    head = "".join(r.value for r in spark.read.text(path).limit(HEAD_LINES).collect()).lstrip("\ufeff \t\r\n")
     lines = bool(re.match(r"\{.*\}\s*$", head.split("\n")[0] if "\n" in head else head)) and spark.read.text(path).limit(2).count() > 1
-    return json_rows(spark.read.json(path, multiLine=not lines), document=not lines and head.startswith("{"))
+    df = spark.read.json(path, multiLine=not lines)
+    for records in (df, *(df.select(F.explode(F.col(f"`{f.name}`")).alias("r")).select("r.*") for f in df.schema.fields if _is_list(f.dataType))):
+        if export.is_export(records):
+            return export.export_rows(records, **more)
+    return json_rows(df, document=not lines and head.startswith("{"))
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,14 +217,19 @@ def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> Data
     return flattened(spark.read.format("xml").option("rowTag", row_tag or row_tag_of(spark, path)).option("inferSchema", "false").load(path))
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Any of the formats, by extension or else by the first character."""
-    ext = path.rsplit(".", 1)[-1].lower()
+def read_table(spark: SparkSession, path: str, **more) -> DataFrame:
+    """Any of the formats, by extension or else by the first character; ``more`` is for the nested price export.
+
+    Pictures, documents and other files that aren't text are refused."""
+    ext = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if ext in REFUSED:
+        raise ValueError(f"a .{ext} file holds no table that is read here")
     if ext == "parquet":
-        return flattened(spark.read.parquet(path))
-    first = next((r.value.lstrip("﻿ \t")[:1] for r in spark.read.text(path).limit(HEAD_LINES).collect() if r.value.strip()), "")
+        df = spark.read.parquet(path)
+        return export.export_rows(df, **more) if export.is_export(df) else flattened(df)
+    first = next((r.value.lstrip("\ufeff \t")[:1] for r in spark.read.text(path).limit(HEAD_LINES).collect() if r.value.strip()), "")
     if ext in ("json", "ndjson", "jsonl") or (ext not in ("csv", "tsv", "xml", "txt") and first in "[{"):
-        return read_json(spark, path)
+        return read_json(spark, path, **more)
     if ext == "xml" or first == "<":
         return read_xml(spark, path)
     return read_delimited(spark, path, "\t" if ext == "tsv" else None)

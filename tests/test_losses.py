@@ -88,3 +88,22 @@ def test_quoted_breaks_over_many_tasks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_exports_and_wide_sheets_are_found(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from tallyforge.plans import analyze
+
+    records = [{"id": k, "entry_date": "2024-01-0%d" % (k + 1), "average_price": 100.0 + k, "market_name": "Kimironko", "commodity_code": 4, "price_type": "retail", "market": {"name": "Kimironko", "district": "Gasabo", "province": 5}, "product": {"id": 4, "commodity_name": "dry maize", "commodity_unit": "kg"}} for k in range(4)]
+    for name, text in (("list.json", json.dumps(records)), ("data.json", json.dumps({"count": 4, "data": records})), ("lines.jsonl", "\n".join(map(json.dumps, records)))):
+        (tmp_path / name).write_text(text)
+        df = readers.read_table(spark, str(tmp_path / name))
+        assert df.columns == list(export.HEADERS) and {(r.province, r.commodity, r.price) for r in df.collect()} == {("Kigali City", "Dry maize", f"{100.0 + k}") for k in range(4)}
+    (tmp_path / "wide.csv").write_text("Date,Market,Commodity,Farm gate price,Retail price\n2024-01-01,Kimironko,Dry maize,100,150\n2024-01-02,Kimironko,Dry maize,,160\n")
+    rows = analyze.upload(readers.read_table(spark, str(tmp_path / "wide.csv")))
+    assert sorted((r.raw_date, r.raw_channel, r.raw_price) for r in rows.collect()) == [("2024-01-01", "farmgate", "100"), ("2024-01-01", "retail", "150"), ("2024-01-02", "retail", "160")]
+    with pytest.raises(ValueError, match="pdf"):
+        readers.read_table(spark, "/nowhere/x.pdf")
