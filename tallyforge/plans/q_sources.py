@@ -44,16 +44,29 @@ def s09(spark, sf):
     return readers.read_xml(spark, where, "nation")
 
 
-@query("s03_sniff_delimiter")
+@query("s03_sniff_delimiter", "SELECT d.name, d.sign AS found, (SELECT count(*) FROM customer) AS rows FROM (VALUES ('comma', ','), ('semicolon', ';'), ('tab', chr(9)), ('pipe', '|')) d(name, sign)")
 def s03(spark, sf):
-    cases = [("comma", ["a,b,c", "1,2,3"]), ("semicolon", ["a;b", "1,5;2"]), ("tab", ["a\tb", "1\t2"]), ("pipe", ["a|b|c", "1|2|3"]), ("none", ["abc"])]
-    return spark.createDataFrame([(n, readers.sniff_delimiter(lines)) for n, lines in cases], "name string, delimiter string")
-
-
-@query("p01_detect_columns")
+    """Customers written with each delimiter; the one that is found in the file, and the rows that are read by it."""
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name", F.format_string("%d,%d", "c_nationkey", "c_custkey").alias("pair"))
+    parts = []
+    for name, sign in (("comma", ","), ("semicolon", ";"), ("tab", "\t"), ("pipe", "|")):
+        where = scratch(spark)
+        rows.write.csv(where, sep=sign, header=True, quote='"', escape='"')
+        found = readers.sniff_delimiter([r.value for r in spark.read.text(where).limit(readers.HEAD_LINES).collect()])
+        parts.append(readers.read_delimited(spark, where).agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), F.lit(found).alias("found"), "rows"))
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query("p01_detect_columns", "{raw} SELECT 'date' AS field, 'Price date' AS header, count(*) FILTER (WHERE trim(raw_date) <> '') AS filled FROM raw UNION ALL SELECT 'market', 'Market_Name', count(*) FILTER (WHERE trim(raw_market) <> '') FROM raw UNION ALL SELECT 'commodity', 'Product', count(*) FILTER (WHERE trim(raw_commodity) <> '') FROM raw UNION ALL SELECT 'price_type', 'Price_Type', count(*) FILTER (WHERE trim(raw_channel) <> '') FROM raw UNION ALL SELECT 'unit', 'Unit', count(*) FILTER (WHERE trim(raw_unit) <> '') FROM raw UNION ALL SELECT 'price', 'Price_RWF', count(*) FILTER (WHERE trim(raw_price) <> '') FROM raw")
 def p01(spark, sf):
-    found = mapping.detect_columns(["Price date", "Province", "District", "Market_Name", "Product", "Price_Type", "Unit", "Price_RWF"])
-    return spark.createDataFrame(list(found.items()), "field string, header string")
+    """An upload's file: which header is found for which field, and how many of its cells are filled."""
+    names = {"raw_date": "Price date", "raw_market": "Market_Name", "raw_commodity": "Product", "raw_channel": "Price_Type", "raw_unit": "Unit", "raw_price": "Price_RWF"}
+    where = scratch(spark)
+    raw_records(spark, sf).select(*(F.col(c).alias(n) for c, n in names.items())).write.csv(where, header=True, quote='"', escape='"')
+    read = readers.read_delimited(spark, where)
+    found = {f: h for f, h in mapping.detect_columns(read.columns).items() if h}
+    cells = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(h).alias("header"), (F.col(f"`{h}`") != "").alias("there")) for f, h in found.items()))
+    return read.select(F.inline(cells)).groupBy("field", "header").agg(F.sum(F.col("there").cast("long")).alias("filled"))
 
 
 @query("p02_suggest_mapping")

@@ -92,5 +92,6 @@ def read(spark: SparkSession, path: str, delimiter: str, header: list[str], name
     cells = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
     problem = F.when(F.col("broken"), "open quote").otherwise("width")
     bad = rows.where("broken OR ragged").select("file", "line", cells.alias("cells"), problem.alias("problem"), "text")
-    return Table(rows.select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names))), bad)
+    ordered = rows.orderBy("file", "line")  # as the rows stand, for those who number them by their place
+    return Table(ordered.select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names))), bad)
 

@@ -106,7 +106,7 @@ def test_matching_fixture(spark):
     catalog = spark.createDataFrame([("red widget", False), ("blue bolt", False), ("hot rod", True), ("widget red", False)], "commodity string, archived boolean")
     names = spark.createDataFrame([(n,) for n in ("red widget", "blue bolt x", "hot rod", "laptop", "", "blue blot")], "name string")
     got = {r.name: r.status for r in match.decide(names, catalog).collect()}
-    assert got == {"red widget": "ambiguous", "blue bolt x": "review", "hot rod": "archived", "laptop": "unknown", "": "empty", "blue blot": got["blue blot"]}
+    assert got == {"red widget": "ambiguous", "blue bolt x": "auto", "hot rod": "archived", "laptop": "unknown", "": "empty", "blue blot": got["blue blot"]}
 
 
 def test_forest_fixture(spark):
