@@ -166,3 +166,21 @@ def findings(scored: DataFrame, forest: Forest, known: DataFrame) -> DataFrame:
         r4(F.least(F.lit(0.97), 0.7 + 2 * (F.col("score") - forest.threshold))).alias("confidence"),
         F.when(F.col("peers") >= 3, F.floor(F.col("median") + 0.5).cast("long")).alias("suggestion"),
     )
+
+
+def merged(known: DataFrame, found: DataFrame) -> DataFrame:
+    """Known outliers with the forest's word on them, and the forest's own new ones below.
+
+    ``known`` has id, severity, confidence, suggestion and evidence (label and value of each piece). A known outlier that the forest
+    corroborates gets its score and its strongest signal as evidence, once, and the higher confidence of the two, 0.99 at most."""
+    piece = lambda label, value: F.struct(F.lit(label).alias("label"), value.cast("string").alias("value"))
+    told = F.array(piece("forest", F.col("f.score")), piece("signal", F.col("f.reason")))
+    word = found.where("effect = 'corroborated'").groupBy("id").agg(F.max(F.struct("score", "reason", "confidence")).alias("f"))
+    has = F.exists("evidence", lambda e: e.label == "forest")
+    raised = F.col("f").isNotNull() & ~has
+    out = known.join(word, "id", "left").select(
+        "id", "severity", F.when(raised, F.least(F.lit(0.99), F.greatest("confidence", "f.confidence"))).otherwise(F.col("confidence")).alias("confidence"),
+        F.col("suggestion").cast("long").alias("suggestion"), F.when(raised, F.concat("evidence", told)).otherwise(F.col("evidence")).alias("evidence"), F.lit("known").alias("origin"),
+    )
+    new = found.where("effect = 'new'").select("id", "severity", "confidence", F.col("suggestion").cast("long").alias("suggestion"), F.array(piece("forest", F.col("score")), piece("signal", F.col("reason"))).alias("evidence"), F.lit("forest").alias("origin"))
+    return out.unionByName(new)

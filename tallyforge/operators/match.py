@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import LongType
 
 from ..functions.text import normalized, r4, similarity, spread, token_similarity
 from ..sources.files import written
@@ -180,21 +181,80 @@ def decide_markets(names: DataFrame, registry: DataFrame, limits: Thresholds = M
     return out.select("name", "status", F.when(F.size("owners") >= 1, F.col("owners")[0]).otherwise(F.col("match")).alias("match"), "score")
 
 
-@F.pandas_udf(DoubleType())
-def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def _common(a: list[str], b: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of pairs, all pairs at once: a bit for each character of the first text (64 at most)
+    says where the row of the dynamic programme doesn't rise."""
+    out = np.zeros(len(a), np.int64)
+    wide = max(map(len, a), default=0)
+    x, y = (np.array([list(map(ord, t)) + [fill] * (most - len(t)) for t in texts], np.int32).reshape(len(texts), most) for texts, fill, most in ((a, -1, wide), (b, -2, max(map(len, b), default=0))))
+    if not x.size or not y.size:
+        return out
+    bits = np.uint64(1) << np.arange(wide, dtype=np.uint64)
+    row = np.full(len(a), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for k in range(y.shape[1]):
+        met = row & ((x == y[:, k : k + 1]) * bits).sum(axis=1, dtype=np.uint64)
+        row = (row + met) | (row - met)
+    return wide - ((row[:, None] & bits) != 0).sum(axis=1)
+
+
+def _common_long(a: str, b: str) -> int:
+    """The same for one pair of any length, in one whole number."""
+    masks: dict[str, int] = {}
+    for k, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << k
+    full = row = (1 << len(a)) - 1
+    for c in b:
+        met = row & masks.get(c, 0)
+        row = (row + met) | (row - met)
+    return len(a) - (row & full).bit_count()
+
+
+@F.pandas_udf(LongType())
+def common_letters(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The length of the longest common subsequence; nulls count as empty."""
+    x, y = (["" if t is None else t for t in s.tolist()] for s in (a, b))
+    long = np.array([min(len(s), len(t)) > 64 or max(len(s), len(t)) > 512 for s, t in zip(x, y, strict=True)], bool)
+    out = np.zeros(len(x), np.int64)
+    short = np.flatnonzero(~long)
+    first = [min(x[k], y[k], key=len) for k in short]
+    out[short] = _common(first, [max(y[k], x[k], key=len) for k in short])
+    for k in np.flatnonzero(long):
+        out[k] = _common_long(x[k], y[k])
+    return pd.Series(out)
+
+
+def indel_ratio(a: Column | str, b: Column | str) -> Column:
     """Twice the longest common subsequence over the summed lengths; two empty texts are equal."""
-
-    def one(x: str, y: str) -> float:
-        if not x and not y:
-            return 1.0
-        row = [0] * (len(y) + 1)
-        for c in x:
-            last = 0
-            for k, d in enumerate(y, 1):
-                last, row[k] = row[k], last + 1 if c == d else max(row[k], row[k - 1])
-        return 2 * row[-1] / (len(x) + len(y))
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+    a, b = (F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in (a, b))
+    lengths = F.length(a) + F.length(b)
+    return F.when(lengths == 0, 1.0).otherwise(2 * common_letters(a, b) / lengths)
+
+
+def token_sort_ratio(a: Column, b: Column) -> Column:
+    """The ratio once the words of both stand in order."""
+    in_order = lambda c: F.array_join(F.sort_array(F.filter(F.split(c, " "), lambda w: w != "")), " ")
+    return indel_ratio(in_order(a), in_order(b))
+
+
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """The best ratio of the common words alone and with what else either has; 1 if one's words are all among the other's, 0
+    if either has none."""
+    x, y = _words(a), _words(b)
+    spelled = lambda words: F.array_join(F.sort_array(words), " ")
+    both, one, two = (spelled(w) for w in (F.array_intersect(x, y), F.array_except(x, y), F.array_except(y, x)))
+    shared, left, right = F.length(both), F.length(one), F.length(two)
+    gap = F.when(shared > 0, 1).otherwise(0)
+    rest = 1 - (left + right - 2 * common_letters(one, two)) / (2 * shared + 2 * gap + left + right)
+    alone = lambda other: 1 - (gap + other) / (2 * shared + gap + other)
+    best = F.when(shared > 0, F.greatest(rest, alone(left), alone(right))).otherwise(rest)
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when((shared > 0) & ((left == 0) | (right == 0)), 1.0).otherwise(best)
+
+
+def fuzzy_score(a: Column, b: Column) -> Column:
+    """The better of the plain and the sorted ratio, and of 0.95 of the set ratio where both have several words; 0 if either is empty."""
+    plain = F.greatest(indel_ratio(a, b), token_sort_ratio(a, b))
+    several = F.contains(a, F.lit(" ")) & F.contains(b, F.lit(" "))
+    return F.when((a == "") | (b == ""), 0.0).otherwise(F.greatest(plain, F.when(several, 0.95 * token_set_ratio(a, b)).otherwise(0.0)))
 
 
 def grams(names: DataFrame, low: int = 2, high: int = 4) -> DataFrame:

@@ -48,6 +48,7 @@ def _found(df: DataFrame, record: str, kind: str, category: str, confidence=None
     return df.select(
         F.col(record).alias("record_id"), F.lit(kind).alias("type") if kind else F.col("type"), F.lit(category).alias("category"), F.lit(severity).alias("severity") if severity else F.col("severity"),
         (F.lit(confidence) if isinstance(confidence, float) else F.col("confidence")).cast("double").alias("confidence"), (F.col(suggestion) if suggestion else F.lit(None)).cast("string").alias("suggestion"), F.lit("open").alias("status"),
+        (F.col("evidence") if "evidence" in df.columns else F.lit(None)).cast("array<struct<label: string, value: string>>").alias("evidence"),
     )
 
 
@@ -58,19 +59,19 @@ def analyze(raw: DataFrame, catalog: DataFrame, registry: DataFrame, *, with_for
     rows = written(standardize.resolved(standardize.typed(raw), catalog, registry))
     records = rows.select("seq", "id", "date", "province", "district", "market", "commodity", "unit", "channel", "price", F.lit(False).alias("corrected"))
     outliers = anomaly.price_outliers(records)
+    priced = outliers.withColumn("evidence", F.array(F.struct(F.lit("z").alias("label"), F.col("z").cast("string").alias("value"))))
+    if with_forest:  # what it corroborates is told with the known outlier, what it finds alone stands beside
+        f = written(features.price_features(records))
+        model = forest.train(f)
+        priced = forest.merged(priced, forest.findings(forest.score(f, model), model, outliers))
     parts = [
         _found(standardize.missing(rows), "id", "MISSING_VALUE", "completeness", 1.0), _found(standardize.invalid_dates(rows), "id", "INVALID_DATE", "conflict", 1.0),
         _found(standardize.invalid_prices(rows), "id", "INVALID_PRICE", "conflict", 1.0), _found(standardize.unknown_units(rows), "id", "UNIT_INCONSISTENCY", "conflict", 0.85),
         _found(standardize.unusual_units(rows), "id", "UNIT_INCONSISTENCY", "conflict", 0.8, None, "suggestion"),
         _found(standardize.entity_findings(rows).withColumnRenamed("score", "confidence"), "id", "", "conflict", None, None, "suggestion"),
         _found(dedupe.exact_duplicates(records), "id", "", "duplicate"), _found(dedupe.near_duplicates(records).withColumnRenamed("score", "confidence"), "id", "", "duplicate"),
-        _found(outliers, "id", "PRICE_ANOMALY", "anomaly", None, None, "suggestion"), _found(anomaly.ladder_violations(records), "record_id", "LADDER_VIOLATION", "conflict"),
+        _found(priced, "id", "PRICE_ANOMALY", "anomaly", None, None, "suggestion"), _found(anomaly.ladder_violations(records), "record_id", "LADDER_VIOLATION", "conflict"),
         _found(anomaly.markups(records), "record_id", "PRICE_ANOMALY", "anomaly", None, "high"),
     ]
-    if with_forest:
-        f = written(features.price_features(records))
-        model = forest.train(f)
-        new = forest.findings(forest.score(f, model), model, outliers).where("effect = 'new'")
-        parts.append(_found(new, "id", "PRICE_ANOMALY", "anomaly", None, None, "suggestion"))
     issues = reduce(lambda a, b: a.unionByName(b), parts)
     return Analysis(records, issues, standardize.lineage(rows), profile.dataset(records), profile.coverage(records, registry), profile.quality(rows, issues, list(RAW.values())), analytics.trusted(records, issues))

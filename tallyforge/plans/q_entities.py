@@ -140,7 +140,9 @@ def f17(spark, sf):
 
 @query("f18_indel_ratio")
 def f18(spark, sf):
-    return _name_pairs(spark, sf).select("a", "b", match.indel_ratio("a", "b").alias("ratio"))
+    a, b = F.col("a"), F.col("b")
+    kinds = {"ratio": match.indel_ratio, "token_sort": match.token_sort_ratio, "token_set": match.token_set_ratio, "score": match.fuzzy_score}
+    return _name_pairs(spark, sf).select("a", "b", *(text.r4(f(a, b)).alias(n) for n, f in kinds.items()))
 
 
 @query("f27_province_label", "{rec} SELECT province, CASE WHEN letters LIKE '%kigali%' THEN 'Kigali' WHEN letters LIKE '%east%' THEN 'East' WHEN letters LIKE '%west%' THEN 'West' WHEN letters LIKE '%north%' THEN 'North' WHEN letters LIKE '%south%' THEN 'South' END AS matched, n FROM (SELECT province, regexp_replace(lower(province), '[^a-z]', '', 'g') AS letters, count(*) AS n FROM rec GROUP BY ALL)")

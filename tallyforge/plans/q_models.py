@@ -51,6 +51,22 @@ def m08(spark, sf):
     return forest.findings(forest.score(f, model), model, anomaly.price_outliers(rec))
 
 
+@query("m08_merge_evidence", f"""{{rec}}, {OUTLIERS}, kn AS (SELECT id, severity, confidence, CAST(floor(median + 0.5) AS BIGINT) AS suggestion, k FROM (SELECT *, {r4('least(0.99, 0.6 + least(abs(z), 12.0) / 20 + CASE WHEN outside THEN 0.08 ELSE 0.0 END)')} AS confidence, CASE WHEN abs(z) > 8 THEN 'critical' WHEN abs(z) > 5 THEN 'high' ELSE 'medium' END AS severity FROM outliers) JOIN (SELECT id, k FROM rec) USING (id))
+  SELECT id, severity, CASE WHEN k % 3 = 0 THEN least(0.99, greatest(confidence, 0.7 + (k % 30) / 100.0)) ELSE confidence END AS confidence, suggestion, 'z' || CASE WHEN k % 3 = 0 THEN ',forest=' || CAST(k % 30 AS VARCHAR) || ',signal=ratio' ELSE '' END AS evidence, 'known' AS origin FROM kn
+  UNION ALL SELECT id, 'medium', 0.7 + (k % 30) / 100.0, NULL, 'forest=' || CAST(k % 30 AS VARCHAR) || ',signal=ratio', 'forest' FROM rec WHERE k % 53 = 0 AND id NOT IN (SELECT id FROM kn)""")
+def m08_merge_evidence(spark, sf):
+    """Outliers merged with stored findings of a forest, here of every third outlier and every 53rd other record."""
+    rec = written(records(spark, sf))
+    known = anomaly.price_outliers(rec)
+    priced = known.withColumn("evidence", F.array(F.struct(F.lit("z").alias("label"), F.lit(None).cast("string").alias("value"))))
+    marks = rec.join(known.select("id", F.lit(True).alias("known")), "id", "left")
+    stored = marks.where((F.col("known") & (F.col("k") % 3 == 0)) | (F.col("known").isNull() & (F.col("k") % 53 == 0))).select(
+        "id", (F.col("k") % 30).alias("score"), F.when(F.col("known"), "corroborated").otherwise("new").alias("effect"), F.lit("ratio").alias("reason"), F.lit("medium").alias("severity"), (0.7 + (F.col("k") % 30) / 100).alias("confidence"), F.lit(None).cast("long").alias("suggestion"),
+    )
+    told = F.array_join(F.transform("evidence", lambda e: F.concat_ws("=", e.label, e.value)), ",")
+    return forest.merged(priced, stored).withColumn("evidence", told)
+
+
 _INJECTED = """inj0 AS (SELECT rec.*, f.farmgate, CASE WHEN k % 97 = 0 THEN (k // 97) % 4 END AS turn FROM rec LEFT JOIN (SELECT date, market, commodity, max_by(price, row(seq, id)) FILTER (WHERE channel = 'farmgate') AS farmgate FROM rec WHERE price > 0 GROUP BY ALL) f USING (date, market, commodity)),
   inj AS (SELECT * EXCLUDE (price, turn, farmgate), CASE WHEN turn = 0 THEN 'times_ten' WHEN turn = 1 THEN 'tenth' WHEN turn = 2 THEN 'plus_60' WHEN turn = 3 AND channel = 'retail' AND farmgate IS NOT NULL THEN 'inverted' END AS kind,
     CASE WHEN turn = 0 THEN price * 10 WHEN turn = 1 THEN price / 10 WHEN turn = 2 THEN price * 1.6::DOUBLE WHEN turn = 3 AND channel = 'retail' AND farmgate IS NOT NULL THEN farmgate * 0.7::DOUBLE ELSE price END AS price FROM inj0)"""
