@@ -19,12 +19,15 @@ ALIAS_WEIGHT, ALIAS_LIFT = 0.99, 0.05
 
 @dataclass(frozen=True)
 class Thresholds:
-    """Accepted as it is, worth a review, and two names too close to choose."""
+    """Accepted as it is, worth a review, and two names too close to choose. ``veto`` is the margin by which the n-gram model
+    must prefer another owner to be heard, ``suggest`` the cosine from which its owner is suggested where spelling finds none (None: never)."""
 
     accept: float = 0.90
     review: float = 0.55
     tie: float = 0.02
     tie_least: float = 0.5
+    veto: float = 0.0
+    suggest: float | None = None
 
 
 def trigrams(form: Column) -> Column:
@@ -118,19 +121,26 @@ def candidates(scores: DataFrame, limit: int = 3) -> DataFrame:
 
 def modelled(best: DataFrame, known: DataFrame, limits: Thresholds) -> DataFrame:
     """Best and second owners with the n-gram model's word on those below ``SURE``: if it prefers the same owner its cosine blends the score
-    upward, else the score is capped below acceptance, where the second may overtake it.
+    upward; if it prefers another by the margin ``veto``, the score is capped below acceptance, where the second may overtake it. A name whose
+    best score stays below the review limit gets the model's owner, not for acceptance, if its cosine reaches ``suggest``.
 
     name, owner, score, tie (whether the second came close before the model spoke), model, cosine."""
     top = best.where("rank = 1")
-    asked = top.where(F.col("score") < SURE).select("name", "owner")
+    asked = top.where(F.coalesce("score", F.lit(0.0)) < SURE).select("name", "owner")
     model = nearest_by_model(asked, known).withColumnRenamed("owner", "model")
     out = top.join(model, "name", "left").join(best.where("rank = 2").select("name", F.col("owner").alias("second"), F.col("score").alias("second_score")), "name", "left")
-    doubted = F.col("model").isNotNull() & (F.col("owner") != F.col("model"))
+    agrees = F.col("model") == F.col("owner")
+    doubted = F.col("model").isNotNull() & ~agrees & (r4(F.col("cosine") - F.col("own")) >= limits.veto)
     capped = F.least("score", F.lit(limits.accept - 0.01))
     overtaken = doubted & (F.coalesce("second_score", F.lit(0.0)) > capped)
-    score = F.when(overtaken, F.col("second_score")).when(doubted, capped).when(F.col("model").isNotNull(), F.greatest("score", 0.5 * F.col("score") + 0.5 * F.col("cosine"))).otherwise(F.col("score"))
+    score = F.when(overtaken, F.col("second_score")).when(doubted, capped).when(agrees, F.greatest("score", 0.5 * F.col("score") + 0.5 * F.col("cosine"))).otherwise(F.col("score"))
     tie = (F.col("score") >= limits.tie_least) & (F.col("score") - F.col("second_score") < limits.tie)
-    return out.select("name", F.when(overtaken, F.col("second")).otherwise(F.col("owner")).alias("owner"), r4(score).alias("score"), F.coalesce(tie, F.lit(False)).alias("tie"), "model", "cosine")
+    out = out.select("name", F.when(overtaken, F.col("second")).otherwise(F.col("owner")).alias("owner"), r4(score).alias("score"), F.coalesce(tie, F.lit(False)).alias("tie"), "model", "cosine")
+    if limits.suggest is None:
+        return out
+    rescued = (F.coalesce("score", F.lit(0.0)) < limits.review) & (F.col("cosine") >= limits.suggest)
+    changed = {"owner": F.col("model"), "score": F.greatest(F.lit(limits.review), F.least("cosine", F.lit(limits.accept - 0.01))), "tie": F.lit(False)}
+    return out.withColumns({c: F.when(rescued, e).otherwise(F.col(c)) for c, e in changed.items()})
 
 
 def _decided(out: DataFrame, limits: Thresholds) -> DataFrame:
@@ -147,7 +157,10 @@ def decide(names: DataFrame, catalog: DataFrame, limits: Thresholds = Thresholds
     """name, status, match, score of each distinct name: exact, archived, auto, review, ambiguous, unknown or empty."""
     names, known = written(names.distinct()), written(forms(catalog))
     exact = exact_owners(names, known)
-    best = written(candidates(near_scores(names.join(exact, "name", "left_anti"), known, limits), 2))
+    rest = names.join(exact, "name", "left_anti")
+    best = written(candidates(near_scores(rest, known, limits), 2))
+    if limits.suggest is not None:  # the model is asked about names that no owner comes near, too
+        best = written(best.unionByName(rest.where("name <> ''").join(best, "name", "left_anti").withColumn("rank", F.lit(1)), allowMissingColumns=True))
     out = _decided(names.join(exact, "name", "left").join(modelled(best, known, limits), "name", "left"), limits)
     out = out.withColumn("match", F.when(F.size("owners") == 1, F.col("owners")[0]).otherwise(F.col("match")))
     archived = catalog.where("archived").select(F.col("commodity").alias("match"), F.lit(True).alias("old"))
@@ -295,7 +308,8 @@ def tfidf_best(names: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def nearest_by_model(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """name, owner, cosine: of all owners the nearest one by the n-gram model, fitted to all forms; ties to the smaller owner.
+    """name, owner, cosine, own: of all owners the nearest one by the n-gram model, fitted to all forms, ties to the smaller owner; and the
+    cosine of the owner that was asked about (0 if none).
 
     The cosine of the owner that a name is asked about (``owner``) is a lower bound. The more common of a name's n-grams, as long as their weights
     together stay below it, can't bring another owner that far: only forms that share one of the rest are candidates, and of those only
@@ -307,7 +321,7 @@ def nearest_by_model(asked: DataFrame, known: DataFrame) -> DataFrame:
     left = written(weights(grams(asked.select("name").distinct()), by).join(by.select("gram", "df"), "gram"))
     dot = F.sum(F.col("w") * F.col("v"))
     own = asked.join(known.select("owner", "form").distinct(), "owner").select("name", "form").distinct()
-    least = own.join(right, "form").join(left, ["name", "gram"]).groupBy("name", "form").agg(dot.alias("c")).groupBy("name").agg(F.max("c").alias("least"))
+    least = written(own.join(right, "form").join(left, ["name", "gram"]).groupBy("name", "form").agg(dot.alias("c")).groupBy("name").agg(F.max("c").alias("least")))
     behind = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("name").orderBy("df", "gram").rowsBetween(Window.currentRow, Window.unboundedFollowing))
     bounded = left.withColumn("behind", F.sqrt(behind)).join(least, "name", "left").withColumn("least", F.coalesce("least", F.lit(0.0)) - 1e-4)
     probes = bounded.where(F.col("behind") >= F.col("least"))
@@ -316,7 +330,8 @@ def nearest_by_model(asked: DataFrame, known: DataFrame) -> DataFrame:
     hopeful = part.join(rest, "name", "left").where(F.col("c") + F.coalesce("rest", F.lit(0.0)) >= F.col("least"))
     full = hopeful.select("name", "form").join(right, "form").join(left, ["name", "gram"]).groupBy("name", "form").agg(r4(dot).alias("cosine"))
     owned = full.join(known.select("form", "owner").distinct(), "form").groupBy("name", "owner").agg(F.max("cosine").alias("cosine"))
-    return owned.groupBy("name").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "owner")).alias("b")).select("name", "b.owner", (-F.col("b.c")).alias("cosine"))
+    nearest = owned.groupBy("name").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "owner")).alias("b"))
+    return nearest.join(least, "name", "left").select("name", "b.owner", (-F.col("b.c")).alias("cosine"), r4(F.coalesce("least", F.lit(0.0))).alias("own"))
 
 
 def rank_entities(names: DataFrame, catalog: DataFrame, accept: float = 0.90, sure: float = 0.92) -> DataFrame:
