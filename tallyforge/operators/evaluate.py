@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import r4
-from . import anomaly
+from ..sources.files import written
+from . import anomaly, features, forest
 
 KINDS = ("times_ten", "tenth", "plus_60", "inverted")
+#: Copies of the table, and the share of sets that get an error in each, as one in so many.
+ROUNDS, ONE_IN = 8, 40
+LAYERS = ("statistics", "ladder", "forest")
 
 
 def injected(df: DataFrame, every: int = 97) -> DataFrame:
@@ -30,3 +34,68 @@ def recall(df: DataFrame) -> DataFrame:
     both = rows.join(stats, "id", "left").join(rules, "id", "left")
     share = lambda c: r4(F.avg(F.when(c, 1.0).otherwise(0.0)))
     return both.groupBy("kind").agg(F.count("*").alias("n"), share(F.col("s").isNotNull()).alias("statistics"), share(F.col("l").isNotNull()).alias("ladder"), share(F.col("s").isNotNull() | F.col("l").isNotNull()).alias("either"))
+
+
+def _drawn(*parts: Column | str) -> Column:
+    """A number of 28 bits that depends on the parts alone."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 7), 16, 10).cast("long")
+
+
+def rounds(df: DataFrame, copies: int = ROUNDS, one_in: int = ONE_IN) -> DataFrame:
+    """Copies of priced rows, each with errors of its own in one of so many sets (date, market, commodity): one error a set.
+
+    The copy is put before id, market, province and commodity, so that every group by them stays within its copy and all
+    copies go through a layer in one plan. Adds round, kind (of the set's error; null without) and injected (the row that got it). A set with
+    farm-gate and retail prices may have its retail price put to 0.7 of the farm-gate one; any set one row's price times ten, a tenth or up by 60 %.
+    Sets are drawn by a hash, so that reruns agree and no copy is sorted."""
+    rows = anomaly.priced(df).where("coalesce(market, '') <> ''").withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    rows = rows.withColumn("draw", _drawn("round", "date", "market", "commodity"))
+    hit = rows.where(F.col("draw") % one_in == 0)
+    last = lambda c, what: F.max_by(what, F.when(F.col("channel") == c, F.struct("seq", "id")))
+    some = F.min_by("id", F.struct(_drawn("round", "id"), "id"))
+    sets = hit.groupBy("round", *anomaly.SET).agg(F.first("draw").alias("draw"), some.alias("some"), last("farmgate", "price").alias("farm"), last("retail", "id").alias("retail_id"))
+    turn = F.floor(F.col("draw") / one_in)
+    kind = F.when(F.col("farm").isNotNull() & F.col("retail_id").isNotNull(), turn % 4).otherwise(turn % 3)
+    sets = sets.withColumn("kind", F.element_at(F.array(*map(F.lit, KINDS)), (kind + 1).cast("int")))
+    sets = sets.select("round", *anomaly.SET, "kind", "farm", F.when(F.col("kind") == KINDS[3], F.col("retail_id")).otherwise(F.col("some")).alias("target"))
+    out = rows.drop("draw").join(sets, ["round", *anomaly.SET], "left").withColumn("injected", F.coalesce(F.col("id") == F.col("target"), F.lit(False)))
+    price = F.col("price")
+    wrong = F.when(F.col("kind") == KINDS[0], price * 10).when(F.col("kind") == KINDS[1], price / 10).when(F.col("kind") == KINDS[2], price * 1.6).otherwise(F.col("farm") * 0.7)
+    apart = {c: F.concat_ws("|", "round", c) for c in ("id", "market", "province", "commodity")}
+    return out.withColumn("price", F.when(F.col("injected"), wrong).otherwise(price)).drop("farm", "target").withColumns(apart)
+
+
+def flags(rows: DataFrame, model: forest.Forest | None) -> DataFrame:
+    """id, layer of rows that a layer finds; a forest finds rows over its threshold with a strong signal."""
+    found = [anomaly.price_outliers(rows).select("id", F.lit(LAYERS[0]).alias("layer")), anomaly.ladder_violations(rows).select(F.col("record_id").alias("id"), F.lit(LAYERS[1]).alias("layer"))]
+    if model is not None:
+        strong = (F.col("score") >= model.threshold) & (F.array_max("signal") >= forest.SIGNAL)
+        found.append(forest.score(features.price_features(rows), model).where(strong).select("id", F.lit(LAYERS[2]).alias("layer")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def layer_recall(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """kind, layer, n, share: of the sets with an error of this kind the share in which a layer finds any row; where kind is null, of the rows of
+    untouched sets the share that is found. The kind ``any`` is of all errors, the layer ``all`` of any layer; layers that find nothing have 0."""
+    layers = F.array(*(F.lit(x) for x in (*LAYERS, "all")))
+    both = found.unionByName(found.select("id", F.lit("all").alias("layer"))).distinct()
+    unit = F.when(F.col("kind").isNotNull(), F.concat_ws("|", "date", "market", "commodity")).otherwise(F.col("id"))
+    asked = rows.select("id", "round", "kind", unit.alias("unit"))
+    hits = asked.join(both, "id").select("unit", "kind", "layer").distinct().groupBy(F.col("kind").alias("of"), F.col("layer").alias("by")).agg(F.count("*").alias("hits"))
+    totals = asked.select("unit", "kind").distinct().groupBy("kind").agg(F.count("*").alias("n")).withColumn("layer", F.explode(layers))
+    each = totals.join(hits, F.col("kind").eqNullSafe(F.col("of")) & (F.col("layer") == F.col("by")), "left").select("kind", "layer", "n", F.coalesce("hits", F.lit(0)).alias("hits"))
+    every = each.where("kind IS NOT NULL").groupBy("layer").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).select(F.lit("any").alias("kind"), "layer", "n", "hits")
+    return each.unionByName(every).select("kind", "layer", "n", r4(F.col("hits") / F.col("n")).alias("share"))
+
+
+def layered(df: DataFrame, copies: int = ROUNDS, one_in: int = ONE_IN, with_forest: bool = True) -> DataFrame:
+    """``layer_recall`` of all layers over copies with injected errors; the forest is fitted to the rows as they are.
+
+    A copy costs as much as the table itself: fewer copies do for large tables, whose every copy has many errors."""
+    model = forest.train(written(features.price_features(df))) if with_forest else None
+    rows = written(rounds(df, copies, one_in))
+    out = layer_recall(rows, written(flags(rows, model)))
+    return out if with_forest else out.where(F.col("layer") != LAYERS[2])

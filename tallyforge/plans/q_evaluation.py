@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import calibrate, match
+from ..operators import calibrate, evaluate, match
+from ..sources.files import written
 from .q_entities import FOLD, FORMS, _model
-from .q_rules import r4, sim
+from .q_rules import LADDER, OUTLIERS, r4, sim
 from .registry import query
-from .views import commodities, table
+from .views import commodities, records, table
 
 
 def _picked(salt: str, n: str) -> str:
@@ -64,8 +65,6 @@ def cases(spark, sf) -> DataFrame:
 
 
 def _found(spark, sf) -> DataFrame:
-    from ..sources.files import written
-
     return written(calibrate.judged(cases(spark, sf), match.forms(commodities(spark, sf))))
 
 
@@ -93,3 +92,29 @@ def m11_report(spark, sf):
     """What the calibrated bounds make of each kind of case."""
     found = _found(spark, sf)
     return calibrate.report(found, calibrate.calibrate(found))
+
+
+def _drawn(parts: str) -> str:
+    return f"CAST(concat('0x', substr(md5(concat_ws('|', {parts})), 1, 7)) AS BIGINT)"
+
+
+_ROUNDS = f"""cp AS (SELECT rec.*, CAST(round AS INTEGER) AS round, {_drawn("round, strftime(date, '%Y-%m-%d'), market, commodity")} AS draw FROM rec, range(1, {evaluate.ROUNDS + 1}) t(round) WHERE price > 0 AND commodity <> '' AND channel <> '' AND market <> ''),
+  hs AS (SELECT *, CASE WHEN farm IS NOT NULL AND retail_id IS NOT NULL THEN draw // {evaluate.ONE_IN} % 4 ELSE draw // {evaluate.ONE_IN} % 3 END AS turn FROM (SELECT round, date, market, commodity, any_value(draw) AS draw, min_by(id, row({_drawn('round, id')}, id)) AS some_id, max_by(price, row(seq, id)) FILTER (WHERE channel = 'farmgate') AS farm, max_by(id, row(seq, id)) FILTER (WHERE channel = 'retail') AS retail_id FROM cp WHERE draw % {evaluate.ONE_IN} = 0 GROUP BY ALL)),
+  mixed AS (SELECT round || '|' || id AS id, seq, date, round || '|' || market AS market, round || '|' || commodity AS commodity, channel, CASE turn WHEN 0 THEN 'times_ten' WHEN 1 THEN 'tenth' WHEN 2 THEN 'plus_60' WHEN 3 THEN 'inverted' END AS kind,
+    CASE WHEN id = CASE WHEN turn = 3 THEN retail_id ELSE some_id END THEN CASE turn WHEN 0 THEN price * 10 WHEN 1 THEN price / 10 WHEN 2 THEN price * 1.6::DOUBLE ELSE farm * 0.7::DOUBLE END ELSE price END AS price FROM cp LEFT JOIN hs USING (round, date, market, commodity))"""
+
+
+@query("m10_layer_recall", f"""{{rec}}, {_ROUNDS}, {OUTLIERS.replace('FROM rec', 'FROM mixed')}, {LADDER.replace('FROM rec', 'FROM mixed')},
+  fl AS (SELECT id, 'statistics' AS layer FROM outliers UNION SELECT record_id, 'ladder' FROM viol UNION SELECT id, 'all' FROM outliers UNION SELECT record_id, 'all' FROM viol),
+  un AS (SELECT id, kind, CASE WHEN kind IS NULL THEN id ELSE concat_ws('|', date, market, commodity) END AS unit FROM mixed),
+  ea AS (SELECT t.kind, t.layer, n, coalesce(hits, 0) AS hits FROM (SELECT kind, count(DISTINCT unit) AS n, unnest(['statistics', 'ladder', 'all']) AS layer FROM un GROUP BY kind) t LEFT JOIN (SELECT kind, layer, count(DISTINCT unit) AS hits FROM un JOIN fl USING (id) GROUP BY ALL) h ON h.kind IS NOT DISTINCT FROM t.kind AND h.layer = t.layer)
+  SELECT kind, layer, n, {r4('hits / CAST(n AS DOUBLE)')} AS share FROM ea UNION ALL SELECT 'any', layer, CAST(sum(n) AS BIGINT), {r4('sum(hits) / CAST(sum(n) AS DOUBLE)')} FROM ea WHERE kind IS NOT NULL GROUP BY layer""")
+def m10_layer_recall(spark, sf):
+    """Errors in eight copies of the table found by statistics, by the ladder, by either."""
+    return evaluate.layered(records(spark, sf), with_forest=False)
+
+
+@query("m10_all_layers")
+def m10_all_layers(spark, sf):
+    """The same with the forest; fitted by sampling, hence without a twin."""
+    return evaluate.layered(records(spark, sf))
