@@ -37,8 +37,12 @@ def trigrams(form: Column) -> Column:
 
 
 def forms(catalog: DataFrame) -> DataFrame:
-    """owner, form, alias (0 for the name itself): a name's two words may come in either order."""
+    """owner, form, alias (0 for the name itself): the catalog's ``aliases`` if it has such a column, else a name's two words may come in either order."""
     name = F.col("commodity")
+    if "aliases" in catalog.columns:
+        own = catalog.select(name.alias("owner"), normalized(name).alias("form"), F.lit(0).alias("alias"))
+        others = catalog.select(name.alias("owner"), F.explode("aliases").alias("form")).select("owner", normalized(F.col("form")).alias("form"), F.lit(1).alias("alias"))
+        return own.union(others).where("form <> ''").distinct()
     swapped = F.concat(F.split_part(name, F.lit(" "), F.lit(2)), F.lit(" "), F.split_part(name, F.lit(" "), F.lit(1)))
     both = catalog.select(F.col("commodity").alias("owner"), F.inline(F.array(F.struct(name.alias("form"), F.lit(0).alias("alias")), F.struct(swapped.alias("form"), F.lit(1).alias("alias")))))
     return both
