@@ -15,7 +15,7 @@ from .q_rules import r4
 from .registry import query
 from .views import UNIT, records, table
 
-_PRODUCT = "CASE WHEN id % 9 <> 0 THEN concat(' ', replace(p_name, ' ', '   ')) END AS commodity_name_en, split_part(p_name, ' ', 2) AS commodity_name, concat(split_part(p_name, ' ', 2), '  ', split_part(p_name, ' ', 1)) AS commodity_name_fr, CASE WHEN id % 11 <> 0 THEN upper(u) END AS commodity_unit, p_name LIKE 'hot % rod' AS archived"
+_PRODUCT = "CASE WHEN id % 9 <> 0 THEN concat(' ', replace(p_name, ' ', '   ')) END AS commodity_name_en, split_part(p_name, ' ', 2) AS commodity_name, concat(split_part(p_name, ' ', 2), '  ', split_part(p_name, ' ', 1)) AS commodity_name_fr, CASE WHEN id % 11 <> 0 THEN upper(u) END AS commodity_unit, p_name LIKE 'hot %' AS archived"
 _REGISTRY = "concat(upper(r_name), ' market ', CAST(s_suppkey % 4 AS {0})) AS name, CASE WHEN s_suppkey % 10 <> 3 THEN lower(n_name) ELSE ' elsewhere ' END AS district, CASE WHEN s_suppkey % 7 <> 5 THEN r_name END AS registry_province, CASE WHEN s_suppkey % 6 = 1 THEN 'OTHER' WHEN s_suppkey % 6 = 2 THEN '' ELSE r_name END AS linked_province"
 
 

@@ -27,7 +27,7 @@ _MISSPELT = f"""sp0 AS (SELECT commodity AS s, 1 + {_picked('drop', 'greatest(le
     UNION ALL SELECT s, 'swap', CASE WHEN length(s) < 4 THEN s ELSE substr(s, 1, w) || substr(s, w + 2, 1) || substr(s, w + 1, 1) || substr(s, w + 3) END FROM sp
     UNION ALL SELECT s, 'vowel', CASE WHEN len(ps) = 0 THEN s || 'a' ELSE substr(s, 1, v - 1) || translate(lower(substr(s, v, 1)), 'aeiou', 'eioua') || substr(s, v + 1) END FROM sp
     UNION ALL SELECT s, 'spacing', '  ' || replace(upper(s), ' ', '  ') || ' ' FROM sp)"""
-_FOREIGN = "foreigners AS (SELECT n_name AS raw FROM nation UNION SELECT r_name FROM region UNION SELECT p_type FROM part UNION SELECT c_mktsegment FROM customer)"
+_FOREIGN = "foreigners AS (SELECT n_name AS raw FROM nation UNION SELECT r_name FROM region UNION SELECT c_mktsegment FROM customer)"
 _JUDGED = f"""{{std}}, {FORMS.split(', names AS')[0]}, {_MISSPELT}, {_FOREIGN},
   cases AS (SELECT grp, kind, want, {FOLD.format('raw')} AS name FROM (SELECT 'misspelt' AS grp, kind, want, raw FROM miss UNION ALL SELECT 'phrased', 'plural', s, s || 's' FROM sp UNION ALL SELECT 'phrased', 'qualified', s, 'fresh ' || s FROM sp UNION ALL SELECT 'foreign', 'none', NULL, raw FROM foreigners)),
   ex AS (SELECT name, count(DISTINCT owner) AS owners FROM (SELECT DISTINCT name FROM cases) JOIN forms ON name = form GROUP BY name), rest AS (SELECT DISTINCT name FROM cases WHERE name NOT IN (SELECT name FROM ex)),
@@ -50,12 +50,12 @@ _SWEPT = f""",
 
 
 def cases(spark, sf) -> DataFrame:
-    """Catalog names misspelt, in the plural and qualified; and names of nations, regions, kinds and segments, which the catalog lacks."""
+    """Catalog names misspelt, in the plural and qualified; and names of nations, regions and segments, of which the catalog has no word."""
     catalog = commodities(spark, sf)
     name = F.col("commodity")
     wrong = calibrate.misspelt(catalog, "commodity").select(F.lit("misspelt").alias("group"), "kind", "want", "raw")
     phrased = catalog.select(F.lit("phrased").alias("group"), F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), name.alias("want"), e.alias("raw")) for k, e in {"plural": F.concat(name, F.lit("s")), "qualified": F.concat(F.lit("fresh "), name)}.items()))))
-    sources = (("nation", "n_name"), ("region", "r_name"), ("part", "p_type"), ("customer", "c_mktsegment"))
+    sources = (("nation", "n_name"), ("region", "r_name"), ("customer", "c_mktsegment"))
     foreign = None
     for source, column in sources:
         more = table(spark, sf, source).select(F.col(column).alias("raw"))
