@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import match
+from tallyforge.functions.text import normalized, r4, similarity
+from tallyforge.operators import dedupe, match
 
 
 def _numbered(spark, n):
@@ -32,3 +33,16 @@ def test_matching_sends_no_names_out_by_the_driver(spark):
     assert _broadcasts(model) == 0
     plain = match.tfidf_best(names, known.select(F.col("form").alias("name")))
     assert sorted(map(tuple, model.select("name", "owner", "cosine").collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_name_neighbours_compare_few_pairs(spark):
+    """Every pair that brute force finds, without comparing all names that share a word."""
+    long = "a very long name of a market that stands beside the old road to the northern lake"
+    odd = ["hot bolt", "Hot  bolt", "bolt hot", "hot bolt x", "x hot bolt", "hot bolts", "", "??", "a b c d", "a b c e", "a b c", "supplier 000000000 0", long, f"{long} x", f"{long} side", "solo", "solos"]
+    names = _numbered(spark, 300).select(F.col("form").alias("name")).union(spark.createDataFrame([(x,) for x in odd], "name string"))
+    x = names.distinct().withColumn("form", normalized(F.col("name"))).where("form <> ''")
+    both = x.select(F.col("name").alias("a"), F.col("form").alias("f")).crossJoin(x.select(F.col("name").alias("b"), F.col("form").alias("g")))
+    shared = F.arrays_overlap(F.split("f", " "), F.split("g", " "))
+    want = both.where(shared).withColumn("score", r4(similarity(F.col("f"), F.col("g")))).where(F.col("score") >= dedupe.NEAR).select("a", "b", "score")
+    got = dedupe.name_neighbours(names)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
