@@ -1,8 +1,8 @@
 """Delimited text read in many tasks a file, quoted line breaks included, with a ledger of bad rows.
 
-Spark cuts a file into blocks of whole lines. Whether a line begins within quotes depends on the parity of all quotes before it: parities
-of blocks are counted and summed up by a window over blocks alone, those of lines within their block. Lines of one record are
-then put together by the line that it begins with, which may stand in an earlier block.
+Spark cuts a file into blocks of whole lines, which are cut further into chunks of ``CHUNK`` lines. Whether a line begins within quotes depends on the
+parity of all quotes before it: parities of chunks are counted and summed up by a window over chunks alone, those of lines within their chunk, so that
+no task sorts a whole block. Lines of one record are then put together by the line that it begins with, which may stand in an earlier chunk.
 
 A row of another width than the header is kept (short ones filled up, long ones cut) and listed with its file, line and number of
 cells; so is a record of more than ``MOST_LINES`` lines, as a quote that is never closed makes one: its lines are taken one by one.
@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MOST_LINES = 1000
+CHUNK = 10_000
+#: What tells lines apart that are sorted together.
+PLACE = ["file", "block", "chunk"]
 
 
 @dataclass
@@ -29,29 +32,30 @@ class Table:
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """file, block, at (order within the file's block), value and quotes of each line."""
+    """file, block, chunk, at (order within the file's block), value and quotes of each line."""
     text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
     first = (F.col("block") == 0) & F.col("value").startswith("\ufeff")
     value = F.when(first, F.substring("value", 2, 1 << 30)).otherwise(F.col("value"))
-    return text.withColumn("value", value).withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    chunk = F.floor(F.col("at").bitwiseAND((1 << 33) - 1) / CHUNK)  # the lower bits count a task's lines
+    return text.withColumn("value", value).withColumn("chunk", chunk).withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
 
 
 def records_of(lines: DataFrame) -> DataFrame:
     """file, line (from 1), text and broken (whether it is a line of a record that was too long) of each record."""
-    inside = Window.partitionBy("file", "block").orderBy("at")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"), (F.sum("quotes") % 2).alias("odd"))
-    blocks = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"), (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).alias("open"))
-    placed = lines.join(blocks, ["file", "block"]).withColumn("line", (F.col("ahead") + F.col("at") - F.col("first") + 1).cast("long"))
+    inside = Window.partitionBy(*PLACE).orderBy("at")
+    before = Window.partitionBy("file").orderBy("block", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = lines.groupBy(*PLACE).agg(F.count("*").alias("n"), F.min("at").alias("first"), (F.sum("quotes") % 2).alias("odd"))
+    chunks = chunks.select(*PLACE, "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"), (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).alias("open"))
+    placed = lines.join(chunks, PLACE).withColumn("line", (F.col("ahead") + F.col("at") - F.col("first") + 1).cast("long"))
     if lines.where("quotes % 2 = 1").isEmpty():
         return placed.select("file", "line", F.col("value").alias("text"), F.lit(False).alias("broken"))
     until = F.sum("quotes").over(inside) + F.col("open")
     marked = placed.withColumn("until", until % 2).withColumn("within", (until - F.col("quotes")) % 2 == 1)
     opens = (F.col("until") == 1) & ~F.col("within")
     marked = marked.withColumn("start", F.when(~F.col("within"), F.col("line"))).withColumn("own", F.max("start").over(inside))
-    last = marked.groupBy("file", "block").agg(F.max(F.when(opens, F.col("line"))).alias("last"))
-    carried = last.select("file", "block", F.max("last").over(before).alias("carried"))
-    known = marked.join(carried, ["file", "block"]).withColumn("record", F.coalesce("own", "carried", "line"))
+    last = marked.groupBy(*PLACE).agg(F.max(F.when(opens, F.col("line"))).alias("last"))
+    carried = last.select(*PLACE, F.max("last").over(before).alias("carried"))
+    known = marked.join(carried, PLACE).withColumn("record", F.coalesce("own", "carried", "line"))
     several = F.col("within") | (F.col("until") == 1)
     alone = known.where(~several).select("file", "line", F.col("value").alias("text"), F.lit(False).alias("broken"))
     parts = known.where(several).select("file", "record", "line", "value")

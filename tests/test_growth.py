@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.text import normalized, r4, similarity
 from tallyforge.operators import dedupe, match
+from tallyforge.sources import delimited
 
 
 def _numbered(spark, n):
@@ -46,3 +47,15 @@ def test_name_neighbours_compare_few_pairs(spark):
     want = both.where(shared).withColumn("score", r4(similarity(F.col("f"), F.col("g")))).where(F.col("score") >= dedupe.NEAR).select("a", "b", "score")
     got = dedupe.name_neighbours(names)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_lines_are_sorted_in_chunks(spark, tmp_path, monkeypatch):
+    """Records that cross chunks are put together, and no window is over more lines than a chunk."""
+    monkeypatch.setattr(delimited, "CHUNK", 4)
+    cells = [f'{k},"a{k}\nb\nc",x' if k % 3 == 0 else f"{k},a{k},x" for k in range(40)]
+    (tmp_path / "t.csv").write_text("\n".join(["id,note,last", *cells]) + "\n")
+    lines = delimited.lines_of(spark, str(tmp_path))
+    assert lines.groupBy("file", "block", "chunk").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] == 4
+    assert [r.text for r in delimited.records_of(lines).orderBy("line").collect()] == ["id,note,last", *cells]
+    rows = delimited.read(spark, str(tmp_path), ",", ["id", "note", "last"], ["id", "note", "last"]).rows.collect()
+    assert [(int(r.id), r.last) for r in rows] == [(k, "x") for k in range(40)]
