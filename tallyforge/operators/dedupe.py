@@ -25,8 +25,11 @@ def key() -> Column:
 def exact_duplicates(df: DataFrame) -> DataFrame:
     """Later rows of a key against its first: equal prices are exact duplicates, others probable ones.
 
-    The first row of a key is found by an aggregate and joined, so that a key with many rows isn't sorted in one task."""
-    rows = df.withColumn("key", key())
+    The first row of a key is found by an aggregate and joined, so that a key with many rows isn't sorted in one task. Only rows
+    whose key's hash occurs again are looked at for that; two keys of one hash merely make more of them."""
+    rows = df.select("seq", "id", "price", key().alias("key")).withColumn("hash", F.xxhash64("key"))
+    again = written(rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
+    rows = written(rows.join(again, "hash", "left_semi").drop("hash"))
     first = rows.groupBy("key").agg(F.min(F.struct("seq", "id", "price")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = rows.join(first, "key").where(F.struct("seq", "id") > F.struct("first.seq", "first.id"))
     same = F.col("price").eqNullSafe(F.col("first.price"))

@@ -44,7 +44,7 @@ def r03(spark, sf):
 
 @query("r04_confirm_suggestions", f"{{rec}}, {OUTLIERS} SELECT id, 'raw_price' AS field, CAST(CAST(floor(median + 0.5) AS BIGINT) AS VARCHAR) AS value, 'ai' AS via FROM outliers WHERE {r4('least(0.99, 0.6 + least(abs(z), 12.0) / 20 + CASE WHEN outside THEN 0.08 ELSE 0.0 END)')} >= 0.9")
 def r04(spark, sf):
-    return review.confirmed(anomaly.price_outliers(records(spark, sf)), 0.9)
+    return review.confirmed(anomaly.price_outliers(written(records(spark, sf))), 0.9)
 
 
 _KEEP = "NOT ((type IN ('MISSING_VALUE', 'INVALID_PRICE', 'LADDER_VIOLATION') AND severity = 'critical') OR type = 'INVALID_DATE')"
@@ -90,8 +90,9 @@ def a18(spark, sf):
 
 @query("a19_grouped_findings", f"{{rec}}, {ISSUES}, f AS (SELECT i.type, i.severity, r.market, r.commodity FROM iss i JOIN rec r ON r.id = i.record_id) SELECT type, severity, market, commodity, count(*) AS members FROM f GROUP BY ALL")
 def a19(spark, sf):
-    where = records(spark, sf).select(F.col("id").alias("record_id"), "market", "commodity")
-    return q_analytics.issues(spark, sf).join(where, "record_id").groupBy("type", "severity", "market", "commodity").agg(F.count("*").alias("members"))
+    rec = written(records(spark, sf))
+    where = rec.select(F.col("id").alias("record_id"), "market", "commodity")
+    return q_analytics.issues(spark, sf, rec).join(where, "record_id").groupBy("type", "severity", "market", "commodity").agg(F.count("*").alias("members"))
 
 
 @query("a17_validation_groups")
@@ -104,5 +105,5 @@ def a17(spark, sf):
 def j18(spark, sf):
     from ..operators import dedupe
 
-    rec = records(spark, sf)
+    rec = written(records(spark, sf))
     return dedupe.exact_duplicates(rec).join(rec.where("k % 101 <> 0").select("id"), "id", "left_semi").select("id", "original_id")
