@@ -25,22 +25,26 @@ def safe_ln(x):
 def peers(rows: DataFrame) -> DataFrame:
     """Median, MAD and IQR of each group of at least LEAST_PEERS rows."""
     q = rows.groupBy(*PEERS).agg(F.count("*").alias("peers"), F.percentile("price", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).where(F.col("peers") >= LEAST_PEERS)
-    q = q.select(*PEERS, "peers", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+    q = written(q.select(*PEERS, "peers", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr")))
     mad = rows.join(q.select(*PEERS, "median"), PEERS).groupBy(*PEERS).agg(F.percentile(F.abs(F.col("price") - F.col("median")), 0.5).alias("mad"))
-    return q.join(mad, PEERS)
+    return written(q.join(mad, PEERS))
 
 
 def price_features(df: DataFrame) -> DataFrame:
-    """Eight features of each priced row, and their signals: distances from what is typical, 0 where imputed."""
-    rows = priced(df)
+    """Eight features of each priced row, and their signals: distances from what is typical, 0 where imputed.
+
+    Peers and medians are written before they are joined: of a province there are few, and rows that were shuffled to their
+    province would meet in one task. ``df`` is read several times."""
+    rows = priced(df).select("seq", "id", *SET, "province", "channel", "price")
     base = rows.join(peers(rows), PEERS, "left").withColumn("r", F.coalesce(F.col("price") / F.col("median"), F.lit(1.0)))
-    base = written(base)
-    for key in ("market", "province"):
-        base = base.join(median_of(base, [key], F.col("r"), f"{key}_ratio"), key, "left")
+    medians = {key: written(median_of(base, [key], F.col("r"), f"{key}_ratio")) for key in ("market", "province")}
+    for key, found in medians.items():
+        base = base.join(found, key, "left")
     sets = written(ladder(df).select(*SET, "farmgate", "wholesale", "retail"))
     typical = [whole_quantiles(sets, safe_ln(F.col(a) / F.col(b)))[0] for _, a, b in _LADDER]
     middle = {f"typical_{n}": F.lit(d if m is None else m).cast("double") for (n, _, _), m, d in zip(_LADDER, typical, map(math.log, TYPICAL), strict=True)}
-    base = base.join(sets, SET, "left").withColumns(middle)
+    several = sets.where(F.size(F.array_compact(F.array("farmgate", "wholesale", "retail"))) > 1)  # a row's own price is all that others know
+    base = base.join(several, SET, "left").withColumns(middle)
     own = lambda c: F.when(F.col("channel") == c, F.col("price")).otherwise(F.col(c))
     code = F.when(F.col("channel") == "farmgate", 0.0).when(F.col("channel") == "wholesale", 1.0).otherwise(2.0)
     z = F.coalesce(F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), robust_z())), F.lit(0.0))

@@ -20,6 +20,8 @@ from .features import NAMES
 TREES, SAMPLE, QUANTILE, SIGNAL, CAP = 100, 256, 0.975, 0.4, 0.05
 #: Bins of one pass over scores; rows that are few enough to be sorted.
 BINS, SORTED = 2048, 100_000
+#: Rows that are scored at a time.
+PART = 4096
 
 
 def path_norm(n: float) -> float:
@@ -35,19 +37,31 @@ class Forest:
     threshold: float = 1.0
 
     def scores(self, x: np.ndarray) -> np.ndarray:
+        """All rows of a part go down a tree together, those in a leaf stay there; parts are small enough for the processor's cache."""
         depth = np.zeros(len(x))
-        for feature, split, right, leaf in self.trees:
-            node = np.zeros(len(x), np.int64)
-            inner = feature[node] >= 0
-            while inner.any():
-                at = node[inner]
-                goes_right = x[inner, feature[at]] >= split[at]
-                node[inner] = np.where(goes_right, right[at], at + 1)
-                inner = feature[node] >= 0
-            depth += leaf[node]
+        walks = [_walk(*t) for t in self.trees]
+        for start in range(0, len(x), PART):
+            part = np.ascontiguousarray(x[start : start + PART], float)
+            cells, first = part.ravel(), np.arange(len(part)) * x.shape[1]
+            sums = depth[start : start + PART]
+            for feature, split, child, leaf, levels in walks:
+                node = np.zeros(len(part), np.int64)
+                for _ in range(levels):
+                    node = child[2 * node + (cells[first + feature[node]] >= split[node])]
+                sums += leaf[node]
         return 2.0 ** (-depth / len(self.trees) / max(path_norm(self.sample), 1e-9))
 
 
+def _walk(feature: np.ndarray, split: np.ndarray, right: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """A tree with both children of each node in one array, a leaf's being itself, and the number of its levels."""
+    me, inner = np.arange(len(feature)), feature >= 0
+    child = np.column_stack([np.where(inner, me + 1, me), np.where(inner, right, me)]).ravel()
+    level = np.zeros(len(feature), np.int64)
+    for k in np.flatnonzero(inner):  # children follow their parent
+        level[[k + 1, right[k]]] = level[k] + 1
+    return np.where(inner, feature, 0), split, child, leaf, int(level.max(initial=0))
+
+
 def to_json(forest: Forest) -> str:
     """The model as text, with the features it was fitted to."""
     return json.dumps({"features": NAMES, "sample": forest.sample, "threshold": forest.threshold, "trees": [[a.tolist() for a in t] for t in forest.trees]})
@@ -100,12 +114,28 @@ def fit(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = 42)
 def train(features: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> Forest:
     """A forest whose trees each sample rows of the whole table, by a hash of their id; the threshold is the quantile of the
     scores of all rows."""
-    rows = features.orderBy(F.xxhash64("id"), "id").limit(trees * sample).select(*NAMES).collect()  # what the trees sample
+    return fitted(features, trees, sample, seed)[0]
+
+
+def fitted(features: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> tuple[Forest, DataFrame]:
+    """The forest of ``train`` and the scored rows that its threshold was read from, written once, so that no row is scored again."""
+    rows = _sampled(features, trees * sample).select(*NAMES).collect()  # what the trees sample
     x = np.array([list(r) for r in rows], float).reshape(-1, len(NAMES))
     forest = fit(x, trees, sample, seed)
+    scored = written(score(features, forest))
     if len(x):
-        forest.threshold = math.floor(quantile(score(features, forest), "score", QUANTILE) * 1e4 + 0.5) / 1e4
-    return forest
+        forest.threshold = math.floor(quantile(scored, "score", QUANTILE) * 1e4 + 0.5) / 1e4
+    return forest, scored
+
+
+def _sampled(features: DataFrame, n: int) -> DataFrame:
+    """The n rows of the least hash of their id. Of a table with many more, those below a bound are sorted, which has about twice as many."""
+    rows, hashed = features.count(), F.xxhash64("id")
+    if rows > 4 * n:
+        below = features.where(hashed <= int(-(2**63) + 2**64 * (2 * n / rows)))
+        if below.count() >= n:
+            features = below
+    return features.orderBy(hashed, "id").limit(n)
 
 
 def quantile(df: DataFrame, column: str, q: float) -> float:

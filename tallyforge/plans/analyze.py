@@ -62,8 +62,8 @@ def analyze(raw: DataFrame, catalog: DataFrame, registry: DataFrame, *, with_for
     priced = outliers.withColumn("evidence", F.array(F.struct(F.lit("z").alias("label"), F.col("z").cast("string").alias("value"))))
     if with_forest:  # what it corroborates is told with the known outlier, what it finds alone stands beside
         f = written(features.price_features(records))
-        model = forest.train(f)
-        priced = forest.merged(priced, forest.findings(forest.score(f, model), model, outliers))
+        model, scored = forest.fitted(f)
+        priced = forest.merged(priced, forest.findings(scored, model, outliers))
     parts = [
         _found(standardize.missing(rows), "id", "MISSING_VALUE", "completeness", 1.0), _found(standardize.invalid_dates(rows), "id", "INVALID_DATE", "conflict", 1.0),
         _found(standardize.invalid_prices(rows), "id", "INVALID_PRICE", "conflict", 1.0), _found(standardize.unknown_units(rows), "id", "UNIT_INCONSISTENCY", "conflict", 0.85),

@@ -34,21 +34,21 @@ _FEATURES = f"""{LADDER},
 
 @query("m04_price_features", f"{{rec}}, {_FEATURES} SELECT id, " + ", ".join(f"{r4(c)} AS {c}" for c in features.NAMES) + " FROM ft")
 def m04(spark, sf):
-    return features.price_features(records(spark, sf)).select("id", *(cut(F.col(c)).alias(c) for c in features.NAMES))
+    return features.price_features(written(records(spark, sf))).select("id", *(cut(F.col(c)).alias(c) for c in features.NAMES))
 
 
 @query("m06_forest_scores")
 def m06(spark, sf):
-    f = written(features.price_features(records(spark, sf)))
-    return forest.score(f, forest.train(f)).select("id", cut(F.col("score")).alias("score"))
+    _, scored = forest.fitted(written(features.price_features(written(records(spark, sf)))))
+    return scored.select("id", cut(F.col("score")).alias("score"))
 
 
 @query("m08_forest_issues")
 def m08(spark, sf):
     rec = written(records(spark, sf))
     f = written(features.price_features(rec))
-    model = forest.train(f)
-    return forest.findings(forest.score(f, model), model, anomaly.price_outliers(rec))
+    model, scored = forest.fitted(f)
+    return forest.findings(scored, model, anomaly.price_outliers(rec))
 
 
 @query("m08_merge_evidence", f"""{{rec}}, {OUTLIERS}, kn AS (SELECT id, severity, confidence, CAST(floor(median + 0.5) AS BIGINT) AS suggestion, k FROM (SELECT *, {r4('least(0.99, 0.6 + least(abs(z), 12.0) / 20 + CASE WHEN outside THEN 0.08 ELSE 0.0 END)')} AS confidence, CASE WHEN abs(z) > 8 THEN 'critical' WHEN abs(z) > 5 THEN 'high' ELSE 'medium' END AS severity FROM outliers) JOIN (SELECT id, k FROM rec) USING (id))
@@ -74,13 +74,13 @@ _INJECTED = """inj0 AS (SELECT rec.*, f.farmgate, CASE WHEN k % 97 = 0 THEN (k /
 
 @query("m10_injection_recall", f"{{rec}}, {_INJECTED}, {OUTLIERS.replace('FROM rec', 'FROM inj')}, {LADDER.replace('FROM rec', 'FROM inj')}, sc AS (SELECT kind, CASE WHEN id IN (SELECT id FROM outliers) THEN 1.0 ELSE 0.0 END::DOUBLE AS s, CASE WHEN id IN (SELECT record_id FROM viol) THEN 1.0 ELSE 0.0 END::DOUBLE AS l FROM inj) SELECT kind, count(*) AS n, {r4('avg(s)')} AS statistics, {r4('avg(l)')} AS ladder, {r4('avg(greatest(s, l))')} AS either FROM sc GROUP BY kind")
 def m10(spark, sf):
-    return evaluate.recall(records(spark, sf))
+    return evaluate.recall(written(records(spark, sf)))
 
 
 @query("k05_model_roundtrip")
 def k05(spark, sf):
     """Scores by a model that was stored and loaded."""
-    f = written(features.price_features(records(spark, sf)))
+    f = written(features.price_features(written(records(spark, sf))))
     return forest.score(f, forest.from_json(forest.to_json(forest.train(f)))).select("id", cut(F.col("score")).alias("score"))
 
 
