@@ -17,10 +17,11 @@ LAYERS = ("statistics", "ladder", "forest")
 
 def injected(df: DataFrame, every: int = 97) -> DataFrame:
     """Every so many rows, by k, get one of four errors in turn; the last takes retail to 0.7 of the set's farm-gate price."""
-    farm = anomaly.ladder(df).select(*anomaly.SET, "farmgate")
-    rows = df.join(farm, anomaly.SET, "left")
     turn = F.floor(F.col("k") / every) % 4
     hit = F.col("k") % every == 0
+    asked = written(df.where(hit & (turn == 3) & (F.col("channel") == "retail")).select(*anomaly.SET).distinct())  # the only sets whose farm-gate price is asked for
+    farm = written(anomaly.ladder(df.join(asked, anomaly.SET, "left_semi")).select(*anomaly.SET, "farmgate"))
+    rows = df.join(farm, anomaly.SET, "left")
     kind = F.when(hit & (turn == 0), KINDS[0]).when(hit & (turn == 1), KINDS[1]).when(hit & (turn == 2), KINDS[2]).when(hit & (F.col("channel") == "retail") & F.col("farmgate").isNotNull(), KINDS[3])
     price = F.when(F.col("kind") == KINDS[0], F.col("price") * 10).when(F.col("kind") == KINDS[1], F.col("price") / 10).when(F.col("kind") == KINDS[2], F.col("price") * 1.6).when(F.col("kind") == KINDS[3], F.col("farmgate") * 0.7).otherwise(F.col("price"))
     return rows.withColumn("kind", kind).withColumn("price", price).drop("farmgate")
@@ -28,10 +29,11 @@ def injected(df: DataFrame, every: int = 97) -> DataFrame:
 
 def recall(df: DataFrame) -> DataFrame:
     """Kind of error (null: untouched rows): rows, share found by statistics, by the ladder, by either."""
-    rows = injected(df)
+    rows = written(injected(df))
     stats = anomaly.price_outliers(rows).select("id", F.lit(1).alias("s")).distinct()
     rules = anomaly.ladder_violations(rows).select(F.col("record_id").alias("id"), F.lit(1).alias("l")).distinct()
-    both = rows.join(stats, "id", "left").join(rules, "id", "left")
+    found = stats.join(rules, "id", "full")
+    both = rows.select("id", "kind").join(found, "id", "left")
     share = lambda c: r4(F.avg(F.when(c, 1.0).otherwise(0.0)))
     return both.groupBy("kind").agg(F.count("*").alias("n"), share(F.col("s").isNotNull()).alias("statistics"), share(F.col("l").isNotNull()).alias("ladder"), share(F.col("s").isNotNull() | F.col("l").isNotNull()).alias("either"))
 
