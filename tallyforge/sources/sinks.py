@@ -17,14 +17,14 @@ def export_columns(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, where: str) -> None:
-    """Trusted records with a header, quoted where needed; corrected is yes or no."""
+    """Trusted records with a header, quoted where needed, in gzip files; corrected is yes or no."""
     rows = export_columns(df).withColumn("corrected", F.when(F.col("corrected"), "yes").otherwise("no"))
-    rows.write.csv(where, header=True, escape='"', emptyValue="")
+    rows.write.csv(where, header=True, escape='"', emptyValue="", compression="gzip")
 
 
 def write_json(df: DataFrame, where: str) -> None:
-    """Trusted records, an object a line; corrected is true or false, gaps are null."""
-    export_columns(df).write.option("ignoreNullFields", "false").json(where)
+    """Trusted records, an object a line, in gzip files; corrected is true or false, gaps are null."""
+    export_columns(df).write.option("ignoreNullFields", "false").json(where, compression="gzip")
 
 
 def clean(trusted: DataFrame) -> DataFrame:
