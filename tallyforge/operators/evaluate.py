@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import r4
 from ..sources.files import written
 from . import anomaly, features, forest
+from .quantiles import flowing_quantiles
 
 KINDS = ("times_ten", "tenth", "plus_60", "inverted")
 #: Copies of the table, and the share of sets that get an error in each, as one in so many.
 ROUNDS, ONE_IN = 8, 40
 LAYERS = ("statistics", "ladder", "forest")
+CHANNELS = ("farmgate", "wholesale", "retail")
 
 
 def injected(df: DataFrame, every: int = 97) -> DataFrame:
@@ -93,11 +95,116 @@ def layer_recall(rows: DataFrame, found: DataFrame) -> DataFrame:
     return each.unionByName(every).select("kind", "layer", "n", r4(F.col("hits") / F.col("n")).alias("share"))
 
 
+def kept(df: DataFrame, copies: int = ROUNDS, one_in: int = ONE_IN, more: tuple[str, ...] = ()) -> DataFrame:
+    """Priced rows with what ``rounds`` would do to them, once and not in copies: ``errors`` has, for the rounds that give the row's set an error, its
+    kind and the set's last prices by channel after it; prices has the row's own price in the rounds that change it. Sets are put together by one shuffle; a set's rows are of one task.
+
+    The rows' own: last (the last of its channel in its set), again (an id that the set has already), lead (one row of each set), the set's last
+    prices if it has several channels, and unit (names the set where it has several rows and errors). Rows of one id are of one set. Rows without
+    a market are in no copy: copied tells. ``more`` columns are kept as well."""
+    copied = F.coalesce(F.col("market"), F.lit("")) != ""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number keeps small files apart, which many tasks read later
+    rows = anomaly.priced(df).select("seq", "id", *anomaly.SET, "channel", "price", *more).repartition(parts, *anomaly.SET)
+    rows = rows.withColumn("text", F.concat_ws("|", "date", "market", "commodity"))
+    rows = rows.withColumns({f"draw_{r}": _drawn(F.lit(r), "text") for r in range(1, copies + 1)})
+    hit = copied & F.col("date").isNotNull()
+    rows = rows.withColumns({f"draw_{r}": F.when(hit & (F.col(f"draw_{r}") % one_in == 0), F.col(f"draw_{r}")) for r in range(1, copies + 1)})
+    whole, ordered = Window.partitionBy(*anomaly.SET), Window.partitionBy(*anomaly.SET).orderBy("id")
+    rows = rows.withColumns({"again": F.coalesce(F.lag("id").over(ordered) == F.col("id"), F.lit(False)), "lead": F.row_number().over(ordered) == 1})
+    own = F.struct("seq", "id", "price")
+    several = {f"last_{c}": F.max(F.when(copied & (F.col("channel") == c), own)).over(whole) for c in CHANNELS}
+    several |= {f"some_{r}": F.min(F.when(F.col(f"draw_{r}").isNotNull(), F.struct(_drawn(F.lit(r), "id").alias("draw"), "id", "price"))).over(whole) for r in range(1, copies + 1)}
+    rows = rows.withColumns(several | {"size": F.count("*").over(whole)})
+    farm, retail = F.col("last_farmgate.price"), F.col("last_retail.id")
+
+    def error(h: Column) -> Column:
+        some = h.some
+        turn = F.floor(h.draw / one_in)
+        turn = F.when(farm.isNotNull() & retail.isNotNull(), turn % 4).otherwise(turn % 3)
+        wrong = F.when(turn == 0, some.price * 10).when(turn == 1, some.price / 10).when(turn == 2, some.price * 1.6).otherwise(farm * 0.7)
+        return F.struct(h.round.alias("round"), F.element_at(F.array(*map(F.lit, KINDS)), (turn + 1).cast("int")).alias("kind"), F.when(turn == 3, retail).otherwise(some.id).alias("target"), wrong.alias("wrong"))
+
+    def told(e: Column) -> Column:
+        after = lambda which, price: F.when(which == e.target, e.wrong).otherwise(price)
+        ladder = (after(F.col(f"last_{c}.id"), F.col(f"last_{c}.price")).alias(c) for c in CHANNELS)
+        return F.struct(e.round.alias("round"), e.kind.alias("kind"), *ladder)
+
+    has = F.coalesce(*(F.col(f"draw_{r}") for r in range(1, copies + 1))).isNotNull()
+    hits = F.filter(F.array(*(F.struct(F.lit(r).alias("round"), F.col(f"draw_{r}").alias("draw"), F.col(f"some_{r}").alias("some")) for r in range(1, copies + 1))), lambda h: h.draw.isNotNull())
+    rows = rows.withColumn("errors", F.when(has, F.transform(hits, error)))
+    mine = F.filter("errors", lambda e: e.target == F.col("id"))
+    mine = F.when(F.size(mine) > 0, F.transform(mine, lambda e: F.struct(e.round.alias("round"), e.wrong.alias("price"))))
+    many = F.size(F.array_compact(F.array(*(F.col(f"last_{c}.price") for c in CHANNELS)))) > 1
+    ladder = {c: F.when(many, F.col(f"last_{c}.price")) for c in CHANNELS}
+    last = F.coalesce(F.coalesce(*(F.when(F.col("channel") == c, F.col(f"last_{c}.id")) for c in CHANNELS)) == F.col("id"), F.lit(False))
+    unit = F.when(has & (F.col("size") > 1), F.col("text"))
+    return rows.select("commodity", "channel", "price", *more, copied.alias("copied"), last.alias("last"), "again", "lead", unit.alias("unit"), *(ladder[c].alias(c) for c in CHANNELS), F.when(F.col("errors").isNotNull(), mine).alias("prices"), F.transform("errors", told).alias("errors"))
+
+
+def in_rounds(rows: DataFrame, first: int, last: int, prices_only: bool = False) -> DataFrame:
+    """Rows of ``kept`` as they are in each round; round 0 has them without errors. Nothing is shuffled or written for that."""
+    few = F.sequence(F.lit(first), F.lit(last))
+    if first == 0:
+        few = F.when(F.col("copied"), few).otherwise(F.array(F.lit(0)))
+    else:
+        rows = rows.where("copied")
+    of = lambda c: F.when(F.col(c).isNotNull(), F.get(F.filter(c, lambda e: e.round == F.col("round")), F.lit(0)))
+    rows = rows.withColumn("round", F.explode(few)).withColumn("price", F.coalesce(of("prices")["price"], F.col("price"))).drop("prices")
+    if prices_only:
+        return rows
+    rows = rows.withColumn("e", of("errors"))
+    ladder = {c: F.when(F.col("e").isNotNull(), F.col(f"e.{c}")).otherwise(F.col(c)) for c in CHANNELS}
+    return rows.withColumns(ladder | {"kind": F.col("e.kind")}).drop("e", "errors")
+
+
+def peer_stats(rows: DataFrame, first: int, last: int, least: int) -> DataFrame:
+    """n, median, MAD, quartiles and fences of each peer group of at least so many rows in each round."""
+    keys = ["round", *anomaly.PEERS]
+    wrong = F.coalesce(F.col("prices.price"), F.array().cast("array<double>"))
+    low, high = F.least("price", F.array_min(wrong)), F.greatest("price", F.array_max(wrong))
+    rounds_of = (rows if first == 0 else rows.where("copied")).groupBy(*anomaly.PEERS).agg(F.count("*").alias("every"), F.count_if("copied").alias("copies"), F.min(low).alias("lo"), F.max(high).alias("hi"))
+    sizes = rounds_of.withColumn("round", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("n", F.when(F.col("round") == 0, F.col("every")).otherwise(F.col("copies"))).where(F.col("n") >= least)
+    sizes = written(sizes.select(*keys, "n", "lo", "hi"))
+    now = in_rounds(rows.select(*anomaly.PEERS, "price", "prices", "copied"), first, last, prices_only=True).select(*keys, "price")
+    q = flowing_quantiles(now.withColumnRenamed("price", "v"), sizes, keys, (0.25, 0.5, 0.75))
+    q = written(q.select(*keys, "n", *(F.col("q")[k].alias(c) for k, c in enumerate(("q1", "median", "q3")))))
+    off = lambda c: F.abs(F.col(c) - F.col("median"))
+    bounds = sizes.join(q.select(*keys, "median"), keys).select(*keys, "n", F.lit(0.0).alias("lo"), F.greatest(off("lo"), off("hi")).alias("hi"))
+    mad = flowing_quantiles(now.join(q.select(*keys, "median"), keys).select(*keys, off("price").alias("v")), bounds, keys)
+    out = q.join(mad.select(*keys, F.col("q")[0].alias("mad")), keys).withColumn("iqr", F.col("q3") - F.col("q1"))
+    return written(out.withColumns({"lower": F.col("q1") - 1.5 * F.col("iqr"), "upper": F.col("q3") + 1.5 * F.col("iqr")}))
+
+
+def found_by_rules(rows: DataFrame) -> dict[str, Column]:
+    """Whether statistics, whether the ladder finds a row of ``in_rounds`` that has its peers' figures."""
+    outside = (F.abs(r4(anomaly.robust_z())) >= anomaly.Z_LIMIT) | (F.col("price") < F.col("lower")) | (F.col("price") > F.col("upper"))
+    farm, whole, retail = map(F.col, CHANNELS)
+    blamed = F.when(F.col("channel") == CHANNELS[1], farm > whole).when(F.col("channel") == CHANNELS[2], F.coalesce(whole > retail, F.lit(False)) | F.coalesce(farm > retail, F.lit(False)))
+    return {LAYERS[0]: (F.col("n") >= anomaly.LEAST_PEERS) & outside, LAYERS[1]: F.col("last") & blamed}
+
+
+def counted(rows: DataFrame, layers: tuple[str, ...]) -> DataFrame:
+    """``layer_recall`` of rows that have a column for each layer. Only the rows of sets that have several are shuffled to their set."""
+    flags = {x: F.coalesce(F.col(x), F.lit(False)).cast("long") for x in layers}
+    rows = rows.select("round", "kind", "unit", "again", *(c.alias(x) for x, c in flags.items())).withColumn("all", F.greatest(*layers))
+    every = [*layers, "all"]
+    sums = lambda df: df.groupBy("kind").agg(F.count("*").alias("n"), *(F.sum(x).alias(x) for x in every))
+    alone = sums(rows.where("NOT again AND (kind IS NULL OR unit IS NULL)"))
+    sets = rows.where("kind IS NOT NULL AND unit IS NOT NULL").groupBy("round", "unit", "kind").agg(*(F.max(x).alias(x) for x in every))
+    both = written(alone.unionByName(sums(sets)).groupBy("kind").agg(*(F.sum(x).alias(x) for x in ("n", *every))))
+    each = both.select("kind", F.inline(F.array(*(F.struct(F.lit(x).alias("layer"), "n", F.col(x).alias("hits")) for x in every))))
+    total = each.where("kind IS NOT NULL").groupBy("layer").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).select(F.lit("any").alias("kind"), "layer", "n", "hits")
+    return each.unionByName(total).select("kind", "layer", "n", r4(F.col("hits") / F.col("n")).alias("share"))
+
+
 def layered(df: DataFrame, copies: int = ROUNDS, one_in: int = ONE_IN, with_forest: bool = True) -> DataFrame:
     """``layer_recall`` of all layers over copies with injected errors; the forest is fitted to the rows as they are.
 
-    A copy costs as much as the table itself: fewer copies do for large tables, whose every copy has many errors."""
-    model = forest.train(written(features.price_features(df))) if with_forest else None
-    rows = written(rounds(df, copies, one_in))
-    out = layer_recall(rows, written(flags(rows, model)))
-    return out if with_forest else out.where(F.col("layer") != LAYERS[2])
+    The copies are those of ``rounds``, but none is written or shuffled: rows are kept once, with their errors, and read for every copy."""
+    if with_forest:
+        model = forest.train(written(features.price_features(df)))
+        rows = written(rounds(df, copies, one_in))
+        return layer_recall(rows, written(flags(rows, model)))
+    rows = written(kept(df.where("coalesce(market, '') <> ''"), copies, one_in))
+    now = in_rounds(rows, 1, copies).join(peer_stats(rows, 1, copies, anomaly.LEAST_PEERS), ["round", *anomaly.PEERS], "left")
+    return counted(now.withColumns(found_by_rules(now)), LAYERS[:2])
