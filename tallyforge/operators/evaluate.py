@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import r4
-from ..sources.files import written
+from ..sources.files import scratch, written
 from . import anomaly, features, forest
-from .quantiles import flowing_quantiles
+from .quantiles import LIMIT, flowing_quantiles
 
 KINDS = ("times_ten", "tenth", "plus_60", "inverted")
 #: Copies of the table, and the share of sets that get an error in each, as one in so many.
@@ -95,16 +100,16 @@ def layer_recall(rows: DataFrame, found: DataFrame) -> DataFrame:
     return each.unionByName(every).select("kind", "layer", "n", r4(F.col("hits") / F.col("n")).alias("share"))
 
 
-def kept(df: DataFrame, copies: int = ROUNDS, one_in: int = ONE_IN, more: tuple[str, ...] = ()) -> DataFrame:
+def kept(df: DataFrame, copies: int = ROUNDS, one_in: int = ONE_IN, more: tuple[Column | str, ...] = (), by: tuple[str, ...] = tuple(anomaly.SET)) -> DataFrame:
     """Priced rows with what ``rounds`` would do to them, once and not in copies: ``errors`` has, for the rounds that give the row's set an error, its
     kind and the set's last prices by channel after it; prices has the row's own price in the rounds that change it. Sets are put together by one shuffle; a set's rows are of one task.
 
     The rows' own: last (the last of its channel in its set), again (an id that the set has already), lead (one row of each set), the set's last
     prices if it has several channels, and unit (names the set where it has several rows and errors). Rows of one id are of one set. Rows without
-    a market are in no copy: copied tells. ``more`` columns are kept as well."""
+    a market are in no copy: copied tells. ``more`` columns are kept as well. Rows are dealt out by ``by``, columns of a set."""
     copied = F.coalesce(F.col("market"), F.lit("")) != ""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number keeps small files apart, which many tasks read later
-    rows = anomaly.priced(df).select("seq", "id", *anomaly.SET, "channel", "price", *more).repartition(parts, *anomaly.SET)
+    rows = anomaly.priced(df).select("seq", "id", *anomaly.SET, "channel", "price", *(c for c in more if c not in anomaly.SET)).repartition(parts, *by)
     rows = rows.withColumn("text", F.concat_ws("|", "date", "market", "commodity"))
     rows = rows.withColumns({f"draw_{r}": _drawn(F.lit(r), "text") for r in range(1, copies + 1)})
     hit = copied & F.col("date").isNotNull()
@@ -138,7 +143,8 @@ def kept(df: DataFrame, copies: int = ROUNDS, one_in: int = ONE_IN, more: tuple[
     ladder = {c: F.when(many, F.col(f"last_{c}.price")) for c in CHANNELS}
     last = F.coalesce(F.coalesce(*(F.when(F.col("channel") == c, F.col(f"last_{c}.id")) for c in CHANNELS)) == F.col("id"), F.lit(False))
     unit = F.when(has & (F.col("size") > 1), F.col("text"))
-    return rows.select("commodity", "channel", "price", *more, copied.alias("copied"), last.alias("last"), "again", "lead", unit.alias("unit"), *(ladder[c].alias(c) for c in CHANNELS), F.when(F.col("errors").isNotNull(), mine).alias("prices"), F.transform("errors", told).alias("errors"))
+    kept_too = [c for c in df.select(*more).columns if c not in ("commodity", "channel", "price")]
+    return rows.select("commodity", "channel", "price", *kept_too, copied.alias("copied"), last.alias("last"), "again", "lead", unit.alias("unit"), *(ladder[c].alias(c) for c in CHANNELS), F.when(F.col("errors").isNotNull(), mine).alias("prices"), F.transform("errors", told).alias("errors"))
 
 
 def in_rounds(rows: DataFrame, first: int, last: int, prices_only: bool = False) -> DataFrame:
@@ -172,7 +178,7 @@ def peer_stats(rows: DataFrame, first: int, last: int, least: int) -> DataFrame:
     bounds = sizes.join(q.select(*keys, "median"), keys).select(*keys, "n", F.lit(0.0).alias("lo"), F.greatest(off("lo"), off("hi")).alias("hi"))
     mad = flowing_quantiles(now.join(q.select(*keys, "median"), keys).select(*keys, off("price").alias("v")), bounds, keys)
     out = q.join(mad.select(*keys, F.col("q")[0].alias("mad")), keys).withColumn("iqr", F.col("q3") - F.col("q1"))
-    return written(out.withColumns({"lower": F.col("q1") - 1.5 * F.col("iqr"), "upper": F.col("q3") + 1.5 * F.col("iqr")}))
+    return written(out.withColumns({"peers": F.col("n"), "lower": F.col("q1") - 1.5 * F.col("iqr"), "upper": F.col("q3") + 1.5 * F.col("iqr")}))
 
 
 def found_by_rules(rows: DataFrame) -> dict[str, Column]:
@@ -197,14 +203,86 @@ def counted(rows: DataFrame, layers: tuple[str, ...]) -> DataFrame:
     return each.unionByName(total).select("kind", "layer", "n", r4(F.col("hits") / F.col("n")).alias("share"))
 
 
+def by_market(df: DataFrame) -> DataFrame:
+    """``written`` in as many buckets by market as there are shuffle partitions, so that rows needn't be shuffled to their market."""
+    where, name = scratch(df.sparkSession), f"tallyforge_{uuid.uuid4().hex}"
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", where).option("compression", "zstd").bucketBy(parts, "market").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def featured(rows: DataFrame, copies: int) -> Callable[[int, int], DataFrame]:
+    """Features of ``kept`` rows, by market, in the rounds from and to which one asks: made in flight, from figures of peers, markets, provinces and ladders in each
+    round. What is typical of round 0 are its own ratios, of the copies those of all."""
+    keys = ["round", *anomaly.PEERS]
+    stats = peer_stats(rows, 0, copies, features.LEAST_PEERS)
+    ratio = F.coalesce(F.col("price") / F.col("median"), F.lit(1.0))
+    place = F.when(F.col("round") == 0, F.col("province")).otherwise(F.concat_ws("|", "round", "province")).alias("place")
+
+    def ratios(*more: str, of: DataFrame = rows) -> DataFrame:
+        now = in_rounds(of.select(*anomaly.PEERS, "price", "prices", "copied", *more), 0, copies, prices_only=True)
+        return now.join(stats.select(*keys, "median"), keys, "left").withColumn("v", ratio)
+
+    sizes = written(rows.where("market IS NOT NULL").groupBy("market").agg(F.count("*").alias("size")))
+    large = written(sizes.where(F.col("size") > LIMIT).select("market"))
+    some = rows.where("market IS NOT NULL")
+    if not large.isEmpty():
+        many = ratios("market", of=some.join(large, "market", "left_semi")).select("market", "round", "v")
+        counts = many.groupBy("market", "round").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        some = some.join(large, "market", "left_anti")
+    each = ratios("market", of=some).groupBy("market", "round").agg(F.percentile("v", 0.5).alias("m"))  # buckets aren't shuffled
+    if not large.isEmpty():
+        each = each.unionByName(flowing_quantiles(many, counts, ["market", "round"]).select("market", "round", F.col("q")[0].alias("m")))
+    markets = written(each.groupBy("market").agg(F.map_from_entries(F.collect_list(F.struct("round", "m"))).alias("market_ratios")))
+    placed = ratios("province").withColumn("place", place).where("place IS NOT NULL").select("place", "v")
+    places = flowing_quantiles(placed, placed.groupBy("place").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), ["place"])
+    places = written(places.select("place", F.col("q")[0].alias("province_ratio")))
+    found = F.array(*(F.struct(F.lit(n).alias("ladder"), features.safe_ln(F.col(a) / F.col(b)).alias("v")) for n, a, b in features.LADDER))
+    sets = in_rounds(rows.where("lead AND copied").drop("market", "province"), 0, copies).select(F.least("round", F.lit(1)).alias("some"), F.inline(found))  # as in price_features, a set without both prices counts, with the least logarithm
+    typical = flowing_quantiles(sets, sets.groupBy("some", "ladder").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), ["some", "ladder"])
+    typical = {(t.some, t.ladder): t.q[0] for t in typical.collect()}
+
+    def made(first: int, last: int) -> DataFrame:
+        now = in_rounds(rows.join(markets, "market", "left"), first, last).withColumn("place", place)
+        now = now.join(stats, keys, "left").join(F.broadcast(places), "place", "left")
+        now = now.withColumns({"r": ratio, "market_ratio": F.col("market_ratios")[F.col("round")]})
+        for (name, _, _), usual in zip(features.LADDER, features.TYPICAL, strict=True):
+            now = now.withColumn(f"typical_{name}", F.lit(typical.get((min(first, 1), name), math.log(usual))).cast("double"))
+        return features.vectors(now)
+
+    return made
+
+
+def fitted(df: DataFrame, copies: int, one_in: int) -> tuple[forest.Forest, Callable[[int, int], DataFrame]]:
+    """The forest of ``forest.train`` for the rows as they are, and their features by round. Ids are kept of the rows that the trees may sample, those of the least hashes."""
+    n, hashed, rows = forest.TREES * forest.SAMPLE, F.xxhash64("id"), anomaly.priced(df).count()
+    bounds = [int(-(2**63) + 2**64 * (4 * n / rows))] if rows > 8 * n else []
+    for bound in (*bounds, None):
+        sampled = (F.lit(True) if bound is None else hashed <= bound).alias("may")
+        base = by_market(kept(df.withColumn("sampled", F.when(sampled, F.col("id"))), copies, one_in, ("market", "province", "sampled"), ("market",)))
+        if base.where("sampled IS NOT NULL").count() >= min(n, rows):
+            break
+    made = featured(base, copies)
+    first = made(0, 0).where("sampled IS NOT NULL").orderBy(F.xxhash64("sampled"), "sampled").limit(n).select(*features.NAMES).collect()
+    x = np.array([list(r) for r in first], float).reshape(-1, len(features.NAMES))
+    model = forest.fit(x)
+    if len(x):
+        model.threshold = math.floor(forest.quantile(forest.score(made(0, 0), model), "score", forest.QUANTILE) * 1e4 + 0.5) / 1e4
+    return model, made
+
+
 def layered(df: DataFrame, copies: int = ROUNDS, one_in: int = ONE_IN, with_forest: bool = True) -> DataFrame:
     """``layer_recall`` of all layers over copies with injected errors; the forest is fitted to the rows as they are.
 
     The copies are those of ``rounds``, but none is written or shuffled: rows are kept once, with their errors, and read for every copy."""
     if with_forest:
-        model = forest.train(written(features.price_features(df)))
-        rows = written(rounds(df, copies, one_in))
-        return layer_recall(rows, written(flags(rows, model)))
+        model, made = fitted(df, copies, one_in)
+        now = made(1, copies)
+        now = now.withColumns(found_by_rules(now) | {"signal": F.array_max("signal")})
+        asked = ("round", "kind", "unit", "again", *LAYERS)
+        strong = forest.score(now.where(F.col("signal") >= forest.SIGNAL), model).withColumn(LAYERS[2], F.col("score") >= model.threshold)
+        weak = now.where(F.col("signal") < forest.SIGNAL).withColumn(LAYERS[2], F.lit(False))
+        return counted(strong.select(*asked).unionByName(weak.select(*asked)), LAYERS)
     rows = written(kept(df.where("coalesce(market, '') <> ''"), copies, one_in))
     now = in_rounds(rows, 1, copies).join(peer_stats(rows, 1, copies, anomaly.LEAST_PEERS), ["round", *anomaly.PEERS], "left")
     return counted(now.withColumns(found_by_rules(now)), LAYERS[:2])

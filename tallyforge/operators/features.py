@@ -15,7 +15,7 @@ LEAST_PEERS, CLIP = 3, 8.0
 #: Log ratios of retail/farm-gate, wholesale/farm-gate and retail/wholesale without any data.
 TYPICAL = (1.3, 1.1, 1.1)
 NAMES = ("ratio", "z", "market_residual", "province_residual", "channel_code", "retail_farm", "wholesale_farm", "retail_wholesale")
-_LADDER = (("retail_farm", "retail", "farmgate"), ("wholesale_farm", "wholesale", "farmgate"), ("retail_wholesale", "retail", "wholesale"))
+LADDER = (("retail_farm", "retail", "farmgate"), ("wholesale_farm", "wholesale", "farmgate"), ("retail_wholesale", "retail", "wholesale"))
 
 
 def safe_ln(x):
@@ -41,17 +41,23 @@ def price_features(df: DataFrame) -> DataFrame:
     for key, found in medians.items():
         base = base.join(found, key, "left")
     sets = written(ladder(df).select(*SET, "farmgate", "wholesale", "retail"))
-    typical = [whole_quantiles(sets, safe_ln(F.col(a) / F.col(b)))[0] for _, a, b in _LADDER]
-    middle = {f"typical_{n}": F.lit(d if m is None else m).cast("double") for (n, _, _), m, d in zip(_LADDER, typical, map(math.log, TYPICAL), strict=True)}
+    typical = [whole_quantiles(sets, safe_ln(F.col(a) / F.col(b)))[0] for _, a, b in LADDER]
+    middle = {f"typical_{n}": F.lit(d if m is None else m).cast("double") for (n, _, _), m, d in zip(LADDER, typical, map(math.log, TYPICAL), strict=True)}
     several = sets.where(F.size(F.array_compact(F.array("farmgate", "wholesale", "retail"))) > 1)  # a row's own price is all that others know
-    base = base.join(several, SET, "left").withColumns(middle)
+    base = vectors(base.join(several, SET, "left").withColumns(middle))
+    return base.select("id", "seq", "price", F.coalesce("peers", F.lit(0)).alias("peers"), "median", *NAMES, "signal")
+
+
+def vectors(base: DataFrame) -> DataFrame:
+    """Adds features and signals to rows that have r (the price by its peers' median), figures of their peers, medians of their market and province,
+    last prices of their set and what is typical."""
     own = lambda c: F.when(F.col("channel") == c, F.col("price")).otherwise(F.col(c))
     code = F.when(F.col("channel") == "farmgate", 0.0).when(F.col("channel") == "wholesale", 1.0).otherwise(2.0)
     z = F.coalesce(F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), robust_z())), F.lit(0.0))
     out = base.withColumns({"ratio": safe_ln(F.col("r")), "z": z, "market_residual": safe_ln(F.col("r") / F.col("market_ratio")), "province_residual": safe_ln(F.col("r") / F.col("province_ratio")), "channel_code": code})
-    for name, a, b in _LADDER:
+    for name, a, b in LADDER:
         found = F.when(F.col("channel").isin(a, b), safe_ln(own(a) / own(b)))
         out = out.withColumns({f"found_{name}": found, name: F.coalesce(found, F.col(f"typical_{name}"))})
     signal = [F.abs("ratio"), F.abs("z") / 4, F.abs("market_residual"), F.abs("province_residual"), F.lit(0.0)]
-    signal += [F.coalesce(F.abs(F.col(f"found_{n}") - F.col(f"typical_{n}")), F.lit(0.0)) for n, _, _ in _LADDER]
-    return out.select("id", "seq", "price", F.coalesce("peers", F.lit(0)).alias("peers"), "median", *NAMES, F.array(*signal).alias("signal"))
+    signal += [F.coalesce(F.abs(F.col(f"found_{n}") - F.col(f"typical_{n}")), F.lit(0.0)) for n, _, _ in LADDER]
+    return out.withColumn("signal", F.array(*signal))
