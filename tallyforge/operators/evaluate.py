@@ -144,7 +144,7 @@ def kept(df: DataFrame, copies: int = ROUNDS, one_in: int = ONE_IN, more: tuple[
     last = F.coalesce(F.coalesce(*(F.when(F.col("channel") == c, F.col(f"last_{c}.id")) for c in CHANNELS)) == F.col("id"), F.lit(False))
     unit = F.when(has & (F.col("size") > 1), F.col("text"))
     kept_too = [c for c in df.select(*more).columns if c not in ("commodity", "channel", "price")]
-    return rows.select("commodity", "channel", "price", *kept_too, copied.alias("copied"), last.alias("last"), "again", "lead", unit.alias("unit"), *(ladder[c].alias(c) for c in CHANNELS), F.when(F.col("errors").isNotNull(), mine).alias("prices"), F.transform("errors", told).alias("errors"))
+    return rows.select("commodity", "channel", "price", *kept_too, copied.alias("copied"), F.col("date").isNotNull().alias("dated"), last.alias("last"), "again", "lead", unit.alias("unit"), *(ladder[c].alias(c) for c in CHANNELS), F.when(F.col("errors").isNotNull(), mine).alias("prices"), F.transform("errors", told).alias("errors"))
 
 
 def in_rounds(rows: DataFrame, first: int, last: int, prices_only: bool = False) -> DataFrame:
@@ -212,7 +212,7 @@ def by_market(df: DataFrame) -> DataFrame:
 
 
 def featured(rows: DataFrame, copies: int) -> Callable[[int, int], DataFrame]:
-    """Features of ``kept`` rows, by market, in the rounds from and to which one asks: made in flight, from figures of peers, markets, provinces and ladders in each
+    """Features of ``kept`` rows, by market, and what statistics and the ladder find, in the rounds from and to which one asks: made in flight, from figures of peers, markets, provinces and ladders in each
     round. What is typical of round 0 are its own ratios, of the copies those of all."""
     keys = ["round", *anomaly.PEERS]
     stats = peer_stats(rows, 0, copies, features.LEAST_PEERS)
@@ -248,7 +248,8 @@ def featured(rows: DataFrame, copies: int) -> Callable[[int, int], DataFrame]:
         now = now.withColumns({"r": ratio, "market_ratio": F.col("market_ratios")[F.col("round")]})
         for (name, _, _), usual in zip(features.LADDER, features.TYPICAL, strict=True):
             now = now.withColumn(f"typical_{name}", F.lit(typical.get((min(first, 1), name), math.log(usual))).cast("double"))
-        return features.vectors(now)
+        now = now.withColumns(found_by_rules(now))
+        return features.vectors(now.withColumns({c: F.when(F.col("dated"), F.col(c)) for c in CHANNELS}))  # as rows without a date meet no set in price_features
 
     return made
 
@@ -277,8 +278,7 @@ def layered(df: DataFrame, copies: int = ROUNDS, one_in: int = ONE_IN, with_fore
     The copies are those of ``rounds``, but none is written or shuffled: rows are kept once, with their errors, and read for every copy."""
     if with_forest:
         model, made = fitted(df, copies, one_in)
-        now = made(1, copies)
-        now = now.withColumns(found_by_rules(now) | {"signal": F.array_max("signal")})
+        now = made(1, copies).withColumn("signal", F.array_max("signal"))
         asked = ("round", "kind", "unit", "again", *LAYERS)
         strong = forest.score(now.where(F.col("signal") >= forest.SIGNAL), model).withColumn(LAYERS[2], F.col("score") >= model.threshold)
         weak = now.where(F.col("signal") < forest.SIGNAL).withColumn(LAYERS[2], F.lit(False))

@@ -56,3 +56,10 @@ def test_flowing_quantiles(spark):
     got = {r.g: (r.n, r.q) for r in quantiles.flowing_quantiles(rows, sizes, ["g"], shares).collect()}
     want = {r.g: (r.n, r.q) for r in rows.groupBy("g").agg(F.count("*").alias("n"), F.percentile("v", F.array(*map(F.lit, shares))).alias("q")).collect()}
     assert got == want
+
+
+def test_forest_as_of_copies(spark, odd):
+    df = odd.where("k % 3 < 2")
+    model = evaluate.forest.train(evaluate.features.price_features(df).localCheckpoint())
+    want = _told(_of_copies(df, 2, 4, model))
+    assert len(want) > 14 and _told(evaluate.layered(df, 2, 4)) == want
