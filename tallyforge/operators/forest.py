@@ -21,7 +21,7 @@ TREES, SAMPLE, QUANTILE, SIGNAL, CAP = 100, 256, 0.975, 0.4, 0.05
 #: Bins of one pass over scores; rows that are few enough to be sorted.
 BINS, SORTED = 2048, 100_000
 #: Rows that are scored at a time.
-PART = 4096
+PART = 16384
 
 
 def path_norm(n: float) -> float:
@@ -37,29 +37,40 @@ class Forest:
     threshold: float = 1.0
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        """All rows of a part go down a tree together, those in a leaf stay there; parts are small enough for the processor's cache."""
+        """Each tree is folded from its leaves upward, for a part of the rows at a time: a comparison of a whole column and a choice between two
+        small numbers at every inner node, where following a row down the tree takes a look-up of its own at every level."""
         depth = np.zeros(len(x))
-        walks = [_walk(*t) for t in self.trees]
+        trees = [_coded(*t) for t in self.trees]
         for start in range(0, len(x), PART):
-            part = np.ascontiguousarray(x[start : start + PART], float)
-            cells, first = part.ravel(), np.arange(len(part)) * x.shape[1]
+            columns = np.ascontiguousarray(x[start : start + PART].T, float)
             sums = depth[start : start + PART]
-            for feature, split, child, leaf, levels in walks:
-                node = np.zeros(len(part), np.int64)
-                for _ in range(levels):
-                    node = child[2 * node + (cells[first + feature[node]] >= split[node])]
-                sums += leaf[node]
+            for tree in trees:
+                sums += _folded(columns, *tree)
         return 2.0 ** (-depth / len(self.trees) / max(path_norm(self.sample), 1e-9))
 
 
-def _walk(feature: np.ndarray, split: np.ndarray, right: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """A tree with both children of each node in one array, a leaf's being itself, and the number of its levels."""
-    me, inner = np.arange(len(feature)), feature >= 0
-    child = np.column_stack([np.where(inner, me + 1, me), np.where(inner, right, me)]).ravel()
-    level = np.zeros(len(feature), np.int64)
-    for k in np.flatnonzero(inner):  # children follow their parent
-        level[[k + 1, right[k]]] = level[k] + 1
-    return np.where(inner, feature, 0), split, child, leaf, int(level.max(initial=0))
+def _coded(feature: np.ndarray, split: np.ndarray, right: np.ndarray, leaf: np.ndarray) -> tuple[list, list, list, list, type, np.ndarray]:
+    """A tree whose leaves have numbers, as small as may be, for their depths."""
+    depths, codes = np.unique(leaf, return_inverse=True)
+    kind = np.uint8 if len(depths) <= 1 << 8 else np.uint16 if len(depths) <= 1 << 16 else np.uint32
+    return feature.tolist(), split.tolist(), right.tolist(), codes.tolist(), kind, depths
+
+
+def _folded(columns: np.ndarray, feature: list, split: list, right: list, codes: list, kind: type, depths: np.ndarray) -> np.ndarray | float:
+    """The depth that each row reaches; children follow their parent."""
+    wide, found = kind is not np.uint8, {}
+    for k in range(len(feature) - 1, -1, -1):
+        if feature[k] < 0:
+            found[k] = codes[k]
+            continue
+        low, high = found.pop(k + 1), found.pop(right[k])
+        mask = (columns[feature[k]] >= split[k]).view(np.uint8)
+        if wide:
+            mask = mask.astype(kind)
+        np.negative(mask, out=mask)  # all bits, or none
+        np.bitwise_and(mask, low ^ high, out=mask)
+        found[k] = np.bitwise_xor(mask, low, out=mask)
+    return depths[found[0]]
 
 
 def to_json(forest: Forest) -> str:
