@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 from ..functions.text import r4
 from ..sources.files import written
 from .quantiles import joined, group_quantiles, median_of, whole_quantiles
+from .sieve import without
 
 LADDER = ("farmgate", "wholesale", "retail")
 
 
-def trusted(df: DataFrame, issues: DataFrame) -> DataFrame:
-    """Priced records without an open critical or high finding, or one of a duplicate that was settled as corrected."""
+def trusted(df: DataFrame, issues: DataFrame, *, at_once: bool = False) -> DataFrame:
+    """Priced records without an open critical or high finding, or one of a duplicate that was settled as corrected.
+
+    ``at_once`` works the findings out and writes the ids that are blocked; then only rows that may be among them are shuffled."""
     grave = (F.col("status") == "open") & F.col("severity").isin("critical", "high")
     settled = (F.col("status") == "corrected") & (F.col("category") == "duplicate")
     blocked = issues.where(grave | settled).select(F.col("record_id").alias("id"))
+    if at_once:
+        return without(df.where("price IS NOT NULL"), written(blocked), "id")
     return df.where("price IS NOT NULL").join(blocked, "id", "left_anti")
 
 

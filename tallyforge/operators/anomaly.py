@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import r4
 from ..sources.files import written
+from .sieve import among
 
 PEERS = ["commodity", "channel"]
 SET = ["date", "market", "commodity"]
@@ -56,11 +57,20 @@ def ladder(df: DataFrame) -> DataFrame:
     return last.select(*SET, *(F.col(f"last_{c}.{what}").alias(name) for c in channels for what, name in (("price", c), ("id", f"{c}_id"))))
 
 
+def several(df: DataFrame) -> DataFrame:
+    """Rows of sets that have prices of several channels, and maybe a few others: only these have a ladder. Hashes of sets are counted first, which are
+    far shorter than what a ladder holds of each row."""
+    rows = priced(df).where("coalesce(market, '') <> ''").withColumn("hash", F.xxhash64(*SET))
+    bit = F.when(F.col("channel") == "farmgate", 1).when(F.col("channel") == "wholesale", 2).when(F.col("channel") == "retail", 4).otherwise(0)
+    sets = rows.groupBy("hash").agg(F.bit_or(bit).alias("channels")).where(F.bit_count("channels") > 1)
+    return among(rows, written(sets.select("hash")), "hash").drop("hash")
+
+
 def ladder_violations(df: DataFrame) -> DataFrame:
-    """Sets in which a lower channel is dearer than a higher one; the record of the higher channel is blamed."""
+    """Sets in which a lower channel is dearer than a higher one; the record of the higher channel is blamed. ``df`` is read twice."""
     pairs = [("farmgate", "wholesale"), ("wholesale", "retail"), ("farmgate", "retail")]
     checks = F.array(*(F.struct(F.lit(f"{a}>{b}").alias("check"), F.col(a).alias("low"), F.col(b).alias("high"), F.col(f"{b}_id").alias("record_id")) for a, b in pairs))
-    rows = ladder(df).select(*SET, F.inline(checks)).where("low > high")
+    rows = ladder(several(df)).select(*SET, F.inline(checks)).where("low > high")
     gap = (F.col("low") - F.col("high")) / F.col("high") * 100
     severity = F.when(F.col("check") == "farmgate>retail", "critical").when(gap > 30, "high").otherwise("medium")
     return rows.select(*SET, "check", "record_id", r4(gap).alias("gap"), severity.alias("severity"), r4(F.least(F.lit(0.99), 0.75 + gap / 200)).alias("confidence"))
@@ -69,4 +79,4 @@ def ladder_violations(df: DataFrame) -> DataFrame:
 def markups(df: DataFrame) -> DataFrame:
     """Sets whose retail price is over three times the farm-gate price."""
     ratio = F.col("retail") / F.col("farmgate")
-    return ladder(df).where(ratio > MARKUP_LIMIT).select(*SET, F.col("retail_id").alias("record_id"), r4(ratio).alias("ratio"), r4(F.least(F.lit(0.99), 0.7 + (ratio - 3) / 10)).alias("confidence"))
+    return ladder(several(df)).where(ratio > MARKUP_LIMIT).select(*SET, F.col("retail_id").alias("record_id"), r4(ratio).alias("ratio"), r4(F.least(F.lit(0.99), 0.7 + (ratio - 3) / 10)).alias("confidence"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalized, r4, similarity, spread
 from ..sources.files import written
+from .sieve import among, without
 
 NEAR, SURE = 0.82, 0.92
 #: The least share of common words of alike names of which neither is within the other, and the least share of a name that is left of it in
@@ -29,7 +30,7 @@ def exact_duplicates(df: DataFrame) -> DataFrame:
     whose key's hash occurs again are looked at for that; two keys of one hash merely make more of them."""
     rows = df.select("seq", "id", "price", key().alias("key")).withColumn("hash", F.xxhash64("key"))
     again = written(rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
-    rows = written(rows.join(again, "hash", "left_semi").drop("hash"))
+    rows = written(among(rows, again, "hash").drop("hash"))
     first = rows.groupBy("key").agg(F.min(F.struct("seq", "id", "price")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = rows.join(first, "key").where(F.struct("seq", "id") > F.struct("first.seq", "first.id"))
     same = F.col("price").eqNullSafe(F.col("first.price"))
@@ -72,8 +73,8 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     Of the rows of one date, channel and pair of names only the earliest can be an original, and of all alike groups only
     the earliest of those: if that one isn't earlier than a row, none is. So groups are joined, not rows."""
     names, keys = ["commodity", "market"], ["date", "channel", "commodity", "market"]
-    flagged = exact_duplicates(df).select("id")
-    rows = df.join(flagged, "id", "left_anti").select("seq", "id", *(F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys))
+    flagged = written(exact_duplicates(df).select("id"))
+    rows = without(df, flagged, "id").select("seq", "id", *(F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys))
     groups = rows.groupBy(*keys).agg(F.min(F.struct("seq", "id")).alias("first"))
     alike = [name_neighbours(df.select(F.col(n).alias("name"))).select(F.col("a").alias(n), F.col("b").alias(f"{n}_2"), F.col("score").alias(f"{n}_score")) for n in names]
     other = groups.select("date", "channel", *(F.col(n).alias(f"{n}_2") for n in names), F.col("first").alias("other"))

@@ -47,7 +47,7 @@ def issues(spark, sf, rec=None):
 
 def trusted(spark, sf):
     rec = written(records(spark, sf))
-    return analytics.trusted(rec, issues(spark, sf, rec))
+    return analytics.trusted(rec, issues(spark, sf, rec), at_once=True)
 
 
 @query("a05_column_profile", "{raw}, long AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", trim({c}) AS v, TRY_CAST(trim({c}) AS DOUBLE) AS x FROM raw" for c in RAW) + f"""), p AS (SELECT "column", count(*) AS n, count(*) FILTER (WHERE v = '') AS missing, count(DISTINCT nullif(v, '')) AS "distinct", count(x) AS numbers, min(x) AS lo, max(x) AS hi, avg(x) AS mean FROM long GROUP BY ALL),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import parse
 from tallyforge.functions.text import normalized, squeezed
-from tallyforge.operators import standardize
+from tallyforge.operators import sieve, standardize
 from tallyforge.plans.views import commodities, markets, raw_records
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +36,15 @@ def test_folding_looks_letters_up_in_a_table(spark):
 def test_rows_are_joined_once_with_each_kind_of_name(spark):
     found = standardize.resolved(standardize.typed(raw_records(spark, SF)), commodities(spark, SF), markets(spark, SF))
     assert len(re.findall(r"\w*Join ", found._jdf.queryExecution().sparkPlan().toString())) == 2
+
+
+def test_rows_that_meet_no_key_are_not_shuffled(spark):
+    rows = spark.range(50_000).select(F.when(F.col("id") % 1000 != 7, F.concat(F.lit("k"), F.col("id") % 40_000)).alias("key"), "id")
+    keys = spark.range(0, 60_000, 50).select(F.concat(F.lit("k"), F.col("id")).alias("key")).unionByName(spark.createDataFrame([(None,)], "key string"))
+    told = sieve.told(rows, "key", sieve.marks(keys, "key"))
+    assert told.where("__may").count() < 1.1 * rows.join(keys, "key", "left_semi").count() + 100
+    for made, how in ((sieve.among, "left_semi"), (sieve.without, "left_anti")):
+        got, want = made(rows, keys, "key"), rows.join(keys, "key", how)
+        assert got.columns == rows.columns and sorted(r.id for r in got.collect()) == sorted(r.id for r in want.collect())
+    none = keys.where("key = 'x'")
+    assert sieve.without(rows, none, "key").count() == 50_000 and sieve.among(rows, none, "key").isEmpty()
