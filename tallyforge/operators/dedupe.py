@@ -80,7 +80,8 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     other = groups.select("date", "channel", *(F.col(n).alias(f"{n}_2") for n in names), F.col("first").alias("other"))
     pairs = groups.select(*keys).join(alike[0], "commodity").join(alike[1], "market").where("NOT (commodity = commodity_2 AND market = market_2)")
     score = (F.col("commodity_score") + F.col("market_score")) / 2
-    best = pairs.join(other, ["date", "channel", "commodity_2", "market_2"]).groupBy(*keys).agg(F.min(F.struct("other", score.alias("score"))).alias("f"))
-    found = rows.join(best, keys).where(F.col("f.other") < F.struct("seq", "id"))
+    hashed = F.xxhash64(*keys).alias("hash")
+    best = written(pairs.join(other, ["date", "channel", "commodity_2", "market_2"]).groupBy(*keys).agg(F.min(F.struct("other", score.alias("score"))).alias("f")).select("*", hashed))
+    found = among(rows.select("*", hashed), best, "hash").drop("hash").join(best.drop("hash"), keys).where(F.col("f.other") < F.struct("seq", "id"))
     sure = F.col("f.score") >= SURE
     return found.select("id", F.col("f.other.id").alias("original_id"), r4(F.col("f.score")).alias("score"), F.when(sure, "PROBABLE_DUPLICATE").otherwise("POSSIBLE_DUPLICATE").alias("type"), F.when(sure, "medium").otherwise("low").alias("severity"))
