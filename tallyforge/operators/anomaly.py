@@ -57,6 +57,16 @@ def ladder(df: DataFrame) -> DataFrame:
     return last.select(*SET, *(F.col(f"last_{c}.{what}").alias(name) for c in channels for what, name in (("price", c), ("id", f"{c}_id"))))
 
 
+def met_again(df: DataFrame) -> tuple[DataFrame, int]:
+    """Rows for ladders whose set has several of them, and maybe a few others, and the number of sets that are left out: of these each has a single row."""
+    rows = priced(df).where("coalesce(market, '') <> ''").withColumn("hash", F.xxhash64(*SET))
+    sizes = rows.groupBy("hash").agg(F.count("*").alias("n")).select("hash", "n")
+    few = written(sizes.where("n > 1").select("hash"))
+    every = rows.count()
+    rows = among(rows, few, "hash")
+    return rows.drop("hash"), every - rows.count()
+
+
 def several(df: DataFrame) -> DataFrame:
     """Rows of sets that have prices of several channels, and maybe a few others: only these have a ladder. Hashes of sets are counted first, which are
     far shorter than what a ladder holds of each row."""

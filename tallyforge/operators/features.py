@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.files import written
-from .anomaly import PEERS, SET, ladder, priced, robust_z
+from .anomaly import PEERS, SET, ladder, met_again, priced, robust_z
 from .quantiles import median_of, whole_quantiles
+from .sieve import marks, told
 
 LEAST_PEERS, CLIP = 3, 8.0
 #: Log ratios of retail/farm-gate, wholesale/farm-gate and retail/wholesale without any data.
@@ -40,11 +41,19 @@ def price_features(df: DataFrame) -> DataFrame:
     medians = {key: written(median_of(base, [key], F.col("r"), f"{key}_ratio")) for key in ("market", "province")}
     for key, found in medians.items():
         base = base.join(found, key, "left")
-    sets = written(ladder(df).select(*SET, "farmgate", "wholesale", "retail"))
-    typical = [whole_quantiles(sets, safe_ln(F.col(a) / F.col(b)))[0] for _, a, b in LADDER]
+    again, alone = met_again(df)
+    sets = written(ladder(again).select(*SET, "farmgate", "wholesale", "retail"))
+    # a set of one row has no ratio, and counts with the least logarithm like all that lack a price
+    ratios = sets.select(*(safe_ln(F.col(a) / F.col(b)).alias(n) for n, a, b in LADDER))
+    ratios = ratios.unionByName(df.sparkSession.range(alone).select(*(F.ln(F.lit(1e-6)).alias(n) for n, _, _ in LADDER)))
+    typical = [whole_quantiles(ratios, F.col(n))[0] for n, _, _ in LADDER]
     middle = {f"typical_{n}": F.lit(d if m is None else m).cast("double") for (n, _, _), m, d in zip(LADDER, typical, map(math.log, TYPICAL), strict=True)}
     several = sets.where(F.size(F.array_compact(F.array("farmgate", "wholesale", "retail"))) > 1)  # a row's own price is all that others know
-    base = vectors(base.join(several, SET, "left").withColumns(middle))
+    several = written(several.select("*", F.xxhash64(*SET).alias("hash")))
+    base = told(base.withColumn("hash", F.xxhash64(*SET)), "hash", marks(several, "hash")).drop("hash")  # only rows that may be in such a set are shuffled to it
+    laddered = base.where("__may").join(several.drop("hash"), SET, "left")
+    lonely = base.where("NOT __may").withColumns({c: F.lit(None).cast("double") for c in ("farmgate", "wholesale", "retail")})
+    base = vectors(laddered.unionByName(lonely).drop("__may").withColumns(middle))
     return base.select("id", "seq", "price", F.coalesce("peers", F.lit(0)).alias("peers"), "median", *NAMES, "signal")
 
 

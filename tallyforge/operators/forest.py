@@ -125,15 +125,17 @@ def fit(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = 42)
 def train(features: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> Forest:
     """A forest whose trees each sample rows of the whole table, by a hash of their id; the threshold is the quantile of the
     scores of all rows."""
-    return fitted(features, trees, sample, seed)[0]
+    return fitted(features, trees, sample, seed, ())[0]
 
 
-def fitted(features: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> tuple[Forest, DataFrame]:
-    """The forest of ``train`` and the scored rows that its threshold was read from, written once, so that no row is scored again."""
+def fitted(features: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = 42, keep: tuple[str, ...] | None = None) -> tuple[Forest, DataFrame]:
+    """The forest of ``train`` and the scored rows that its threshold was read from, written once, so that no row is scored again. They have
+    the columns to keep, or all but the features themselves, which nothing asks for after the score."""
     rows = _sampled(features, trees * sample).select(*NAMES).collect()  # what the trees sample
     x = np.array([list(r) for r in rows], float).reshape(-1, len(NAMES))
     forest = fit(x, trees, sample, seed)
-    scored = written(score(features, forest))
+    kept = [c for c in features.columns if c not in NAMES] if keep is None else keep
+    scored = written(score(features, forest).select(*kept, "score"))
     if len(x):
         forest.threshold = math.floor(quantile(scored, "score", QUANTILE) * 1e4 + 0.5) / 1e4
     return forest, scored

@@ -37,9 +37,14 @@ def m04(spark, sf):
     return features.price_features(written(records(spark, sf))).select("id", *(cut(F.col(c)).alias(c) for c in features.NAMES))
 
 
+def _vectors(spark, sf):
+    """What a forest needs of each row: its id and features."""
+    return features.price_features(written(records(spark, sf).drop("district", "unit", "k"))).select("id", *features.NAMES)
+
+
 @query("m06_forest_scores")
 def m06(spark, sf):
-    _, scored = forest.fitted(written(features.price_features(written(records(spark, sf)))))
+    _, scored = forest.fitted(written(_vectors(spark, sf)), keep=("id",))
     return scored.select("id", cut(F.col("score")).alias("score"))
 
 
@@ -80,7 +85,7 @@ def m10(spark, sf):
 @query("k05_model_roundtrip")
 def k05(spark, sf):
     """Scores by a model that was stored and loaded."""
-    f = written(features.price_features(written(records(spark, sf))))
+    f = written(_vectors(spark, sf))
     return forest.score(f, forest.from_json(forest.to_json(forest.train(f)))).select("id", cut(F.col("score")).alias("score"))
 
 

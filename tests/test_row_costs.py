@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import parse
 from tallyforge.functions.text import normalized, squeezed
-from tallyforge.operators import sieve, standardize
-from tallyforge.plans.views import commodities, markets, raw_records
+from tallyforge.operators import anomaly, features, forest, sieve, standardize
+from tallyforge.plans.views import commodities, markets, raw_records, records
+from tallyforge.sources.files import written
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,3 +49,16 @@ def test_rows_that_meet_no_key_are_not_shuffled(spark):
         assert got.columns == rows.columns and sorted(r.id for r in got.collect()) == sorted(r.id for r in want.collect())
     none = keys.where("key = 'x'")
     assert sieve.without(rows, none, "key").count() == 50_000 and sieve.among(rows, none, "key").isEmpty()
+
+
+def test_scores_are_written_without_features(spark):
+    made = features.price_features(written(records(spark, SF)))
+    _, scored = forest.fitted(written(made.limit(300)), 3, 16)
+    assert not set(features.NAMES) & set(scored.columns) and {"id", "score", "signal", "peers", "median"} <= set(scored.columns)
+
+
+def test_sets_of_one_row_are_counted_not_kept(spark):
+    rows = [("2024-01-01", "m", "c", "retail", 2.0), ("2024-01-01", "m", "c", "farmgate", 1.0), (None, "m", "c", "retail", 3.0), ("2024-02-01", "n", "c", "retail", 3.0), ("2024-02-01", "", "c", "retail", 3.0), ("2024-02-01", "o", "c", "retail", 0.0)]
+    df = spark.createDataFrame([(k, f"r{k}", *r) for k, r in enumerate(rows)], "seq long, id string, date string, market string, commodity string, channel string, price double")
+    again, alone = anomaly.met_again(df)
+    assert sorted(r.id for r in again.collect()) == ["r0", "r1"] and alone == 2 == anomaly.ladder(df).count() - 1
