@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import parse
 from tallyforge.functions.text import normalized, squeezed
-from tallyforge.operators import anomaly, features, forest, sieve, standardize
+from tallyforge.operators import anomaly, draft, features, forest, sieve, standardize
 from tallyforge.plans.views import commodities, markets, raw_records, records
 from tallyforge.sources.files import written
 
@@ -62,3 +62,14 @@ def test_sets_of_one_row_are_counted_not_kept(spark):
     df = spark.createDataFrame([(k, f"r{k}", *r) for k, r in enumerate(rows)], "seq long, id string, date string, market string, commodity string, channel string, price double")
     again, alone = anomaly.met_again(df)
     assert sorted(r.id for r in again.collect()) == ["r0", "r1"] and alone == 2 == anomaly.ladder(df).count() - 1
+
+
+def test_untouched_rows_of_a_draft_stay_where_they_are(spark):
+    raw = written(raw_records(spark, SF))
+    first = draft.start(raw, draft.plain_check)
+    edits = raw.where("k % 40 = 7").select("id", F.lit("raw_price").alias("field"), F.lit("1").alias("value"), F.lit(1).alias("at"), F.lit("manual").alias("via"))
+    after = draft.apply(first, draft.plain_check, edits, raw.where("k % 101 = 0").select("id", F.lit(2).alias("at")))
+    for df in (after.rows, after.records, after.issues):
+        assert "__may" in df._jdf.queryExecution().analyzed().toString()
+    gone = raw.where("k % 101 = 0").count()
+    assert after.rows.count() == after.records.count() == raw.count() - gone
